@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, sharding
+from . import chat, decontamination, mixing, sharding, simhash, substring
 from .common import read_table
 
 
@@ -22,12 +22,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_query(read_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_query(read_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontamination, op2_chat, op3_mixing, op10_sharding)
+    named = (op1_decontamination, op2_chat, op3_mixing, op7_substring, op8_simhash, op10_sharding)
     return {f.__name__: f for f in named}
 
 
