@@ -129,6 +129,18 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: fl
     return out.select(*docs.columns, "size", "source_size", "target", "taken")
 
 
+def take_mix(docs: DataFrame, **rules) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as it is taken, its columns only."""
+    slim = mix_documents(docs, **rules) if not {"size", "taken", "target", "source_size"} & set(docs.columns) else None
+    if slim is None:
+        renamed = {c: n for c, n in zip(docs.columns, fresh(docs, *[f"kept_{c}" for c in docs.columns])) if c in ("size", "taken", "target", "source_size")}
+        back = {n: c for c, n in renamed.items()}
+        return take_mix(docs.withColumnsRenamed(renamed), **rules).withColumnsRenamed(back)
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    (copy,) = fresh(slim, "copy_")
+    return slim.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+
+
 def mixing_query(docs: DataFrame) -> DataFrame:
     """``op3_mixing``."""
     return mix_documents(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")

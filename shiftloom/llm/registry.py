@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, mixing, sharding, simhash, substring
+from . import chat, decontamination, language, mixing, sharding, simhash, substring
 from .common import read_table
 
 
@@ -30,12 +30,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_query(read_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontamination, op2_chat, op3_mixing, op7_substring, op8_simhash, op10_sharding)
+    named = (op1_decontamination, op2_chat, op3_mixing, op7_substring, op8_simhash, op9_language, op10_sharding)
     return {f.__name__: f for f in named}
 
 
