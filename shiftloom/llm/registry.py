@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, mixing, sharding, simhash, substring
+from . import chat, decontamination, language, mixing, neighbours, sharding, simhash, substring
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(read_table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours_query(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_query(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontamination, op2_chat, op3_mixing, op7_substring, op8_simhash, op9_language, op10_sharding)
+    named = (op1_decontamination, op2_chat, op3_mixing, op6_neighbours, op7_substring, op8_simhash, op9_language, op10_sharding)
     return {f.__name__: f for f in named}
 
 
