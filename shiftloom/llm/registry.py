@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, mixing, neighbours, scoring, sharding, simhash, substring
+from . import chat, decontamination, language, mixing, neighbours, scoring, sharding, simhash, substring, surrogates
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scoring_query(read_table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogates_query(read_table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours_query(read_table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontamination, op2_chat, op3_mixing, op4_scoring, op6_neighbours, op7_substring, op8_simhash, op9_language, op10_sharding)
+    named = (op1_decontamination, op2_chat, op3_mixing, op4_scoring, op5_surrogates, op6_neighbours, op7_substring, op8_simhash, op9_language, op10_sharding)
     return {f.__name__: f for f in named}
 
 
