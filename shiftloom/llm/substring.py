@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def sketch_parts(batches: Iterator[pa.RecordBatch], cells: int, width: int, run:
             held[r] = []
 
     for batch in batches:
-        for part in slices(batch, 0):
+        for part in slices(batch, 0, 2_000_000):
             words, lengths = split_words(part.column(0))
             distinct, number = numbered(words)
             if len(number) < width:
@@ -132,7 +133,7 @@ def sketch_parts(batches: Iterator[pa.RecordBatch], cells: int, width: int, run:
             for r, c in enumerate(cells_of(found, cells)):
                 held[r].append(c)
             pending += len(found)
-            if pending > 4_000_000:
+            if pending > 1_000_000:
                 fold()
                 pending = 0
     fold()
@@ -180,63 +181,126 @@ def repeated(minimizers: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray
     return yes
 
 
+def candidates(texts: pa.Array, bits: np.ndarray, cells: int, width: int, run: int):
+    """(words of each text, start of each window estimated repeated, its two hashes); starts count
+    words from the first text on."""
+    words, lengths = split_words(texts)
+    distinct, number = numbered(words)
+    if len(number) < width:
+        none = np.empty(0, np.uint64)
+        return lengths, np.empty(0, np.int64), none, none
+    hashes = hash_words(distinct)
+    first, second = hashes[number, 0], hashes[number, 1]
+    found = windows_of(first, lengths, width, run)
+    start = found.start[repeated(found.least, bits, cells)]
+    return lengths, start, runs(first, 0, width)[start], runs(second, 1, width)[start] >> np.uint64(32)
+
+
+def more_than_once(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether the pair of hashes occurs again."""
+    order = np.lexsort((h2, h1))
+    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    out = np.zeros(len(h1), bool)
+    out[order] = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h1) else False
+    return out
+
+
 def find_candidates(batches: Iterator[pa.RecordBatch], sent, cells: int, width: int, run: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    """Each document with the places and hashes of its windows estimated repeated; a document without
-    such windows is finished here, and its text isn't kept."""
+    """Each document with the number of its windows estimated repeated and the starts of those that
+    repeat among the texts at hand; a document without any is finished, and its text isn't kept."""
     bits = sent.value
     for batch in batches:
-        for part in slices(batch, 1):
-            words, lengths = split_words(part.column(1))
-            distinct, number = numbered(words)
-            hashes = hash_words(distinct)[number] if len(number) else np.empty((0, 2), np.uint64)
-            first, second = np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1])
-            found = windows_of(first, lengths, width, run)
-            start = found.start[repeated(found.least, bits, cells)]
+        for part in slices(batch, 1, 2_000_000):
+            lengths, start, h1, h2 = candidates(part.column(1), bits, cells, width, run)
             edges = np.concatenate(([0], np.cumsum(lengths)))
-            cuts = np.searchsorted(start, edges)
-            some = np.diff(cuts) > 0
-            h1 = runs(first, 0, width)[start] if len(start) else np.empty(0, np.uint64)
-            h2 = runs(second, 1, width)[start] if len(start) else np.empty(0, np.uint64)
-            place = start - np.repeat(edges[:-1], np.diff(cuts))
-            offsets = pa.array(cuts.astype(np.int32))
-            texts = part.column(1).to_pylist()
-            whole = [None if s else b" ".join((t or "").encode().split()) for t, s in zip(texts, some.tolist())]
+            n = np.diff(np.searchsorted(start, edges))
+            sure = start[more_than_once(h1, h2)]
+            cuts = np.searchsorted(sure, edges)
+            place = sure - np.repeat(edges[:-1], np.diff(cuts))
+            texts, some = part.column(1).to_pylist(), (n > 0).tolist()
+            whole = [None if s else b" ".join((t or "").encode().split()) for t, s in zip(texts, some)]
             whole = [w if w is None else hashlib.sha256(w).hexdigest() if digest else w.decode() for w in whole]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(lengths), pa.array(whole, pa.string()),
-                    pa.array([t if s else None for t, s in zip(texts, some.tolist())], pa.string()),
-                    pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array(h1.view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(h2.view(np.int64))),
+                    part.column(0), pa.array(lengths), pa.array(whole, pa.string()), pa.array([t if s else None for t, s in zip(texts, some)], pa.string()),
+                    pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(place.astype(np.int32))),
                 ],
-                names=["doc_id", "n_words", "kept", "text", "place", "h1", "h2"],
+                names=["doc_id", "n_words", "kept", "text", "windows", "sure"],
             )
 
 
-def cut_windows(batches: Iterator[pa.RecordBatch], width: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, starts of repeated windows -> doc_id, n_words, n_removed, kept text (or its hash)."""
+def send_windows(batches: Iterator[pa.RecordBatch], sent, cells: int, width: int, run: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The candidate windows by bucket of their hash, packed. Of windows known to repeat one is sent
+    for each hash, without its place (row -1), so a very common window costs a task one entry."""
+    bits = sent.value
+    for batch in batches:
+        for part in slices(batch, 1, 2_000_000):
+            lengths, start, h1, h2 = candidates(part.column(1), bits, cells, width, run)
+            edges = np.concatenate(([0], np.cumsum(lengths)))
+            owner = np.searchsorted(edges, start, "right") - 1
+            place = start - edges[owner]
+            lists = part.column(2)
+            known = lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(edges[:-1], pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            sure = np.isin(start, known, assume_unique=True)
+            row = np.where(sure, -1, part.column(0).to_numpy(zero_copy_only=False)[owner])
+            once = np.flatnonzero(sure)
+            once = once[np.unique(np.stack((h1[once], h2[once])), axis=1, return_index=True)[1]] if len(once) else once
+            keep = np.concatenate((np.flatnonzero(~sure), once))
+            bucket = (h1[keep] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keep, bucket = keep[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keep) else []
+            ends = [*cuts[1:], len(keep)]
+            packs = [[x[keep[a:b]].astype(t).tobytes() for a, b in zip(cuts, ends)] for x, t in ((h1, "<u8"), (h2, "<u4"), (row, "<i8"), (place, "<i4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()) if len(keep) else pa.array([], pa.int64()), *[pa.array(x, pa.binary()) for x in packs]], names=["bucket", "h1", "h2", "row", "place"])
+
+
+def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups the windows of this task's buckets exactly; for each document the starts of those that
+    repeat. Holds about 24 bytes for a window, and the number of tasks grows with the windows."""
+    held: list[list[bytes]] = [[], [], [], []]
+    for batch in batches:
+        for have, column in zip(held, batch.columns[1:]):
+            have += column.to_pylist()
+    h1, h2, row, place = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u8", "<u4", "<i8", "<i4")))
+    order = np.lexsort((h2, h1))
+    h1, h2, row, place = h1[order], h2[order], row[order], place[order]
+    opens = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(h1) else np.zeros(0, bool)
+    group = np.cumsum(opens) - 1
+    weight = np.bincount(group, np.where(row < 0, 2, 1)) if len(h1) else np.empty(0)
+    yes = np.flatnonzero((row >= 0) & (weight[group] > 1)) if len(h1) else np.empty(0, np.int64)
+    yes = yes[np.argsort(row[yes], kind="stable")]
+    row, place = row[yes], place[yes]
+    cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, np.int64)
+    for a in range(0, len(cuts) - 1, 10_000):
+        part = cuts[a : a + 10_001]
+        yield pa.RecordBatch.from_arrays([pa.array(row[part[:-1]]), pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(place[part[0] : part[-1]]))], names=["row", "starts"])
+
+
+def cut_windows(batches: Iterator[pa.RecordBatch], width: int, digest: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, starts of repeated windows (two arrays of them) -> doc_id, n_words, n_removed,
+    and the kept text or its hash."""
     for batch in batches:
         out = []
-        for doc_id, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, text, sure, starts in zip(*(c.to_pylist() for c in batch.columns)):
             words = text.encode().split()
             edge = np.zeros(len(words) + 1, np.int64)
-            starts = np.asarray(starts or [], np.int64)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + width, -1)
+            for line in [sure, *(starts or [])]:
+                at = np.asarray(line, np.int64)
+                edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + width, minlength=len(edge))
             keep = np.cumsum(edge[:-1]) == 0
             kept = b" ".join([w for w, k in zip(words, keep.tolist()) if k])
-            out.append((doc_id, len(words), len(words) - int(keep.sum()), kept.decode() if with_text else hashlib.sha256(kept).hexdigest()))
+            out.append((doc_id, len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
         a, b, c, d = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool = True, windows_a_task: int = 1_000_000) -> DataFrame:
     """Per document doc_id, n_words, n_removed and kept_sha256 (or, without ``digest``, kept_text).
 
     A window is ``width`` consecutive words (runs of other than ASCII white space) of one document;
     words covered by a window that starts anywhere else too are removed, judged on the input. Windows
-    are told apart by two 64-bit hashes of their words.
+    are told apart by 96 bits of two hashes of their words.
 
     Null and empty texts and texts shorter than a window keep all their words; repeated rows are
     copies of each other; doc_id may be null or repeat; an empty table gives no row; other columns
@@ -251,19 +315,19 @@ def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool
         cells *= 2
     sent = spark.sparkContext.broadcast(merged_sketch(docs.select("text").where("text IS NOT NULL"), cells, width, run))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = docs.mapInArrow(
-        lambda bs: find_candidates(bs, sent, cells, width, run, digest),
-        f"doc_id {kind}, n_words long, kept string, text string, place array<int>, h1 array<long>, h2 array<long>",
-    )
+    first = docs.mapInArrow(lambda bs: find_candidates(bs, sent, cells, width, run, digest), f"doc_id {kind}, n_words long, kept string, text string, windows long, sure array<int>")
     found = stored(first.withColumn("row", F.monotonically_increasing_id()))
-    windows = found.where("text IS NOT NULL").select("row", F.inline(F.arrays_zip("place", "h1", "h2")))
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    starts = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("starts"))
-    mixed_docs = found.where("text IS NOT NULL").select("row", "doc_id", "text").join(starts, "row", "left").select("doc_id", "text", "starts")
-    cut = mixed_docs.mapInArrow(lambda bs: cut_windows(bs, width, not digest), f"doc_id {kind}, n_words long, n_removed long, kept string")
-    name = "kept_sha256" if digest else "kept_text"
+    some = found.where("text IS NOT NULL")
+    windows = some.agg(F.sum("windows")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // windows_a_task))
+    buckets = 4 * tasks
+    packed = some.select("row", "text", "sure").mapInArrow(lambda bs: send_windows(bs, sent, cells, width, run, buckets), "bucket long, h1 binary, h2 binary, row binary, place binary")
+    settled = packed.repartition(tasks, "bucket").mapInArrow(settle_windows, "row long, starts array<int>")
+    starts = settled.groupBy("row").agg(F.collect_list("starts").alias("starts"))
+    left = some.select("row", "doc_id", "text", "sure").join(starts, "row", "left").select("doc_id", "text", "sure", "starts")
+    cut = left.mapInArrow(lambda bs: cut_windows(bs, width, digest), f"doc_id {kind}, n_words long, n_removed long, kept string")
     plain = found.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    return cut.unionByName(plain).withColumnRenamed("kept", name)
+    return cut.unionByName(plain).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
 
 
 def substring_query(docs: DataFrame) -> DataFrame:
