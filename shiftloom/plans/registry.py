@@ -1,15 +1,157 @@
-"""Queries over the given tables and their SQL."""
+"""Queries over the given tables and their SQL.
+
+Doubles are rounded to six decimals on both sides; labels are made from unrounded values. Dates are
+compared as text and times as microseconds, so that both engines print them alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import dynamics, labels, quality, ranges, report, shifts, textgen
+from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
+from ..sources import tables
+from .features import shift_features, shift_features_composed
+from . import oracle
+
+COLS = Columns(tag="tag", ts="ts", value="value", tiebreak="event_id")
+KEYS = ("tag", "fecha", "turno")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, gaps: bool = False, tag: str = "event_type") -> DataFrame:
+    """Events as a long table; with ``gaps`` every seventh value is null."""
+    e = table(spark, sf_dir, "events")
+    value = F.when(F.col("event_id") % 7 != 0, F.col("value")) if gaps else F.col("value")
+    return tables.long_table(e.select(F.col(tag).alias("tag"), "ts", value.alias("value"), "event_id"), "tag", "ts", "value", COLS, "event_id")
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Comparable columns: rounded doubles, dates as text, times as microseconds."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind == "double":
+            c = F.round(c, 6)
+        elif kind == "date":
+            c = c.cast("string")
+        elif kind.startswith("timestamp"):
+            c = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shift_features(events(spark, sf_dir, gaps=True), COLS)
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_long(events(spark, sf_dir, gaps=True), COLS)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("tag"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("event_id"))
+
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.long_table(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_shipdate", "l_extendedprice", Columns("tag", "ts", "value"))
+
+
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events pivoted into a wide text file (a column per hour), read back as a long table."""
+    hour = F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    cells = events(spark, sf_dir).groupBy("tag", hour.alias("h")).agg(F.round(F.avg("value"), 4).alias("v"))
+    names = F.sort_array(F.collect_set("h"))
+    head = cells.agg(names.alias("hours"))
+    rows = cells.groupBy("tag").agg(F.map_from_entries(F.collect_list(F.struct("h", F.col("v").cast("string")))).alias("m"))
+    body = rows.join(F.broadcast(head)).select(F.lit(1).alias("k"), F.concat_ws(",", "tag", F.array_join(F.transform("hours", lambda h: F.coalesce(F.try_element_at("m", h), F.lit(""))), ",", "")).alias("value"))
+    text = head.select(F.lit(0).alias("k"), F.concat_ws(",", F.lit("Tag de PI"), F.array_join("hours", ",")).alias("value")).unionByName(body)
+    path = f"{tables.scratch(spark)}/wide"
+    text.coalesce(1).sortWithinPartitions("k", "value").select("value").write.text(path)
+    return tidy(tables.read_wide_text(spark, path).withColumnRenamed("Tag de PI", "tag"))
+
+
+def features_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table written by date, read back."""
+    path = f"{tables.scratch(spark)}/features"
+    tables.write_features(features(spark, sf_dir), path)
+    return tidy(tables.read_features(spark, path)).select(*KEYS, *STAT_COLS, *LABEL_COLS)
+
+
+def stub_model() -> Callable[..., list[str]]:
+    """A model that echoes its prompt and counts its characters, for checks."""
+    return lambda prompts, **options: [f"{p}\n {len(p)} " for p in prompts]
+
+
+def prompt_query(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = features(spark, sf_dir)
+        # Percentages and raw figures on fixed decimals: engines round and print halves differently.
+        f = f.withColumns({c: F.floor(F.col(c) * 4 + 1e-9) / 4 for c in ("pct_en_rango", "pct_bajo", "pct_alto")})
+        f = f.withColumns({c: (F.round(F.col(c), 3) * 1000).cast("long").cast("double") for c in ("cv_turno", "osc_sign_changes_norm_turno", "mean_turno")})
+        made = {
+            "report": lambda: textgen.report_prompt(f.select("fecha", "turno", "tag")), "range": lambda: textgen.range_prompt(COLS), "trend": lambda: textgen.trend_prompt(COLS),
+            "oscillation": lambda: textgen.oscillation_prompt(COLS), "stability": lambda: textgen.stability_prompt(f.select("fecha", "turno"), COLS), "summary": lambda: textgen.summary_prompt(COLS),
+        }[kind]()
+        return tidy(f.select(*KEYS, made.alias("prompt")))
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+        "shift_features": lambda s, d: features(s, d),
+        "shift_features_composed": lambda s, d: shift_features_composed(clean(s, d), COLS).select(*KEYS, *STAT_COLS, "mean_mes", "gap_mean", "gap_pct", *RANGE_COLS, *DYNAMIC_COLS, *LABEL_COLS),
+        "shift_stats": lambda s, d: shifts.shift_stats(events(s, d), COLS),
+        "shift_gap": lambda s, d: shifts.shift_gaps(events(s, d), COLS),
+        "shift_gap_month": lambda s, d: shifts.shift_gaps(events(s, d), COLS, "calendar_month"),
+        "shift_stats_by_user": lambda s, d: shifts.shift_stats(events(s, d, tag="user_id"), COLS),
+        "shift_labels": lambda s, d: shifts.add_shift(events(s, d), COLS).groupBy("turno", "fecha").agg(F.count("*").alias("n")),
+        "baseline": lambda s, d: shifts.baseline(events(s, d), COLS),
+        "null_summary": lambda s, d: quality.null_summary(events(s, d, True), COLS),
+        "null_by_tag": lambda s, d: quality.null_share(events(s, d, True), "tag", COLS),
+        "null_by_time": lambda s, d: quality.null_share(events(s, d, True), "ts", COLS),
+        "tag_variability": lambda s, d: quality.tag_variability(events(s, d, tag="user_id"), COLS),
+        "least_variable_tags": lambda s, d: quality.extreme_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), COLS),
+        "most_variable_tags": lambda s, d: quality.extreme_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), COLS, highest=True),
+        "frozen_tags": lambda s, d: quality.frozen_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), 12.0),
+        "iqr_bounds": lambda s, d: quality.iqr_bounds(lineitem(s, d), Columns("tag", "ts", "value")),
+        "iqr_outliers": lambda s, d: quality.flag_outliers(events(s, d, True), quality.iqr_bounds(events(s, d, True), COLS), COLS).where("is_outlier_iqr"),
+        "iqr_summary": lambda s, d: quality.outlier_summary(quality.flag_outliers(events(s, d, True), quality.iqr_bounds(events(s, d, True), COLS), COLS)),
+        "iqr_sample": lambda s, d: quality.outlier_sample(quality.flag_outliers(events(s, d, True), quality.iqr_bounds(events(s, d, True), COLS), COLS), COLS),
+        "interpolate_gaps": lambda s, d: quality.interpolate_gaps(events(s, d, True), COLS),
+        "remaining_nulls": lambda s, d: quality.remaining_nulls(quality.interpolate_gaps(events(s, d, True), COLS)),
+        "clean_long": lambda s, d: clean(s, d),
+        "tag_limits": lambda s, d: ranges.tag_limits(events(s, d), COLS),
+        "sampling_interval": lambda s, d: ranges.sampling_interval(events(s, d), COLS),
+        "range_shares": lambda s, d: ranges.range_shares(events(s, d), ranges.tag_limits(events(s, d), COLS), COLS),
+        "attach_ranges": lambda s, d: ranges.attach(shifts.shift_stats(events(s, d), COLS), ranges.range_shares(events(s, d), ranges.tag_limits(events(s, d), COLS), COLS), COLS),
+        "shift_dynamics": lambda s, d: dynamics.shift_dynamics(events(s, d), COLS),
+        "attach_dynamics": lambda s, d: ranges.attach(shifts.shift_stats(events(s, d), COLS), dynamics.shift_dynamics(events(s, d), COLS), COLS, "_din"),
+        "daily_dynamics_ties": lambda s, d: dynamics.shift_dynamics(orders(s, d), COLS),
+        "classify_ranges": lambda s, d: labels.label_ranges(features(s, d)).select(*KEYS, "estado_global_rango", "desviacion_predominante", "prioridad_atencion"),
+        "classify_dynamics": lambda s, d: labels.label_dynamics(features(s, d)).select(*KEYS, "osc_turno_cat", "tendencia_turno_cat", "estabilidad_turno_cat"),
+        "filter_shift": lambda s, d: report.filter_shift(features(s, d), "2024-01-10", "T2_08_16", ["click", "view", "error"], "tag").select(*KEYS, *STAT_COLS),
+        "label_preview": lambda s, d: report.label_preview(features(s, d), COLS),
+        "report_kpis": lambda s, d: report.headline(features(s, d)),
+        "report_period": lambda s, d: report.period_covered(events(s, d), COLS),
+        "report_ok": lambda s, d: report.well_behaved(features(s, d), COLS),
+        "report_deviations": lambda s, d: report.deviating(features(s, d), COLS),
+        "watch_list": lambda s, d: report.watch_list(features(s, d), COLS),
+        "tag_inventory": lambda s, d: report.inventory(events(s, d, True), COLS),
+        "shift_reports": lambda s, d: textgen.shift_reports(features(s, d), stub_model, "2024-01-10", None, None, COLS),
+    }
+    plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
+    plain |= {"wide_to_long": wide_to_long, "features_roundtrip": features_roundtrip}
+    return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
