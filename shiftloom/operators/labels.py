@@ -32,7 +32,7 @@ def attention_priority(state: Column, gap_pct: Column, medium: float = 5.0, high
     gap = F.abs(gap_pct)
     far, some = F.coalesce(gap >= F.lit(high), F.lit(False)), F.coalesce(gap >= F.lit(medium), F.lit(False))
     level = F.when(state == "OK", 1).when(state == "Leve desviación", 2).when(state == "Desviación moderada", 3).when(state == "Crítica", 4)
-    raised = F.when(far, F.least(level + 1, F.lit(4))).when(some & (level <= 2), level + 1).otherwise(level)
+    raised = F.when(far & level.isNotNull(), F.least(level + 1, F.lit(4))).when(some & (level <= 2), level + 1).otherwise(level)
     names = F.array(*[F.lit(x) for x in ("Baja", "Media", "Alta", "Crítica")])
     return F.coalesce(F.get(names, raised - 1), F.lit("Desconocida"))
 

@@ -173,7 +173,7 @@ SQL = {
     "tag_variability": select([BY_USER], "SELECT tag, round(stddev_samp(value), 6) AS std FROM raw GROUP BY tag"),
     "least_variable_tags": select([BY_USER], "SELECT tag, round(s, 6) AS std FROM (SELECT tag, stddev_samp(value) AS s FROM raw GROUP BY tag ORDER BY s ASC NULLS LAST, tag LIMIT 10)"),
     "most_variable_tags": select([BY_USER], "SELECT tag, round(s, 6) AS std FROM (SELECT tag, stddev_samp(value) AS s FROM raw GROUP BY tag ORDER BY s DESC NULLS LAST, tag LIMIT 10)"),
-    "frozen_tags": select([BY_USER], "SELECT tag, round(s, 6) AS std FROM (SELECT tag, stddev_samp(value) AS s FROM raw GROUP BY tag) WHERE s < 12.0::DOUBLE"),
+    "frozen_tags": select([BY_USER], "SELECT tag, round(s, 6) AS std FROM (SELECT tag, stddev_samp(value) AS s FROM raw GROUP BY tag) WHERE s < 35.0::DOUBLE"),
     "iqr_bounds": select(["raw AS (SELECT l_returnflag AS tag, l_extendedprice AS value FROM lineitem)", BOUNDS], "SELECT t AS tag, round(q1, 6) AS q1, round(q3, 6) AS q3, round(low, 6) AS low, round(high, 6) AS high FROM bounds"),
     "iqr_outliers": select([GAPPY, BOUNDS], f"SELECT tag, {TS}, round(value, 6) AS value, event_id, is_outlier_iqr FROM flagged WHERE is_outlier_iqr"),
     "iqr_summary": select([GAPPY, BOUNDS], "SELECT count(*) AS n_rows, count(*) FILTER (WHERE is_outlier_iqr) AS n_outliers, round(avg(CASE WHEN is_outlier_iqr THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_outliers FROM flagged"),

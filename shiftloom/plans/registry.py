@@ -121,7 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_variability": lambda s, d: quality.tag_variability(events(s, d, tag="user_id"), COLS),
         "least_variable_tags": lambda s, d: quality.extreme_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), COLS),
         "most_variable_tags": lambda s, d: quality.extreme_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), COLS, highest=True),
-        "frozen_tags": lambda s, d: quality.frozen_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), 12.0),
+        "frozen_tags": lambda s, d: quality.frozen_tags(quality.tag_variability(events(s, d, tag="user_id"), COLS), 35.0),
         "iqr_bounds": lambda s, d: quality.iqr_bounds(lineitem(s, d), Columns("tag", "ts", "value")),
         "iqr_outliers": lambda s, d: quality.flag_outliers(events(s, d, True), quality.iqr_bounds(events(s, d, True), COLS), COLS).where("is_outlier_iqr"),
         "iqr_summary": lambda s, d: quality.outlier_summary(quality.flag_outliers(events(s, d, True), quality.iqr_bounds(events(s, d, True), COLS), COLS)),
