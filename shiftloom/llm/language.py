@@ -145,6 +145,7 @@ class Parser:
             np.bitwise_and(step, 3, out=index)
             np.add(count, index, out=count)
             np.right_shift(step, 2, out=state)
+        count -= state == self.starts[:, None]  # a lone letter at the end leaves no phrase open
         owner = np.repeat(np.arange(len(texts)), pieces)
         out = np.stack([np.bincount(owner, c, len(texts)) for c in count], 1)
         return out * np.array(self.bits) / np.maximum(lengths, 1)[:, None]
