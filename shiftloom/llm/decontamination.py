@@ -69,7 +69,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ..
     around = (
         docs.select(F.col("doc_id").alias("d"), text_hash.alias("h"), "text")
         .join(bounded(found), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-        .join(bounded(items).select(F.col("item_id").alias("i"), "item"), F.col("item_id").eqNullSafe(F.col("i")))
+        .join(bounded(items, 20_000).select(F.col("item_id").alias("i"), "item"), F.col("item_id").eqNullSafe(F.col("i")))
         .select("doc_id", "text_hash", "item_id", "shift", "item", tokens(F.col("text")).alias("words"))
     )
     skip = F.greatest(-F.col("shift"), F.lit(0))

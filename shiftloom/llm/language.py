@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import fresh
 from .mixing import uniform
 
 #: The fit's bounds: pieces of labelled documents per language, code points of a piece, languages.
@@ -220,5 +221,6 @@ def language_query(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, unsure: float = 0.0) -> DataFrame:
     """``docs`` without the texts of no language: ``und``, or a score under ``unsure``. Short texts
     often fit two languages, so by default no score is too low."""
+    name, score = fresh(docs, "lang_pred_", "score_")
     samples = labelled_sample(docs, ~held_out(F.col("doc_id")))
-    return identify(docs, samples, "lang_pred_", "score_").where((F.col("lang_pred_") != "und") & (F.col("score_") >= unsure)).select(*docs.columns)
+    return identify(docs, samples, name, score).where((F.col(name) != "und") & (F.col(score) >= unsure)).select(*docs.columns)

@@ -109,7 +109,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: fl
     Columns named like the four added ones are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    u, s = fresh(docs, "u_", "s_")
+    u, s, whole, share, reach = fresh(docs, "u_", "s_", "whole_", "share_", "cuts_")
     sized = docs.withColumn("size", word_count(F.col("text"))).withColumn(u, uniform(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))))
     slim = stored(sized.select("source", "size", F.col(u).alias("u")))
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -118,14 +118,14 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: fl
     plan = stored(plan.withColumn("sampled", F.col("target") - F.col("whole") * F.col("source_size")))
     placed = slim.join(plan.select(F.col("source").alias("z"), "share"), F.col("source").eqNullSafe(F.col("z"))).withColumn("place", pareto_place(F.col("u"), F.col("share"))).where("place IS NOT NULL AND size > 0").select("source", "size", "place")
     cuts = mix_cuts(placed, plan, buckets, rounds)
-    own = cuts.select(F.col("source").alias(s), "source_size", "target", F.col("whole").alias("whole_"), F.col("share").alias("share_"), F.col("cuts").alias("cuts_"))
+    own = cuts.select(F.col("source").alias(s), "source_size", "target", F.col("whole").alias(whole), F.col("share").alias(share), F.col("cuts").alias(reach))
     # In a round: within its reach, short enough for its gap, and not within an earlier round's reach.
-    place = pareto_place(F.col(u), F.col("share_"))
+    place = pareto_place(F.col(u), F.col(share))
     hit = F.aggregate(
-        F.col("cuts_"), F.struct(F.lit(False).alias("got"), F.lit(-1.0).alias("from")),
+        F.col(reach), F.struct(F.lit(False).alias("got"), F.lit(-1.0).alias("from")),
         lambda a, c: F.struct((a["got"] | ((place > a["from"]) & (place <= c["reach"]) & (F.col("size") <= c["gap"]))).alias("got"), c["reach"].alias("from")),
     )["got"]
-    out = sized.join(own, F.col("source").eqNullSafe(F.col(s))).withColumn("taken", F.col("size") * (F.col("whole_") + F.coalesce(hit, F.lit(False)).cast("long")))
+    out = sized.join(own, F.col("source").eqNullSafe(F.col(s))).withColumn("taken", F.col("size") * (F.col(whole) + F.coalesce(hit, F.lit(False)).cast("long")))
     return out.select(*docs.columns, "size", "source_size", "target", "taken")
 
 

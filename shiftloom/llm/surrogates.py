@@ -204,7 +204,7 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
     columns are kept, but a column named like ``count_col`` is replaced.
     """
     docs = docs.drop(count_col)
-    row, found, at, part = fresh(docs, "row_", "found_", "at_", "part_")
+    row, found, at, part, news = fresh(docs, "row_", "found_", "at_", "part_", "news_")
     seen = docs.withColumn(found, F.regexp_extract_all(F.col(text_col), F.lit(whole_pattern()), F.lit(0)))
     has = F.coalesce(F.size(found) > 0, F.lit(False))
     some = stored(seen.where(has).withColumn(row, F.monotonically_increasing_id()))
@@ -214,9 +214,9 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
     moved = stored(attempts(entities, key))
     told = parts.join(bounded(moved), ["kind", "norm"], "left")
     new = dressed(F.col("kind"), F.col("raw"), surrogate(F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0)), key))
-    by_row = told.select(row, F.struct(F.col(at), F.col(part), new.alias("new")).alias("n")).groupBy(row).agg(F.sort_array(F.collect_list("n")).alias("news"))
+    by_row = told.select(row, F.struct(F.col(at), F.col(part), new.alias("new")).alias("n")).groupBy(row).agg(F.sort_array(F.collect_list("n")).alias(news))
     # Names of a person stand together again, a space between.
-    joined = F.transform(found, lambda m, i: F.array_join(F.transform(F.filter("news", lambda n: n[at] == i), lambda n: n["new"]), " "))
+    joined = F.transform(found, lambda m, i: F.array_join(F.transform(F.filter(news, lambda n: n[at] == i), lambda n: n["new"]), " "))
     between = F.split(F.col(text_col), whole_pattern(), -1)
     text = F.array_join(F.zip_with(between, F.concat(joined, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     replaced = some.join(by_row, row).withColumn(count_col, F.size(found)).withColumn(text_col, text).select(*docs.columns, count_col)
