@@ -41,13 +41,15 @@ def read_wide_text(spark: SparkSession, path: str, cols: Columns = Columns(), de
     if cols.tag not in names:
         raise ValueError(f"no column {cols.tag!r} in the header of {path}")
     at = names.index(cols.tag)
-    times = spark.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("place", "name")).where(F.col("place") != at)
+    listed = lambda texts: F.split(F.lit("\x00".join(texts)), "\x00", -1)  # noqa: E731  one literal, however many columns
+    times = spark.range(1).select(F.posexplode(listed(names)).alias("place", "name")).where(F.col("place") != at)
     times = times.select("place", "name", F.col("name").try_cast("timestamp_ntz").alias(cols.ts))
     known = times.collect()  # one row per header field
     bad = [r["name"] for r in known if r[cols.ts] is None]
     if strict and bad:
         raise ValueError(f"headers that name no time: {bad[:5]}")
-    stamps = F.lit([None if r is None else r[cols.ts].isoformat(sep=" ") for r in [next((k for k in known if k["place"] == i and k[cols.ts]), None) for i in range(len(names))]])
+    by_place = {r["place"]: r[cols.ts].isoformat(sep=" ") for r in known if r[cols.ts]}
+    stamps = listed([by_place.get(i, "") for i in range(len(names))])
     quoted = "\\" + delimiter if delimiter in "|.*+?()[]{}^$\\" else delimiter
     fields = F.split("value", rf'{quoted}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1) if at == 0 else F.split("value", quoted, -1)
     # The look-ahead is needed for a quoted tag only; plain lines take the cheap split.
@@ -55,7 +57,7 @@ def read_wide_text(spark: SparkSession, path: str, cols: Columns = Columns(), de
     rows = lines.where(F.col("value") != F.lit(head[0][0])).select(parts.alias("fields"))
     unquote = lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')
     tagged = rows.select(unquote(F.get("fields", F.lit(at))).alias(cols.tag), F.posexplode(F.transform(stamps, lambda s, i: F.struct(s.alias("t"), F.get("fields", i).alias("v")))).alias("place", "cell"))
-    cells = tagged.where(F.col("cell.t").isNotNull())
+    cells = tagged.where(F.col("cell.t") != "")
     return cells.select(cols.tag, F.col("cell.t").cast("timestamp_ntz").alias(cols.ts), no_nan(F.nullif(unquote(F.trim("cell.v")), F.lit("")).cast("double")).alias(cols.value))
 
 
