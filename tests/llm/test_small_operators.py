@@ -170,6 +170,14 @@ def test_surrogates_stay_distinct(spark):
     assert not {t for t, _ in out} & set(texts)
 
 
+def test_phones_but_no_dates(spark):
+    plain = ["on 2024-10-01 and 01.10.2024", "sum 12 345 678 or 1 3 4.0", "v1.2 10:20:30"]
+    numbers = ["+49 30 1234567", "+442071838750", "555-123-4567", "(030) 123 4567", "123-45-6789"]
+    assert replaced(spark, *plain) == [(t, 0) for t in plain]
+    for t, (new, n) in zip(numbers, replaced(spark, *numbers)):
+        assert n == 1 and new != t and [c.isdigit() for c in new] == [c.isdigit() for c in t]
+
+
 def test_surrogates_edges(spark):
     assert replaced(spark, None, "") == [(None, 0), ("", 0)]
     df = spark.createDataFrame([(1, "a@b.com", "row"), (1, "a@b.com", "row")], "doc_id long, text string, row_ string")
