@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored
 from .simhash import mixed
@@ -255,44 +256,48 @@ def send_windows(batches: Iterator[pa.RecordBatch], sent, cells: int, width: int
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()) if len(keep) else pa.array([], pa.int64()), *[pa.array(x, pa.binary()) for x in packs]], names=["bucket", "h1", "h2", "row", "place"])
 
 
-def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups the windows of this task's buckets exactly; for each document the starts of those that
-    repeat. Holds about 24 bytes for a window, and the number of tasks grows with the windows."""
+def settle_windows(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Groups the windows of this task's buckets exactly; the places of those that repeat, packed by
+    block of documents. Holds about 24 bytes for a window; the tasks grow in number with the windows."""
     held: list[list[bytes]] = [[], [], [], []]
     for batch in batches:
         for have, column in zip(held, batch.columns[1:]):
             have += column.to_pylist()
     h1, h2, row, place = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u8", "<u4", "<i8", "<i4")))
+    if not len(h1):
+        return
     order = np.lexsort((h2, h1))
     h1, h2, row, place = h1[order], h2[order], row[order], place[order]
-    opens = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(h1) else np.zeros(0, bool)
-    group = np.cumsum(opens) - 1
-    weight = np.bincount(group, np.where(row < 0, 2, 1)) if len(h1) else np.empty(0)
-    yes = np.flatnonzero((row >= 0) & (weight[group] > 1)) if len(h1) else np.empty(0, np.int64)
-    yes = yes[np.argsort(row[yes], kind="stable")]
+    group = np.cumsum(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))) - 1
+    weight = np.bincount(group, np.where(row < 0, 2, 1))
+    yes = np.flatnonzero((row >= 0) & (weight[group] > 1))
     row, place = row[yes], place[yes]
-    cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else np.zeros(1, np.int64)
-    for a in range(0, len(cuts) - 1, 10_000):
-        part = cuts[a : a + 10_001]
-        yield pa.RecordBatch.from_arrays([pa.array(row[part[:-1]]), pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(place[part[0] : part[-1]]))], names=["row", "starts"])
-
-
-def cut_windows(batches: Iterator[pa.RecordBatch], width: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, starts of repeated windows (two arrays of them) -> doc_id, n_words, n_removed,
-    and the kept text or its hash."""
-    for batch in batches:
-        out = []
-        for doc_id, text, sure, starts in zip(*(c.to_pylist() for c in batch.columns)):
-            words = text.encode().split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            for line in [sure, *(starts or [])]:
-                at = np.asarray(line, np.int64)
-                edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + width, minlength=len(edge))
-            keep = np.cumsum(edge[:-1]) == 0
-            kept = b" ".join([w for w, k in zip(words, keep.tolist()) if k])
-            out.append((doc_id, len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
-        a, b, c, d = zip(*out) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+    block = row % blocks
+    order = np.argsort(block, kind="stable")
+    row, place, block = row[order], place[order], block[order]
+    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(row) else np.zeros(1, np.int64)
+    packs = [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (row, place)]
+    yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), *[pa.array(x, pa.binary()) for x in packs]], names=["block", "rows", "places"])
+
+
+def cut_block(docs: pa.Table, answers: pa.Table, width: int, digest: bool, kind: pa.DataType) -> pa.Table:
+    """A block of documents (row, doc_id, text, sure) and the places of their repeated windows ->
+    doc_id, n_words, n_removed, and the kept text or its hash."""
+    row = np.frombuffer(b"".join(answers["rows"].to_pylist()), "<i8")
+    place = np.frombuffer(b"".join(answers["places"].to_pylist()), "<i4")
+    order = np.argsort(row, kind="stable")
+    row, place = row[order], place[order]
+    out = []
+    for number, doc_id, text, sure in zip(*(docs[c].to_pylist() for c in ("row", "doc_id", "text", "sure"))):
+        words = text.encode().split()
+        a, b = np.searchsorted(row, (number, number + 1))
+        starts = np.concatenate((np.asarray(sure, np.int64), place[a:b]))
+        edge = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + width, minlength=len(words) + 1)
+        keep = np.cumsum(edge[:-1]) == 0
+        kept = b" ".join([w for w, k in zip(words, keep.tolist()) if k])
+        out.append((doc_id, len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+    a, b, c, d = zip(*out) if out else ((), (), (), ())
+    return pa.table([pa.array(a, kind), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool = True, windows_a_task: int = 1_000_000) -> DataFrame:
@@ -322,10 +327,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // windows_a_task))
     buckets = 4 * tasks
     packed = some.select("row", "text", "sure").mapInArrow(lambda bs: send_windows(bs, sent, cells, width, run, buckets), "bucket long, h1 binary, h2 binary, row binary, place binary")
-    settled = packed.repartition(tasks, "bucket").mapInArrow(settle_windows, "row long, starts array<int>")
-    starts = settled.groupBy("row").agg(F.collect_list("starts").alias("starts"))
-    left = some.select("row", "doc_id", "text", "sure").join(starts, "row", "left").select("doc_id", "text", "sure", "starts")
-    cut = left.mapInArrow(lambda bs: cut_windows(bs, width, digest), f"doc_id {kind}, n_words long, n_removed long, kept string")
+    answers = packed.repartition(tasks, "bucket").mapInArrow(lambda bs: settle_windows(bs, buckets), "block long, rows binary, places binary")
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
+    left = some.select(F.pmod("row", F.lit(buckets)).alias("block"), "row", "doc_id", "text", "sure").groupBy("block").cogroup(answers.groupBy("block"))
+    cut = left.applyInArrow(lambda d, a: cut_block(d, a, width, digest, arrow), f"doc_id {kind}, n_words long, n_removed long, kept string")
     plain = found.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
     return cut.unionByName(plain).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
 
