@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.CHAT_SQL}
+    return {"op2_chat": chat.CHAT_SQL, "op7_substring": substring.SUBSTRING_SQL}

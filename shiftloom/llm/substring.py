@@ -338,3 +338,23 @@ def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool
 def substring_query(docs: DataFrame) -> DataFrame:
     """``op7_substring``."""
     return remove_repeats(docs)
+
+
+#: The same result by grouping the windows' text itself.
+SUBSTRING_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS nr, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), keys AS (
+  SELECT nr, unnest(list_transform(range(1, len(words) - 33), lambda i: array_to_string(list_slice(words, i, i + 34), ' '))) AS k, unnest(range(1, len(words) - 33)) AS i FROM texts WHERE len(words) >= 35
+), again AS (
+  SELECT nr, i FROM keys WHERE k IN (SELECT k FROM keys GROUP BY k HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT nr, i + d AS j FROM again CROSS JOIN (SELECT unnest(range(0, 35)) AS d) o
+), placed AS (
+  SELECT nr, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS j FROM texts
+), kept AS (
+  SELECT placed.nr, count(*) AS n, string_agg(w, ' ' ORDER BY placed.j) AS t FROM placed LEFT JOIN gone ON placed.nr = gone.nr AND placed.j = gone.j WHERE gone.j IS NULL GROUP BY placed.nr
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept ON texts.nr = kept.nr
+"""
