@@ -25,6 +25,8 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\p{L}\d])(?:\+(?=(?:[ ().-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ ().-]{0,2}\d+){1,6}|\(\d{2,5}\)[ .-]?\d{2,4}[ .-]?\d{2,5}(?!\d)|\d{3}(?<phone>[ .-])\d{3}\k<phone>\d{4}(?![\d-]))",
 }
+#: Found in every text with a mention, and cheap to look for; most texts lack it.
+HINT = r"[@0-9]|[MHFSГΚ][\p{L}.]{0,9} \p{Lu}|[a-f]{32}|AKIA|gh[opsu]_|sk[-_]"
 FEMALE = r"^(?:Mrs|Ms|Miss|Sra|Mme|Frau|Señora|Madame|Госпожа|Κυρία)"
 #: Consonants and vowels of made-up names, by script.
 SYLLABLES = {
@@ -128,10 +130,17 @@ def made_name(norm: Column, digest: Column, ending: str) -> Column:
     return F.when(norm.rlike(r"\p{IsCyrillic}"), by_script["cyrillic"]).when(norm.rlike(r"\p{IsGreek}"), by_script["greek"]).otherwise(by_script["latin"])
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The normal form of the replacement."""
-    digest = F.sha2(F.concat_ws("\x00", F.lit(key), kind, norm, attempt.cast("string")), 512)
-    host = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("host"), F.substring_index(norm, "@", -1)), 512)
+def with_surrogate(df: DataFrame, attempt: Column, key: str, name: str = "new") -> DataFrame:
+    """Adds the normal form of the replacement of (kind, norm). The digests are columns of their own
+    first, or every letter would carry a copy of their expression."""
+    digest = F.sha2(F.concat_ws("\x00", F.lit(key), F.col("kind"), F.col("norm"), attempt.cast("string")), 512)
+    host = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("host"), F.substring_index("norm", "@", -1)), 512)
+    own = df.withColumns({"digest_": digest, "digest_host_": host})
+    return own.withColumn(name, surrogate(F.col("kind"), F.col("norm"), F.col("digest_"), F.col("digest_host_"))).drop("digest_", "digest_host_")
+
+
+def surrogate(kind: Column, norm: Column, digest: Column, host: Column) -> Column:
+    """The normal form of the replacement from the digest of the entity and that of its e-mail host."""
     domain = F.concat(*[letter(host, F.lit(i), "abcdefghijklmnopqrstuvwxyz") for i in range(8)], F.lit(".example."), F.when(norm.rlike(r"\.(?:com|net|org)$"), F.substring_index(norm, ".", -1)).otherwise("org"))
     digits = digits_like(norm, digest)
     last = (10 - luhn(F.concat(F.substring(digits, F.lit(1), F.length(norm) - 1), F.lit("0")))) % 10
@@ -179,7 +188,7 @@ def attempts(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     or equals its original, move on, but the least of those that share one. Only counts by replacement
     are shuffled; rounds end when no entity moves.
     """
-    state = stored(entities.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.lit(0), key)))
+    state = stored(with_surrogate(entities.withColumn("attempt", F.lit(0)), F.col("attempt"), key))
     for _ in range(most):
         shared = state.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1").select(F.col("kind").alias("k"), F.col("new").alias("s"), "first")
         taken = state.join(shared, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("s"))).where(F.struct("attempt", "norm") != F.col("first")).select("kind", "norm")
@@ -188,7 +197,7 @@ def attempts(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
         if not moving.limit(1).count():
             break
         moved = state.join(moving.withColumn("moves", F.lit(1)), ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("moves", F.lit(0)))
-        state = stored(moved.select("kind", "norm", "attempt", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("new")))
+        state = stored(with_surrogate(moved.select("kind", "norm", "attempt"), F.col("attempt"), key))
     else:
         raise RuntimeError(f"surrogates still collide after {most} attempts: too many entities of one format")
     return state.where("attempt > 0").select("kind", "norm", "attempt")
@@ -205,7 +214,8 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
     """
     docs = docs.drop(count_col)
     row, found, at, part, news = fresh(docs, "row_", "found_", "at_", "part_", "news_")
-    seen = docs.withColumn(found, F.regexp_extract_all(F.col(text_col), F.lit(whole_pattern()), F.lit(0)))
+    every = F.regexp_extract_all(F.col(text_col), F.lit(whole_pattern()), F.lit(0))
+    seen = docs.withColumn(found, F.when(F.col(text_col).rlike(HINT), every))
     has = F.coalesce(F.size(found) > 0, F.lit(False))
     some = stored(seen.where(has).withColumn(row, F.monotonically_increasing_id()))
     mentions = some.select(row, F.posexplode(found).alias(at, "mention")).withColumn("kind", kind_of(F.col("mention")))
@@ -213,7 +223,8 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
     entities = stored(parts.where("kind <> 'title'").select("kind", "norm").distinct())
     moved = stored(attempts(entities, key))
     told = parts.join(bounded(moved), ["kind", "norm"], "left")
-    new = dressed(F.col("kind"), F.col("raw"), surrogate(F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0)), key))
+    told = with_surrogate(told, F.coalesce("attempt", F.lit(0)), key)
+    new = dressed(F.col("kind"), F.col("raw"), F.col("new"))
     by_row = told.select(row, F.struct(F.col(at), F.col(part), new.alias("new")).alias("n")).groupBy(row).agg(F.sort_array(F.collect_list("n")).alias(news))
     # Names of a person stand together again, a space between.
     joined = F.transform(found, lambda m, i: F.array_join(F.transform(F.filter(news, lambda n: n[at] == i), lambda n: n["new"]), " "))
