@@ -77,10 +77,11 @@ def with_fingerprints(docs: DataFrame, rule: Rule, name: str = "fingerprint", te
 
 def blocks_for(n: int, near: int) -> tuple[int, int]:
     """(m, c): cut 64 bits into m blocks, join on every c of them. Pairs within ``near`` = m - c bits
-    share c whole blocks. c is the cheapest for n fingerprints, counting about 1 microsecond for a
-    row sent and 2.5 nanoseconds for a comparison; the result is the same for each c."""
+    share c whole blocks. c is the cheapest from 2 on for n fingerprints, counting about 1 microsecond
+    for a row sent and 2.5 nanoseconds for a comparison; the result is the same for each c. A single
+    block is cheaper for few fingerprints only, and would make the rows sent for each grow with n."""
     cost = lambda c: comb(near + c, c) * (1 + 0.0025 * n / 2 ** (64 * c / (near + c)))
-    c = min(range(1, 6), key=cost)
+    c = min(range(2, 6), key=cost)
     return near + c, c
 
 
