@@ -176,23 +176,51 @@ def gradients(m: Model, ids: np.ndarray, valid: np.ndarray, target: np.ndarray,
     return loss / size, {key: x / size for key, x in grads.items()}
 
 
-def train(m: Model, units: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, steps: int = 1200, batch: int = 128, rate: float = 6e-3) -> float:
-    """Adam over random windows; returns the mean loss of the last steps (natural log per unit)."""
+def preceding(m: Model, units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The unit before each unit of the sequences laid end to end."""
     before = np.empty_like(units)
     before[1:] = units[:-1]
     before[np.concatenate(([0], np.cumsum(lengths)[:-1]))[lengths > 0]] = m.begin
+    return before
+
+
+class Adam:
+    """Moments of the gradients of one model."""
+
+    def __init__(self, m: Model):
+        self.one = {k: np.zeros_like(x) for k, x in m.p.items()}
+        self.two = {k: np.zeros_like(x) for k, x in m.p.items()}
+        self.steps = 0
+
+    def step(self, m: Model, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for k, g in grads.items():
+            self.one[k] += 0.1 * (g - self.one[k])
+            self.two[k] += 0.01 * (g * g - self.two[k])
+            m.p[k] -= np.float32(rate) * (self.one[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.two[k] / (1 - 0.99**self.steps)) + 1e-8)
+
+
+def train(m: Model, units: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, steps: int = 1200, batch: int = 128, rate: float = 6e-3) -> float:
+    """Adam over random windows; returns the mean loss of the last steps (natural log per unit)."""
+    before, adam = preceding(m, units, lengths), Adam(m)
     place, valid = windows(lengths)
-    one = {k: np.zeros_like(x) for k, x in m.p.items()}
-    two = {k: np.zeros_like(x) for k, x in m.p.items()}
     recent: list[float] = []
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(place), batch)
         at, ok = place[pick], valid[pick]
         loss, grads = gradients(m, np.where(ok, before[at], m.pad), ok, units[at[:, -STRIDE:]], m.mask())
         recent.append(loss)
-        now = rate * min(1, step / 50) * 0.5 * (1 + np.cos(np.pi * step / steps)) + 1e-5
-        for k, g in grads.items():
-            one[k] += 0.1 * (g - one[k])
-            two[k] += 0.01 * (g * g - two[k])
-            m.p[k] -= np.float32(now) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-8)
+        adam.step(m, grads, rate * min(1, step / 50) * 0.5 * (1 + np.cos(np.pi * step / steps)) + 1e-5)
     return float(np.mean(recent[-100:]))
+
+
+def train_once(m: Model, adam: Adam, units: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 512) -> None:
+    """Steps over every window of the sequences, each once, in random order."""
+    before = preceding(m, units, lengths)
+    place, valid = windows(lengths)
+    order = rng.permutation(len(place))
+    for a in range(0, len(order), batch):
+        at, ok = place[order[a : a + batch]], valid[order[a : a + batch]]
+        _, grads = gradients(m, np.where(ok, before[at], m.pad), ok, units[at[:, -STRIDE:]], m.mask())
+        # The first steps of fresh moments are of full size whatever the gradient.
+        adam.step(m, grads, rate * min(1, (adam.steps + 1) / 20))

@@ -2,9 +2,11 @@
 
 The unigram base counts every word of every training document exactly. Words that are frequent in a
 bounded sample are counted by number, all others by a 64-bit hash through a shuffle, so no vocabulary
-is gathered in one place. The attention model is fitted on the same bounded sample. A word's
-probability under the model is a mixture: the attention model's for its subword ids in their context,
-and the frequent words' share of the whole training text.
+is gathered in one place. The attention model starts from the same sample, on the driver, and is then
+trained in Spark tasks over every whole training text: a few rounds, each over its own part of the
+texts, after each of which Spark averages the tasks' weights. A word's probability under the model is
+a mixture: the attention model's for its subword ids in their context, and the word's share of the
+whole training text.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from .words import hash_words, numbered, slices, split_words
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces as the vocabulary was made for: contractions, letters, digits, others, spaces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The fit's bounds: documents of the sample and words of one (whole documents count above), units
-#: of the model (a multiple of its group size), frequent words.
+#: Bounds of the start: documents of the sample and words of one. Units of the model (a multiple of
+#: its group size). Words counted by number; which they are changes no result.
 SAMPLE_DOCS, SAMPLE_WORDS, UNITS, FREQUENT = 4000, 600, 33 * attention.GROUP, 50_000
 REST, END = 0, 1
+#: Passes over parts of the training texts, together one over all; the first one's rate, which falls
+#: in equal steps; weights of a row on their way to the sum.
+ROUNDS, RATE, CHUNK = 4, 2e-3, 8192
 
 
 @lru_cache(1)
@@ -73,14 +78,13 @@ class Scorer:
 
     path: str
     model: attention.Model
-    unit_of: np.ndarray
-    rest_log10: float
+    unit_of: np.ndarray  # of each subword id; last: of the end
+    rest_log10: np.ndarray  # log10 share of each subword id within its unit; last: of the end
     frequent: list[str]
-    tuning: list[str]  # texts of the sample that the attention model wasn't trained on
     log_count: np.ndarray | None = None  # log10(c + 0.5) of the frequent words
     known: np.ndarray | None = None  # c > 0
     log_share: np.ndarray | None = None  # log10 of c over all training tokens; last: of the end
-    mix: float = 0.0  # weight of the frequent words' shares
+    mix: float = 0.0  # weight of the words' shares
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -88,46 +92,117 @@ def lowered(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.cast(texts, pa.large_string()).take(pa.array(np.arange(len(texts)))))
 
 
-def fit_scorer(sample: list[str], path: str, seed: int = 20240504, steps: int = 1500) -> Scorer:
-    tuning, sample = sample[::10], [t for i, t in enumerate(sample) if i % 10] or sample
-    words, lengths = split_words(lowered(pa.array(sample, pa.string())))
-    distinct, number = numbered(words)
+def sample_words(sample: list[str]) -> tuple[list[str], list[str]]:
+    """(frequent words of the sample, other words of its tuning texts)."""
+    distinct, number = numbered(split_words(lowered(pa.array(sample, pa.string())))[0])
     text = distinct.to_pylist()
     count = np.bincount(number, minlength=len(text)) if len(text) else np.empty(0, np.int64)
-    flat, n = word_ids(text, path)
-    ids, _ = picked(flat, n, number)
-    vocabulary = len(tokenizer(path)[1])
-    seen = np.bincount(ids, minlength=vocabulary) if len(ids) else np.zeros(vocabulary, np.int64)
+    frequent = [text[i] for i in np.lexsort((np.arange(len(text)), -count))[:FREQUENT] if count[i] > 1]
+    tuning = numbered(split_words(lowered(pa.array(sample[::10], pa.string())))[0])[0].to_pylist()
+    return frequent, sorted(set(tuning) - set(frequent))
+
+
+def fit_scorer(sample: list[str], path: str, frequent: list[str], seen: np.ndarray, texts: int, seed: int = 20240504, steps: int = 1500) -> Scorer:
+    """The start of the model. ``seen``: count of each subword id in all ``texts`` training texts."""
+    vocabulary = len(seen)
     top = np.lexsort((np.arange(vocabulary), -seen))[: UNITS - 2]
-    unit_of = np.full(vocabulary, REST)
+    unit_of = np.full(vocabulary + 1, REST)
     unit_of[top] = np.arange(2, 2 + len(top))
-    units, sizes = unit_sequences(unit_of[flat], n, number, lengths)[:2]
+    unit_of[-1] = END
+    rest = unit_of == REST
+    log10 = np.zeros(vocabulary + 1)
+    share = np.append(seen, 0)[rest] + 0.5
+    log10[rest] = np.log10(share / share.sum())
     rng = np.random.default_rng(seed)
-    model = attention.Model.fresh(np.bincount(units, minlength=UNITS).astype(float), rng)
+    counts = np.bincount(unit_of, np.append(seen, texts), UNITS).astype(float)
+    scorer = Scorer(path, attention.Model.fresh(counts, rng), unit_of, log10, frequent)
     if len(sample):
-        attention.train(model, units, sizes, rng, steps)
-    order = np.lexsort((np.arange(len(text)), -count))[:FREQUENT]
-    return Scorer(path, model, unit_of, -float(np.log10(max(1, vocabulary - len(top)))), [text[i] for i in order if count[i] > 1], tuning)
+        attention.train(scorer.model, *text_units(scorer, pa.array(sample, pa.string())), rng, steps)
+    return scorer
+
 
+def text_units(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(units of the texts end to end, units of each text)."""
+    words, lengths = split_words(lowered(texts))
+    distinct, number = numbered(words)
+    flat, n = word_ids(distinct.to_pylist(), scorer.path)
+    ids, sizes, _ = id_sequences(flat, n, number, lengths, len(scorer.unit_of) - 1)
+    return scorer.unit_of[ids], sizes
 
-def unit_sequences(units: np.ndarray, n: np.ndarray, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(units of each text: its words' in order and then END; units of each text; units of each word,
-    the ends as words). units, n: of the distinct words."""
-    units, n = np.concatenate((units, [END])).astype(np.int64), np.concatenate((n, [1])).astype(np.int64)
-    line, each = picked(units, n, np.insert(number, np.cumsum(lengths), len(n) - 1))
+
+def learn_texts(batches: Iterator[pa.RecordBatch], sent, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """Trains a copy of the model over all texts of one partition: its weights times the units seen."""
+    scorer = sent.value
+    model = attention.Model(scorer.model.units, {k: x.copy() for k, x in scorer.model.p.items()})
+    adam, rng, n = attention.Adam(model), np.random.default_rng(seed), 0
+    for batch in batches:
+        for part in slices(batch, 0, 2_000_000):
+            units, sizes = text_units(scorer, part.column(0))
+            attention.train_once(model, adam, units, sizes, rng, rate)
+            n += len(units)
+    if n:
+        line = flat_weights(model) * n
+        cuts = range(0, len(line), CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts)), pa.int32()), pa.array([float(n)] * len(cuts)), pa.array([line[a : a + CHUNK] for a in cuts], pa.list_(pa.float64()))], names=["chunk", "n", "line"])
+
+
+def sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of each chunk."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for i, k in enumerate(b.column(0).to_pylist()):
+            line, n = b.column(2)[i].values.to_numpy(), b.column(1)[i].as_py()
+            old = sums.get(k)
+            sums[k] = [n, line.copy()] if old is None else [old[0] + n, old[1] + line]
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()]), pa.array([x[1] for x in sums.values()], pa.list_(pa.float64()))], names=["chunk", "n", "line"])
+
+
+def flat_weights(model: attention.Model) -> np.ndarray:
+    return np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(np.float64)
+
+
+def learn_all(scorer: Scorer, learn: DataFrame) -> int:
+    """Trains the model over every text of ``learn`` (text, draw), whole and once; returns the units seen."""
+    spark, total = learn.sparkSession, 0
+    kind = "chunk int, n double, line array<double>"
+    for k in range(ROUNDS):
+        sent, rate = spark.sparkContext.broadcast(scorer), RATE * (1 - k / ROUNDS)
+        part = learn.where(F.floor(F.col("draw") * ROUNDS) == k).select("text")
+        made = part.mapInArrow(lambda bs: learn_texts(bs, sent, rate, k), kind)
+        sums = made.repartition("chunk").mapInArrow(sum_weights, kind).collect()  # a row per CHUNK weights
+        sent.unpersist()
+        if not sums:
+            continue
+        line = np.concatenate([np.array(r["line"]) / r["n"] for r in sorted(sums, key=lambda r: r["chunk"])])
+        total, at = total + int(sums[0]["n"]), 0
+        for key in sorted(scorer.model.p):
+            old = scorer.model.p[key]
+            scorer.model.p[key] = line[at : at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+    return total
+
+
+def id_sequences(ids: np.ndarray, n: np.ndarray, number: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of each text: its words' in order and then ``end``; ids of each text; ids of each word,
+    the ends as words). ids, n: of the distinct words."""
+    ids, n = np.concatenate((ids, [end])).astype(np.int64), np.concatenate((n, [1])).astype(np.int64)
+    line, each = picked(ids, n, np.insert(number, np.cumsum(lengths), len(n) - 1))
     ends = np.cumsum(lengths + 1)
     total = np.concatenate(([0], np.cumsum(each)))
     return line, total[ends] - total[ends - lengths - 1], each
 
 
-def word_logs(scorer: Scorer, units: np.ndarray, sizes: np.ndarray, each: np.ndarray) -> np.ndarray:
+def word_logs(scorer: Scorer, flat: np.ndarray, n: np.ndarray, number: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each word (and end) under the attention model, given all before it."""
-    logs = scorer.model.log10_probability(units, sizes) + np.where(units == REST, scorer.rest_log10, 0.0)
+    ids, sizes, each = id_sequences(flat, n, number, lengths, len(scorer.unit_of) - 1)
+    logs = scorer.model.log10_probability(scorer.unit_of[ids], sizes) + scorer.rest_log10[ids]
     return np.add.reduceat(logs, np.cumsum(each) - each) if len(each) else np.zeros(0)
 
 
 def mixed_logs(scorer: Scorer, logs: np.ndarray, number: np.ndarray, lengths: np.ndarray, mix: float) -> np.ndarray:
-    """Word by word mixture of ``logs`` with the shares of frequent words (number below their count)."""
+    """Word by word mixture of ``logs`` with the shares of frequent words (number below their count);
+    of other words only the attention model's part, as the join with their counts adds the rest."""
     with_end = np.insert(number, np.cumsum(lengths), -1)
     known = with_end < len(scorer.frequent)
     share = np.where(known, scorer.log_share[np.where(known, with_end, 0)], -np.inf)
@@ -136,26 +211,34 @@ def mixed_logs(scorer: Scorer, logs: np.ndarray, number: np.ndarray, lengths: np
     return np.logaddexp((logs + np.log10(1 - mix)) * np.log(10), (share + np.log10(mix)) * np.log(10)) / np.log(10)
 
 
-def fit_mix(scorer: Scorer) -> float:
-    """Weight of the frequent words' shares, by a few rounds of expectation and maximisation."""
-    words, lengths = split_words(lowered(pa.array(scorer.tuning, pa.string())))
+def fit_mix(scorer: Scorer, tuning: list[str], count: dict[str, int], texts: int, train_tokens: int) -> float:
+    """Weight of the words' shares, by a few rounds of expectation and maximisation over ``tuning``,
+    training texts; each is left out of the counts that it is tried on."""
+    words, lengths = split_words(lowered(pa.array(tuning, pa.string())))
     distinct, number = numbered(words)
-    if not len(number):
+    if not len(lengths) or train_tokens < 2:
         return 0.0
-    where = pc.fill_null(pc.index_in(distinct, pa.array(scorer.frequent, pa.large_string())), len(scorer.frequent)).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, n = word_ids(distinct.to_pylist(), scorer.path)
-    logs = word_logs(scorer, *unit_sequences(scorer.unit_of[flat], n, number, lengths))
-    mix, own = 0.5, where[number]
+    text = distinct.to_pylist()
+    logs = word_logs(scorer, *word_ids(text, scorer.path), number, lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    _, back, own = np.unique(owner * max(1, len(text)) + number, return_inverse=True, return_counts=True)
+    c = np.array([count.get(w, 0) for w in text], np.float64)[number] - own[back] if len(text) else np.zeros(0)
+    c = np.insert(c, np.cumsum(lengths), texts - 1)
+    left = np.maximum(1, train_tokens - np.repeat(lengths + 1, lengths + 1))
+    apart = np.clip(np.log10(np.maximum(c, 1e-300) / left) - logs, -300, 300)
+    mix = 0.5
     for _ in range(20):
-        share = 1 - 10 ** (logs + np.log10(1 - mix) - mixed_logs(scorer, logs, own, lengths, mix))
-        mix = float(min(0.99, max(0.01, share.mean())))
+        odds = 10.0 ** np.clip(apart + np.log10(mix / (1 - mix)), -300, 300)
+        mix = float(min(0.99, max(0.01, (odds / (1 + odds)).mean())))
     return mix
 
 
-def count_frequent(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Counts of the frequent words in one partition; -1: all words, -2: texts."""
-    scorer = sent.value
-    names = pa.array(scorer.frequent, pa.large_string())
+def count_words(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Counts of the named words in one partition; -1: all words, -2: texts, -3 and less: subword ids."""
+    named, path = sent.value
+    names = pa.array(named, pa.large_string())
+    n_flat, n_n = word_ids(named, path)
+    ids = np.zeros(len(tokenizer(path)[1]), np.int64)
     sums, words_seen, texts = np.zeros(len(names), np.int64), 0, 0
     for batch in batches:
         for part in slices(batch, 0):
@@ -165,13 +248,17 @@ def count_frequent(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Recor
             where = pc.fill_null(pc.index_in(distinct, names), -1).to_numpy(zero_copy_only=False)
             n = np.bincount(number, minlength=len(where))
             sums[where[where >= 0]] += n[where >= 0]
-    some = np.flatnonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2], some)).astype(np.int32)), pa.array(np.concatenate(([words_seen, texts], sums[some])))], names=["word", "n"])
+            other = np.flatnonzero(where < 0)
+            flat, each = word_ids(distinct.take(pa.array(other)).to_pylist(), path)
+            np.add.at(ids, flat, np.repeat(n[other], each))
+    np.add.at(ids, n_flat, np.repeat(sums, n_n))
+    some, used = np.flatnonzero(sums), np.flatnonzero(ids)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2], some, -3 - used)).astype(np.int32)), pa.array(np.concatenate(([words_seen, texts], sums[some], ids[used])))], names=["word", "n"])
 
 
 def score_texts(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """Per document: the model's score, tokens, the frequent words' part of the base, and each other
-    word's hash with its number."""
+    word's hash with its number and the attention model's log10 of each time."""
     scorer = sent.value
     names = pa.array(scorer.frequent, pa.large_string())
     f_flat, f_n = word_ids(scorer.frequent, scorer.path)
@@ -186,13 +273,15 @@ def score_texts(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
             where[other] = len(f_n) + np.arange(len(other))
             flat, n = np.concatenate((f_flat, r_flat)), np.concatenate((f_n, r_n))
             number = where[number] if len(number) else number.astype(np.int64)
-            logs = mixed_logs(scorer, word_logs(scorer, *unit_sequences(scorer.unit_of[flat], n, number, lengths)), number, lengths, scorer.mix)
+            plain = word_logs(scorer, flat, n, number, lengths)
+            logs = mixed_logs(scorer, plain, number, lengths, scorer.mix)
             logs = np.add.reduceat(logs, np.cumsum(lengths + 1) - lengths - 1)
             owner = np.repeat(np.arange(len(part)), lengths)
             known = number < len(f_n)
             base = np.bincount(owner[known], scorer.log_count[number[known]], len(part))
             seen = np.bincount(owner[known], scorer.known[number[known]], len(part)).astype(np.int64)
-            pairs, times = np.unique(owner[~known] * max(1, len(other)) + number[~known] - len(f_n), return_counts=True)
+            pairs, back, times = np.unique(owner[~known] * max(1, len(other)) + number[~known] - len(f_n), return_inverse=True, return_counts=True)
+            each = np.delete(plain, np.cumsum(lengths + 1) - 1)[~known][np.argsort(back, kind="stable")]
             at = np.searchsorted(pairs // max(1, len(other)), np.arange(len(part) + 1))
             offsets = pa.array(at.astype(np.int32))
             hashes = hash_words(rare)[:, 0].view(np.int64) if len(other) else np.empty(0, np.int64)
@@ -201,8 +290,9 @@ def score_texts(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
                     part.column(0), part.column(1), pa.array(lengths + 1), pa.array(logs, pa.float64()), pa.array(base.astype(np.float64)), pa.array(seen),
                     pa.ListArray.from_arrays(offsets, pa.array(hashes[pairs % max(1, len(other))])),
                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(times))).astype(np.int32)), pa.array(each.astype(np.float32)))),
                 ],
-                names=["doc_id", "held_out", "n_tokens", "score", "base", "seen", "hash", "times"],
+                names=["doc_id", "held_out", "n_tokens", "score", "base", "seen", "hash", "times", "logs"],
             )
 
 
@@ -216,34 +306,39 @@ def score_documents(docs: DataFrame, out: Column, path: str = VOCABULARY) -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    learn = rows.where("NOT held_out").select("text")
-    n = learn.count()
     draw = uniform(F.xxhash64(F.lit(20240504), "doc_id", "text"))
-    some = rows.where(~F.col("held_out") & (draw < F.lit(1.1 * SAMPLE_DOCS / max(1, n)))).limit(SAMPLE_DOCS)
+    learn = rows.where("NOT held_out").select("text", draw.alias("draw"))
+    n = learn.count()
+    some = learn.where(F.col("draw") < F.lit(1.1 * SAMPLE_DOCS / max(1, n))).limit(SAMPLE_DOCS)
     cut = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS), " ")  # of the sample only
-    scorer = fit_scorer([r[0] for r in some.select(cut).collect()], path)
-    sent = spark.sparkContext.broadcast(scorer)
-    counts = {r["word"]: r["n"] for r in learn.mapInArrow(lambda bs: count_frequent(bs, sent), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per frequent word
+    sample = [r[0] for r in some.select(cut).collect()]
+    frequent, more = sample_words(sample)
+    sent = spark.sparkContext.broadcast((frequent + more, path))
+    counts = {r["word"]: r["n"] for r in learn.select("text").mapInArrow(lambda bs: count_words(bs, sent), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per named word and subword id
     sent.unpersist()
     texts = counts.get(-2, 0)
     train_tokens = counts.get(-1, 0) + texts
-    c = np.array([counts.get(i, 0) for i in range(len(scorer.frequent))], np.float64)
+    scorer = fit_scorer(sample, path, frequent, np.array([counts.get(-3 - i, 0) for i in range(len(tokenizer(path)[1]))], np.int64), texts)
+    learn_all(scorer, learn.withColumn("draw", uniform(F.xxhash64(F.lit(20240505), "text", "draw"))))
+    c = np.array([counts.get(i, 0) for i in range(len(frequent))], np.float64)
     scorer.log_count, scorer.known = np.log10(c + 0.5), (c > 0).astype(np.float64)
     scorer.log_share = np.log10(np.maximum(np.concatenate((c, [texts])), 1e-9) / max(1, train_tokens))
-    if train_tokens:
-        scorer.mix = fit_mix(scorer)
-    scorer.tuning = []
+    scorer.mix = fit_mix(scorer, sample[::10], {w: counts.get(i, 0) for i, w in enumerate(frequent + more)}, texts, train_tokens)
     ready = spark.sparkContext.broadcast(scorer)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
         lambda bs: score_texts(bs, ready),
-        f"doc_id {kind}, held_out boolean, n_tokens long, score double, base double, seen long, hash array<long>, times array<int>",
+        f"doc_id {kind}, held_out boolean, n_tokens long, score double, base double, seen long, hash array<long>, times array<int>, logs array<array<float>>",
     )
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", "held_out", F.inline(F.arrays_zip("hash", "times")))
+    words = scored.select("row", "held_out", F.inline(F.arrays_zip("hash", "times", "logs")))
     found = stored(words.where("NOT held_out").groupBy("hash").agg(F.sum("times").alias("c")))
     distinct = int((c > 0).sum()) + (texts > 0) + found.count()
-    sums = words.join(found, "hash").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("logs"), F.sum("times").alias("hits"))
+    # The mixture has 1 + odds times the attention model's part.
+    odds = float(np.log10(scorer.mix / (1 - scorer.mix) / max(1, train_tokens))) if scorer.mix > 0 else -1e6
+    apart = lambda x: F.lit(odds) + F.log10("c") - x
+    gain = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.when(apart(x) > 15, apart(x)).otherwise(F.log1p(F.pow(F.lit(10.0), apart(x))) / float(np.log(10))))
+    sums = words.join(found, "hash").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("logs"), F.sum("times").alias("hits"), F.sum(gain).alias("gain"))
     # A word without a count has log10(0.5): every other word, less those found.
     others = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
     full = scored.select("row", "doc_id", "held_out", "n_tokens", "score", "base", "seen", others.alias("others")).join(sums, "row", "left")
@@ -253,7 +348,8 @@ def score_documents(docs: DataFrame, out: Column, path: str = VOCABULARY) -> Dat
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) + (F.col("others") - hits) * half + F.lit(end) - F.col("n_tokens") * scale
     return full.select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + hits + F.lit(int(texts > 0))).cast("long").alias("n_known"),
-        F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

@@ -309,3 +309,19 @@ def test_few_vectors(spark):
     assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in got] == [(0, 7, 1.0), (0, 1, 2.236068)]
     assert neighbours.neighbours_query(vectors(spark, [(0, [1.0])])).count() == 0
     assert neighbours.neighbours_query(vectors(spark, [(0, None)])).count() == 0
+
+
+def test_scores_learn_from_all_words_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SAMPLE_DOCS", 40)
+    rng = random.Random(8)
+    # A late word stands after the sample's words; it is common in the corpus, the other one unseen.
+    rows = [(i, " ".join([*prose(rng, 700, 300), *["zyzzogeton"] * 20])) for i in range(120)]
+    rows += [(1000, "zyzzogeton"), (1001, "zyzzogetan")]
+    out = {r.doc_id: r for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert out[1000].score > out[1001].score + 1.5
+    learned = []
+    keep = scoring.learn_all
+    monkeypatch.setattr(scoring, "learn_all", lambda s, d: learned.append(keep(s, d)))
+    scoring.score_documents(spark.createDataFrame(rows[:5], "doc_id long, text string"), F.lit(False))
+    ids = sum(len(scoring.word_ids(t.split(), scoring.VOCABULARY)[0]) + 1 for _, t in rows[:5])
+    assert learned == [ids]
