@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stored
 
-#: Positions that a mask keeps. Any 15 aligned tokens with 3 substitutions or fewer hold a run that
-#: one of these masks sees as equal (tests/llm/test_decontamination.py tries all cases).
-MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 7))
+#: Positions that a mask keeps. Any 8 to 15 aligned tokens of which 80 % are equal hold a run that one
+#: of these masks sees as equal (tests/llm/test_text_operators.py tries all cases).
+MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 7), (0, 1, 3, 6, 7))
 WINDOW = 15
 SIMILARITY = 0.8
 #: Rows that a broadcast side may have; beyond, the same join runs shuffled.
@@ -27,15 +27,21 @@ def tokens(text: Column) -> Column:
 
 
 def seed_hashes(words: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """Array with the hash of each position under each mask, position by position."""
-    span = max(m[-1] for m in masks) + 1
+    """Array with the hash of each position under each mask, position by position; null where the
+    mask reaches over the end. A mask's hashes differ from those of every other mask."""
+    size = F.size(words)
 
     def at(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in mask]) for k, mask in enumerate(masks)])
+        each = [(mask, F.xxhash64(F.lit(sum(1 << o for o in mask)), *[F.get(words, i + o) for o in mask])) for mask in masks]
+        return F.array(*[F.when(i + mask[-1] < size, seed) for mask, seed in each])
+
+    return F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), at))).otherwise(F.array().cast("array<bigint>"))
+
 
-    places = F.sequence(F.lit(0), F.size(words) - 1)
-    # A mask that reaches over the end sees nulls there; such hashes are cut off below.
-    return F.when(F.size(words) >= span, F.flatten(F.transform(F.slice(places, 1, F.size(words) - span + 1), at))).otherwise(F.array().cast("array<bigint>"))
+def seeds(rows: DataFrame, words: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """The other columns of ``rows`` with seed and at (token), a row per position and mask."""
+    hashed = rows.select(*[c for c in rows.columns if c != words], F.posexplode(seed_hashes(F.col(words), masks)).alias("place", "seed"))
+    return hashed.where(F.col("seed").isNotNull()).withColumn("at", F.floor(F.col("place") / len(masks)).cast("int")).drop("place")
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,22 +54,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ..
 
     Leak: on one alignment of the two token sequences some ``window`` consecutive tokens (the whole
     item, if it is shorter) of which at least the share ``similarity`` is equal, so replaced words
-    are tolerated; items of fewer tokens than a mask spans are too short to tell and are not searched.
+    are tolerated; items of fewer tokens than the longest mask spans are leaks only if all their tokens
+    stand in the document as they are, and items without tokens match nothing.
     Returns doc_id, text_hash, item_id, doc_start (token where the item's first token would stand),
     n_item, n_matched (equal tokens on that alignment), best_window.
 
     Null or empty texts match nothing; null ids are ids like others; rows that repeat doc_id and text
     give one row per item; empty tables give no row; further columns are ignored.
     """
-    n_masks = len(masks)
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     span = max(m[-1] for m in masks) + 1
-    items = stored(benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= span).distinct())
-    hashed = items.select("item_id", F.posexplode(seed_hashes(F.col("item"), masks)).alias("at", "seed"))
-    item_seeds = stored(hashed.select("seed", "item_id", F.floor(F.col("at") / n_masks).cast("int").alias("item_at")))
+    items = stored(benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") > 0).distinct())
+    short = sorted(r[0] for r in items.select(F.size("item")).where(F.size("item") < span).distinct().collect())  # span - 1 numbers at most
+    item_seeds = seeds(items.where(F.size("item") >= span), "item", masks)
+    for n in short:
+        item_seeds = item_seeds.unionByName(seeds(items.where(F.size("item") == n), "item", (tuple(range(n)),)))
+    item_seeds = stored(item_seeds.withColumnRenamed("at", "item_at"))
     words = docs.select(F.col("doc_id"), text_hash.alias("text_hash"), tokens(F.col("text")).alias("words"))
-    doc_seeds = words.select("doc_id", "text_hash", F.posexplode(seed_hashes(F.col("words"), masks)).alias("at", "seed"))
-    hits = doc_seeds.join(bounded(item_seeds), "seed").select("doc_id", "text_hash", "item_id", (F.floor(F.col("at") / n_masks) - F.col("item_at")).cast("int").alias("shift"))
+    doc_seeds = seeds(words, "words", (*masks, *[tuple(range(n)) for n in short]))
+    hits = doc_seeds.join(bounded(item_seeds), "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     found = stored(hits.distinct())
 
     around = (
@@ -83,7 +92,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ..
         "doc_id", "text_hash", "item_id", "shift", "n_item", F.aggregate("equal", F.lit(0), add).alias("n_matched"),
         F.when(F.size("equal") >= wide, F.array_max(in_windows)).otherwise(0).alias("best_window"), wide.alias("wide"),
     )
-    leaks = scored.where(F.col("best_window") >= F.ceil(F.col("wide") * F.lit(similarity) - 1e-9))
+    need = F.when(F.col("n_item") < span, F.col("n_item")).otherwise(F.ceil(F.col("wide") * F.lit(similarity) - 1e-9))
+    leaks = scored.where(F.col("best_window") >= need)
     best = leaks.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("n_matched", "best_window", (-F.col("shift")).alias("back"), "n_item")).alias("best"))
     return best.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("doc_start"), "best.n_item", "best.n_matched", "best.best_window")
 

@@ -31,6 +31,23 @@ def test_masks_find_every_tolerated_overlap():
         assert any(all(i + o not in bad for o in m) for m in decontamination.MASKS for i in range(decontamination.WINDOW - m[-1]))
 
 
+def test_seeds_meet_in_every_tolerated_overlap(spark):
+    rows = []
+    for n in range(8, decontamination.WINDOW + 1):
+        for bad in itertools.combinations(range(n), n - -(-n * 8 // 10)):
+            rows.append((n, str(bad), [f"w{i}" for i in range(n)], [f"{'x' if i in bad else 'w'}{i}" for i in range(n)]))
+    df = spark.createDataFrame(rows, "n int, bad string, a array<string>, b array<string>")
+    one, two = (F.filter(decontamination.seed_hashes(F.col(c), decontamination.MASKS), lambda x: x.isNotNull()) for c in "ab")
+    assert df.where(~F.arrays_overlap(one, two)).select("n", "bad").collect() == []
+
+
+def test_short_items_match_as_whole_runs(spark):
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "one two three four five six seven"), (3, "!!"), (4, "Solo"), (5, "a b c d e f g h i j")], "item_id long, text string")
+    docs = [(1, "x alpha, BETA y"), (2, "alpha x beta"), (3, "so one two three four five six seven"), (4, "one two three four five six eight"), (5, "solo"), (6, ""), (7, "z a b c X e f Y h i j z")]
+    got = {(r.doc_id, r.item_id, r.doc_start) for r in decontamination.find_leaks(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1, 1), (3, 2, 1), (5, 4, 0), (7, 5, 1)}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(1)
     items = [prose(rng, n) for n in (40, 15, 22, 9)]
