@@ -80,12 +80,17 @@ def fit(sample: np.ndarray, n: int, k: int, seed: int = 20240506, aim: float = 0
 
 
 def encode(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """Each vector with its list, its code and how far it lies from what its code stands for."""
     for b in batches:
         x = matrix(b.column(1))
         own = squared(x, index.coarse).argmin(1)
         rest = x - index.coarse[own]
         code = np.stack([squared(rest[:, p], book).argmin(1).astype(np.uint8) for p, book in zip(index.parts, index.books)], 1)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "list", "code"])
+        lost = sum(((rest[:, p] - book[code[:, j]]) ** 2).sum(1) for j, (p, book) in enumerate(zip(index.parts, index.books)))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.sqrt(lost) * np.ones(len(b))), b.column(1)],
+            names=["vec_id", "list", "code", "lost", "vector"],
+        )
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -128,9 +133,14 @@ def send_queries(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(lists, pa.list_(pa.int32()))], names=["block", "query_id", "vector", "lists"])
 
 
-def search_block(queries: pa.Table, codes: pa.Table, index: Index, keep: int) -> pa.Table:
-    """The ``keep`` nearest codes of a block for each query, by asymmetric distance tables."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("far", pa.float32())])
+def search_block(queries: pa.Table, codes: pa.Table, index: Index, k: int) -> pa.Table:
+    """The ``k`` nearest vectors of a block for each query, among those of its lists.
+
+    Asymmetric distance tables give the distance to what each code stands for; the vector's own differs
+    by no more than its code lost. Every vector that may be one of the ``k`` nearest by these bounds is
+    measured exactly.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("far", pa.float64())])
     if not queries.num_rows or not codes.num_rows:
         return schema.empty_table()
     codes, queries = codes.combine_chunks().sort_by("vec_id"), queries.combine_chunks()
@@ -139,37 +149,44 @@ def search_block(queries: pa.Table, codes: pa.Table, index: Index, keep: int) ->
     code = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
     asked = queries["query_id"].to_numpy()
     x = matrix(queries["vector"].combine_chunks() if isinstance(queries["vector"], pa.ChunkedArray) else queries["vector"])
+    own_x, lost = matrix(codes["vector"].combine_chunks() if isinstance(codes["vector"], pa.ChunkedArray) else codes["vector"]), codes["lost"].to_numpy()
+    own_size, size = np.sqrt((own_x * own_x).sum(1)), np.sqrt((x * x).sum(1))
     probing: dict[int, list[int]] = {}
     for i, lists in enumerate(queries["lists"].to_pylist()):
         for c in lists:
             probing.setdefault(c, []).append(i)
-    far = np.full((len(asked), len(ids)), np.inf, np.float32)
+    far = np.full((len(asked), len(ids)), np.inf)
     for c, who in probing.items():
         at = np.flatnonzero(own == c)
         rest = x[who] - index.coarse[c]
-        sums = np.zeros((len(who), len(at)), np.float32)
+        sums = np.zeros((len(who), len(at)))
         for j, (p, book) in enumerate(zip(index.parts, index.books)):
-            sums += squared(rest[:, p], book).astype(np.float32)[:, code[at, j]]
+            sums += squared(rest[:, p], book)[:, code[at, j]]
         far[np.ix_(who, at)] = sums
     far[asked[:, None] == ids[None, :]] = np.inf
     out = []
-    for q, line in zip(asked.tolist(), far):
-        edge = np.partition(line, keep - 1)[keep - 1] if len(line) > keep else np.inf
-        near = np.flatnonzero((line <= edge) & (line < np.inf))
-        near = near[np.argsort(line[near], kind="stable")[:keep]]  # codes are in the order of vec_id
-        out.append((np.full(len(near), q), ids[near], line[near]))
+    for i, line in enumerate(far):
+        held = np.flatnonzero(line < np.inf)
+        apart = np.sqrt(line[held])
+        slack = lost[held] + 1e-6 * (size[i] + own_size[held])  # what the code lost, and rounding
+        edge = np.partition(apart + slack, k - 1)[k - 1] if len(held) > k else np.inf
+        near = held[apart - slack <= edge]
+        exact = np.sqrt(((own_x[near] - x[i]) ** 2).sum(1))
+        best = np.argsort(exact, kind="stable")[:k]  # codes are in the order of vec_id
+        out.append((np.full(len(best), asked[i]), ids[near[best]], exact[best]))
     return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 10, keep: int = 128, seed: int = 20240506) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 10, seed: int = 20240506) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest rows found for each row where ``queries``.
 
     ``vectors`` has vec_id (long) and embedding. Rows whose vector is null, zero, of another dimension
     than most, or holds null or non-finite components take no part, nor do rows without vec_id; of
     rows that repeat a vec_id the least vector does. Every other row is indexed, a query's own row is
     no candidate of it, and fewer candidates than ``k`` are all returned. Lists, codes and probes are
-    fitted on a bounded sample (SAMPLE vectors); the ``keep`` nearest by asymmetric distance are
-    ranked again by the exact Euclidean distance, ties to the smaller vec_id. An empty table gives
+    fitted on a bounded sample (SAMPLE vectors); within the lists probed the result is exact: all
+    vectors that the codes' error bounds don't exclude are ranked by the exact Euclidean distance,
+    ties to the smaller vec_id. An empty table gives
     no row; other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -186,7 +203,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, keep: int = 128, s
     drawn = rows.where(uniform(F.xxhash64(F.lit(seed), "vector")) < F.lit(1.05 * SAMPLE / n)).select("vector").limit(4 * SAMPLE)
     sample = np.unique(np.array([r[0] for r in drawn.distinct().limit(SAMPLE).toLocalIterator()] or [r[0] for r in rows.limit(1000).select("vector").collect()], np.float64), axis=0)
     index = fit(sample, n, k, seed)
-    codes = stored(rows.select("vec_id", "vector").mapInArrow(lambda bs: encode(bs, index), "vec_id long, list int, code binary"))
+    codes = stored(rows.select("vec_id", "vector").mapInArrow(lambda bs: encode(bs, index), f"vec_id long, list int, code binary, lost double, vector {rows.schema['vector'].dataType.simpleString()}"))
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in codes.groupBy("list").count().collect():  # a row per list
         sizes[r["list"]] = r["count"]
@@ -198,10 +215,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, keep: int = 128, s
     meet = sent.join(F.broadcast(groups), "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
     held = codes.withColumn("block", block.cast("int")).join(F.broadcast(groups), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     found = meet.drop("groups").groupBy("block", "part").cogroup(held.drop("groups").groupBy("block", "part")).applyInArrow(
-        lambda q, c: search_block(q, c, index, keep), "query_id long, vec_id long, far float"
+        lambda q, c: search_block(q, c, index, k), "query_id long, vec_id long, far double"
     )
     best = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    candidates = stored(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= keep).select("query_id", "vec_id"))
+    candidates = stored(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).select("query_id", "vec_id"))
     with_vector = rows.select("vec_id", F.col("vector").alias("v")).join(bounded(candidates), "vec_id")
     pairs = with_vector.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id")
     gaps = F.zip_with("q", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))

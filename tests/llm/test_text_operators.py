@@ -342,3 +342,15 @@ def test_scores_learn_from_all_words_of_whole_texts(spark, monkeypatch):
     scoring.score_documents(spark.createDataFrame(rows[:5], "doc_id long, text string"), F.lit(False))
     ids = sum(len(scoring.word_ids(t.split(), scoring.VOCABULARY)[0]) + 1 for _, t in rows[:5])
     assert learned == [ids]
+
+
+def test_vectors_that_share_a_code_are_all_ranked(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "kmeans", lambda x, k, rng, rounds=12: x.mean(0, keepdims=True))
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    x[300:600] = x[300] + 1e-3 * rng.standard_normal((300, 16)).astype(np.float32)  # a third: near copies
+    got = neighbours.neighbours_query(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).toPandas()
+    for q in range(0, 900, 100):
+        far = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        far[q] = np.inf
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(far)[:10].tolist()
