@@ -13,7 +13,7 @@ from shiftloom.llm.simhash import drop_near_duplicates
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go."""
+    """Documents without any letter, or in none of the languages learned, go."""
     return keep_identified(docs)
 
 

@@ -18,6 +18,8 @@ from .mixing import uniform
 #: The fit's bounds: pieces of labelled documents per language, code points of a piece, languages.
 PIECES, PIECE, LANGUAGES = 96, 256, 64
 SEGMENT = 256
+#: Symbols from which on a text is long enough to tell whether it is of any language learned.
+TELLING = 128
 
 
 def labelled_sample(docs: DataFrame, train: Column, seed: int = 20240509, pieces: int = PIECES, piece: int = PIECE, languages: int = LANGUAGES) -> dict[str, str]:
@@ -157,8 +159,29 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 
 
-def predict(texts: list[str | None], samples: tuple[tuple[str, str], ...]) -> tuple[list[str], list[float]]:
-    """Language and score of each text: 1 less the best over the second best entropy."""
+def bit_limits(samples: dict[str, str], piece: int = PIECE) -> dict[str, float]:
+    """Bits a symbol beyond which a text is not of the language: half way from those of labelled pieces
+    parsed against the language's other pieces to those of the same pieces with their symbols shuffled.
+    A language of fewer than 4 pieces, or whose pieces differ too little from shuffled ones, has none."""
+    cut = {k: [t[a : a + piece] for a in range(0, len(t), piece)] for k, t in samples.items()}
+    out, rng = {}, np.random.default_rng(20240510)
+    for name, pieces in cut.items():
+        if len(pieces) < 4:
+            continue
+        p = Parser(((name, " ".join(pieces[::2])),))
+        tried = [x for x in (p.symbols(code_points(t.lower())) for t in pieces[1::2]) if len(x)]
+        if not tried:
+            continue
+        high = float(p.phrases(tried).max())
+        noise = float(np.median(p.phrases([rng.permutation(x) for x in tried])))
+        if noise > high:
+            out[name] = (high + noise) / 2
+    return out
+
+
+def predict(texts: list[str | None], samples: tuple[tuple[str, str], ...], limits: dict[str, float] | None = None) -> tuple[list[str], list[float]]:
+    """Language and score of each text: 1 less the best over the second best entropy. A text of TELLING
+    symbols or more whose bits are beyond the limit of its best language has none."""
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not samples:
         return names, scores
@@ -168,7 +191,9 @@ def predict(texts: list[str | None], samples: tuple[tuple[str, str], ...]) -> tu
         bits = p.phrases(held)
         order = np.argsort(bits, axis=1, kind="stable")
         best = np.take_along_axis(bits, order[:, :2], 1)
-        for i, o, b in zip(at, order[:, 0].tolist(), best.tolist()):
+        for i, o, b, x in zip(at, order[:, 0].tolist(), best.tolist(), held):
+            if limits and len(x) >= TELLING and b[0] > limits.get(p.names[o], np.inf):
+                continue
             names[i] = p.names[o]
             scores[i] = 1.0 if len(b) < 2 else float(min(1.0, max(0.0, 1 - b[0] / b[1])))
 
@@ -189,10 +214,11 @@ def predict(texts: list[str | None], samples: tuple[tuple[str, str], ...]) -> tu
     return names, scores
 
 
-def identify(docs: DataFrame, samples: dict[str, str], name: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], name: str = "lang_pred", score: str = "score", limits: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1, from the text alone.
 
-    ``und`` with score 0: a text that is null or has no letter, or no language was learned. Equal
+    ``und`` with score 0: a text that is null or has no letter, or no language was learned, or a
+    text beyond the ``limits`` of :func:`bit_limits`, if given. Equal
     entropies go to the smaller name. Columns named like the two added ones are replaced.
     """
     docs = docs.drop(name, score)
@@ -200,7 +226,7 @@ def identify(docs: DataFrame, samples: dict[str, str], name: str = "lang_pred",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = predict(b.column(at).to_pylist(), fixed)
+            names, scores = predict(b.column(at).to_pylist(), fixed, limits)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, name, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
@@ -219,8 +245,15 @@ def language_query(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, unsure: float = 0.0) -> DataFrame:
-    """``docs`` without the texts of no language: ``und``, or a score under ``unsure``. Short texts
-    often fit two languages, so by default no score is too low."""
+    """``docs`` without the texts of no language: no letter, bits beyond the limit learned from the
+    labelled texts, or a score under ``unsure``. Short texts often fit two languages, so by default no
+    score is too low. Texts with letters stay where nothing can be told: no language was learned, or
+    their own label is none of those learned."""
     name, score = fresh(docs, "lang_pred_", "score_")
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     samples = labelled_sample(docs, ~held_out(F.col("doc_id")))
-    return identify(docs, samples, name, score).where((F.col(name) != "und") & (F.col(score) >= unsure)).select(*docs.columns)
+    if not samples:
+        return docs.where(letter)
+    other = F.coalesce(~F.col("lang").isin(list(samples)), F.lit(False)) & letter
+    named = identify(docs, samples, name, score, bit_limits(samples))
+    return named.where(other | (F.col(name) != "und") & (F.col(score) >= unsure)).select(*docs.columns)

@@ -354,3 +354,14 @@ def test_vectors_that_share_a_code_are_all_ranked(spark, monkeypatch):
         far = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
         far[q] = np.inf
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.argsort(far)[:10].tolist()
+
+
+def test_texts_of_no_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(10)
+    junk = [(10_000 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(80)), None) for i in range(20)]
+    odd = docs.unionByName(spark.createDataFrame([*junk, (20_000, "word", None), (20_001, "12 !!", "en")], docs.schema))
+    kept = {r.doc_id for r in language.keep_identified(odd).collect()}
+    assert not kept & set(range(10_000, 10_020)) and 20_000 in kept and 20_001 not in kept
+    blank = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(blank).count() == blank.where(F.col("text").rlike(r"\p{L}")).count()
