@@ -36,7 +36,28 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/shiftloom-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _made.append(path)
+    back = spark.read.schema(schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+#: Folders that :func:`stored` has written and nothing has deleted.
+_made: list[str] = []
+
+
+def mark() -> int:
+    """Where the list of stored tables stands now, for :func:`release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, *tables: DataFrame, since: int | None = None, but: DataFrame | None = None) -> None:
+    """Deletes stored tables that nothing reads any more: ``tables``, and all stored after ``since``."""
+    gone = {t.stored_at for t in tables} | set(_made[since:] if since is not None else ())
+    for path in gone - {but.stored_at if but is not None else None}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
 
 
 def word_count(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,5 +33,6 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         joined = large.join(low, F.col("u") == F.col("x")).select("u", "v", "m")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
-        edges = stored(small.distinct())
+        last, edges = edges, stored(small.distinct())
+        release(edges.sparkSession, last)
     raise RuntimeError(f"components still change after {most_rounds} rounds")

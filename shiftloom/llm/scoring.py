@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import attention
 from .common import stored
 from .mixing import uniform
-from .words import hash_words, numbered, slices, split_words
+from .words import hash_words, lowered, numbered, slices, split_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces as the vocabulary was made for: contractions, letters, digits, others, spaces.
@@ -87,11 +87,6 @@ class Scorer:
     mix: float = 0.0  # weight of the words' shares
 
 
-def lowered(texts: pa.Array) -> pa.Array:
-    """Lower-cased A-Z. The copy is needed: on part of a longer array the kernel reads wrong bytes."""
-    return pc.ascii_lower(pc.cast(texts, pa.large_string()).take(pa.array(np.arange(len(texts)))))
-
-
 def sample_words(sample: list[str]) -> tuple[list[str], list[str]]:
     """(frequent words of the sample, other words of its tuning texts)."""
     distinct, number = numbered(split_words(lowered(pa.array(sample, pa.string())))[0])

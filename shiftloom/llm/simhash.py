@@ -1,4 +1,5 @@
-"""SimHash near-duplicate groups: fingerprints, pigeonhole blocks, verified Hamming distance."""
+"""SimHash near-duplicate groups: fingerprints, pigeonhole blocks, verified Hamming distance, and for
+stages an exact check of the shingles."""
 
 from __future__ import annotations
 
@@ -16,192 +17,279 @@ from pyspark.sql import types as T
 from .common import fresh, stored
 from .components import connected_components
 from .decontamination import bounded
+from .words import hash_words, lowered, mixed, numbered, runs, slices, split_words
 
 CHUNK = 1 << 16
+#: A text of at most so many partners in a bucket is paired with each of them; one of more, in a crowd of
+#: near copies, with its nearest and its smallest there.
+FEW = 4
+SEED = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingles of ``words`` words; ``lanes`` 64-bit fingerprints side by side, the hashes seeded 42,
-    43 and on. Two fingerprints link if the first lane differs in ``near`` bits or fewer and all lanes
-    together in ``near_all`` or fewer."""
+    """Fingerprints of ``lanes`` lanes (a power of two) of ``bits`` bits over shingles of ``words`` words are near if they
+    differ in ``near`` bits or fewer: then some lane differs in ``near // lanes`` or fewer. With
+    ``similarity``, near texts link only if their sets of shingles have that Jaccard similarity."""
 
     words: int = 5
-    lanes: int = 2
-    near: int = 12
-    near_all: int = 25
+    bits: int = 32
+    lanes: int = 4
+    near: int = 27
+    similarity: float | None = 0.8
 
 
 #: What the query's contract says: 4-word shingles, one lane, 4 bits.
-CONTRACT = Rule(words=4, lanes=1, near=4, near_all=4)
-#: For a stage: five words and a share of equal bits of 0.8 or more. The second lane keeps unrelated
-#: documents apart, which 64 bits can't at this distance.
+CONTRACT = Rule(words=4, bits=64, lanes=1, near=4, similarity=None)
+#: For a stage: of the texts of similarity 0.8, two in a hundred are further apart than 27 of 128 bits.
 STAGE = Rule()
 
 
-def fingerprint(text: bytes | None, rule: Rule) -> bytes:
-    """Majority bits over the shingle hashes, lanes big-endian one after another; no word: zero."""
+def fingerprint(text: bytes | None, words: int) -> bytes:
+    """The contract's 64 bits: majority over XXH64 of each shingle, repeats included; no word: zero."""
     import xxhash
 
-    words = (text or b"").lower().split()  # ASCII letters and ASCII white space only, as bytes
-    if not words:
-        return bytes(8 * rule.lanes)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    cut = (text or b"").lower().split()  # ASCII letters and ASCII white space only, as bytes
+    if not cut:
+        return bytes(8)
+    line = b" ".join(cut)
+    ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(rule.words, len(words))
-    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    out = []
-    for lane in range(rule.lanes):
-        seed, digest = 42 + lane, xxhash.xxh64_intdigest
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(starts), CHUNK):
-            hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype=">u8")
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(starts)).tobytes())
-    return b"".join(out)
+    k = min(words, len(cut))
+    starts, ends = starts[: len(cut) - k + 1].tolist(), ends[k - 1 :].tolist()
+    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    for at in range(0, len(starts), CHUNK):
+        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype=">u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(starts)).tobytes()
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes of each text end to end, how many of each). A text of fewer words
+    is one shingle, one without words has none. Hashes combine those of the words."""
+    flat, lengths = split_words(lowered(texts))
+    if not len(flat):
+        return np.empty(0, np.uint64), np.zeros(len(lengths), np.int64)
+    distinct, number = numbered(flat)
+    hashes = hash_words(distinct)[number, 0]
+    edges = np.concatenate(([0], np.cumsum(lengths)))
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    parts = []
+    for k in range(1, words + 1):
+        grams = runs(hashes, 0, k)
+        start = np.arange(len(grams))
+        if k == words:
+            start = start[owner[start] == owner[start + k - 1]]
+        else:
+            start = edges[:-1][lengths == k]
+        parts.append((owner[start], mixed(grams[start] + np.uint64(k))))
+    owner, grams = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((grams, owner))
+    owner, grams = owner[order], grams[order]
+    first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])))
+    return grams[first], np.bincount(owner[first], minlength=len(lengths))
+
+
+def set_prints(texts: pa.Array, rule: Rule) -> np.ndarray:
+    """For each text the majority bits over its distinct shingles and 4 bytes that tell sets of shingles
+    with equal bits apart, as bytes; no word: zero."""
+    grams, sizes = shingle_sets(texts, rule.words)
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), rule.bits * rule.lanes // 8 + 4), np.uint8)
+    for k in range(rule.bits * rule.lanes // 64):
+        ones = np.zeros((len(sizes), 64), np.int64)
+        for at in range(0, len(grams), CHUNK):
+            part, who = mixed(grams[at : at + CHUNK] ^ np.uint64(SEED * (k + 1) % (1 << 64))), owner[at : at + CHUNK]
+            first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+            ones[who[first]] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int64)
+        out[:, 8 * k : 8 * k + 8] = np.packbits(ones * 2 > sizes[:, None], axis=1)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some, -4:] = np.add.reduceat(mixed(grams + np.uint64(SEED)), cuts[:-1][some]).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out
 
 
 def with_fingerprints(docs: DataFrame, rule: Rule, name: str = "fingerprint", text_col: str = "text") -> DataFrame:
-    """``docs`` with a binary column ``name``."""
+    """``docs`` with a binary column ``name``: the fingerprint, and with a ``similarity`` the 4 bytes of
+    :func:`set_prints`."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(at).cast(pa.binary() if not pa.types.is_large_string(b.column(at).type) else pa.large_binary())
-            prints = pa.array((fingerprint(x.as_py(), rule) for x in texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, prints], names=[*b.schema.names, name])
+        for batch in batches:
+            for b in slices(batch, at, 2_000_000):
+                if rule.similarity is None:
+                    texts = b.column(at).cast(pa.binary() if not pa.types.is_large_string(b.column(at).type) else pa.large_binary())
+                    prints = [fingerprint(x.as_py(), rule.words) for x in texts]
+                else:
+                    prints = [x.tobytes() for x in set_prints(b.column(at), rule)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.binary())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
-def blocks_for(n: int, near: int) -> tuple[int, int]:
-    """(m, c): cut 64 bits into m blocks, join on every c of them. Pairs within ``near`` = m - c bits
+def blocks_for(n: int, near: int, bits: int = 64) -> tuple[int, int]:
+    """(m, c): cut a lane of ``bits`` bits into m blocks, join on every c of them. Lanes within ``near`` = m - c bits
     share c whole blocks. c is the cheapest from 2 on for n fingerprints, counting about 1 microsecond
     for a row sent and 2.5 nanoseconds for a comparison; the result is the same for each c. A single
     block is cheaper for few fingerprints only, and would make the rows sent for each grow with n."""
-    cost = lambda c: comb(near + c, c) * (1 + 0.0025 * n / 2 ** (64 * c / (near + c)))
+    cost = lambda c: comb(near + c, c) * (1 + 0.0025 * n / 2 ** (bits * c / (near + c)))
     c = min(range(2, 6), key=cost)
     return near + c, c
 
 
-def masks_for(m: int, c: int) -> np.ndarray:
-    edges = [round(64 * i / m) for i in range(m + 1)]
+def masks_for(m: int, c: int, bits: int = 64) -> np.ndarray:
+    edges = [round(bits * i / m) for i in range(m + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     return np.array([sum(block[i] for i in pick) for pick in itertools.combinations(range(m), c)], dtype=np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mix, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def lanes_of(prints: np.ndarray, rule: Rule) -> np.ndarray:
+    """Lanes of fingerprints (n, bytes) as (n, lanes) unsigned integers."""
+    own = np.ascontiguousarray(prints[:, : rule.bits * rule.lanes // 8])
+    return own.view(f">u{rule.bits // 8}").astype(np.uint64)
 
 
-def lanes_of(column: pa.Array, lanes: int) -> np.ndarray:
-    """Binary fingerprints as (n, lanes) unsigned integers."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=">u8")
-    return flat.astype(np.uint64).reshape(-1, lanes)
+def near_in_bucket(x: np.ndarray, lane: int, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, bits apart) of all near fingerprints of a bucket of one lane, both ways, row by row."""
+    most = rule.near // rule.lanes
+    step = max(1, (1 << 22) // len(x))
+    for s in range(0, len(x), step):
+        rows, cols = np.nonzero(np.bitwise_count(x[s : s + step, None, lane] ^ x[None, :, lane]) <= most)
+        rows += s
+        other = rows != cols
+        rows, cols = rows[other], cols[other]
+        apart = np.bitwise_count(x[rows] ^ x[cols]).sum(axis=1, dtype=np.int64)
+        ok = apart <= rule.near
+        yield rows[ok], cols[ok], apart[ok]
 
 
-def group_labels(x: np.ndarray, rule: Rule) -> np.ndarray:
-    """Component of each fingerprint among ``x``: index of its first member."""
-    g = len(x)
-    labels = np.arange(g)
-    step = max(1, (1 << 22) // g)
-    for s in range(0, g, step):
-        apart = np.bitwise_count(x[s : s + step, None, 0] ^ x[None, :, 0]).astype(np.uint16)
-        ok = apart <= rule.near
-        if rule.lanes > 1:
-            rows, cols = np.nonzero(ok)
-            total = np.bitwise_count(x[s + rows] ^ x[cols]).sum(axis=1, dtype=np.uint16)
-            ok[rows, cols] = total <= rule.near_all
-        for i in np.flatnonzero(ok.sum(axis=1) > 1):
-            seen = labels[np.flatnonzero(ok[i])]
+def stars(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a component of the bucket with the component's first."""
+    labels = np.arange(len(x))
+    for rows, cols, _ in near_in_bucket(x, lane, rule):
+        cuts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1], [True]))) if len(rows) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            seen = labels[np.append(cols[a:b], rows[a])]
             low = seen.min()
             if (seen != low).any():
                 labels[np.isin(labels, np.unique(seen))] = low
-    return labels
+    moved = np.flatnonzero(labels != np.arange(len(x)))
+    return moved, labels[moved]
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Links within the buckets of one task: each member to the first of its component there.
+def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of the bucket with all that are near, if they are FEW, or with the nearest and the first."""
+    left, right = [], []
+    for rows, cols, apart in near_in_bucket(x, lane, rule):
+        if not len(rows):
+            continue
+        cuts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        degree = np.diff(np.append(cuts, len(rows)))
+        every = np.repeat(degree <= FEW, degree)
+        nearest = np.minimum.reduceat(apart * len(x) + cols, cuts) % len(x)
+        left += [rows[every], rows[cuts], rows[cuts]]
+        right += [cols[every], cols[cuts], nearest]
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.unique(np.maximum(a, b) * len(x) + np.minimum(a, b))
+    return both // len(x), both % len(x)
 
-    A bucket of over ``most`` fingerprints is handed back row by row (with its key, without v).
-    """
+
+def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Links (u, v), v the smaller, within the buckets of one task. Columns: keys and fingerprints, many to
+    a row. A bucket of over ``most`` fingerprints is handed back row by row (with its key, without v)."""
     keys, prints = [], []
     for b in batches:
-        keys.append(b.column(0).to_numpy(zero_copy_only=False))
-        prints.append(lanes_of(b.column(1), rule.lanes))
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("key", pa.int64())])
+        keys += b.column(0).to_pylist()
+        prints += b.column(1).to_pylist()
     if not keys:
         return
-    key, x = np.concatenate(keys), np.concatenate(prints)
-    order = np.argsort(key, kind="stable")
-    key, x = key[order], x[order]
+    key = np.frombuffer(b"".join(keys), "<i8")
+    raw = np.frombuffer(b"".join(prints), np.uint8).reshape(len(key), -1)
+    order = np.lexsort((np.ascontiguousarray(raw).view(f"S{raw.shape[1]}").ravel(), key))
+    key, raw = key[order], raw[order]
+    x = lanes_of(raw, rule)
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    left, right, hot = [], [], []
     sizes = np.diff(cuts)
+    left, right, hot = [], [], []
     for a, n in zip(cuts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         if most and n > most:
             hot.append(np.arange(a, a + n))
             continue
-        labels = group_labels(x[a : a + n], rule)
-        moved = np.flatnonzero(labels != np.arange(n))
-        left.append(moved + a)
-        right.append(labels[moved] + a)
-    raw = x.astype(">u8")
+        u, v = (stars if rule.similarity is None else partners)(x[a : a + n], int(key[a]) % rule.lanes, rule)
+        left.append(u + a)
+        right.append(v + a)
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("key", pa.int64())])
     give = lambda ids: pa.array([r.tobytes() for r in raw[ids]], pa.binary())
     if left and len(u := np.concatenate(left)):
-        pair = np.unique(np.concatenate([x[u], x[v := np.concatenate(right)]], axis=1), axis=0, return_index=True)[1]
+        pair = np.unique(np.concatenate([raw[u], raw[v := np.concatenate(right)]], axis=1), axis=0, return_index=True)[1]
         yield pa.RecordBatch.from_arrays([give(u[pair]), give(v[pair]), pa.nulls(len(pair), pa.int64())], schema=schema)
     for ids in hot:
         yield pa.RecordBatch.from_arrays([give(ids), pa.nulls(len(ids), pa.binary()), pa.array(key[ids])], schema=schema)
 
 
+def pack(key: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys and fingerprints by bucket, a row per bucket."""
+    at = np.asarray((key.astype(np.uint64) >> np.uint64(8)) % np.uint64(buckets), np.int64)
+    order = np.argsort(at, kind="stable")
+    key, raw, at = key[order], raw[order], at[order]
+    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
+    packs = [pa.array([y[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for y in (key.astype("<i8"), raw)]
+    return pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), *packs], names=["bucket", "keys", "prints"])
+
+
 def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000) -> DataFrame:
-    """Links (u, v) that connect all fingerprints (one binary column, distinct) the rule connects.
+    """Links (u, v) among all fingerprints (one binary column, distinct). Without a ``similarity`` in the
+    rule they connect all fingerprints that near ones connect; with one they are near pairs to be verified.
 
-    Each fingerprint goes to one bucket per choice of blocks. A bucket sends on a star per component
-    and never its pairs. Buckets of over ``most`` distinct fingerprints are cut into parts, and every
-    two parts meet in a task of their own.
+    Each fingerprint goes to one bucket per lane and choice of blocks. A bucket sends on a star per
+    component, or a few partners of each member, and never the pairs of a crowd. Buckets of over ``most`` distinct
+    fingerprints are cut into parts, and every two parts meet in a task of their own.
     """
     spark = prints.sparkSession
     prints = prints.toDF("u")
     n = prints.count()
-    m, c = blocks_for(n, rule.near)
-    masks = masks_for(m, c)
+    m, c = blocks_for(n, rule.near // rule.lanes, rule.bits)
+    masks = masks_for(m, c, rule.bits)
     salt = mixed(np.arange(1, len(masks) + 1, dtype=np.uint64))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * rule.lanes * len(masks) // rows_a_task))
+    buckets = 4 * tasks
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
-                first = lanes_of(part.column(0), rule.lanes)[:, :1]
-                key = mixed((first & masks) ^ salt).view(np.int64)
-                again = pa.array(np.repeat(np.arange(len(part)), len(masks)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(again)], names=["key", "u"])
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * comb(m, c) // rows_a_task))
-    keyed = prints.mapInArrow(emit, "key long, u binary").repartition(tasks, "key")
+            for at in range(0, len(b), 5000):
+                raw = np.frombuffer(b"".join(b.column(0).slice(at, 5000).to_pylist()), np.uint8).reshape(min(5000, len(b) - at), -1)
+                x = lanes_of(raw, rule)
+                for lane in range(rule.lanes):
+                    key = mixed((x[:, lane : lane + 1] & masks) ^ salt)
+                    key -= (key - np.uint64(lane)) % np.uint64(rule.lanes)  # the key tells the lane
+                    yield pack(key.view(np.int64).ravel(), np.repeat(raw, len(masks), axis=0), buckets)
+
+    keyed = prints.mapInArrow(emit, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
     found = stored(keyed.mapInArrow(lambda bs: bucket_links(bs, rule, most), "u binary, v binary, key long"))
     links, hot = found.where("v IS NOT NULL").select("u", "v"), found.where("v IS NULL")
     if hot.limit(1).count():
         half = max(1, most // 2)
         parts = hot.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
         own = F.pmod(F.xxhash64("u", F.lit(7)), F.col("parts")).cast("int")
+        lane = F.pmod("key", F.lit(rule.lanes))
         meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("key", F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
-        dealt = hot.join(parts, "key").withColumn("own", own).select(F.explode(meets).alias("key"), "u")
-        more = dealt.repartition(tasks, "key").mapInArrow(lambda bs: bucket_links(bs, rule, None), "u binary, v binary, key long")
-        links = links.unionByName(stored(more.select("u", "v")))
-    return links
+        dealt = hot.join(parts, "key").withColumn("own", own).select(F.explode(meets).alias("meet"), lane.alias("lane"), "u")
+        dealt = dealt.select((F.shiftleft(F.shiftright("meet", 8), 8) + F.col("lane")).alias("key"), "u")
+        repack = lambda bs: (pack(b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), buckets) for b in bs if len(b))
+        more = dealt.mapInArrow(repack, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
+        links = links.unionByName(stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None), "u binary, v binary, key long").select("u", "v")))
+    return links.distinct()
 
 
-def fingerprint_roots(rows: DataFrame, rule: Rule, name: str = "fingerprint") -> DataFrame:
-    """``rows`` (stored, with a fingerprint column) -> each distinct fingerprint, its rows and its root."""
-    classes = stored(rows.groupBy(name).agg(F.count("*").alias("n")))
-    found = connected_components(fingerprint_links(classes.select(name), rule))
-    return classes.join(found, F.col(name) == F.col("node"), "left").select(name, "n", F.coalesce("root", name).alias("root"))
+def contracted(links: DataFrame) -> DataFrame:
+    """The same components with about one link a node: each node keeps its least centre, and its other
+    centres, no more than the buckets that it is in, are linked to that one."""
+    own = links.groupBy("u").agg(F.min("v").alias("low"), F.collect_set("v").alias("all"))
+    far = own.select(F.explode("all").alias("u"), F.col("low").alias("v")).where("u <> v")
+    return own.select("u", F.col("low").alias("v")).unionByName(far).distinct()
 
 
 def simhash_query(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
@@ -211,24 +299,58 @@ def simhash_query(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     component_id unless no other id is reachable; repeated rows stay; an empty table gives no row.
     """
     rows = stored(with_fingerprints(docs.select("doc_id", "text"), rule).select("doc_id", "fingerprint"))
-    roots = stored(fingerprint_roots(rows, rule))
-    low = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")).join(roots, "fingerprint").groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
+    found = connected_components(contracted(fingerprint_links(classes.select("fingerprint"), rule)))
+    roots = stored(classes.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")))
+    low = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     named = roots.join(low, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def with_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` (node, text) -> node and the text's sorted distinct shingles, 4 bytes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, 1, 2_000_000):
+                grams, sizes = shingle_sets(b.column(1), words)
+                cuts = np.concatenate(([0], np.cumsum(sizes)))
+                short = (grams >> np.uint64(32)).astype("<u4")  # still sorted
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short[a:c].tobytes() for a, c in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["node", "grams"])
+
+    return texts.mapInArrow(run, "node binary, grams binary")
+
+
+def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of the rows u, v, one, two (their shingles) the u and v of Jaccard similarity ``least`` or more."""
+    for batch in batches:
+        ok = []
+        for a, b in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
+            shared = len(np.intersect1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+            ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
 def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     """``docs`` with one row of each group of linked documents: that of the smallest doc_id (null
     last), of equal ids the first stored. Texts are stored once with their fingerprints and row
-    numbers, so a repeated row is still a row of its own. All columns are kept.
+    numbers, so a repeated row is still a row of its own. Texts of one set of shingles are one node;
+    near nodes link if the sets of shingles have the rule's similarity. Null and empty texts are one
+    group. All columns are kept.
     """
     mark, row = fresh(docs, "fingerprint_", "row_")
     rows = stored(with_fingerprints(docs, rule, mark).withColumn(row, F.monotonically_increasing_id()))
-    slim = rows.select(F.col(mark).alias("fingerprint"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("who"))
-    roots = fingerprint_roots(slim, rule)
-    sizes = roots.groupBy("root").agg(F.sum("n").alias("size")).where("size > 1").select("root")
-    grouped = roots.join(sizes, "root").select("fingerprint", "root")
-    members = stored(slim.join(grouped, "fingerprint").select("root", "who"))
-    keepers = members.groupBy("root").agg(F.min("who").alias("kept"))
+    slim = rows.select(F.col(mark).alias("node"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("who"))
+    nodes = stored(slim.groupBy("node").agg(F.min("who.row").alias("row")))
+    pairs = stored(fingerprint_links(nodes.select("node"), rule))
+    ends = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node"))
+    texts = rows.join(bounded(ends.select(F.col("node").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
+    sets = stored(with_sets(texts, rule.words))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("two")), "v")
+    links = both.select("u", "v", "one", "two").mapInArrow(lambda bs: similar(bs, rule.similarity), "u binary, v binary")
+    found = connected_components(links).withColumnRenamed("node", "member")
+    members = stored(slim.join(found, F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "who"))
+    keepers = members.groupBy("root").agg(F.min("who").alias("kept"), F.count("*").alias("n")).where("n > 1")
     gone = stored(members.join(keepers, "root").where("who.row <> kept.row").select(F.col("who.row").alias("gone_")))
     return rows.join(bounded(gone), rows[row] == gone["gone_"], "left_anti").select(*docs.columns)

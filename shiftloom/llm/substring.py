@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored
-from .simhash import mixed
-from .words import hash_words, numbered, slices, split_words
+from .words import hash_words, mixed, numbered, runs, slices, split_words
 
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 DEPTH = 2
 BLOCK_BITS = 20
 #: Most cells of a sketch row (a power of two): the merged sketch sent to the tasks has DEPTH bits a
@@ -32,38 +30,6 @@ BLOCK_BITS = 20
 MOST_CELLS = 1 << 30
 
 
-@dataclass
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2 ** 64, as many as were asked for."""
-
-    base: np.uint64
-    up: np.ndarray
-    down: np.ndarray
-
-
-_powers: dict[int, Powers] = {}
-
-
-def powers(which: int, n: int) -> Powers:
-    have = _powers.get(which)
-    if have is None or len(have.up) < n:
-        base = int(BASES[which])
-        inverse = pow(base, -1, 1 << 64)
-        line = lambda b: np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, b, np.uint64))))
-        have = _powers[which] = Powers(BASES[which], line(np.uint64(base)), line(np.uint64(inverse)))
-    return have
-
-
-def runs(hashes: np.ndarray, which: int, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``length`` words, from the words' hashes."""
-    n = len(hashes)
-    if n < length:
-        return np.empty(0, np.uint64)
-    p = powers(which, n)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(hashes * p.up[:n])))
-    return mixed((total[length:] - total[:-length]) * p.down[: n - length + 1])
-
-
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Least (or greatest) of each ``width`` neighbours."""
     pick = np.minimum if least else np.maximum

@@ -26,19 +26,15 @@ def prose(rng, n, vocabulary=4000):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
-def test_masks_find_every_tolerated_overlap():
-    for bad in itertools.combinations(range(decontamination.WINDOW), 3):
-        assert any(all(i + o not in bad for o in m) for m in decontamination.MASKS for i in range(decontamination.WINDOW - m[-1]))
-
-
 def test_seeds_meet_in_every_tolerated_overlap(spark):
     rows = []
     for n in range(8, decontamination.WINDOW + 1):
         for bad in itertools.combinations(range(n), n - -(-n * 8 // 10)):
             rows.append((n, str(bad), [f"w{i}" for i in range(n)], [f"{'x' if i in bad else 'w'}{i}" for i in range(n)]))
     df = spark.createDataFrame(rows, "n int, bad string, a array<string>, b array<string>")
-    one, two = (F.filter(decontamination.seed_hashes(F.col(c), decontamination.MASKS), lambda x: x.isNotNull()) for c in "ab")
-    assert df.where(~F.arrays_overlap(one, two)).select("n", "bad").collect() == []
+    one, two = (decontamination.seeds(df.select("n", "bad", c), c, decontamination.MASKS) for c in "ab")
+    met = one.join(two, ["n", "bad", "at", "seed"]).select("n", "bad").distinct()
+    assert met.count() == len(rows)
 
 
 def test_short_items_match_as_whole_runs(spark):
@@ -79,6 +75,8 @@ def test_leaks_against_brute_force(spark):
     bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)] + [(98, None), (99, "short one")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()}
     assert got == want and len(want) > 10
+    shuffled = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench, most=1).collect()}
+    assert shuffled == want
     kept = {r.doc_id for r in decontamination.drop_leaks(df, bench).collect()}
     assert kept == {r.doc_id for r in df.collect()} - {i for i, _ in want}
     assert decontamination.find_leaks(df.limit(0), bench).count() == decontamination.find_leaks(df, bench.limit(0)).count() == 0
@@ -150,7 +148,7 @@ def test_crowded_buckets_are_searched_whole(spark):
     centre = rng.getrandbits(64)
     prints = {centre ^ sum(1 << b for b in rng.sample(range(64), 6)) for _ in range(150)}
     df = spark.createDataFrame([(bytearray(p.to_bytes(8, "big")),) for p in prints], "fingerprint binary")
-    rule = simhash.Rule(words=4, lanes=1, near=6, near_all=6)
+    rule = simhash.Rule(words=4, bits=64, lanes=1, near=6, similarity=None)
     one = components.connected_components(simhash.fingerprint_links(df, rule))
     two = components.connected_components(simhash.fingerprint_links(df, rule, most=4))
     as_set = lambda x: {(bytes(r.node), bytes(r.root)) for r in x.collect()}
@@ -160,6 +158,55 @@ def test_crowded_buckets_are_searched_whole(spark):
     assert len(as_set(one)) == sum(Counter(want)[r] > 1 for r in want)
 
 
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_duplicates_against_exact_similarity(spark):
+    """Groups linked at a Jaccard similarity of 0.8 or more, repeated shingles and short texts included;
+    texts whose repeated half is equal, or of similarity 0.5, are no copies."""
+    rng = random.Random(12)
+    texts = ["a b", "A  b", "a c", "", None, "x " * 400 + "one two three", "x " * 400 + "four five six seven eight nine"]
+    for _ in range(30):
+        base = prose(rng, rng.choice((40, 120, 400)))
+        texts.append(" ".join(base))
+        for n in (1, 1, 2, 12):
+            copy = list(base)
+            for _ in range(n):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
+            texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(root) and len(kept) < len(texts) - 40
+
+
+def test_a_crowd_of_near_copies_is_one_group(spark):
+    rng = random.Random(13)
+    base = prose(rng, 200)
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"own{i}"
+        rows.append((i + 5, " ".join(copy)))
+    df = frame(spark, rows, more=False)
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [5]
+    prints = [(bytearray(r.fp),) for r in simhash.with_fingerprints(df, simhash.STAGE, "fp").select("fp").distinct().collect()]
+    nodes = spark.createDataFrame(prints, "fp binary")
+    assert simhash.fingerprint_links(nodes, simhash.STAGE).count() < 120 * len(prints)  # all pairs: 750 a node
+    own = simhash.with_fingerprints(df, simhash.CONTRACT, "fp").select("fp").distinct()
+    links = simhash.fingerprint_links(own, simhash.CONTRACT)
+    less = simhash.contracted(links)
+    parts = lambda x: {(bytes(r.node), bytes(r.root)) for r in components.connected_components(x).collect()}
+    assert parts(links) == parts(less) and less.count() <= 3 * own.count()
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(5)
     base = prose(rng, 300)
