@@ -19,6 +19,8 @@ WINDOW = 15
 SIMILARITY = 0.8
 #: Rows that a broadcast side may have; beyond, the same join runs shuffled.
 BROADCAST_ROWS = 400_000
+#: Longs of the bit filter that spares most seeds of documents the shuffle then: 8 MB.
+FILTER_WORDS = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -26,22 +28,15 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
-def seed_hashes(words: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
-    """Array with the hash of each position under each mask, position by position; null where the
-    mask reaches over the end. A mask's hashes differ from those of every other mask."""
-    size = F.size(words)
-
-    def at(i: Column) -> Column:
-        each = [(mask, F.xxhash64(F.lit(sum(1 << o for o in mask)), *[F.get(words, i + o) for o in mask])) for mask in masks]
-        return F.array(*[F.when(i + mask[-1] < size, seed) for mask, seed in each])
-
-    return F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), at))).otherwise(F.array().cast("array<bigint>"))
-
-
 def seeds(rows: DataFrame, words: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """The other columns of ``rows`` with seed and at (token), a row per position and mask."""
-    hashed = rows.select(*[c for c in rows.columns if c != words], F.posexplode(seed_hashes(F.col(words), masks)).alias("place", "seed"))
-    return hashed.where(F.col("seed").isNotNull()).withColumn("at", F.floor(F.col("place") / len(masks)).cast("int")).drop("place")
+    """The other columns of ``rows`` with seed and at (token), a row per position and mask. Each mask is
+    hashed up to its own end; its hashes differ from those of every other mask. Written with generators
+    and plain column functions, so that it runs as compiled code."""
+    others = [c for c in rows.columns if c != words]
+    placed = rows.where(F.size(words) > 0).select(*others, words, F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("at"))
+    get = lambda o: F.get(words, F.col("at") + o)
+    each = [F.when(F.col("at") + mask[-1] < F.size(words), F.xxhash64(F.lit(sum(1 << o for o in mask)), *[get(o) for o in mask])) for mask in masks]
+    return placed.select(*others, "at", F.explode(F.array(*each)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,13 +44,29 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+def seed_bits(item_seeds: DataFrame, words: int = FILTER_WORDS) -> Column:
+    """A condition on ``seed`` that every seed of ``item_seeds`` meets and few others do: a bit for each
+    seed in an array of at most ``words`` longs, which one aggregation fills and every task gets."""
+    at, bit = F.pmod("seed", F.lit(words)).cast("int"), F.shiftrightunsigned("seed", 58).cast("int")
+    lines = item_seeds.select(at.alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    table = lines.agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("m"))
+    filled = table.select(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))))
+    return F.get(filled.scalar(), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
+
+
+def same_text(text_hash: Column, text: Column | None = None) -> Column:
+    """Whether the text has the hash, as a difference: so it is no join key, and is taken of texts of the id only."""
+    return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit(""))).bitwiseXOR(text_hash) == 0
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, most: int = BROADCAST_ROWS) -> DataFrame:
     """Benchmark passages in documents: one row per document (doc_id, text) and item.
 
     Leak: on one alignment of the two token sequences some ``window`` consecutive tokens (the whole
     item, if it is shorter) of which at least the share ``similarity`` is equal, so replaced words
     are tolerated; items of fewer tokens than the longest mask spans are leaks only if all their tokens
     stand in the document as they are, and items without tokens match nothing.
+    Seeds of up to ``most`` rows of items are broadcast; more are met in a shuffle, behind a bit filter.
     Returns doc_id, text_hash, item_id, doc_start (token where the item's first token would stand),
     n_item, n_matched (equal tokens on that alignment), best_window.
 
@@ -72,19 +83,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ..
     item_seeds = stored(item_seeds.withColumnRenamed("at", "item_at"))
     words = docs.select(F.col("doc_id"), text_hash.alias("text_hash"), tokens(F.col("text")).alias("words"))
     doc_seeds = seeds(words, "words", (*masks, *[tuple(range(n)) for n in short]))
-    hits = doc_seeds.join(bounded(item_seeds), "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    few = item_seeds.limit(most + 1).count() <= most
+    met = doc_seeds.join(F.broadcast(item_seeds), "seed") if few else doc_seeds.where(seed_bits(item_seeds)).join(item_seeds, "seed")
+    hits = met.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     found = stored(hits.distinct())
 
     around = (
-        docs.select(F.col("doc_id").alias("d"), text_hash.alias("h"), "text")
-        .join(bounded(found), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
+        docs.select(F.col("doc_id").alias("d"), "text")
+        .join(bounded(found), F.col("d").eqNullSafe(F.col("doc_id")) & same_text(F.col("text_hash")))
         .join(bounded(items, 20_000).select(F.col("item_id").alias("i"), "item"), F.col("item_id").eqNullSafe(F.col("i")))
         .select("doc_id", "text_hash", "item_id", "shift", "item", tokens(F.col("text")).alias("words"))
     )
     skip = F.greatest(-F.col("shift"), F.lit(0))
     length = F.least(F.size("item") - skip, F.size("words") - skip - F.col("shift"))
     equal = F.zip_with(F.slice("words", F.col("shift") + skip + 1, length), F.slice("item", skip + 1, length), lambda a, b: (a == b).cast("int"))
-    marked = around.select("doc_id", "text_hash", "item_id", "shift", F.size("item").alias("n_item"), equal.alias("equal"))
+    # Stored, or the filter below would be moved to the join, with the tokens taken again for each window.
+    marked = stored(around.select("doc_id", "text_hash", "item_id", "shift", F.size("item").alias("n_item"), equal.alias("equal")))
     wide = F.least(F.lit(window), F.col("n_item"))
     add = lambda a, x: a + x
     in_windows = F.transform(F.sequence(F.lit(1), F.size("equal") - wide + 1), lambda i: F.aggregate(F.slice("equal", i, wide), F.lit(0), add))
@@ -102,7 +116,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage (see :func:`find_leaks`)."""
     key, d = fresh(docs, "key_", "d_")
     leaks = stored(find_leaks(docs, benchmark, **rules).select(F.col("doc_id").alias(d), F.col("text_hash").alias(key)).distinct())
-    same = docs["doc_id"].eqNullSafe(leaks[d]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks[key])
+    same = docs["doc_id"].eqNullSafe(leaks[d]) & same_text(leaks[key], docs["text"])
     return docs.join(bounded(leaks), same, "left_anti")
 
 
