@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftloom.llm.common import read_table, stored
+from shiftloom.llm.common import mark, read_table, release, stored
 from shiftloom.llm.decontamination import drop_leaks
 from shiftloom.llm.language import keep_identified
 from shiftloom.llm.mixing import take_mix
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        before, last = mark(), docs
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs)
+            release(spark, *([last] if i else []), since=before, but=docs)
     return docs
