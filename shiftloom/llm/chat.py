@@ -41,6 +41,21 @@ class Template:
         return rf"(?<!\\){re.escape(mark)}"
 
 
+def running(numbers: Column) -> Column:
+    """Sum of all numbers before each. An array that grows one by one is copied each time, so the sums are
+    made in runs of about the square root of the length."""
+
+    def sums(part: Column, start: Column) -> Column:
+        first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    size = F.size(numbers)
+    width = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), width), lambda i: F.slice(numbers, i, width))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(parts, sums(totals, F.lit(0)), sums))
+
+
 def format_chat(turns: DataFrame, template: Template = Template(), loss_roles: tuple[str, ...] = ("assistant",), id_col: str = "conv_id") -> DataFrame:
     """One row per conversation: id, ``formatted`` and ``loss_spans`` (start and length in characters).
 
@@ -54,15 +69,15 @@ def format_chat(turns: DataFrame, template: Template = Template(), loss_roles: t
     rows = turns.select(id_col, F.struct(F.col("turn").alias("turn"), role.alias("role"), template.escape(text).alias("text")).alias("row_"))
     sorted_rows = rows.groupBy(id_col).agg(F.sort_array(F.collect_list("row_")).alias("rows_"))
 
-    def add(blocks: Column, row: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == row["role"])
-        grown = F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(row["text"])).alias("texts"))))
-        fresh = F.concat(blocks, F.array(F.struct(row["role"].alias("role"), F.array(row["text"]).alias("texts"))))
-        return F.when(same, grown).otherwise(fresh)
-
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    blocks = sorted_rows.select(id_col, F.aggregate("rows_", empty, add).alias("blocks_"))
+    rows_, roles, n = F.col("rows_"), F.col("roles_"), F.size("rows_")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(roles, i) != F.element_at(roles, F.greatest(i - 1, F.lit(1)))))
+    laid_out = sorted_rows.select(id_col, rows_, F.transform(rows_, lambda r: r["role"]).alias("roles_"), F.transform(rows_, lambda r: r["text"]).alias("texts_"))
+    begun = laid_out.select(id_col, "roles_", "texts_", starts.alias("starts_"))
+    ends = F.concat(F.slice("starts_", 2, F.size("starts_")), F.array(F.size("roles_") + 1))
+    blocks = begun.select(
+        id_col,
+        F.zip_with("starts_", ends, lambda s, e: F.struct(F.element_at("roles_", s).alias("role"), F.slice("texts_", s, e - s).alias("texts"))).alias("blocks_"),
+    )
 
     def pieces(block: Column) -> Column:
         """Pieces of a block in order: control text, then turn text, alternating."""
@@ -75,16 +90,11 @@ def format_chat(turns: DataFrame, template: Template = Template(), loss_roles: t
         return F.concat(texts, F.array(F.struct(F.lit("\n" + template.close).alias("mark"), F.lit("").alias("text"), F.lit(False).alias("loss"))))
 
     laid = blocks.select(id_col, F.flatten(F.transform("blocks_", pieces)).alias("pieces_"))
-    spans = F.aggregate(
-        "pieces_",
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["mark"]) + F.length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["mark"])).alias("start"), F.length(p["text"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
+    placed = laid.withColumn("at_", running(F.transform("pieces_", lambda p: F.length(p["mark"]) + F.length(p["text"]))))
+    where = F.zip_with("pieces_", "at_", lambda p, at: F.struct((at + F.length(p["mark"])).alias("start"), F.length(p["text"]).alias("length"), p["loss"].alias("loss")))
+    spans = F.transform(F.filter(where, lambda w: w["loss"]), lambda w: F.struct(w["start"].alias("start"), w["length"].alias("length")))
     joined = F.array_join(F.transform("pieces_", lambda p: F.concat(p["mark"], p["text"])), "")
-    return laid.select(id_col, joined.alias("formatted"), spans.alias("loss_spans"))
+    return placed.select(id_col, joined.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column, template: Template = Template()) -> Column:
@@ -92,7 +102,7 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
     blocks = F.slice(F.split(formatted, template.real(template.open)), 2, 1 << 30)
 
     def turns(block: Column) -> Column:
-        halves = F.split(block, template.real("\n" + template.body), 2)
+        halves = F.split(block, r"\n" + template.real(template.body), 2)
         body = F.split(F.element_at(halves, 2), r"\n" + template.real(template.close), 2)
         texts = F.split(F.element_at(body, 1), r"\n" + template.real(template.more))
         return F.transform(texts, lambda t: F.struct(template.unescape(F.element_at(halves, 1)).alias("role"), template.unescape(t).alias("text")))

@@ -20,6 +20,8 @@ CHATS = {
     1: [("system", ""), ("user", "a\\<|end|>\n<|more|>"), ("user", "\\"), ("assistant", "b\n"), ("assistant", "</s>[INST]"), ("user", "\\\\<|turn|>x")],
     2: [("assistant", "é [/INST] \\</s>")],
     3: [("", "x"), ("<|text|>", "y")],
+    4: [("\\", "\\"), ("r\\", "\\\\"), ("r\\", "\\\n<|more|>\\"), ("\n<|text|>\\", "\n<|end|>"), ("\\<|turn|>", "")],
+    5: [(r, f"t{i}\\") for i, r in enumerate(["user", "assistant", "assistant"] * 300)],
 }
 
 
@@ -31,7 +33,7 @@ def chats(spark):
 
 def test_chat_reads_back_whole(spark):
     out = {r.conv_id: r for r in chat.chat_query(chats(spark)).collect()}
-    assert set(out) == {-1, 1, 2, 3}
+    assert set(out) == {-1, 1, 2, 3, 4, 5}
     for c, turns in CHATS.items():
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (out[c].n_turns, out[c].turns_sha256) == (len(turns), digest(turns))
@@ -45,6 +47,8 @@ def test_chat_merges_and_marks(spark):
     t = chat.Template()
     assert len(r.formatted.split("\n" + t.close)) - 1 == 4  # system, user, assistant, user
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["b\n", "\\</s>\\[INST]"]
+    long = chat.format_chat(chats(spark).where("conv_id = 5")).first()
+    assert [long.formatted[s.start : s.start + s.length] for s in long.loss_spans] == [f"t{i}\\" for i in range(900) if i % 3]
 
 
 def test_chat_sql_and_empty(spark):
