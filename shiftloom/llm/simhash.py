@@ -17,11 +17,11 @@ from pyspark.sql import types as T
 from .common import fresh, stored
 from .components import connected_components
 from .decontamination import bounded
-from .words import hash_words, lowered, mixed, numbered, runs, slices, split_words
+from .words import hash_words, lowered, mixed, numbered, packed, runs, slices, split_words
 
 CHUNK = 1 << 16
 #: A text of at most so many partners in a bucket is paired with each of them; one of more, in a crowd of
-#: near copies, with its nearest and its smallest there.
+#: near copies, with its nearest there.
 FEW = 4
 SEED = 0x9E3779B97F4A7C15
 
@@ -145,15 +145,15 @@ def masks_for(m: int, c: int, bits: int = 64) -> np.ndarray:
 
 
 def lanes_of(prints: np.ndarray, rule: Rule) -> np.ndarray:
-    """Lanes of fingerprints (n, bytes) as (n, lanes) unsigned integers."""
+    """Lanes of fingerprints (n, bytes) as (n, lanes) unsigned integers of their size."""
     own = np.ascontiguousarray(prints[:, : rule.bits * rule.lanes // 8])
-    return own.view(f">u{rule.bits // 8}").astype(np.uint64)
+    return own.view(f">u{rule.bits // 8}").astype(f"u{rule.bits // 8}")
 
 
 def near_in_bucket(x: np.ndarray, lane: int, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, other row, bits apart) of all near fingerprints of a bucket of one lane, both ways, row by row."""
     most = rule.near // rule.lanes
-    step = max(1, (1 << 22) // len(x))
+    step = max(1, (1 << 19) // len(x))
     for s in range(0, len(x), step):
         rows, cols = np.nonzero(np.bitwise_count(x[s : s + step, None, lane] ^ x[None, :, lane]) <= most)
         rows += s
@@ -179,7 +179,7 @@ def stars(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]
 
 
 def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Each member of the bucket with all that are near, if they are FEW, or with the nearest and the first."""
+    """Each member of the bucket with all that are near, if they are FEW, or with the nearest."""
     left, right = [], []
     for rows, cols, apart in near_in_bucket(x, lane, rule):
         if not len(rows):
@@ -188,8 +188,8 @@ def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarr
         degree = np.diff(np.append(cuts, len(rows)))
         every = np.repeat(degree <= FEW, degree)
         nearest = np.minimum.reduceat(apart * len(x) + cols, cuts) % len(x)
-        left += [rows[every], rows[cuts], rows[cuts]]
-        right += [cols[every], cols[cuts], nearest]
+        left += [rows[every], rows[cuts]]
+        right += [cols[every], nearest]
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
@@ -197,9 +197,13 @@ def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarr
     return both // len(x), both % len(x)
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Links (u, v), v the smaller, within the buckets of one task. Columns: keys and fingerprints, many to
-    a row. A bucket of over ``most`` fingerprints is handed back row by row (with its key, without v)."""
+#: What the tasks of the buckets return: pairs packed by part, or a fingerprint of a crowded bucket.
+FOUND = "part long, pairs binary, key long, u binary"
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None, parts: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v), v the smaller, within the buckets of one task, packed. Columns: keys and fingerprints, many to
+    a row. A bucket of over ``most`` fingerprints is handed back row by row with its key."""
     keys, prints = [], []
     for b in batches:
         keys += b.column(0).to_pylist()
@@ -221,23 +225,33 @@ def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None
         u, v = (stars if rule.similarity is None else partners)(x[a : a + n], int(key[a]) % rule.lanes, rule)
         left.append(u + a)
         right.append(v + a)
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("key", pa.int64())])
-    give = lambda ids: pa.array([r.tobytes() for r in raw[ids]], pa.binary())
+    names = ["part", "pairs", "key", "u"]
     if left and len(u := np.concatenate(left)):
-        pair = np.unique(np.concatenate([raw[u], raw[v := np.concatenate(right)]], axis=1), axis=0, return_index=True)[1]
-        yield pa.RecordBatch.from_arrays([give(u[pair]), give(v[pair]), pa.nulls(len(pair), pa.int64())], schema=schema)
+        pairs = unique_rows(np.concatenate([raw[u], raw[np.concatenate(right)]], axis=1))
+        part = (mixed(lanes_of(pairs, rule)[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        at, packs = packed(part, pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(at), *packs, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names=names)
     for ids in hot:
-        yield pa.RecordBatch.from_arrays([give(ids), pa.nulls(len(ids), pa.binary()), pa.array(key[ids])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(key[ids]), pa.array([r.tobytes() for r in raw[ids]], pa.binary())], names=names)
+
+
+def unique_rows(raw: np.ndarray) -> np.ndarray:
+    """Distinct rows of bytes."""
+    return raw[np.unique(np.ascontiguousarray(raw).view(f"S{raw.shape[1]}").ravel(), return_index=True)[1]]
+
+
+def distinct_pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of one task, a row each."""
+    raw = unique_rows(np.frombuffer(b"".join(x for b in batches for x in b.column(0).to_pylist()), np.uint8).reshape(-1, 2 * width))
+    for at in range(0, len(raw), CHUNK):
+        part = raw[at : at + CHUNK]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in part[:, i : i + width]], pa.binary()) for i in (0, width)], names=["u", "v"])
 
 
 def pack(key: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Keys and fingerprints by bucket, a row per bucket."""
-    at = np.asarray((key.astype(np.uint64) >> np.uint64(8)) % np.uint64(buckets), np.int64)
-    order = np.argsort(at, kind="stable")
-    key, raw, at = key[order], raw[order], at[order]
-    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
-    packs = [pa.array([y[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for y in (key.astype("<i8"), raw)]
-    return pa.RecordBatch.from_arrays([pa.array(at[cuts[:-1]]), *packs], names=["bucket", "keys", "prints"])
+    at, packs = packed(np.asarray((key.astype(np.uint64) >> np.uint64(8)) % np.uint64(buckets), np.int64), key.astype("<i8"), raw)
+    return pa.RecordBatch.from_arrays([pa.array(at), *packs], names=["bucket", "keys", "prints"])
 
 
 def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000) -> DataFrame:
@@ -263,13 +277,13 @@ def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_
                 raw = np.frombuffer(b"".join(b.column(0).slice(at, 5000).to_pylist()), np.uint8).reshape(min(5000, len(b) - at), -1)
                 x = lanes_of(raw, rule)
                 for lane in range(rule.lanes):
-                    key = mixed((x[:, lane : lane + 1] & masks) ^ salt)
+                    key = mixed((x[:, lane : lane + 1].astype(np.uint64) & masks) ^ salt)
                     key -= (key - np.uint64(lane)) % np.uint64(rule.lanes)  # the key tells the lane
                     yield pack(key.view(np.int64).ravel(), np.repeat(raw, len(masks), axis=0), buckets)
 
     keyed = prints.mapInArrow(emit, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
-    found = stored(keyed.mapInArrow(lambda bs: bucket_links(bs, rule, most), "u binary, v binary, key long"))
-    links, hot = found.where("v IS NOT NULL").select("u", "v"), found.where("v IS NULL")
+    found = stored(keyed.mapInArrow(lambda bs: bucket_links(bs, rule, most, buckets), FOUND))
+    links, hot = found.where("part IS NOT NULL").select("part", "pairs"), found.where("part IS NULL").select("key", "u")
     if hot.limit(1).count():
         half = max(1, most // 2)
         parts = hot.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
@@ -280,8 +294,9 @@ def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_
         dealt = dealt.select((F.shiftleft(F.shiftright("meet", 8), 8) + F.col("lane")).alias("key"), "u")
         repack = lambda bs: (pack(b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), buckets) for b in bs if len(b))
         more = dealt.mapInArrow(repack, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
-        links = links.unionByName(stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None), "u binary, v binary, key long").select("u", "v")))
-    return links.distinct()
+        links = links.unionByName(stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None, buckets), FOUND).select("part", "pairs")))
+    width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else 4)
+    return links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width), "u binary, v binary")
 
 
 def contracted(links: DataFrame) -> DataFrame:

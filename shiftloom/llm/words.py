@@ -90,3 +90,11 @@ def runs(hashes: np.ndarray, which: int, length: int) -> np.ndarray:
     p = powers(which, n)
     total = np.concatenate(([np.uint64(0)], np.cumsum(hashes * p.up[:n])))
     return mixed((total[length:] - total[:-length]) * p.down[: n - length + 1])
+
+
+def packed(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(buckets in order, the bytes of each column by bucket)."""
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")  # short keys sort by radix
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+    return bucket[cuts[:-1]], [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (c[order] for c in columns)]

@@ -313,7 +313,7 @@ def test_attention_gradients():
     valid[0, :12] = False
     target = rng.integers(0, 70, (3, attention.STRIDE))
     _, grads = attention.gradients(m, ids, valid, target, m.mask().astype(np.float64))
-    for key in ("q", "k", "v", "x", "lag", "wg", "bg", "wu", "bu"):
+    for key in ("qx", "kv", "lag", "wg", "bg", "wu", "bu"):
         flat = np.abs(grads[key]).ravel()
         at = np.unravel_index(int(flat.argmax()), grads[key].shape)
         old = m.p[key][at]
@@ -387,7 +387,7 @@ def test_scores_learn_from_all_words_of_whole_texts(spark, monkeypatch):
     keep = scoring.learn_all
     monkeypatch.setattr(scoring, "learn_all", lambda s, d: learned.append(keep(s, d)))
     scoring.score_documents(spark.createDataFrame(rows[:5], "doc_id long, text string"), F.lit(False))
-    ids = sum(len(scoring.word_ids(t.split(), scoring.VOCABULARY)[0]) + 1 for _, t in rows[:5])
+    ids = sum(len(scoring.word_ids(pa.array(t.split(), pa.large_string()), scoring.VOCABULARY)[0]) + 1 for _, t in rows[:5])
     assert learned == [ids]
 
 
