@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Input positions of a window and how many of them, the last ones, are scored.
-LENGTH, STRIDE = 32, 24
-DIM, GROUP = 32, 64
+LENGTH, STRIDE = 20, 16
+DIM, GROUP = 16, 32
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ class Model:
         log = np.log(padded + 0.5).reshape(groups, GROUP).astype(np.float32)
         log[padded.reshape(groups, GROUP) == 0] -= 3
         log.ravel()[units:] = -1e9
-        p = {k: small(units + 2, DIM) for k in ("q", "k", "v", "x")}
+        p = {k: small(units + 2, 2 * DIM) for k in ("qx", "kv")}  # queries and states, keys and values
         p |= {"lag": np.zeros(LENGTH, np.float32), "wg": small(DIM, groups), "bg": np.log(padded.reshape(groups, GROUP).sum(1) + 1).astype(np.float32), "wu": small(groups, DIM, GROUP), "bu": log}
         return cls(units, p)
 
@@ -66,41 +66,45 @@ class Model:
         return np.where(back >= 0, self.p["lag"][np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
 
     def attend(self, ids: np.ndarray, valid: np.ndarray, mask: np.ndarray):
-        p = self.p
-        q, k, v, x = p["q"][ids[:, -STRIDE:]], p["k"][ids], p["v"][ids], p["x"][ids[:, -STRIDE:]]
+        """(queries, keys, values, attention weights, attended values, state) of the scored positions."""
+        qx, kv = self.p["qx"][ids[:, -STRIDE:]], self.p["kv"][ids]
+        q, x, k, v = qx[..., :DIM], qx[..., DIM:], kv[..., :DIM], kv[..., DIM:]
         s = q @ k.transpose(0, 2, 1)
         s += mask
         if not valid.all():
             s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
         np.minimum(s, 40, out=s)
         np.exp(s, out=s)
-        z = s.sum(-1, keepdims=True)
-        z += np.float32(1e-30)
+        s *= 1 / (row_sums(s) + np.float32(1e-30))[..., None]
         o = s @ v
-        o /= z
-        o += x
-        h = np.maximum(o, 0, out=o)
-        return q, k, v, s, z, h
+        return q, k, v, s, o, np.maximum(o + x, 0)
 
-    def unit_logs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target given its state."""
-        p = self.p
-        group, at = target // GROUP, target % GROUP
+    def outputs(self, h: np.ndarray, target: np.ndarray):
+        """For states and their targets sorted by group of units: (bounds of the groups, probabilities of
+        the groups, probabilities within the target's group, natural log of the target's probability)."""
+        p, rows, group, at = self.p, np.arange(len(h)), target // GROUP, target % GROUP
+        cuts = np.searchsorted(group, np.arange(len(p["bg"]) + 1))
         g = h @ p["wg"]
         g += p["bg"]
-        out = g[np.arange(len(h)), group]
-        np.exp(np.minimum(g, 60, out=g), out=g)
-        out = out - np.log(g.sum(1))
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(p["bg"]) + 1))
-        for k in range(len(p["bg"])):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                u = h[rows] @ p["wu"][k]
-                u += p["bu"][k]
-                hit = u[np.arange(len(rows)), at[rows]]
-                np.exp(np.minimum(u, 60, out=u), out=u)
-                out[rows] += hit - np.log(u.sum(1))
+        u = np.empty((len(h), GROUP), h.dtype)
+        for j, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if a < b:
+                np.matmul(h[a:b], p["wu"][j], out=u[a:b])
+                u[a:b] += p["bu"][j]
+        logs = g[rows, group] + u[rows, at]
+        for y in (g, u):
+            np.minimum(y, 60, out=y)
+            np.exp(y, out=y)
+            total = row_sums(y)
+            logs -= np.log(total)
+            y *= (1 / total)[:, None]
+        return cuts, g, u, logs
+
+    def unit_logs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target given its state."""
+        order = by_number(target // GROUP, len(self.p["bg"]))
+        out = np.empty(len(h), h.dtype)
+        out[order] = self.outputs(h[order], target[order])[-1]
         return out
 
     def log10_probability(self, units: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
@@ -121,59 +125,56 @@ class Model:
         return logs / np.log(10)
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is short: a product is quicker than a reduction."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+def by_number(x: np.ndarray, n: int) -> np.ndarray:
+    """Order of numbers below n; short ones are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if n < 1 << 16 else x, kind="stable")
+
+
 def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sum of the value rows of each number."""
-    order = np.argsort(rows, kind="stable")
+    order = by_number(rows, n)
     sorted_rows = rows[order]
     cuts = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-    out = np.zeros((n, values.shape[1]), np.float32)
+    out = np.zeros((n, values.shape[1]), values.dtype)
     out[sorted_rows[cuts]] = np.add.reduceat(values[order], cuts, axis=0)
     return out
 
 
 def gradients(m: Model, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of a batch of windows and its gradients."""
-    p, n = m.p, len(m.p["bg"])
-    q, k, v, s, z, h = m.attend(ids, valid, mask)
-    scored = valid[:, -STRIDE:]
-    hs, t = h[scored], target[scored]
-    group, at, size = t // GROUP, t % GROUP, len(t)
-    g = hs @ p["wg"] + p["bg"]
-    g -= g.max(1, keepdims=True)
-    g = np.exp(g)
-    g /= g.sum(1, keepdims=True)
-    loss = -np.log(g[np.arange(size), group] + 1e-30).sum()
-    g[np.arange(size), group] -= 1
+    p = m.p
+    q, k, v, s, o, h = m.attend(ids, valid, mask)
+    scored = np.flatnonzero(valid[:, -STRIDE:])
+    t = target.ravel()[scored]
+    order = by_number(t // GROUP, len(p["bg"]))
+    scored, t = scored[order], t[order]
+    hs, rows, size = h.reshape(-1, DIM)[scored], np.arange(len(t)), len(t)
+    cuts, g, u, logs = m.outputs(hs, t)
+    g[rows, t // GROUP] -= 1
+    u[rows, t % GROUP] -= 1
     grads = {"wg": hs.T @ g, "bg": g.sum(0), "wu": np.zeros_like(p["wu"]), "bu": np.zeros_like(p["bu"])}
     dh = g @ p["wg"].T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(n + 1))
-    for j in range(n):
-        rows = order[cuts[j] : cuts[j + 1]]
-        if not len(rows):
-            continue
-        u = hs[rows] @ p["wu"][j] + p["bu"][j]
-        u -= u.max(1, keepdims=True)
-        u = np.exp(u)
-        u /= u.sum(1, keepdims=True)
-        loss -= np.log(u[np.arange(len(rows)), at[rows]] + 1e-30).sum()
-        u[np.arange(len(rows)), at[rows]] -= 1
-        grads["wu"][j], grads["bu"][j] = hs[rows].T @ u, u.sum(0)
-        dh[rows] += u @ p["wu"][j].T
+    for j, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if a < b:
+            grads["wu"][j], grads["bu"][j] = hs[a:b].T @ u[a:b], u[a:b].sum(0)
+            dh[a:b] += u[a:b] @ p["wu"][j].T
     d = np.zeros_like(h)
-    d[scored] = dh
+    d.reshape(-1, DIM)[scored] = dh
     d *= h > 0
-    a = s / z
-    dv = a.transpose(0, 2, 1) @ d
-    da = d @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    back = lagged()
+    ds = d @ v.transpose(0, 2, 1)
+    ds -= row_sums(d * o)[..., None]
+    ds *= s
+    back, size_in = lagged(), m.units + 2
     grads["lag"] = np.bincount(back[back >= 0], ds.sum(0)[back >= 0], LENGTH).astype(np.float32)
-    late = ids[:, -STRIDE:].ravel()
-    size_in = m.units + 2
-    grads |= {"q": summed(late, dq.reshape(-1, DIM), size_in), "x": summed(late, d.reshape(-1, DIM), size_in), "k": summed(ids.ravel(), dk.reshape(-1, DIM), size_in), "v": summed(ids.ravel(), dv.reshape(-1, DIM), size_in)}
-    return loss / size, {key: x / size for key, x in grads.items()}
+    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ d
+    grads["qx"] = summed(ids[:, -STRIDE:].ravel(), np.concatenate((dq, d), axis=-1).reshape(-1, 2 * DIM), size_in)
+    grads["kv"] = summed(ids.ravel(), np.concatenate((dk, dv), axis=-1).reshape(-1, 2 * DIM), size_in)
+    return -float(logs.sum()) / size, {key: x / size for key, x in grads.items()}
 
 
 def preceding(m: Model, units: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -25,18 +25,20 @@ from pyspark.sql import functions as F
 from . import attention
 from .common import stored
 from .mixing import uniform
-from .words import hash_words, lowered, numbered, slices, split_words
+from .words import hash_words, lowered, numbered, packed, slices, split_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces as the vocabulary was made for: contractions, letters, digits, others, spaces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 #: Bounds of the start: documents of the sample and words of one. Units of the model (a multiple of
 #: its group size). Words counted by number; which they are changes no result.
-SAMPLE_DOCS, SAMPLE_WORDS, UNITS, FREQUENT = 4000, 600, 33 * attention.GROUP, 50_000
+SAMPLE_DOCS, SAMPLE_WORDS, UNITS, FREQUENT = 4000, 600, 32 * attention.GROUP, 50_000
 REST, END = 0, 1
 #: Passes over parts of the training texts, together one over all; the first one's rate, which falls
 #: in equal steps; weights of a row on their way to the sum.
-ROUNDS, RATE, CHUNK = 4, 2e-3, 8192
+ROUNDS, RATE, CHUNK = 2, 2e-3, 8192
+#: Words that one task settles, about 40 bytes each.
+WORDS_A_TASK = 2_000_000
 
 
 @lru_cache(1)
@@ -51,16 +53,17 @@ def tokenizer(path: str):
     return tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), opens
 
 
-def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(subword ids of all words in order, number of ids of each word); a word begins with a space."""
     encoding, opens = tokenizer(path)
-    if not words:
+    if not len(words):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    ids = np.array(encoding.encode_ordinary(" " + " ".join(words)), np.int64)
+    line = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(" ", words.type))[0].as_py()
+    ids = np.array(encoding.encode_ordinary(" " + line), np.int64)
     cuts = np.flatnonzero(opens[ids])
     if len(cuts) == len(words) and cuts[0] == 0:
         return ids, np.diff(np.concatenate((cuts, [len(ids)])))
-    each = [encoding.encode_ordinary(" " + w) for w in words]  # odd white space inside words
+    each = [encoding.encode_ordinary(" " + w) for w in words.to_pylist()]  # odd white space inside words
     return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
 
 
@@ -120,7 +123,7 @@ def text_units(scorer: Scorer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     """(units of the texts end to end, units of each text)."""
     words, lengths = split_words(lowered(texts))
     distinct, number = numbered(words)
-    flat, n = word_ids(distinct.to_pylist(), scorer.path)
+    flat, n = word_ids(distinct, scorer.path)
     ids, sizes, _ = id_sequences(flat, n, number, lengths, len(scorer.unit_of) - 1)
     return scorer.unit_of[ids], sizes
 
@@ -197,13 +200,15 @@ def word_logs(scorer: Scorer, flat: np.ndarray, n: np.ndarray, number: np.ndarra
 
 def mixed_logs(scorer: Scorer, logs: np.ndarray, number: np.ndarray, lengths: np.ndarray, mix: float) -> np.ndarray:
     """Word by word mixture of ``logs`` with the shares of frequent words (number below their count);
-    of other words only the attention model's part, as the join with their counts adds the rest."""
-    with_end = np.insert(number, np.cumsum(lengths), -1)
-    known = with_end < len(scorer.frequent)
-    share = np.where(known, scorer.log_share[np.where(known, with_end, 0)], -np.inf)
+    of other words only the attention model's part, to which their counts add the rest later."""
     if mix <= 0:
         return logs
-    return np.logaddexp((logs + np.log10(1 - mix)) * np.log(10), (share + np.log10(mix)) * np.log(10)) / np.log(10)
+    with_end = np.insert(number, np.cumsum(lengths), -1)
+    known = with_end < len(scorer.frequent)
+    out = logs + np.float32(np.log10(1 - mix))
+    share = np.power(10.0, scorer.log_share + np.log10(mix)).astype(np.float32)
+    out[known] = np.log10(np.exp(out[known] * np.float32(np.log(10))) + share[with_end[known]])
+    return out
 
 
 def fit_mix(scorer: Scorer, tuning: list[str], count: dict[str, int], texts: int, train_tokens: int) -> float:
@@ -214,7 +219,7 @@ def fit_mix(scorer: Scorer, tuning: list[str], count: dict[str, int], texts: int
     if not len(lengths) or train_tokens < 2:
         return 0.0
     text = distinct.to_pylist()
-    logs = word_logs(scorer, *word_ids(text, scorer.path), number, lengths)
+    logs = word_logs(scorer, *word_ids(distinct, scorer.path), number, lengths)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     _, back, own = np.unique(owner * max(1, len(text)) + number, return_inverse=True, return_counts=True)
     c = np.array([count.get(w, 0) for w in text], np.float64)[number] - own[back] if len(text) else np.zeros(0)
@@ -232,7 +237,7 @@ def count_words(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
     """Counts of the named words in one partition; -1: all words, -2: texts, -3 and less: subword ids."""
     named, path = sent.value
     names = pa.array(named, pa.large_string())
-    n_flat, n_n = word_ids(named, path)
+    n_flat, n_n = word_ids(names, path)
     ids = np.zeros(len(tokenizer(path)[1]), np.int64)
     sums, words_seen, texts = np.zeros(len(names), np.int64), 0, 0
     for batch in batches:
@@ -244,51 +249,83 @@ def count_words(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
             n = np.bincount(number, minlength=len(where))
             sums[where[where >= 0]] += n[where >= 0]
             other = np.flatnonzero(where < 0)
-            flat, each = word_ids(distinct.take(pa.array(other)).to_pylist(), path)
+            flat, each = word_ids(distinct.take(pa.array(other)), path)
             np.add.at(ids, flat, np.repeat(n[other], each))
     np.add.at(ids, n_flat, np.repeat(sums, n_n))
     some, used = np.flatnonzero(sums), np.flatnonzero(ids)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1, -2], some, -3 - used)).astype(np.int32)), pa.array(np.concatenate(([words_seen, texts], sums[some], ids[used])))], names=["word", "n"])
 
 
-def score_texts(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Per document: the model's score, tokens, the frequent words' part of the base, and each other
-    word's hash with its number and the attention model's log10 of each time."""
+def score_texts(batches: Iterator[pa.RecordBatch], sent, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of the rows row, doc_id, held_out, text: one row per document with the model's score, tokens and
+    the frequent words' part of the base; and rows of packed other words by bucket of their hash: hash,
+    document (row and whether held out) and the attention model's log10 of each."""
     scorer = sent.value
     names = pa.array(scorer.frequent, pa.large_string())
-    f_flat, f_n = word_ids(scorer.frequent, scorer.path)
+    f_flat, f_n = word_ids(names, scorer.path)
     for batch in batches:
-        for part in slices(batch, 2, 2_000_000):
-            words, lengths = split_words(lowered(part.column(2)))
+        for part in slices(batch, 3, 2_000_000):
+            words, lengths = split_words(lowered(part.column(3)))
             distinct, number = numbered(words)
             where = pc.fill_null(pc.index_in(distinct, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             other = np.flatnonzero(where < 0)
             rare = distinct.take(pa.array(other))
-            r_flat, r_n = word_ids(rare.to_pylist(), scorer.path)
+            r_flat, r_n = word_ids(rare, scorer.path)
             where[other] = len(f_n) + np.arange(len(other))
             flat, n = np.concatenate((f_flat, r_flat)), np.concatenate((f_n, r_n))
             number = where[number] if len(number) else number.astype(np.int64)
             plain = word_logs(scorer, flat, n, number, lengths)
             logs = mixed_logs(scorer, plain, number, lengths, scorer.mix)
-            logs = np.add.reduceat(logs, np.cumsum(lengths + 1) - lengths - 1)
+            logs = np.add.reduceat(logs, np.cumsum(lengths + 1) - lengths - 1, dtype=np.float64)
             owner = np.repeat(np.arange(len(part)), lengths)
             known = number < len(f_n)
             base = np.bincount(owner[known], scorer.log_count[number[known]], len(part))
             seen = np.bincount(owner[known], scorer.known[number[known]], len(part)).astype(np.int64)
-            pairs, back, times = np.unique(owner[~known] * max(1, len(other)) + number[~known] - len(f_n), return_inverse=True, return_counts=True)
-            each = np.delete(plain, np.cumsum(lengths + 1) - 1)[~known][np.argsort(back, kind="stable")]
-            at = np.searchsorted(pairs // max(1, len(other)), np.arange(len(part) + 1))
-            offsets = pa.array(at.astype(np.int32))
-            hashes = hash_words(rare)[:, 0].view(np.int64) if len(other) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), part.column(1), pa.array(lengths + 1), pa.array(logs, pa.float64()), pa.array(base.astype(np.float64)), pa.array(seen),
-                    pa.ListArray.from_arrays(offsets, pa.array(hashes[pairs % max(1, len(other))])),
-                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(times))).astype(np.int32)), pa.array(each.astype(np.float32)))),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "score", "base", "seen", "hash", "times", "logs"],
-            )
+            who = part.column(0).to_numpy(zero_copy_only=False) * 2 + part.column(2).to_numpy(zero_copy_only=False)
+            hashes = hash_words(rare)[:, 0][number[~known] - len(f_n)] if len(other) else np.empty(0, np.uint64)
+            left = np.delete(plain, np.cumsum(lengths + 1) - 1)[~known]
+            others = np.bincount(owner[~known], minlength=len(part)).astype(np.int64)
+            bucket, packs = packed((hashes % np.uint64(buckets)).astype(np.int64), hashes, who[owner[~known]], left.astype("<f4"))
+            none = lambda k, *kinds: [pa.nulls(k, x) for x in kinds]
+            names_out = ["row", "doc_id", "held_out", "n_tokens", "score", "base", "seen", "others", "bucket", "hash", "who", "log"]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lengths + 1), pa.array(logs, pa.float64()), pa.array(base, pa.float64()), pa.array(seen), pa.array(others), *none(len(part), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=names_out)
+            k = len(bucket)
+            yield pa.RecordBatch.from_arrays([*none(k, pa.int64(), part.column(1).type, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), pa.array(bucket, pa.int64()), *packs], names=names_out)
+
+
+def settle_words(batches: Iterator[pa.RecordBatch], odds: float, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Counts the words of this task's buckets over the training documents, and sums over each document
+    what its words add: to the base, to the known words and to the score. Packed by block of documents;
+    ``kinds``: words counted."""
+    held: list[list[bytes]] = [[], [], []]
+    for batch in batches:
+        for have, column in zip(held, batch.columns):
+            have += column.to_pylist()
+    word, who, log = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u8", "<i8", "<f4")))
+    if not len(word):
+        return
+    _, back = np.unique(word, return_inverse=True)
+    c = np.bincount(back, who & 1 == 0)
+    kinds, c = int((c > 0).sum()), c[back]
+    # The mixture has 1 + odds times the attention model's part.
+    apart = odds + np.log10(np.maximum(c, 1e-300)) - log
+    gain = np.where(apart > 15, apart, np.log1p(np.power(10.0, np.minimum(apart, 15))) / np.log(10))
+    row, own = np.unique(who >> 1, return_inverse=True)
+    sums = [np.bincount(own, x, len(row)) for x in (np.where(c > 0, np.log10(c + 0.5), 0), c > 0, np.where(c > 0, gain, 0))]
+    block, packs = packed(row % blocks, row, *sums)
+    yield pa.RecordBatch.from_arrays([pa.array(block), *packs, pa.array([kinds] + [0] * (len(block) - 1), pa.int64())], names=["block", "rows", "base", "hits", "gain", "kinds"])
+
+
+def sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each document over all tasks that had words of it."""
+    held: list[list[bytes]] = [[], [], [], []]
+    for batch in batches:
+        for have, column in zip(held, batch.columns):
+            have += column.to_pylist()
+    row, *sums = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<i8", "<f8", "<f8", "<f8")))
+    row, own = np.unique(row, return_inverse=True)
+    base, hits, gain = (np.bincount(own, x, len(row)) for x in sums)
+    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(base, pa.float64()), pa.array(hits.astype(np.int64)), pa.array(gain, pa.float64())], names=["row", "logs", "hits", "gain"])
 
 
 def score_documents(docs: DataFrame, out: Column, path: str = VOCABULARY) -> DataFrame:
@@ -301,45 +338,44 @@ def score_documents(docs: DataFrame, out: Column, path: str = VOCABULARY) -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    learn = rows.where("NOT held_out").select("doc_id", "text")
     draw = uniform(F.xxhash64(F.lit(20240504), "doc_id", "text"))
-    learn = rows.where("NOT held_out").select("text", draw.alias("draw"))
-    n = learn.count()
-    some = learn.where(F.col("draw") < F.lit(1.1 * SAMPLE_DOCS / max(1, n))).limit(SAMPLE_DOCS)
-    cut = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS), " ")  # of the sample only
-    sample = [r[0] for r in some.select(cut).collect()]
+    place = uniform(F.xxhash64(F.lit(20240505), "doc_id", "text"))
+    split = F.split("text", r"[\x20\x09-\x0D]+")
+    start = F.floor(place * F.greatest(F.size(split) - SAMPLE_WORDS, F.lit(0))).cast("int") + 1
+    some = learn.withColumn("draw", draw).orderBy("draw", F.sha2("text", 256)).limit(SAMPLE_DOCS)
+    sample = [r[0] for r in some.select(F.array_join(F.slice(split, start, SAMPLE_WORDS), " ")).collect()]  # pieces for the start
     frequent, more = sample_words(sample)
     sent = spark.sparkContext.broadcast((frequent + more, path))
     counts = {r["word"]: r["n"] for r in learn.select("text").mapInArrow(lambda bs: count_words(bs, sent), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per named word and subword id
     sent.unpersist()
-    texts = counts.get(-2, 0)
-    train_tokens = counts.get(-1, 0) + texts
+    texts, words = counts.get(-2, 0), counts.get(-1, 0)
+    train_tokens = words + texts
     scorer = fit_scorer(sample, path, frequent, np.array([counts.get(-3 - i, 0) for i in range(len(tokenizer(path)[1]))], np.int64), texts)
-    learn_all(scorer, learn.withColumn("draw", uniform(F.xxhash64(F.lit(20240505), "text", "draw"))))
+    learn_all(scorer, learn.select("text", uniform(F.xxhash64(F.lit(20240505), "doc_id", F.length("text"))).alias("draw")))
     c = np.array([counts.get(i, 0) for i in range(len(frequent))], np.float64)
     scorer.log_count, scorer.known = np.log10(c + 0.5), (c > 0).astype(np.float64)
     scorer.log_share = np.log10(np.maximum(np.concatenate((c, [texts])), 1e-9) / max(1, train_tokens))
     scorer.mix = fit_mix(scorer, sample[::10], {w: counts.get(i, 0) for i, w in enumerate(frequent + more)}, texts, train_tokens)
     ready = spark.sparkContext.broadcast(scorer)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(
-        lambda bs: score_texts(bs, ready),
-        f"doc_id {kind}, held_out boolean, n_tokens long, score double, base double, seen long, hash array<long>, times array<int>, logs array<array<float>>",
-    )
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", "held_out", F.inline(F.arrays_zip("hash", "times", "logs")))
-    found = stored(words.where("NOT held_out").groupBy("hash").agg(F.sum("times").alias("c")))
-    distinct = int((c > 0).sum()) + (texts > 0) + found.count()
-    # The mixture has 1 + odds times the attention model's part.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * max(0, words - int(c.sum())) // WORDS_A_TASK))
+    buckets = 4 * tasks
+    marked = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    scored = stored(marked.mapInArrow(
+        lambda bs: score_texts(bs, ready, buckets),
+        f"row long, doc_id {kind}, held_out boolean, n_tokens long, score double, base double, seen long, others long, bucket long, hash binary, who binary, log binary",
+    ))
     odds = float(np.log10(scorer.mix / (1 - scorer.mix) / max(1, train_tokens))) if scorer.mix > 0 else -1e6
-    apart = lambda x: F.lit(odds) + F.log10("c") - x
-    gain = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.when(apart(x) > 15, apart(x)).otherwise(F.log1p(F.pow(F.lit(10.0), apart(x))) / float(np.log(10))))
-    sums = words.join(found, "hash").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("logs"), F.sum("times").alias("hits"), F.sum(gain).alias("gain"))
-    # A word without a count has log10(0.5): every other word, less those found.
-    others = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-    full = scored.select("row", "doc_id", "held_out", "n_tokens", "score", "base", "seen", others.alias("others")).join(sums, "row", "left")
+    packs = scored.where("bucket IS NOT NULL").select("bucket", "hash", "who", "log").repartition(tasks, "bucket").select("hash", "who", "log")
+    settled = stored(packs.mapInArrow(lambda bs: settle_words(bs, odds, buckets), "block long, rows binary, base binary, hits binary, gain binary, kinds long"))
+    distinct = int((c > 0).sum()) + (texts > 0) + (settled.agg(F.sum("kinds")).first()[0] or 0)
+    sums = settled.repartition(tasks, "block").select("rows", "base", "hits", "gain").mapInArrow(sum_rows, "row long, logs double, hits long, gain double")
+    full = scored.where("bucket IS NULL").join(sums, "row", "left")
     hits = F.coalesce("hits", F.lit(0))
     scale = float(np.log10(max(1e-300, train_tokens + 0.5 * (distinct + 1))))
     half, end = float(np.log10(0.5)), float(np.log10(texts + 0.5))
+    # A word without a count has log10(0.5): every other word, less those found.
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) + (F.col("others") - hits) * half + F.lit(end) - F.col("n_tokens") * scale
     return full.select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + hits + F.lit(int(texts > 0))).cast("long").alias("n_known"),
