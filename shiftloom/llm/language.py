@@ -15,20 +15,23 @@ from pyspark.sql.window import Window
 from .common import fresh
 from .mixing import uniform
 
-#: The fit's bounds: pieces of labelled documents per language, code points of a piece, languages.
-PIECES, PIECE, LANGUAGES = 96, 256, 64
-SEGMENT = 256
+#: The fit's bounds: pieces of labelled documents per language, code points of a piece, pieces in all,
+#: fewest pieces of a language. Of more than ALL_PIECES / FEWEST labels the most frequent are learned.
+PIECES, PIECE, ALL_PIECES, FEWEST = 96, 256, 6144, 4
+SEGMENT, OPENING = 256, 32
 #: Symbols from which on a text is long enough to tell whether it is of any language learned.
 TELLING = 128
 
 
-def labelled_sample(docs: DataFrame, train: Column, seed: int = 20240509, pieces: int = PIECES, piece: int = PIECE, languages: int = LANGUAGES) -> dict[str, str]:
-    """A bounded sample of labelled text by language: ``pieces`` pieces of ``piece`` characters each,
-    cut at a random place out of documents drawn by hash; the ``languages`` most frequent labels."""
+def labelled_sample(docs: DataFrame, train: Column, seed: int = 20240509, pieces: int = PIECES, piece: int = PIECE, every: int = ALL_PIECES) -> dict[str, str]:
+    """A bounded sample of labelled text by language: ``pieces`` pieces of ``piece`` characters each
+    (fewer, if the labels are so many that they come to over ``every``), cut at a random place out of
+    documents drawn by hash."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.col("doc_id"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(every // FEWEST)
     share = uniform(F.xxhash64(F.lit(seed), "doc_id", "text"))
     cut = F.floor(uniform(F.xxhash64(F.lit(seed + 1), "doc_id", "text")) * F.greatest(F.length("text") - piece, F.lit(0))).cast("int")
+    pieces = max(FEWEST, min(pieces, every // max(1, sizes.count())))
     few = (
         known.join(F.broadcast(sizes), "lang")
         .withColumn("share", share)
@@ -83,73 +86,145 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def packed_automaton(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(owner, target, start) of the transitions in one array: those of a state lie at its own number plus
+    the symbol, where ``owner`` has its number. States are placed where their symbols find free places,
+    those of most symbols first, so the array is about as long as there are transitions."""
+    room = 2 * sum(map(len, moves)) + 2 * width + len(moves) + 2
+    owner, after = np.full(room, -1, np.int32), list(range(room + 1))
+    at: list[int] = [0] * len(moves)
+    taken: set[int] = set()
+
+    def free(i: int) -> int:
+        first = i
+        while after[i] != i:
+            i = after[i]
+        while after[first] != i:
+            after[first], first = i, after[first]
+        return i
+
+    low, n = 0, -1
+    for state in sorted(range(len(moves)), key=lambda i: -len(moves[i])):
+        symbols = sorted(moves[state]) or [0]
+        if len(moves[state]) != n:
+            low, n = 0, len(moves[state])
+        f = free(max(low, symbols[0]))
+        while (b := f - symbols[0]) in taken or any(after[b + c] != b + c for c in symbols[1:]):
+            f = free(f + 1)
+        low = f
+        at[state] = b
+        taken.add(b)
+        for c in moves[state]:
+            owner[b + c] = b
+            after[b + c] = b + c + 1
+    target = np.zeros(room, np.int32)
+    for state, go in enumerate(moves):
+        for c, to in go.items():
+            target[at[state] + c] = at[to]
+    length = max(at) + width + 1
+    return owner[:length], target[:length], at[0]
+
+
 class Parser:
     """Cross-parsing of texts against every language at once.
 
     Letters are lower-cased; any run of other characters is one separator. A text is cut into the
     longest phrases that occur in the language's sample, from left to right; a letter that the sample
-    lacks is a phrase by itself. The table holds, for each state and symbol, the next state and the
-    phrases that end there, so a step of all texts and languages is one gather. Long texts are parsed
-    in segments of SEGMENT symbols, all of them.
+    lacks is a phrase by itself. Texts are parsed side by side in segments of SEGMENT symbols, all of
+    them; a segment whose predecessor turns out to end within a phrase is parsed again from there, until
+    every segment starts as its predecessor ends, so phrases go on over segments. Memory grows with the
+    transitions, not with states times letters.
     """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [k for k, _ in samples]
         lowered = [code_points(t.lower()) for _, t in samples]
         seen = np.unique(np.concatenate([x[letters()[x]] for x in lowered])) if lowered else np.empty(0, np.uint32)
-        #: 0: a letter that no sample has, 1: separator, then the letters, last: padding
-        self.width = len(seen) + 3
-        self.code = np.where(letters(), 0, 1).astype(np.uint16)
+        #: 0: a letter that no sample has, 1: separator, then the letters
+        self.width = len(seen) + 2
+        self.code = np.where(letters(), 0, 1).astype(np.uint16 if self.width < 1 << 16 else np.uint32)
         self.code[seen] = np.arange(2, len(seen) + 2)
-        tables, starts, self.bits, base = [], [], [], 0
-        for x in lowered:
+        owners, targets, starts, self.bits, base = [], [], [], [], 0
+        #: Twice the state after a phrase's first symbol, and one more if the sample lacks it.
+        self.first = np.zeros((len(samples), self.width), np.int32)
+        for k, x in enumerate(lowered):
             symbols = self.symbols(x)
-            moves = suffix_automaton([s for s in symbols.tolist()])
-            table = np.zeros((len(moves), self.width), np.int64)
-            root = np.zeros(self.width, np.int64)
-            bad = np.full(self.width, 1)
-            for c, to in moves[0].items():
-                root[c], bad[c] = to, 0
-            table[:] = ((root + base) * self.width) << 2 | (1 + bad)  # a phrase ends; so does a lone letter
-            table[0] = ((root + base) * self.width) << 2 | bad
-            for state, go in enumerate(moves):
-                for c, to in go.items():
-                    table[state, c] = ((to + base) * self.width) << 2
-            table[:, -1] = ((np.arange(len(moves)) + base) * self.width) << 2
-            tables.append(table)
-            starts.append(base * self.width)
+            moves = suffix_automaton(symbols.tolist())
+            owner, target, start = packed_automaton(moves, self.width)
+            known = list(moves[0])
+            self.first[k] = 2 * (start + base) + 1
+            self.first[k, known] = 2 * (target[start + np.array(known, np.int64)] + base)
+            owners.append(np.where(owner < 0, -1, owner + base))
+            targets.append(target + base)
+            starts.append(start + base)
             self.bits.append(np.log2(max(2, len(symbols))))
-            base += len(moves)
-        whole = np.concatenate(tables).ravel() if tables else np.empty(0, np.int64)
-        self.table = whole.astype(np.int32) if len(whole) and whole.max() < 1 << 31 else whole
-        self.starts = np.array(starts, self.table.dtype)
+            base += len(owner)
+        #: The state that a transition belongs to, above the one that it leads to.
+        self.moves = np.concatenate(owners).astype(np.int64) << 32 | np.concatenate(targets) if owners else np.empty(0, np.int64)
+        self.starts = np.array(starts, np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.moves, self.first))
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         s = self.code[points]
         gap = s == 1
         return s[~(gap & np.concatenate(([False], gap[:-1])))]
 
+    def parse(self, grid: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases ended, last state) of each segment from its first state; segments by falling size."""
+        count, state = np.zeros(state.shape, np.int32), state.copy()
+        start, first = self.starts[:, None], self.first.ravel()
+        offset = (np.arange(len(self.names), dtype=np.int32) * self.width)[:, None]
+        for line, k in zip(grid, np.searchsorted(-sizes, -np.arange(len(grid))).tolist()):
+            if not k:
+                break
+            line, now = line[:k], state[:, :k]
+            move = self.moves.take(now + line, mode="clip")
+            missed = move >> 32 != now
+            anew = first.take(line + offset, mode="clip")
+            to = move.astype(np.int32)  # the lower half
+            np.copyto(to, anew >> 1, where=missed)
+            anew &= 1
+            anew += now != start
+            anew *= missed
+            count[:, :k] += anew
+            state[:, :k] = to
+        return count, state
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): bits of the normalised phrases per symbol."""
         lengths = np.array([len(t) for t in texts])
         pieces = -(-lengths // SEGMENT)
         total = int(pieces.sum())
-        flat = np.full(total * SEGMENT, self.width - 1, self.table.dtype)
-        firsts = np.concatenate(([0], np.cumsum(pieces)[:-1])) * SEGMENT
-        for t, a in zip(texts, firsts.tolist()):
+        flat = np.zeros(total * SEGMENT, np.int32)
+        ends = np.cumsum(pieces)
+        for t, a in zip(texts, ((ends - pieces) * SEGMENT).tolist()):
             flat[a : a + len(t)] = t
-        grid = np.ascontiguousarray(flat.reshape(total, SEGMENT).T)
-        state = np.repeat(self.starts[:, None], total, 1)
-        count = np.ones(state.shape, self.table.dtype)  # the phrase that is open at the end
-        index, step = np.empty_like(state), np.empty_like(state)
-        for line in grid:
-            np.add(state, line, out=index)
-            np.take(self.table, index, out=step, mode="clip")
-            np.bitwise_and(step, 3, out=index)
-            np.add(count, index, out=count)
-            np.right_shift(step, 2, out=state)
-        count -= state == self.starts[:, None]  # a lone letter at the end leaves no phrase open
         owner = np.repeat(np.arange(len(texts)), pieces)
+        sizes = np.minimum(SEGMENT, lengths[owner] - SEGMENT * (np.arange(total) - (ends - pieces)[owner]))
+        grid = flat.reshape(total, SEGMENT).T
+        follows = np.concatenate(([False], owner[1:] == owner[:-1])) if total else np.zeros(0, bool)
+        begin = np.repeat(self.starts[:, None], total, 1)
+        count, last, todo = np.zeros_like(begin), begin.copy(), np.arange(total)
+        head = (np.zeros_like(begin), np.full_like(begin, -1))  # phrases and state after the opening
+        while len(todo):
+            todo = todo[np.argsort(-sizes[todo], kind="stable")]
+            opening, rest = np.minimum(sizes[todo], OPENING), np.maximum(sizes[todo] - OPENING, 0)
+            n, state = self.parse(np.ascontiguousarray(grid[:OPENING, todo]), opening, begin[:, todo])
+            # From where the state is as it was before, the rest of the segment is too.
+            anew = np.flatnonzero((state != head[1][:, todo]).any(axis=0))
+            count[:, todo] += n - head[0][:, todo]
+            head[0][:, todo], head[1][:, todo] = n, state
+            some = todo[anew]
+            n, state = self.parse(np.ascontiguousarray(grid[OPENING:, some]), rest[anew], head[1][:, some])
+            count[:, some], last[:, some] = head[0][:, some] + n, state
+            before = np.concatenate((begin[:, :1], last[:, :-1]), axis=1)
+            todo = np.flatnonzero(follows & (before != begin).any(axis=0))
+            begin[:, todo] = before[:, todo]
+        final = ends[pieces > 0] - 1
+        count[:, final] += last[:, final] != self.starts[:, None]  # the phrase that is open at the end
         out = np.stack([np.bincount(owner, c, len(texts)) for c in count], 1)
         return out * np.array(self.bits) / np.maximum(lengths, 1)[:, None]
 

@@ -343,8 +343,9 @@ def score_documents(docs: DataFrame, out: Column, path: str = VOCABULARY) -> Dat
     place = uniform(F.xxhash64(F.lit(20240505), "doc_id", "text"))
     split = F.split("text", r"[\x20\x09-\x0D]+")
     start = F.floor(place * F.greatest(F.size(split) - SAMPLE_WORDS, F.lit(0))).cast("int") + 1
-    some = learn.withColumn("draw", draw).orderBy("draw", F.sha2("text", 256)).limit(SAMPLE_DOCS)
-    sample = [r[0] for r in some.select(F.array_join(F.slice(split, start, SAMPLE_WORDS), " ")).collect()]  # pieces for the start
+    piece = F.array_join(F.slice(split, start, SAMPLE_WORDS), " ")  # of the sample only
+    drawn = learn.withColumn("draw", draw).where(F.col("draw") < F.lit(1.2 * SAMPLE_DOCS / max(1, learn.count())))
+    sample = [r[0] for r in drawn.select(piece.alias("piece"), "draw").orderBy("draw", "piece").limit(SAMPLE_DOCS).collect()]
     frequent, more = sample_words(sample)
     sent = spark.sparkContext.broadcast((frequent + more, path))
     counts = {r["word"]: r["n"] for r in learn.select("text").mapInArrow(lambda bs: count_words(bs, sent), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per named word and subword id

@@ -268,7 +268,10 @@ def cross_parse(text, sample):
 def test_cross_parsing_against_brute_force():
     samples = (("a", "the cat sat on the mat"), ("b", "le chat est sur la table"))
     p = language.Parser(samples)
-    for text in ("the cat est sur", "zzz", "on the table le chat", "q"):
+    rng = random.Random(14)
+    long = "".join(rng.choices("thecaonml sur", k=5000))  # many segments, phrases over their ends
+    whole = "the cat sat on the mat" * 40
+    for text in ("the cat est sur", "zzz", "on the table le chat", "q", long, whole, "cat sat on q" + long[:300]):
         s = p.symbols(language.code_points(text))
         got = p.phrases([s])[0]
         for (_, sample), bits, scale in zip(samples, got, p.bits):
@@ -277,6 +280,28 @@ def test_cross_parsing_against_brute_force():
             assert bits == pytest.approx(cross_parse(s.tolist(), parts) * scale / len(s))
 
 
+def test_phrases_go_on_over_segments():
+    sample = "".join(chr(0x4E00 + i) for i in range(1056))
+    p = language.Parser((("a", sample), ("b", sample[::-1])))
+    x = p.symbols(language.code_points(sample))
+    bits = p.phrases([x, x[:10], x])
+    assert bits[0] == pytest.approx([p.bits[0] / 1056, p.bits[1]]) and (bits[0] == bits[2]).all()
+
+
+def test_many_letters_take_little_memory():
+    rng = np.random.default_rng(15)
+    text = "".join(map(chr, 0x4E00 + rng.integers(0, 2500, 24_000)))
+    assert language.Parser((("a", text), ("b", text[::-1]))).nbytes < 20_000_000
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join("".join(rng.choices(chr(0x4E00 + 20 * (i % 90)) + chr(0x4E01 + 20 * (i % 90)) + "abc", k=5)) for _ in range(40)), f"l{i % 90}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit(1), "score": F.lit("x")})
+    out = language.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.lang_pred for r in out} == {f"l{i}" for i in range(90)} and sum(r.lang == r.lang_pred for r in out) > 0.95 * len(out)
+
+
 def test_language_accuracy_and_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = language.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
