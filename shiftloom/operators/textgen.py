@@ -111,7 +111,8 @@ def generate(df: DataFrame, factory: Callable[[], Generator], prompt: str = "pro
 
     schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.StringType()), T.StructField("sent_", T.StringType())])
     told = (df.repartition(workers) if workers else df).drop(out).mapInPandas(run, schema)
-    return told.withColumn(out, strip_echo(strip_echo(F.col(out), F.col("sent_")), F.col(prompt))).drop("sent_")
+    echoes = F.startswith(F.col(out), F.col("sent_")) & (F.length("sent_") > 0)
+    return told.withColumn(out, strip_echo(F.col(out), F.when(echoes, F.col("sent_")).otherwise(F.col(prompt)))).drop("sent_")
 
 
 def strip_echo(text: Column, prompt: Column) -> Column:

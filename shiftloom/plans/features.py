@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dynamics, labels, quality, ranges, shifts
-from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
+from ..schema import DATE_COL, DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, SHIFT_COL, STAT_COLS, Columns
+from ..sources.tables import kept
 
 
 def shift_features(
@@ -17,9 +18,14 @@ def shift_features(
 
     ``long`` is cleaned first unless not ``raw``. Limits come from ``history`` (the same table if not
     given). Statistics, range counts and dynamics share one exchange and one aggregation on the key,
-    so no joins by the key remain; tag-level tables are joined on the tag.
+    so no joins by the key remain; tag-level tables are joined on the tag. The cleaned table feeds the
+    limits, the interval, the baseline and the shifts, so it is stored once, without other columns.
     """
-    clean = quality.clean_long(long, cols, interpolate) if raw else long
+    needed = [c for c in (cols.tag, cols.ts, cols.value, cols.tiebreak, DATE_COL, SHIFT_COL) if c]
+    clean = long
+    if raw:
+        made = quality.clean_long(long, cols, interpolate)
+        clean = kept(made.select(*[f"`{c}`" for c in made.columns if c in needed]))
     limits = ranges.tag_limits(clean if history is None else history, cols, approx=approx)
     interval = F.lit(float(interval_min)) if interval_min is not None else ranges.sampling_interval(clean, cols).scalar()
     keys = shifts.key_columns(cols)

@@ -158,6 +158,15 @@ PROMPTS = {
     ),
 }
 
+#: The prompts of the reports of one date; the stub answers with their length.
+TOLD = f"""
+valued AS (SELECT fecha, turno, tag, CAST(CAST(round(mean_turno, 3) * 1000 AS BIGINT) AS DOUBLE) AS valor FROM features WHERE fecha = '2024-01-10'),
+told AS (SELECT fecha, turno, tag AS variable, valor, {PROMPTS["report"].replace("'N/A'", "CAST(valor AS VARCHAR)")} AS prompt FROM valued)"""
+#: Limits from a history of its own and a given interval.
+GIVEN = """
+limits AS (SELECT event_type AS t, quantile_cont(value, 0.05) AS lim_inf, quantile_cont(value, 0.95) AS lim_sup FROM events GROUP BY event_type),
+span AS (SELECT 15.0::DOUBLE AS interval_min)"""
+
 SQL = {
     "shift_features": select(P1, f"SELECT {ALL} FROM features"),
     "shift_features_composed": select(P1, f"SELECT {ALL} FROM features"),
@@ -198,8 +207,12 @@ SQL = {
     "report_deviations": select(P1, f"SELECT {KEY}, CAST(row_number() OVER (PARTITION BY fecha, turno ORDER BY {LEVEL} DESC, pct_en_rango, tag) AS INTEGER) AS orden, estado_global_rango, desviacion_predominante, prioridad_atencion, {rounded('pct_en_rango')} FROM features WHERE estado_global_rango NOT IN ('OK', 'desconocido')"),
     "watch_list": select(P1, f"SELECT * FROM (SELECT {KEY}, CAST(row_number() OVER (PARTITION BY fecha, turno ORDER BY {LEVEL} DESC, abs(gap_pct) DESC NULLS LAST, tag) AS INTEGER) AS orden, prioridad_atencion, {rounded('gap_pct')} FROM features) WHERE orden <= 3"),
     "tag_inventory": select([GAPPY], "SELECT tag, count(*) AS n_filas, min(epoch_us(ts)) AS desde, max(epoch_us(ts)) AS hasta, round(avg(CASE WHEN value IS NULL THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_nulls, coalesce(stddev_samp(value) < 1e-3, FALSE) AS congelada FROM raw GROUP BY tag"),
-    "shift_reports": select(P1, f"SELECT fecha, turno, tag AS variable, round(mean_turno, 6) AS valor, NULL AS reporte_llm FROM features WHERE fecha = '2024-01-10'"),
+    "shift_reports": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, CAST(length(prompt) AS VARCHAR) AS reporte_llm FROM told"),
+    "shift_reports_chat": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, CAST(length(prompt) + 13 AS VARCHAR) AS reporte_llm FROM told"),
+    "reports_roundtrip": select([*P1, TOLD], """SELECT fecha, turno, variable, valor, '"a", ' || turno || chr(10) || CAST(length(prompt) AS VARCHAR) AS reporte_llm FROM told"""),
+    "shift_features_given": select([GAPPY, FILL, KEYED, STAT_SQL, MONTH_SQL, GIVEN, SHARES, DYNAMICS, JOINED, LABELLED], f"SELECT {ALL} FROM features"),
+    "shift_gap_unfilled": select([GAPPY, PASS, KEYED, STAT_SQL, GAP_SQL], f"SELECT {KEY}, {rounded(*STATS, *GAPS)} FROM gaps"),
+    "features_csv": select(P1, f"SELECT {KEY}, {rounded(*STATS)}, {', '.join(LABELS)} FROM features"),
     "wide_to_long": "WITH c AS (SELECT event_type AS tag, date_trunc('hour', ts) AS h, round(avg(value), 4) AS v FROM events GROUP BY 1, 2), g AS (SELECT t.tag, hs.h FROM (SELECT DISTINCT tag FROM c) t CROSS JOIN (SELECT DISTINCT h FROM c) hs) SELECT g.tag, epoch_us(g.h) AS timestamp, c.v AS value FROM g LEFT JOIN c ON g.tag = c.tag AND g.h = c.h",
     "features_roundtrip": select(P1, f"SELECT {KEY}, {rounded(*STATS)}, {', '.join(LABELS)} FROM features"),
 } | {f"prompt_{k}": select(P1, f"SELECT {KEY}, ") + f"{p} AS prompt FROM features" for k, p in PROMPTS.items()}
-del SQL["shift_reports"]  # its texts come from a model

@@ -71,11 +71,18 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.sort_array(F.collect_set("h"))
     head = cells.agg(names.alias("hours"))
     rows = cells.groupBy("tag").agg(F.map_from_entries(F.collect_list(F.struct("h", F.col("v").cast("string")))).alias("m"))
-    body = rows.join(F.broadcast(head)).select(F.lit(1).alias("k"), F.concat_ws(",", "tag", F.array_join(F.transform("hours", lambda h: F.coalesce(F.try_element_at("m", h), F.lit(""))), ",", "")).alias("value"))
-    text = head.select(F.lit(0).alias("k"), F.concat_ws(",", F.lit("Tag de PI"), F.array_join("hours", ",")).alias("value")).unionByName(body)
-    path = f"{tables.scratch(spark)}/wide"
-    text.coalesce(1).sortWithinPartitions("k", "value").select("value").write.text(path)
-    return tidy(tables.read_wide_text(spark, path).withColumnRenamed("Tag de PI", "tag"))
+    body = rows.join(F.broadcast(head)).select(F.concat_ws(",", "tag", F.array_join(F.transform("hours", lambda h: F.coalesce(F.try_element_at("m", h), F.lit(""))), ",", "")).alias("value"))
+    path = tables.scratch(spark)
+    head.select(F.concat_ws(",", F.lit("Tag de PI"), F.array_join("hours", ",")).alias("value")).write.text(f"{path}/header")
+    body.write.text(f"{path}/body")
+    return tidy(tables.read_wide_text(spark, f"{path}/body", header=f"{path}/header").withColumnRenamed("Tag de PI", "tag"))
+
+
+def features_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table as delimited text with a header, read back."""
+    path = f"{tables.scratch(spark)}/features"
+    tables.write_features(features(spark, sf_dir).withColumnRenamed("tag", "Tag de PI"), path, "csv")
+    return tidy(tables.read_features(spark, path, "csv").withColumnRenamed("Tag de PI", "tag")).select(*KEYS, *STAT_COLS, *LABEL_COLS)
 
 
 def features_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +97,20 @@ def stub_model() -> Callable[..., list[str]]:
     return lambda prompts, **options: [f"{p}\n {len(p)} " for p in prompts]
 
 
+def reports(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """Reports of one date; the value in whole thousandths, as engines print other doubles differently."""
+    f = features(spark, sf_dir).withColumn("mean_turno", (F.round("mean_turno", 3) * 1000).cast("long").cast("double"))
+    return textgen.shift_reports(f, stub_model, "2024-01-10", None, None, COLS, **more)
+
+
+def reports_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with line ends, written as delimited text and read back."""
+    path = f"{tables.scratch(spark)}/reports"
+    found = reports(spark, sf_dir).withColumn("reporte_llm", F.concat(F.lit('"a", '), F.col("turno"), F.lit("\n"), F.col("reporte_llm")))
+    tables.write_reports(found, path)
+    return tidy(tables.read_reports(spark, path))
+
+
 def prompt_query(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = features(spark, sf_dir)
@@ -146,10 +167,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_deviations": lambda s, d: report.deviating(features(s, d), COLS),
         "watch_list": lambda s, d: report.watch_list(features(s, d), COLS),
         "tag_inventory": lambda s, d: report.inventory(events(s, d, True), COLS),
-        "shift_reports": lambda s, d: textgen.shift_reports(features(s, d), stub_model, "2024-01-10", None, None, COLS),
+        "shift_reports": lambda s, d: reports(s, d),
+        "shift_reports_chat": lambda s, d: reports(s, d, formatter=lambda p: f"<user>{p}</user>", max_new_tokens=50),
+        "shift_features_given": lambda s, d: shift_features(events(s, d, gaps=True), COLS, history=events(s, d), interval_min=15.0, period="calendar_month"),
+        "shift_gap_unfilled": lambda s, d: shifts.shift_gaps(quality.clean_long(events(s, d, True), COLS, interpolate=False), COLS),
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
-    plain |= {"wide_to_long": wide_to_long, "features_roundtrip": features_roundtrip}
+    plain |= {"wide_to_long": wide_to_long, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip}
     return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
 

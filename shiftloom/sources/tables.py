@@ -27,16 +27,16 @@ def unpivot_wide(wide: DataFrame, cols: Columns = Columns(), strict: bool = True
     return timed if strict else timed.where(F.col(cols.ts).isNotNull())
 
 
-def read_wide_text(spark: SparkSession, path: str, cols: Columns = Columns(), delimiter: str = ",", strict: bool = True) -> DataFrame:
+def read_wide_text(spark: SparkSession, path: str, cols: Columns = Columns(), delimiter: str = ",", strict: bool = True, header: str | None = None) -> DataFrame:
     """Wide delimited text straight to long: a line is split once and exploded by position.
 
-    Thousands of columns never become columns of a plan. The header line is read on the driver (one
-    line); its times travel as one array. Values may be quoted; a field with the delimiter inside
+    Thousands of columns never become columns of a plan. The header line, the first of ``path`` or of a
+    text of its own at ``header``, is read on the driver (one line); its times travel as one array. Values may be quoted; a field with the delimiter inside
     quotes is only allowed in the tag column. Lines with fewer fields than the header give nulls.
     Raises ``ValueError`` if the header lacks the tag column or, if ``strict``, names no time.
     """
     lines = spark.read.text(path)
-    head = lines.limit(1).collect()
+    head = (spark.read.text(header) if header else lines).limit(1).collect()
     names = next(csv.reader([head[0][0]], delimiter=delimiter)) if head else []
     if cols.tag not in names:
         raise ValueError(f"no column {cols.tag!r} in the header of {path}")
@@ -97,6 +97,20 @@ def write_reports(df: DataFrame, path: str, form: str = "csv", mode: str = "erro
         df.write.mode(mode).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for plans that read it several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_reports(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
+    """Report texts as :func:`write_reports` leaves them."""
+    if form == "csv":
+        return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).option("escape", '"').csv(path, header=True)
+    return spark.read.schema(REPORT_SCHEMA).parquet(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the shared folder of the cluster, or in a temporary one if none is set."""
     import tempfile
