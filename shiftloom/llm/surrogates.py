@@ -2,8 +2,11 @@
 
 Entities are found by patterns; each gets a replacement derived from a key and its normal form, so all
 mentions of one entity get one replacement whatever their punctuation, and the mention keeps its own
-format. Replacements of one kind are checked against each other and against every entity seen; an
-entity whose replacement is taken moves on to its next attempt, until all are distinct.
+format. Numbers, addresses, mailboxes and secrets are mapped by keyed permutations of all strings of
+their format without fixed points, names to made-up ones. Replacements of one kind are checked against
+each other and against every entity seen; an entity whose replacement is taken moves on to its next
+attempt, until all are distinct. Where a format is too full for that, all its entities take the first
+permutation: distinct by construction, though it may be another entity's original.
 """
 
 from __future__ import annotations
@@ -34,7 +37,14 @@ SYLLABLES = {
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а", "ий"),
     "greek": ("βγδζκλμνπρστφ", "αειου", "α", "ος"),
 }
-DIGIT_KINDS = ("card", "ssn", "phone")
+DIGIT_KINDS = ("card", "ssn")
+NAMES = ("given_f", "given_m", "surname")
+ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+DIGITS, HEX = "0123456789", "0123456789abcdef"
+#: International calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: First octets of addresses that are not plainly public.
+SPECIAL = (10, 127, 169, 172, 192)
 
 
 def whole_pattern() -> str:
@@ -62,6 +72,7 @@ def parts_of(mention: Column, kind: Column) -> Column:
     )
     norm = (
         F.when(kind.isin(*DIGIT_KINDS), F.regexp_replace(mention, r"\D", ""))
+        .when(kind == "phone", F.regexp_replace(mention, r"[^\d+]", ""))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "email", F.lower(mention))
         .otherwise(mention)
@@ -74,29 +85,82 @@ def byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, 2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def letter(digest: Column, i: Column, letters: str) -> Column:
-    return F.substring(F.lit(letters), byte(digest, i) % len(letters) + 1, F.lit(1))
+def letters(digest: Column, first: int, last: int, *alphabets: Column) -> Column:
+    """Letters for the bytes from ``first`` to ``last`` of a digest, from the alphabets in turn."""
+    own = F.array(*alphabets)
 
+    def letter(i: Column) -> Column:
+        return let(F.element_at(own, i % len(alphabets) + 1), lambda a: F.substring(a, byte(digest, i) % F.length(a) + 1, F.lit(1)))
 
-def like_it(raw: Column, digest: Column, hexadecimal: bool = False) -> Column:
-    """Digits for digits (hexadecimal for hexadecimal, where asked for), letters for letters of the same case and script."""
-    chars = F.filter(F.split(raw, ""), lambda c: c != "")
-    only_hex = raw.rlike("^[0-9a-f]+$") & F.lit(hexadecimal)
+    return F.array_join(F.transform(F.sequence(F.lit(first), F.lit(last)), letter), "")
 
-    def swap(c: Column, i: Column) -> Column:
-        out = F.when(only_hex, letter(digest, i, "0123456789abcdef")).when(c.rlike(r"\d"), letter(digest, i, "0123456789"))
-        for low in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуф", "αβγδεζηθικλμνξοπρστυφχψω"):
-            span = rf"[{low[0]}-{'я' if low[0] == 'а' else low[-1]}]"
-            out = out.when(c.rlike(span), letter(digest, i, low)).when(F.lower(c).rlike(span), letter(digest, i, low.upper()))
-        return out.when(c.rlike(r"\p{Lu}"), letter(digest, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), letter(digest, i, "abcdefghijklmnopqrstuvwxyz")).otherwise(c)
 
-    return F.array_join(F.transform(chars, swap), "")
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def digits_like(norm: Column, digest: Column) -> Column:
-    """As many digits; the first isn't zero."""
-    rest = F.transform(F.sequence(F.lit(1), F.length(norm)), lambda i: F.when(i == 1, letter(digest, i, "123456789")).otherwise(letter(digest, i, "0123456789")))
-    return F.array_join(rest, "")
+def chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def symbols(text: Column, hexadecimal: Column | None = None, number: Column | None = None) -> Column:
+    """Each character as its place v in an alphabet of r: digits (of a ``number`` the first is not zero),
+    hexadecimal digits where asked for, letters of one script and case. Any other stands alone."""
+    hexadecimal, number = (F.lit(False) if x is None else x for x in (hexadecimal, number))
+
+    def alphabet(c: Column, i: Column) -> Column:
+        first = number & (i == 0)
+        out = F.when(hexadecimal, HEX).when(first & (c == "0"), "0").when(first, DIGITS[1:]).when(F.lit(DIGITS).contains(c), DIGITS)
+        for low in ALPHABETS:
+            out = out.when(F.lit(low).contains(c), low).when(F.lit(low.upper()).contains(c), low.upper())
+        return out.otherwise(c)
+
+    place = lambda c, own: F.struct((F.call_function("locate", c, own) - 1).alias("v"), F.length(own).alias("r"), own.alias("alphabet"))
+    return F.transform(chars(text), lambda c, i: let(alphabet(c, i), lambda own: place(c, own)))
+
+
+def scrambled(line: Column, key: str, *tweak: Column) -> Column:
+    """A keyed permutation of all lines of symbols with the same alphabets, without fixed points: rounds
+    add to every other symbol a digest of those between, a step by one, and the rounds taken back."""
+
+    def added(now: Column, k: int, sign: int) -> Column:
+        others = F.transform(F.filter(now, lambda x, i: i % 2 != k % 2), lambda x: x["v"].cast("string"))
+        digest = F.sha2(F.concat_ws("\x00", F.lit(key), *tweak, F.lit(str(k)), F.array_join(others, ",")), 512)
+        put = lambda x, v: F.struct(v.alias("v"), x["r"].alias("r"), x["alphabet"].alias("alphabet"))
+        return let(digest, lambda d: F.transform(now, lambda x, i: put(x, F.when(i % 2 == k % 2, F.pmod(x["v"] + sign * byte(d, i), x["r"])).otherwise(x["v"]))))
+
+    def stepped(now: Column) -> Column:
+        free = F.transform(now, lambda x: x["r"] > 1)
+        step = lambda x, i, at: F.when(i + 1 == at, F.pmod(x["v"] + 1, x["r"])).otherwise(x["v"]).cast("int")
+        return let(F.array_position(free, True), lambda at: F.transform(now, lambda x, i: F.struct(step(x, i, at).alias("v"), x["r"].alias("r"), x["alphabet"].alias("alphabet"))))
+
+    def turned(k: int, sign: int):
+        return lambda now: added(now, k, sign)  # one parameter: a second one would be taken for an index
+
+    out = line
+    for step in (*[turned(k, 1) for k in range(3)], stepped, *[turned(k, -1) for k in (2, 1, 0)]):
+        out = let(out, step)
+    return out
+
+
+def spelled(line: Column) -> Column:
+    return F.array_join(F.transform(line, lambda x: F.substring(x["alphabet"], x["v"] + 1, F.lit(1))), "")
+
+
+def octet_lists(norm: Column) -> Column:
+    """For each octet of an IPv4 address those that it may become: private ones keep their network, and no
+    other one becomes private."""
+    numbers = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+    first, second = (F.element_at(F.split(norm, r"\."), i).cast("int") for i in (1, 2))
+    return F.array(
+        F.when(is_public(first), F.array_except(numbers(1, 223), F.array(*map(F.lit, SPECIAL)))).otherwise(F.array(first)),
+        F.when((first == 192) & (second == 168), F.array(second)).when(first == 192, F.array_remove(numbers(0, 255), 168)).otherwise(numbers(0, 255)), numbers(0, 255), numbers(0, 255),
+    )
+
+
+def is_public(first: Column) -> Column:
+    return first.between(1, 223) & ~first.isin(*SPECIAL)
 
 
 def luhn(digits: Column) -> Column:
@@ -121,99 +185,121 @@ def iban_rest(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), located)
 
 
-def made_name(norm: Column, digest: Column, ending: str) -> Column:
+def made_name(norm: Column, digest: Column, kind: Column, longer: Column) -> Column:
     """A made-up name in the script of the original, with the ending of its gender."""
-    by_script = {}
-    for script, (hard, soft, female, male) in SYLLABLES.items():
-        stem = F.concat(*[letter(digest, F.lit(i), soft if i % 2 else hard) for i in range(7)])
-        by_script[script] = F.concat(stem, F.lit(female if ending == "f" else male)) if ending else stem
-    return F.when(norm.rlike(r"\p{IsCyrillic}"), by_script["cyrillic"]).when(norm.rlike(r"\p{IsGreek}"), by_script["greek"]).otherwise(by_script["latin"])
+    scripts = {k: F.array(*map(F.lit, v)) for k, v in SYLLABLES.items()}
+    own = F.when(norm.rlike(r"\p{IsCyrillic}"), scripts["cyrillic"]).when(norm.rlike(r"\p{IsGreek}"), scripts["greek"]).otherwise(scripts["latin"])
+
+    def spell(o: Column) -> Column:
+        hard, soft = o[0], o[1]
+        ending = F.when(kind == "given_f", o[2]).when(kind == "given_m", o[3]).otherwise("")
+        return F.concat(F.when(longer, letters(digest, 8, 15, hard, soft)).otherwise(""), letters(digest, 0, 6, hard, soft), ending)
+
+    return let(own, spell)
 
 
 def with_surrogate(df: DataFrame, attempt: Column, key: str, name: str = "new") -> DataFrame:
-    """Adds the normal form of the replacement of (kind, norm). The digests are columns of their own
-    first, or every letter would carry a copy of their expression."""
+    """Adds the normal form of the replacement of (kind, norm)."""
     digest = F.sha2(F.concat_ws("\x00", F.lit(key), F.col("kind"), F.col("norm"), attempt.cast("string")), 512)
     host = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("host"), F.substring_index("norm", "@", -1)), 512)
-    own = df.withColumns({"digest_": digest, "digest_host_": host})
-    return own.withColumn(name, surrogate(F.col("kind"), F.col("norm"), F.col("digest_"), F.col("digest_host_"))).drop("digest_", "digest_host_")
-
-
-def surrogate(kind: Column, norm: Column, digest: Column, host: Column) -> Column:
-    """The normal form of the replacement from the digest of the entity and that of its e-mail host."""
-    domain = F.concat(*[letter(host, F.lit(i), "abcdefghijklmnopqrstuvwxyz") for i in range(8)], F.lit(".example."), F.when(norm.rlike(r"\.(?:com|net|org)$"), F.substring_index(norm, ".", -1)).otherwise("org"))
-    digits = digits_like(norm, digest)
-    last = (10 - luhn(F.concat(F.substring(digits, F.lit(1), F.length(norm) - 1), F.lit("0")))) % 10
-    card = F.when(luhn(norm) == 0, F.concat(F.substring(digits, F.lit(1), F.length(norm) - 1), last.cast("string"))).otherwise(digits)
-    country, account = F.substring(norm, 1, 2), like_it(F.substring(norm, F.lit(5), F.length(norm)), digest)
-    iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
-    octets = [(byte(digest, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
-    ip = (
-        F.when(norm.startswith("10."), F.concat_ws(".", F.lit("10"), *octets[1:]))
-        .when(norm.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *octets[2:]))
-        .otherwise(F.concat_ws(".", *octets))
+    return df.withColumn(name, surrogate(F.col("kind"), F.col("norm"), digest, host, attempt, key))
+
+
+def surrogate(kind: Column, norm: Column, digest: Column, host: Column, attempt: Column, key: str) -> Column:
+    """The normal form of the replacement. Check digits that fit go on to fit, others stay as far off."""
+    rest = lambda n: F.substring(norm, n, F.length(norm))
+    longer, number = attempt >= 6, kind.isin("card", "ssn", "phone")
+    kept = (
+        F.when(kind == "iban", F.substring(norm, 1, 2)).when(kind == "phone", F.regexp_extract(norm, CALLING_CODE, 0))
+        .when(kind == "secret", F.regexp_extract(norm, r"^(?:AKIA|gh[opsu]_|sk[-_])", 0)).otherwise("")
     )
-    prefix = F.regexp_extract(norm, r"^(?:AKIA|gh[opsu]_|sk[-_])", 0)
-    return (
-        F.when(kind == "email", F.concat(like_it(F.substring_index(norm, "@", 1), digest), F.lit("@"), domain))
-        .when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("ssn", "phone"), digits).when(kind == "iban", iban)
-        .when(kind == "secret", F.concat(prefix, like_it(F.substring(norm, F.length(prefix) + 1, F.length(norm)), digest, True)))
-        .when(kind == "given_f", made_name(norm, digest, "f")).when(kind == "given_m", made_name(norm, digest, "m"))
-        .when(kind == "surname", made_name(norm, digest, "")).otherwise(norm)
+    moved = (
+        F.when(kind == "email", F.substring_index(norm, "@", 1)).when(kind == "card", F.substring(norm, F.lit(1), F.length(norm) - 1)).when(kind == "ssn", norm)
+        .when(kind == "iban", rest(F.lit(5))).when(kind.isin("phone", "secret"), rest(F.length(kept) + 1)).otherwise("")
     )
+    tweak = F.when(kind == "email", F.substring_index(norm, "@", -1)).otherwise(kept)
+    octet = lambda o, own: F.struct((F.array_position(own, o.cast("int")) - 1).cast("int").alias("v"), F.size(own).alias("r"), F.lit("").alias("alphabet"))
+    line = F.when(kind == "ip", F.zip_with(F.split(norm, r"\."), octet_lists(norm), octet)).otherwise(symbols(moved, (kind == "secret") & moved.rlike("^[0-9a-f]+$"), number))
+
+    def told(new: Column) -> Column:
+        spelt = spelled(new)
+        top = F.when(norm.rlike(r"\.(?:com|net|org)$"), F.substring_index(norm, ".", -1)).otherwise("org")
+        domain = let(host, lambda d: F.concat(letters(d, 0, 11, F.lit(ALPHABETS[0])), F.lit(".example."), top))
+        due = lambda head: F.pmod(10 - luhn(F.concat(head, F.lit("0"))), F.lit(10))
+        last = F.substring(norm, F.length(norm), F.lit(1)).cast("int")
+        fit = lambda account: 98 - iban_rest(F.concat(account, kept, F.lit("00")))
+        check = F.pmod(F.substring(norm, 3, 2).cast("int") - fit(moved) + fit(spelt) - 2, F.lit(97)) + 2
+        return (
+            F.when(kind == "ip", F.array_join(F.zip_with(new, octet_lists(norm), lambda x, own: F.element_at(own, x["v"] + 1).cast("string")), "."))
+            .when(kind == "email", F.concat(spelt, F.lit("@"), domain)).when(kind == "card", F.concat(spelt, F.pmod(last - due(moved) + due(spelt), F.lit(10)).cast("string")))
+            .when(kind == "iban", F.concat(kept, F.lpad(check.cast("string"), 2, "0"), spelt)).otherwise(F.concat(kept, spelt))
+        )
+
+    names = let(digest, lambda d: made_name(norm, d, kind, longer))
+    return F.when(kind == "title", norm).when(kind.isin(*NAMES), names).otherwise(let(scrambled(line, key, kind, attempt.cast("string"), tweak), told))
 
 
 def dressed(kind: Column, raw: Column, new: Column) -> Column:
     """The replacement in the format of the mention."""
-    chars = F.filter(F.split(raw, ""), lambda c: c != "")
+    plain = F.regexp_replace(new, r"^\+", "")
 
     def put(symbol: str) -> Column:
-        step = lambda a, c: F.when(c.rlike(symbol), F.struct(F.concat(a["out"], F.substring(new, a["k"] + 1, F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k")))
-        return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step)["out"]
+        step = lambda a, c: F.when(c.rlike(symbol), F.struct(F.concat(a["out"], F.substring(plain, a["k"] + 1, F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k")))
+        return F.aggregate(chars(raw), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step)["out"]
 
-    code = F.regexp_extract(raw, r"^\+\d{1,3}(?=[ .(-])", 0)  # a country code stays
-    phone = F.concat(code, F.substring(put(r"\d"), F.length(code) + 1, F.length(raw)))
     name = F.when(raw == F.upper(raw), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new))))
     return (
-        F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), put(r"\d")).when(kind == "iban", put("[A-Z0-9]"))
-        .when(kind.isin("given_f", "given_m", "surname"), name).when(kind == "title", raw)
+        F.when(kind.isin("card", "ssn", "phone"), put(r"\d")).when(kind == "iban", put("[A-Z0-9]"))
+        .when(kind.isin(*NAMES), name).when(kind == "title", raw)
         .when((kind == "email") & (raw == F.upper(raw)), F.upper(new)).otherwise(new)
     )
 
 
-def attempts(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
+def format_of(kind: Column, norm: Column) -> Column:
+    """What entities share whose replacements can be the same: no replacement leaves its format."""
+    octet = F.substring_index(norm, ".", 1)
+    address = F.when(is_public(octet.try_cast("int")), "public").otherwise(octet)
+    return F.when(kind == "email", F.substring_index(norm, "@", -1)).when(kind == "ip", address).otherwise(F.length(norm).cast("string"))
+
+
+def attempts(entities: DataFrame, key: str, most: int = 12) -> DataFrame:
     """``entities``: distinct (kind, norm), stored. (kind, norm, attempt) of those beyond attempt 0.
 
-    In each round entities with a replacement that another one has too, or that is itself an entity
-    or equals its original, move on, but the least of those that share one. Only counts by replacement
-    are shuffled; rounds end when no entity moves.
+    In each round entities with a replacement that another one has too, or that is itself an entity,
+    move on, but the least of those that share one. Only counts by replacement are shuffled; rounds end
+    when no entity moves. After ``most`` rounds the formats of those that still move go back to attempt 0.
     """
     state = stored(with_surrogate(entities.withColumn("attempt", F.lit(0)), F.col("attempt"), key))
-    for _ in range(most):
+    for k in range(most + 1):
         shared = state.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1").select(F.col("kind").alias("k"), F.col("new").alias("s"), "first")
         taken = state.join(shared, (F.col("kind") == F.col("k")) & (F.col("new") == F.col("s"))).where(F.struct("attempt", "norm") != F.col("first")).select("kind", "norm")
         real = state.join(entities.select(F.col("kind").alias("k"), F.col("norm").alias("o")), (F.col("kind") == F.col("k")) & (F.col("new") == F.col("o")), "left_semi").select("kind", "norm")
         moving = stored(taken.unionByName(real).distinct())
         if not moving.limit(1).count():
             break
+        if k == most:
+            if moving.where(F.col("kind").isin(*NAMES)).limit(1).count():
+                raise RuntimeError(f"made-up names still collide after {most} attempts")
+            full = moving.select("kind", format_of(F.col("kind"), F.col("norm")).alias("format")).distinct()
+            return state.withColumn("format", format_of(F.col("kind"), F.col("norm"))).join(full, ["kind", "format"], "left_anti").where("attempt > 0").select("kind", "norm", "attempt")
         moved = state.join(moving.withColumn("moves", F.lit(1)), ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("moves", F.lit(0)))
         state = stored(with_surrogate(moved.select("kind", "norm", "attempt"), F.col("attempt"), key))
-    else:
-        raise RuntimeError(f"surrogates still collide after {most} attempts: too many entities of one format")
     return state.where("attempt > 0").select("kind", "norm", "attempt")
 
 
 def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced, and the number of mentions replaced.
 
-    Kinds: e-mail addresses, persons after a title (gender and script of the made-up name match), bank
-    account numbers (valid check digits), secrets and keys, IPv4 addresses, card numbers (valid if the
-    original is), social security and phone numbers (country code kept). Texts without a mention pass
+    Kinds: e-mail addresses, persons after a title (gender and script of the made-up name match) and
+    their names wherever they stand again in the same text, bank account numbers, secrets and keys, IPv4
+    addresses (private ones stay in their network), card numbers (check digits fit where they did), social
+    security and phone numbers (the calling code is kept). Phones: with + and 8 to 15 digits, with an area
+    code in brackets, or 3-3-4 digits. Texts without a mention pass
     unchanged, null texts stay null; repeated rows are replaced alike; empty tables give no row; all
     columns are kept, but a column named like ``count_col`` is replaced.
     """
     docs = docs.drop(count_col)
-    row, found, at, part, news = fresh(docs, "row_", "found_", "at_", "part_", "news_")
+    row, found, at, part, news, names = fresh(docs, "row_", "found_", "at_", "part_", "news_", "names_")
     every = F.regexp_extract_all(F.col(text_col), F.lit(whole_pattern()), F.lit(0))
     seen = docs.withColumn(found, F.when(F.col(text_col).rlike(HINT), every))
     has = F.coalesce(F.size(found) > 0, F.lit(False))
@@ -225,12 +311,20 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
     told = parts.join(bounded(moved), ["kind", "norm"], "left")
     told = with_surrogate(told, F.coalesce("attempt", F.lit(0)), key)
     new = dressed(F.col("kind"), F.col("raw"), F.col("new"))
-    by_row = told.select(row, F.struct(F.col(at), F.col(part), new.alias("new")).alias("n")).groupBy(row).agg(F.sort_array(F.collect_list("n")).alias(news))
+    made = told.select(row, F.struct(F.col(at), F.col(part), new.alias("new"), F.when(F.col("kind").isin(*NAMES), F.col("raw")).alias("name")).alias("n"))
+    by_row = made.groupBy(row).agg(F.sort_array(F.collect_list("n")).alias(news))
     # Names of a person stand together again, a space between.
     joined = F.transform(found, lambda m, i: F.array_join(F.transform(F.filter(news, lambda n: n[at] == i), lambda n: n["new"]), " "))
     between = F.split(F.col(text_col), whole_pattern(), -1)
     text = F.array_join(F.zip_with(between, F.concat(joined, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    replaced = some.join(by_row, row).withColumn(count_col, F.size(found)).withColumn(text_col, text).select(*docs.columns, count_col)
+    # A person's names may stand again without a title. No made-up name is a name of the corpus, so each is replaced once.
+    pairs = F.transform(F.filter(news, lambda n: n["name"].isNotNull()), lambda n: F.struct(n["name"].alias("name"), n["new"].alias("new")))
+    both = F.array_distinct(F.concat(pairs, F.transform(pairs, lambda p: F.struct(F.upper(p["name"]).alias("name"), F.upper(p["new"]).alias("new")))))
+    bare = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}@._-])\Q"), p["name"], F.lit(r"\E(?![\p{L}\p{M}\p{N}@_])"))
+    done = some.join(by_row, row).withColumn(names, both).withColumn(text_col, text)
+    again = F.aggregate(names, F.lit(0), lambda n, p: n + F.regexp_count(F.col(text_col), bare(p)))
+    done = done.withColumn(count_col, F.size(found) + again)
+    replaced = done.withColumn(text_col, F.aggregate(names, F.col(text_col), lambda t, p: F.regexp_replace(t, bare(p), p["new"]))).select(*docs.columns, count_col)
     plain = seen.where(~has).withColumn(count_col, F.lit(0)).select(*docs.columns, count_col)
     return replaced.unionByName(plain)
 

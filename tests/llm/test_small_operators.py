@@ -174,6 +174,36 @@ def test_surrogates_stay_distinct(spark):
     assert not {t for t, _ in out} & set(texts)
 
 
+def test_full_formats_stay_distinct(spark):
+    """Every address of a private network, every mailbox of one letter, and phones written in two ways."""
+    mails = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    nets = [f"192.168.{i // 256}.{i % 256}" for i in range(0, 65536, 3)] + [f"192.168.1.{i}" for i in range(256)]
+    phones = [f"+44 20 7183 {i:04d}" for i in range(300)] + [f"+4420 7183{i:04d}" for i in range(300)] + [f"+1 706 555 {i:04d}" for i in range(300)]
+    out = [t for t, n in replaced(spark, *mails, *nets, *phones) if n == 1]
+    a, b, c = out[: len(mails)], out[len(mails) : -len(phones)], out[-len(phones) :]
+    assert len(set(a)) == 26 and not set(a) & set(mails)
+    assert len(set(b)) == len(set(nets)) and all(x.startswith("192.168.") for x in b) and not any(x == y for x, y in zip(b, nets))
+    digits = ["".join(filter(str.isdigit, x)) for x in c]
+    assert digits[:300] == digits[300:600] and len(set(digits)) == 600 and all(x.startswith("44") for x in digits[:600])
+    assert replaced(spark, "call +442071838750 or +44 2071838750")[0][0].split()[1][1:] == replaced(spark, "call +44 2071838750")[0][0][5:].replace("+", "").replace(" ", "")
+
+
+def test_permutations_of_small_formats(spark):
+    df = spark.createDataFrame([(f"{a}{b}",) for a in "0123456789" for b in "0123456789"], "x string")
+    for key in ("k", "l"):
+        got = [r[0] for r in df.select(surrogates.spelled(surrogates.scrambled(surrogates.symbols(F.col("x")), key, F.lit("t")))).collect()]
+        assert sorted(got) == sorted(r.x for r in df.collect()) and not any(g == r.x for g, r in zip(got, df.collect()))
+
+
+def test_persons_named_again(spark):
+    (text, n), (other, k) = replaced(spark, "Mr. John Smith met us. Smith left, SMITH too. John Smith stayed; Smithson and john did not.", "Smith and John alone.")
+    import re
+
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met us\. (\w+) left, (\w+) too\. (\w+) (\w+) stayed; Smithson and john did not\.", text)
+    assert m and m[2] == m[3] == m[6] == m[4].capitalize() != "Smith" and m[4].isupper() and m[1] == m[5] != "John"
+    assert n == 5 and (other, k) == ("Smith and John alone.", 0)
+
+
 def test_phones_but_no_dates(spark):
     plain = ["on 2024-10-01 and 01.10.2024", "sum 12 345 678 or 1 3 4.0", "v1.2 10:20:30"]
     numbers = ["+49 30 1234567", "+442071838750", "555-123-4567", "(030) 123 4567", "123-45-6789"]
