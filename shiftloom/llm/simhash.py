@@ -19,7 +19,7 @@ from .components import connected_components
 from .decontamination import bounded
 from .words import hash_words, lowered, mixed, numbered, packed, runs, slices, split_words
 
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 #: A text of at most so many partners in a bucket is paired with each of them; one of more, in a crowd of
 #: near copies, with its nearest there.
 FEW = 4
@@ -98,11 +98,11 @@ def set_prints(texts: pa.Array, rule: Rule) -> np.ndarray:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     out = np.zeros((len(sizes), rule.bits * rule.lanes // 8 + 4), np.uint8)
     for k in range(rule.bits * rule.lanes // 64):
-        ones = np.zeros((len(sizes), 64), np.int64)
+        ones = np.zeros((len(sizes), 64), np.int32)
         for at in range(0, len(grams), CHUNK):
             part, who = mixed(grams[at : at + CHUNK] ^ np.uint64(SEED * (k + 1) % (1 << 64))), owner[at : at + CHUNK]
             first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            ones[who[first]] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int64)
+            ones[who[first]] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
         out[:, 8 * k : 8 * k + 8] = np.packbits(ones * 2 > sizes[:, None], axis=1)
     some = np.flatnonzero(sizes)
     if len(some):

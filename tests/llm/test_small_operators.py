@@ -129,6 +129,21 @@ def test_mix_meets_targets(spark):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def test_mix_against_sql(spark):
+    """The whole sample, by DuckDB, on the smallest table and on ties, repeats, nulls and one long document."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
+    odd = spark.createDataFrame([(1, None, "a b"), (1, None, "a b"), (None, "s", None), (2, "s", " \t "), (3, "t", "x " * 5000), (4, "s", "one two three")], docs.schema)
+    for df in (docs, docs.unionByName(odd), odd):
+        con = duckdb.connect()
+        con.register("documents", df.toArrow())
+        want = Counter(con.sql(f"SELECT doc_id, size, source_size, round(target, 6), taken FROM ({mixing.MIXING_SQL})").fetchall())
+        rows = mixing.mixing_query(df).collect()
+        assert Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in rows) == want
+    share = lambda size: mixing.share_of(F.lit(size), F.lit(0.05))
+    a, b = spark.range(1).select(share(4), share(4000)).first()
+    assert a == pytest.approx(0.15) and b == pytest.approx(0.6)
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([(1, None, "a b"), (1, None, "a b"), (None, "s", None), (2, "s", " \t "), (3, "t", "x" * 50_000)], "doc_id long, source string, text string")
     rows = mixing.mixing_query(df).collect()
