@@ -17,8 +17,8 @@ from .mixing import uniform
 
 #: Bounds of the fit: vectors of the sample, lists, parts of a code.
 SAMPLE, LISTS, PARTS = 20_000, 4096, 32
-#: Codes of one block of the index, queries that meet it in one task.
-BLOCK, QUERIES = 8192, 1024
+#: Codes of one block of the index, queries that meet it in one task, vectors held against all lists at once.
+BLOCK, QUERIES, SLICE = 8192, 1024, 1024
 
 
 @dataclass(frozen=True)
@@ -79,17 +79,22 @@ def fit(sample: np.ndarray, n: int, k: int, seed: int = 20240506, aim: float = 0
     return Index(coarse, books, parts, int(np.quantile(need, aim, method="higher")))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of SLICE rows: distances to all lists are a table of SLICE times lists."""
+    return (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE))
+
+
 def encode(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     """Each vector with its list, its code and how far it lies from what its code stands for."""
-    for b in batches:
-        x = matrix(b.column(1))
+    for b in sliced(batches):
+        x = matrix(b.column(2))
         own = squared(x, index.coarse).argmin(1)
         rest = x - index.coarse[own]
         code = np.stack([squared(rest[:, p], book).argmin(1).astype(np.uint8) for p, book in zip(index.parts, index.books)], 1)
         lost = sum(((rest[:, p] - book[code[:, j]]) ** 2).sum(1) for j, (p, book) in enumerate(zip(index.parts, index.books)))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.sqrt(lost) * np.ones(len(b))), b.column(1)],
-            names=["vec_id", "list", "code", "lost", "vector"],
+            [b.column(0), b.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.sqrt(lost) * np.ones(len(b))), b.column(2)],
+            names=["row", "vec_id", "list", "code", "lost", "vector"],
         )
 
 
@@ -117,7 +122,7 @@ def send_queries(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndar
 
     A query probes the nearest ``probes`` lists, and more until they hold 4 * k candidates besides it.
     """
-    for b in batches:
+    for b in sliced(batches):
         order = np.argsort(squared(matrix(b.column(1)), index.coarse), 1, kind="stable")
         rows, blocks, lists = [], [], []
         for i, line in enumerate(order):
@@ -130,7 +135,7 @@ def send_queries(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndar
             blocks += to.keys()
             lists += to.values()
         take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(lists, pa.list_(pa.int32()))], names=["block", "query_id", "vector", "lists"])
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), b.column(0).take(take), b.column(1).take(take), pa.array(lists, pa.list_(pa.int32()))], names=["block", "asked", "vector", "lists"])
 
 
 def search_block(queries: pa.Table, codes: pa.Table, index: Index, k: int) -> pa.Table:
@@ -140,14 +145,14 @@ def search_block(queries: pa.Table, codes: pa.Table, index: Index, k: int) -> pa
     by no more than its code lost. Every vector that may be one of the ``k`` nearest by these bounds is
     measured exactly.
     """
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("far", pa.float64())])
+    schema = pa.schema([("asked", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("far", pa.float64())])
     if not queries.num_rows or not codes.num_rows:
         return schema.empty_table()
-    codes, queries = codes.combine_chunks().sort_by("vec_id"), queries.combine_chunks()
-    ids = codes["vec_id"].to_numpy()
+    codes, queries = codes.combine_chunks().sort_by([("vec_id", "ascending"), ("row", "ascending")]), queries.combine_chunks()
+    rows, ids = codes["row"].to_numpy(), codes["vec_id"].to_numpy()
     own = codes["list"].to_numpy()
     code = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    asked = queries["query_id"].to_numpy()
+    asked = queries["asked"].to_numpy()
     x = matrix(queries["vector"].combine_chunks() if isinstance(queries["vector"], pa.ChunkedArray) else queries["vector"])
     own_x, lost = matrix(codes["vector"].combine_chunks() if isinstance(codes["vector"], pa.ChunkedArray) else codes["vector"]), codes["lost"].to_numpy()
     own_size, size = np.sqrt((own_x * own_x).sum(1)), np.sqrt((x * x).sum(1))
@@ -163,7 +168,7 @@ def search_block(queries: pa.Table, codes: pa.Table, index: Index, k: int) -> pa
         for j, (p, book) in enumerate(zip(index.parts, index.books)):
             sums += squared(rest[:, p], book)[:, code[at, j]]
         far[np.ix_(who, at)] = sums
-    far[asked[:, None] == ids[None, :]] = np.inf
+    far[asked[:, None] == rows[None, :]] = np.inf
     out = []
     for i, line in enumerate(far):
         held = np.flatnonzero(line < np.inf)
@@ -173,7 +178,7 @@ def search_block(queries: pa.Table, codes: pa.Table, index: Index, k: int) -> pa
         near = held[apart - slack <= edge]
         exact = np.sqrt(((own_x[near] - x[i]) ** 2).sum(1))
         best = np.argsort(exact, kind="stable")[:k]  # codes are in the order of vec_id
-        out.append((np.full(len(best), asked[i]), ids[near[best]], exact[best]))
+        out.append((np.full(len(best), asked[i]), rows[near[best]], ids[near[best]], exact[best]))
     return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 
 
@@ -181,9 +186,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, seed: int = 202405
     """query_id, rank, vec_id, score of the ``k`` nearest rows found for each row where ``queries``.
 
     ``vectors`` has vec_id (long) and embedding. Rows whose vector is null, zero, of another dimension
-    than most, or holds null or non-finite components take no part, nor do rows without vec_id; of
-    rows that repeat a vec_id the least vector does. Every other row is indexed, a query's own row is
-    no candidate of it, and fewer candidates than ``k`` are all returned. Lists, codes and probes are
+    than most, or holds null or non-finite components take no part, nor do rows without vec_id. Every other row is indexed, also those that
+    repeat a vec_id, and only a query's own row is no candidate of it; and fewer candidates than ``k`` are all returned. Lists, codes and probes are
     fitted on a bounded sample (SAMPLE vectors); within the lists probed the result is exact: all
     vectors that the codes' error bounds don't exclude are ranked by the exact Euclidean distance,
     ties to the smaller vec_id. An empty table gives
@@ -195,35 +199,33 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, seed: int = 202405
     if not dims:
         return vectors.sparkSession.createDataFrame([], empty)
     dim = dims[0]["d"]
-    rows = rows.where(F.size("vector") == dim)
-    if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
-        rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+    rows = stored(rows.where(F.size("vector") == dim).withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     # Drawn by the hash of the vector: copies are drawn together and count once.
     drawn = rows.where(uniform(F.xxhash64(F.lit(seed), "vector")) < F.lit(1.05 * SAMPLE / n)).select("vector").limit(4 * SAMPLE)
     sample = np.unique(np.array([r[0] for r in drawn.distinct().limit(SAMPLE).toLocalIterator()] or [r[0] for r in rows.limit(1000).select("vector").collect()], np.float64), axis=0)
     index = fit(sample, n, k, seed)
-    codes = stored(rows.select("vec_id", "vector").mapInArrow(lambda bs: encode(bs, index), f"vec_id long, list int, code binary, lost double, vector {rows.schema['vector'].dataType.simpleString()}"))
+    codes = stored(rows.select("row", "vec_id", "vector").mapInArrow(lambda bs: encode(bs, index), f"row long, vec_id long, list int, code binary, lost double, vector {rows.schema['vector'].dataType.simpleString()}"))
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in codes.groupBy("list").count().collect():  # a row per list
         sizes[r["list"]] = r["count"]
     first, count = plan_blocks(sizes)
-    block = F.element_at(F.lit(first.tolist()), F.col("list") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.lit(count.tolist()), F.col("list") + 1)).cast("int")
-    asked = rows.where("asks").select("vec_id", "vector")
-    sent = stored(asked.mapInArrow(lambda bs: send_queries(bs, index, sizes, first, count, k), f"block int, query_id long, vector {rows.schema['vector'].dataType.simpleString()}, lists array<int>"))
+    block = F.element_at(F.lit(first.tolist()), F.col("list") + 1) + F.pmod(F.xxhash64("row"), F.element_at(F.lit(count.tolist()), F.col("list") + 1)).cast("int")
+    asked = rows.where("asks").select("row", "vector")
+    sent = stored(asked.mapInArrow(lambda bs: send_queries(bs, index, sizes, first, count, k), f"block int, asked long, vector {rows.schema['vector'].dataType.simpleString()}, lists array<int>"))
     groups = sent.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))  # a row per block
-    meet = sent.join(F.broadcast(groups), "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
+    meet = sent.join(F.broadcast(groups), "block").withColumn("part", F.pmod(F.xxhash64("asked"), F.col("groups")).cast("int"))
     held = codes.withColumn("block", block.cast("int")).join(F.broadcast(groups), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     found = meet.drop("groups").groupBy("block", "part").cogroup(held.drop("groups").groupBy("block", "part")).applyInArrow(
-        lambda q, c: search_block(q, c, index, k), "query_id long, vec_id long, far double"
+        lambda q, c: search_block(q, c, index, k), "asked long, row long, vec_id long, far double"
     )
-    best = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    candidates = stored(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).select("query_id", "vec_id"))
-    with_vector = rows.select("vec_id", F.col("vector").alias("v")).join(bounded(candidates), "vec_id")
-    pairs = with_vector.join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "query_id")
+    best = Window.partitionBy("asked").orderBy("far", "vec_id", "row")
+    candidates = stored(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).select("asked", "row"))
+    pairs = rows.select("row", "vec_id", F.col("vector").alias("v")).join(bounded(candidates), "row")
+    pairs = pairs.join(rows.where("asks").select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), "asked")
     gaps = F.zip_with("q", "v", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    scored = pairs.select("query_id", "vec_id", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)).alias("score"))
-    final = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    scored = pairs.select("asked", "query_id", "row", "vec_id", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    final = Window.partitionBy("asked").orderBy("score", "vec_id", "row")
     return scored.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -25,6 +25,8 @@ from .words import hash_words, mixed, numbered, runs, slices, split_words
 
 DEPTH = 2
 BLOCK_BITS = 20
+#: Bytes of text in a block of documents that one task cuts; repeated windows that a task remembers to have sent.
+BLOCK_BYTES, TOLD = 1 << 25, 500_000
 #: Most cells of a sketch row (a power of two): the merged sketch sent to the tasks has DEPTH bits a
 #: cell, 256 MB at most. Larger inputs get more windows estimated repeated; the result is the same.
 MOST_CELLS = 1 << 30
@@ -200,6 +202,7 @@ def send_windows(batches: Iterator[pa.RecordBatch], sent, cells: int, width: int
     """The candidate windows by bucket of their hash, packed. Of windows known to repeat one is sent
     for each hash, without its place (row -1), so a very common window costs a task one entry."""
     bits = sent.value
+    told = np.empty(0, np.uint64)  # of repeated windows sent by this task; a very common one goes once
     for batch in batches:
         for part in slices(batch, 1, 2_000_000):
             lengths, start, h1, h2 = candidates(part.column(1), bits, cells, width, run)
@@ -212,6 +215,9 @@ def send_windows(batches: Iterator[pa.RecordBatch], sent, cells: int, width: int
             row = np.where(sure, -1, part.column(0).to_numpy(zero_copy_only=False)[owner])
             once = np.flatnonzero(sure)
             once = once[np.unique(np.stack((h1[once], h2[once])), axis=1, return_index=True)[1]] if len(once) else once
+            both = h1[once] ^ mixed(h2[once])
+            once = once[~np.isin(both, told)]
+            told = np.concatenate((told, both))[-TOLD:]
             keep = np.concatenate((np.flatnonzero(~sure), once))
             bucket = (h1[keep] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -292,10 +298,11 @@ def remove_repeats(docs: DataFrame, width: int = 35, run: int = 8, digest: bool
     windows = some.agg(F.sum("windows")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // windows_a_task))
     buckets = 4 * tasks
+    blocks = max(buckets, -(-size // BLOCK_BYTES))
     packed = some.select("row", "text", "sure").mapInArrow(lambda bs: send_windows(bs, sent, cells, width, run, buckets), "bucket long, h1 binary, h2 binary, row binary, place binary")
-    answers = packed.repartition(tasks, "bucket").mapInArrow(lambda bs: settle_windows(bs, buckets), "block long, rows binary, places binary")
+    answers = packed.repartition(tasks, "bucket").mapInArrow(lambda bs: settle_windows(bs, blocks), "block long, rows binary, places binary")
     arrow = to_arrow_type(docs.schema["doc_id"].dataType)
-    left = some.select(F.pmod("row", F.lit(buckets)).alias("block"), "row", "doc_id", "text", "sure").groupBy("block").cogroup(answers.groupBy("block"))
+    left = some.select(F.pmod("row", F.lit(blocks)).alias("block"), "row", "doc_id", "text", "sure").groupBy("block").cogroup(answers.groupBy("block"))
     cut = left.applyInArrow(lambda d, a: cut_block(d, a, width, digest, arrow), f"doc_id {kind}, n_words long, n_removed long, kept string")
     plain = found.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
     return cut.unionByName(plain).withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
