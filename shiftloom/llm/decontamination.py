@@ -123,3 +123,35 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **rules) -> DataFrame:
 def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``op1_decontamination``: every leak of whole documents."""
     return find_leaks(docs, benchmark).select("doc_id", "item_id", "doc_start", "n_item", "n_matched", "best_window")
+
+
+def _words_sql(text: str) -> str:
+    return rf"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+_SPAN = max(m[-1] for m in MASKS) + 1
+
+#: The same leaks from all pairs of equal tokens, without seeds.
+LEAKS_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)
+), items AS (
+  SELECT row_number() OVER () AS q, item_id, w FROM (SELECT DISTINCT item_id, {_words_sql('text')} AS w FROM benchmark) WHERE len(w) > 0
+), dw AS (SELECT r, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM docs),
+iw AS (SELECT q, unnest(w) AS t, unnest(range(0, len(w))) AS j FROM items),
+near AS (
+  SELECT r, q, i - j AS shift, list(j) AS js, count(*) AS n_matched FROM dw JOIN iw USING (t) GROUP BY ALL HAVING count(*) > 1
+  UNION ALL SELECT r, q, i - j, list(j), count(*) FROM dw JOIN iw USING (t) WHERE q IN (SELECT q FROM items WHERE len(w) = 1) GROUP BY ALL
+), sized AS (
+  SELECT near.*, doc_id, item_id, len(items.w) AS n_item, least({WINDOW}, len(items.w)) AS wide, greatest(0, -shift) AS lo, least(len(items.w), len(docs.w) - shift) AS hi,
+    CASE WHEN len(items.w) < {_SPAN} THEN len(items.w) ELSE ceil(least({WINDOW}, len(items.w)) * {SIMILARITY}::DOUBLE - 1e-9) END AS need
+  FROM near JOIN docs USING (r) JOIN items USING (q)
+), windows AS (
+  SELECT *, unnest(range(lo, hi - wide + 1)) AS s FROM sized WHERE n_matched >= need
+), counted AS (
+  SELECT r, doc_id, item_id, shift, n_item, n_matched, need, max(len(list_filter(js, lambda x: x >= s AND x < s + wide))) AS best_window FROM windows GROUP BY ALL
+), best AS (
+  SELECT r, doc_id, item_id, max(struct_pack(m := n_matched, b := best_window, back := -shift, n := n_item)) AS x FROM counted WHERE best_window >= need GROUP BY r, doc_id, item_id
+)
+SELECT doc_id, item_id, CAST(-x.back AS INTEGER) AS doc_start, CAST(x.n AS INTEGER) AS n_item, CAST(x.m AS INTEGER) AS n_matched, CAST(x.b AS INTEGER) AS best_window FROM best
+"""

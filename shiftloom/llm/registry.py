@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.CHAT_SQL, "op3_mixing": mixing.MIXING_SQL, "op7_substring": substring.SUBSTRING_SQL}
+    return {"op1_decontamination": decontamination.LEAKS_SQL, "op2_chat": chat.CHAT_SQL, "op3_mixing": mixing.MIXING_SQL, "op7_substring": substring.SUBSTRING_SQL}

@@ -79,6 +79,21 @@ def test_shards_are_exact(spark, n):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
 
 
+def test_shards_follow_the_matrix(spark):
+    """Rows of each input partition in each shard: the drawn matrix, and no order of the input is left."""
+    df = documents(spark, 4000).repartition(5).withColumn("p", F.spark_partition_id())
+    rows = sharding.shard_rows(df, shards=3, seed=9, block_rows=100).collect()
+    own = Counter(r.p for r in rows)
+    matrix = sharding.communication_matrix([own[p] for p in range(5)], 3, 9)
+    assert Counter((r.p, r.shard) for r in rows) == Counter({(p, s): matrix[p][s] for p in range(5) for s in range(3)})
+    again = sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_rows(df, shards=3, seed=10).collect())
+    mine = sorted((r.doc_id, r.shard, r.slot) for r in rows)
+    same = sum(a == b for a, b in zip(mine, again))
+    assert same < 20  # about 1 in 4,000 by chance
+    late = [r.slot for r in rows if r.doc_id >= 2000]
+    assert abs(sum(late) / len(late) - 4000 / 3 / 2) < 40
+
+
 def test_repeated_and_null_rows_are_sharded(spark):
     df = spark.createDataFrame([(1, None)] * 50 + [(None, "")] * 30, "doc_id long, text string")
     out = sharding.sharding_query(df).collect()

@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -75,6 +76,10 @@ def test_leaks_against_brute_force(spark):
     bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)] + [(98, None), (99, "short one")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench).collect()}
     assert got == want and len(want) > 10
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toArrow())
+    con.register("benchmark", bench.toArrow())
+    assert Counter(con.sql(decontamination.LEAKS_SQL).fetchall()) == Counter(map(tuple, decontamination.decontamination_query(df, bench).collect()))
     shuffled = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, bench, most=1).collect()}
     assert shuffled == want
     kept = {r.doc_id for r in decontamination.drop_leaks(df, bench).collect()}
