@@ -78,6 +78,13 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(tables.read_wide_text(spark, f"{path}/body", header=f"{path}/header").withColumnRenamed("Tag de PI", "tag"))
 
 
+def wide_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a wide table with a column per day, unpivoted into a long one."""
+    day = F.date_format(F.date_trunc("day", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    wide = events(spark, sf_dir).withColumn("d", day).groupBy("tag").pivot("d").agg(F.max("value"))
+    return tidy(tables.unpivot_wide(wide, COLS))
+
+
 def features_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table as delimited text with a header, read back."""
     path = f"{tables.scratch(spark)}/features"
@@ -173,7 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shift_gap_unfilled": lambda s, d: shifts.shift_gaps(quality.clean_long(events(s, d, True), COLS, interpolate=False), COLS),
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
-    plain |= {"wide_to_long": wide_to_long, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip}
+    plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip}
     return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
 
