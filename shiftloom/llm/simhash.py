@@ -22,7 +22,7 @@ from .words import hash_words, lowered, mixed, numbered, packed, runs, slices, s
 CHUNK = 1 << 15
 #: A text of at most so many partners in a bucket is paired with each of them; one of more, in a crowd of
 #: near copies, with its nearest there.
-FEW = 4
+FEW = 16
 SEED = 0x9E3779B97F4A7C15
 
 
