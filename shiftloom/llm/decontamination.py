@@ -17,8 +17,8 @@ from .common import fresh, stored
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 7), (0, 1, 3, 6, 7))
 WINDOW = 15
 SIMILARITY = 0.8
-#: Rows that a broadcast side may have; beyond, the same join runs shuffled.
-BROADCAST_ROWS = 400_000
+#: Rows that a broadcast side may have, and tokens in them; beyond, the same join runs shuffled.
+BROADCAST_ROWS, BROADCAST_TOKENS = 400_000, 2_000_000
 #: Longs of the bit filter that spares most seeds of documents the shuffle then: 8 MB.
 FILTER_WORDS = 1 << 20
 
@@ -88,10 +88,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ..
     hits = met.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     found = stored(hits.distinct())
 
+    size = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    texts = items.select(F.col("item_id").alias("i"), "item")
     around = (
         docs.select(F.col("doc_id").alias("d"), "text")
         .join(bounded(found), F.col("d").eqNullSafe(F.col("doc_id")) & same_text(F.col("text_hash")))
-        .join(bounded(items, 20_000).select(F.col("item_id").alias("i"), "item"), F.col("item_id").eqNullSafe(F.col("i")))
+        .join(F.broadcast(texts) if size <= BROADCAST_TOKENS else texts, F.col("item_id").eqNullSafe(F.col("i")))
         .select("doc_id", "text_hash", "item_id", "shift", "item", tokens(F.col("text")).alias("words"))
     )
     skip = F.greatest(-F.col("shift"), F.lit(0))

@@ -21,8 +21,10 @@ from .words import hash_words, lowered, mixed, numbered, packed, runs, slices, s
 
 CHUNK = 1 << 15
 #: A text of at most so many partners in a bucket is paired with each of them; one of more, in a crowd of
-#: near copies, with its nearest there.
+#: near copies, with its nearest there, and what that leaves open is settled by :func:`crowd_links`.
 FEW = 16
+#: Members of a crowd that meet as many others in one task.
+CROWD = 512
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -178,9 +180,10 @@ def stars(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]
     return moved, labels[moved]
 
 
-def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Each member of the bucket with all that are near, if they are FEW, or with the nearest."""
-    left, right = [], []
+def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each member of the bucket with all that are near, if they are FEW, or with the nearest; and the
+    members of which not all partners were given. With such ones, a star per component is given too."""
+    left, right, crowd = [], [], []
     for rows, cols, apart in near_in_bucket(x, lane, rule):
         if not len(rows):
             continue
@@ -190,14 +193,20 @@ def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarr
         nearest = np.minimum.reduceat(apart * len(x) + cols, cuts) % len(x)
         left += [rows[every], rows[cuts]]
         right += [cols[every], nearest]
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
+        crowd.append(rows[cuts][degree > FEW])
+    none = np.empty(0, np.int64)
+    crowd = np.concatenate([none, *crowd])
+    if len(crowd):
+        u, v = stars(x, lane, rule)
+        left.append(u)
+        right.append(v)
+    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
     both = np.unique(np.maximum(a, b) * len(x) + np.minimum(a, b))
-    return both // len(x), both % len(x)
+    return both // len(x), both % len(x), crowd
 
 
-#: What the tasks of the buckets return: pairs packed by part, or a fingerprint of a crowded bucket.
+#: What the tasks of the buckets return: pairs packed by part, a fingerprint of a bucket too large, with
+#: its key, or, without, one of which not all partners were given.
 FOUND = "part long, pairs binary, key long, u binary"
 
 
@@ -217,12 +226,17 @@ def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None
     x = lanes_of(raw, rule)
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     sizes = np.diff(cuts)
-    left, right, hot = [], [], []
+    left, right, hot, crowd = [], [], [], [np.empty(0, np.int64)]
     for a, n in zip(cuts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         if most and n > most:
             hot.append(np.arange(a, a + n))
             continue
-        u, v = (stars if rule.similarity is None else partners)(x[a : a + n], int(key[a]) % rule.lanes, rule)
+        lane = int(key[a]) % rule.lanes
+        if rule.similarity is None:
+            u, v = stars(x[a : a + n], lane, rule)
+        else:
+            u, v, some = partners(x[a : a + n], lane, rule)
+            crowd.append(some + a)
         left.append(u + a)
         right.append(v + a)
     names = ["part", "pairs", "key", "u"]
@@ -231,6 +245,8 @@ def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None
         part = (mixed(lanes_of(pairs, rule)[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         at, packs = packed(part, pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at), *packs, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names=names)
+    if len(many := unique_rows(raw[np.concatenate(crowd)])):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(many), pa.int64()), pa.nulls(len(many), pa.binary()), pa.nulls(len(many), pa.int64()), pa.array([r.tobytes() for r in many], pa.binary())], names=names)
     for ids in hot:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(key[ids]), pa.array([r.tobytes() for r in raw[ids]], pa.binary())], names=names)
 
@@ -255,8 +271,13 @@ def pack(key: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000) -> DataFrame:
+    return links_and_crowd(prints, rule, most, rows_a_task)[0]
+
+
+def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) among all fingerprints (one binary column, distinct). Without a ``similarity`` in the
-    rule they connect all fingerprints that near ones connect; with one they are near pairs to be verified.
+    rule they connect all fingerprints that near ones connect; with one they are near pairs to be verified,
+    and the second table (u) has the fingerprints, maybe repeated, of which not all near partners are among them.
 
     Each fingerprint goes to one bucket per lane and choice of blocks. A bucket sends on a star per
     component, or a few partners of each member, and never the pairs of a crowd. Buckets of over ``most`` distinct
@@ -283,7 +304,8 @@ def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_
 
     keyed = prints.mapInArrow(emit, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
     found = stored(keyed.mapInArrow(lambda bs: bucket_links(bs, rule, most, buckets), FOUND))
-    links, hot = found.where("part IS NOT NULL").select("part", "pairs"), found.where("part IS NULL").select("key", "u")
+    links, hot = found.where("part IS NOT NULL").select("part", "pairs"), found.where("key IS NOT NULL").select("key", "u")
+    crowd = found.where("part IS NULL AND key IS NULL").select("u")
     if hot.limit(1).count():
         half = max(1, most // 2)
         parts = hot.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
@@ -294,9 +316,11 @@ def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_
         dealt = dealt.select((F.shiftleft(F.shiftright("meet", 8), 8) + F.col("lane")).alias("key"), "u")
         repack = lambda bs: (pack(b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), buckets) for b in bs if len(b))
         more = dealt.mapInArrow(repack, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
-        links = links.unionByName(stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None, buckets), FOUND).select("part", "pairs")))
+        found = stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None, buckets), FOUND))
+        links = links.unionByName(found.where("part IS NOT NULL").select("part", "pairs"))
+        crowd = crowd.unionByName(found.where("part IS NULL").select("u"))
     width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else 4)
-    return links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width), "u binary, v binary")
+    return links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width), "u binary, v binary"), crowd
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -339,14 +363,62 @@ def with_sets(texts: DataFrame, words: int) -> DataFrame:
 def similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Of the rows u, v, one, two (their shingles) the u and v of Jaccard similarity ``least`` or more."""
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
-            shared = len(np.intersect1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-            ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        ok = [alike(*(np.unique(np.frombuffer(z.as_py(), "<u4")) for z in (a, b)), least) for a, b in zip(batch.column(2), batch.column(3))]
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+
+
+def settle_crowds(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Links between members (meet, node, label, grams) that meet and have other labels: near, of the rule's
+    similarity, and one of each two groups that it joins. Rows of a meeting stand together."""
+    parts: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+
+    def links_of(rows: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        x = lanes_of(np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), -1), rule)
+        label = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        sets = [np.unique(np.frombuffer(r[2], "<u4")) for r in rows]
+        for i in range(len(rows)):
+            other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            apart = np.bitwise_count(x[other] ^ x[i]).sum(axis=1, dtype=np.int64)
+            for j in other[np.argsort(apart, kind="stable")][: int((apart <= rule.near).sum())].tolist():
+                if label[i] != label[j] and alike(sets[i], sets[j], rule.similarity):
+                    label[label == label[j]] = label[i]
+                    yield rows[i][0], rows[j][0]
+
+    def settled(last: int | None) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in parts if k != last]:
+            found = list(links_of(parts.pop(key)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["u", "v"])
+
+    for batch in batches:
+        for meet, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            parts.setdefault(meet, []).append(tuple(row))
+        yield from settled(meet if len(batch) else None)
+    yield from settled(None)
+
+
+def crowd_links(rows: DataFrame, row: str, nodes: DataFrame, pairs: DataFrame, crowd: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """The links that pairs of a crowd leave open: all members of a component of near pairs with a crowd in
+    it are compared, in blocks of CROWD, every two blocks in a task, unless they are linked already."""
+    near = connected_components(contracted(pairs)).withColumnRenamed("node", "member")
+    open_ = near.join(crowd.distinct(), F.col("member") == F.col("u"), "left_semi").select(F.col("root").alias("open")).distinct()
+    named = near.join(open_, F.col("root") == F.col("open"), "left_semi").withColumnRenamed("root", "crowd")
+    labelled = stored(named.join(found.withColumnRenamed("member", "m"), F.col("member") == F.col("m"), "left").select("crowd", "member", F.coalesce("root", "member").alias("label")))
+    parts = labelled.groupBy("crowd").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    own = F.pmod(F.xxhash64("member", F.lit(11)), F.col("parts")).cast("int")
+    placed = stored(labelled.join(parts.select("crowd", "parts"), "crowd").withColumn("own", own).join(nodes, F.col("member") == F.col("node")).drop("node"))
+    texts = rows.join(bounded(placed.select(F.col("member").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("crowd", F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
+    dealt = placed.join(with_sets(texts, rule.words).withColumnRenamed("node", "n"), F.col("member") == F.col("n")).select(F.explode(meets).alias("meet"), "member", "label", "grams")
+    return dealt.repartition("meet").sortWithinPartitions("meet").mapInArrow(lambda bs: settle_crowds(bs, rule), "u binary, v binary")
+
+
 def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     """``docs`` with one row of each group of linked documents: that of the smallest doc_id (null
     last), of equal ids the first stored. Texts are stored once with their fingerprints and row
@@ -358,13 +430,18 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     rows = stored(with_fingerprints(docs, rule, mark).withColumn(row, F.monotonically_increasing_id()))
     slim = rows.select(F.col(mark).alias("node"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("who"))
     nodes = stored(slim.groupBy("node").agg(F.min("who.row").alias("row")))
-    pairs = stored(fingerprint_links(nodes.select("node"), rule))
+    pairs, crowd = links_and_crowd(nodes.select("node"), rule)
+    pairs = stored(pairs)
     ends = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node"))
     texts = rows.join(bounded(ends.select(F.col("node").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
     sets = stored(with_sets(texts, rule.words))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("two")), "v")
     links = both.select("u", "v", "one", "two").mapInArrow(lambda bs: similar(bs, rule.similarity), "u binary, v binary")
+    links = stored(links)
     found = connected_components(links).withColumnRenamed("node", "member")
+    if crowd.limit(1).count():
+        more = crowd_links(rows, row, nodes, pairs, crowd, found, rule)
+        found = connected_components(links.unionByName(more)).withColumnRenamed("node", "member")
     members = stored(slim.join(found, F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "who"))
     keepers = members.groupBy("root").agg(F.min("who").alias("kept"), F.count("*").alias("n")).where("n > 1")
     gone = stored(members.join(keepers, "root").where("who.row <> kept.row").select(F.col("who.row").alias("gone_")))

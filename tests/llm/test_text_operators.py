@@ -192,6 +192,29 @@ def test_near_duplicates_against_exact_similarity(spark):
     assert kept == set(root) and len(kept) < len(texts) - 40
 
 
+def test_a_crowd_around_one_text_is_found_whole(spark, monkeypatch):
+    """Copies that are each like one text, and too far from each other: no copy's nearest need be that text."""
+    monkeypatch.setattr(simhash, "CROWD", 100)
+    rng = random.Random(17)
+    base = prose(rng, 200)
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = list(base)
+        for k in rng.sample(range(200), 4 + i % 2):
+            copy[k] = f"own{i}x{k}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root] if a != b else root
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, list(enumerate(texts)), more=False)).collect()}
+    far = kept - set(root)
+    assert set(root) <= kept and len(far) <= 0.05 * len(texts) < len(set(root))  # fingerprints too far apart
+
+
 def test_a_crowd_of_near_copies_is_one_group(spark):
     rng = random.Random(13)
     base = prose(rng, 200)
