@@ -8,7 +8,7 @@ import numpy as np
 
 #: Input positions of a window and how many of them, the last ones, are scored.
 LENGTH, STRIDE = 20, 16
-DIM, GROUP = 16, 24
+DIM, GROUP = 16, 32
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
