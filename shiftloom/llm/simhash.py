@@ -205,8 +205,7 @@ def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarr
     return both // len(x), both % len(x), crowd
 
 
-#: What the tasks of the buckets return: pairs packed by part, a fingerprint of a bucket too large, with
-#: its key, or, without, one of which not all partners were given.
+#: What the tasks of the buckets return: pairs packed by part, or a fingerprint of a bucket too large.
 FOUND = "part long, pairs binary, key long, u binary"
 
 
@@ -239,14 +238,15 @@ def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None
             crowd.append(some + a)
         left.append(u + a)
         right.append(v + a)
+    many = np.unique(np.concatenate(crowd))  # told as pairs with themselves
+    left.append(many)
+    right.append(many)
     names = ["part", "pairs", "key", "u"]
     if left and len(u := np.concatenate(left)):
         pairs = unique_rows(np.concatenate([raw[u], raw[np.concatenate(right)]], axis=1))
         part = (mixed(lanes_of(pairs, rule)[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         at, packs = packed(part, pairs)
         yield pa.RecordBatch.from_arrays([pa.array(at), *packs, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary())], names=names)
-    if len(many := unique_rows(raw[np.concatenate(crowd)])):
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(many), pa.int64()), pa.nulls(len(many), pa.binary()), pa.nulls(len(many), pa.int64()), pa.array([r.tobytes() for r in many], pa.binary())], names=names)
     for ids in hot:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(key[ids]), pa.array([r.tobytes() for r in raw[ids]], pa.binary())], names=names)
 
@@ -305,7 +305,6 @@ def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_ta
     keyed = prints.mapInArrow(emit, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
     found = stored(keyed.mapInArrow(lambda bs: bucket_links(bs, rule, most, buckets), FOUND))
     links, hot = found.where("part IS NOT NULL").select("part", "pairs"), found.where("key IS NOT NULL").select("key", "u")
-    crowd = found.where("part IS NULL AND key IS NULL").select("u")
     if hot.limit(1).count():
         half = max(1, most // 2)
         parts = hot.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
@@ -318,9 +317,9 @@ def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_ta
         more = dealt.mapInArrow(repack, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
         found = stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None, buckets), FOUND))
         links = links.unionByName(found.where("part IS NOT NULL").select("part", "pairs"))
-        crowd = crowd.unionByName(found.where("part IS NULL").select("u"))
     width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else 4)
-    return links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width), "u binary, v binary"), crowd
+    made = stored(links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width), "u binary, v binary"))
+    return made.where("u <> v"), made.where("u = v").select("u")
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -431,7 +430,6 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     slim = rows.select(F.col(mark).alias("node"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("who"))
     nodes = stored(slim.groupBy("node").agg(F.min("who.row").alias("row")))
     pairs, crowd = links_and_crowd(nodes.select("node"), rule)
-    pairs = stored(pairs)
     ends = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node"))
     texts = rows.join(bounded(ends.select(F.col("node").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
     sets = stored(with_sets(texts, rule.words))
