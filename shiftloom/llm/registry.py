@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, language, mixing, neighbours, scoring, sharding, simhash, substring, surrogates
+from . import chat, decontamination, divergence, forest, language, lexical, mixing, neighbours, scoring, sharding, simhash, substring, surrogates
 from .common import read_table
 
 
@@ -50,10 +50,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(read_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_query(read_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.forest_query(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_decontamination, op2_chat, op3_mixing, op4_scoring, op5_surrogates, op6_neighbours, op7_substring, op8_simhash, op9_language, op10_sharding)
+    named = (
+        op1_decontamination, op2_chat, op3_mixing, op4_scoring, op5_surrogates, op6_neighbours, op7_substring, op8_simhash, op9_language, op10_sharding,
+        op11_divergence, op12_lexical, op13_forest,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.LEAKS_SQL, "op2_chat": chat.CHAT_SQL, "op3_mixing": mixing.MIXING_SQL, "op7_substring": substring.SUBSTRING_SQL}
+    return {
+        "op1_decontamination": decontamination.LEAKS_SQL, "op2_chat": chat.CHAT_SQL, "op3_mixing": mixing.MIXING_SQL, "op7_substring": substring.SUBSTRING_SQL,
+        "op11_divergence": divergence.DIVERGENCE_SQL, "op12_lexical": lexical.LEXICAL_SQL,
+    }
