@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import no_nan
 from ..schema import Columns, require
+from .blocks import add_slots
+from .percentiles import group_percentiles
 
 
 def null_summary(long: DataFrame, cols: Columns = Columns()) -> DataFrame:
@@ -42,10 +44,14 @@ def frozen_tags(variability: DataFrame, threshold: float = 1e-3) -> DataFrame:
 def iqr_bounds(long: DataFrame, cols: Columns = Columns(), factor: float = 1.5, approx: bool = False) -> DataFrame:
     """q1, q3 and the bounds by tag; no bounds where the quartiles are equal or no value exists.
 
-    ``approx`` takes approximate quartiles, whose memory doesn't grow with the distinct values.
+    Exact quartiles of a large tag are selected in rounds, so no task holds all its values; ``approx``
+    takes approximate ones in one pass.
     """
-    quartiles = F.percentile_approx(cols.value, [0.25, 0.75]) if approx else F.percentile(F.col(cols.value), F.array(F.lit(0.25), F.lit(0.75)))
-    out = long.where(F.col(f"`{cols.tag}`").isNotNull()).groupBy(cols.tag).agg(quartiles.alias("q"))
+    rows = long.where(F.col(f"`{cols.tag}`").isNotNull())
+    if approx:
+        out = rows.groupBy(cols.tag).agg(F.percentile_approx(cols.value, [0.25, 0.75]).alias("q"))
+    else:
+        out = group_percentiles(rows, [cols.tag], cols.value, [0.25, 0.75], "q")
     out = out.select(cols.tag, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     reach = F.lit(factor) * (F.col("q3") - F.col("q1"))
     return out.withColumns({"low": F.when(reach != 0, F.col("q1") - reach), "high": F.when(reach != 0, F.col("q3") + reach)})
@@ -74,38 +80,43 @@ def outlier_sample(flagged: DataFrame, cols: Columns = Columns(), flag: str = "i
     return flagged.where(flag).orderBy(cols.tag, cols.ts, *more, cols.value).limit(n)
 
 
-def interpolate_gaps(long: DataFrame, cols: Columns = Columns(), out: str = "value_interp") -> DataFrame:
+def interpolate_gaps(long: DataFrame, cols: Columns = Columns(), out: str = "value_interp", busy: int | None = None) -> DataFrame:
     """Fills null values of each tag linearly by position in time order, not by time.
 
     Leading nulls take the first value, trailing ones the last; a tag without values stays null.
-    Two levels keep a long tag off one task: values are numbered and filled within a tag and day, and
-    only one summary row per tag and day passes through a window over the tag.
+    Two levels keep a long tag off one task: values are numbered and filled within a tag and day, or a slot of
+    a day with more than ``busy`` samples, and only one summary row for each of those passes through a window over the tag.
     """
     require(long, cols.tag, cols.ts, cols.value)
+    filled = fill_blocks(add_slots(long, cols, busy), cols, out)
+    return filled.select(*[f"`{c}`" for c in long.columns if c != out], out)
+
+
+def fill_blocks(slotted: DataFrame, cols: Columns, out: str) -> DataFrame:
+    """:func:`interpolate_gaps` of rows with day_ and slot_, which stay."""
     tag, ts, v = f"`{cols.tag}`", F.col(cols.ts), no_nan(F.col(cols.value))
     order = [ts, *([F.col(cols.tiebreak)] if cols.tiebreak else []), F.col(cols.value)]
-    day = long.withColumn("day_", F.to_date(ts))
-    within = Window.partitionBy(tag, "day_").orderBy(*order)
-    numbered = day.withColumn("n_", F.row_number().over(within)).withColumn("v_", v)
+    within = Window.partitionBy(tag, "day_", "slot_").orderBy(*order)
+    numbered = slotted.withColumn("n_", F.row_number().over(within)).withColumn("v_", v)
     seen = lambda: F.struct(F.col("n_").alias("n"), F.col("v_").alias("v"))
     have = F.col("v_").isNotNull()
-    days = numbered.groupBy(F.col(tag).alias("tag_"), F.col("day_").alias("d_")).agg(
+    days = numbered.groupBy(F.col(tag).alias("tag_"), F.col("day_").alias("d_"), F.col("slot_").alias("s_")).agg(
         F.count("*").alias("rows_"), F.min(F.when(have, seen())).alias("first_"), F.max(F.when(have, seen())).alias("last_")
     )
-    by_day = Window.partitionBy("tag_").orderBy(F.col("d_").asc_nulls_first())
+    by_day = Window.partitionBy("tag_").orderBy(F.col("d_").asc_nulls_first(), "s_")
     earlier, later = by_day.rowsBetween(Window.unboundedPreceding, -1), by_day.rowsBetween(1, Window.unboundedFollowing)
     days = days.withColumn("offset_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
     shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col("offset_") + F.col(c)["n"]).alias("n"), F.col(c)["v"].alias("v")))
     days = days.withColumns({"a_": shifted("last_"), "b_": shifted("first_")})
-    days = days.select("tag_", "d_", "offset_", F.last("a_", ignorenulls=True).over(earlier).alias("before_"), F.first("b_", ignorenulls=True).over(later).alias("after_"))
-    joined = numbered.join(days, F.col(tag).eqNullSafe(F.col("tag_")) & F.col("day_").eqNullSafe(F.col("d_")))
+    days = days.select("tag_", "d_", "s_", "offset_", F.last("a_", ignorenulls=True).over(earlier).alias("before_"), F.first("b_", ignorenulls=True).over(later).alias("after_"))
+    joined = numbered.join(days, F.col(tag).eqNullSafe(F.col("tag_")) & F.col("day_").eqNullSafe(F.col("d_")) & (F.col("slot_") == F.col("s_")))
     here = F.when(have, F.struct((F.col("offset_") + F.col("n_")).alias("n"), F.col("v_").alias("v")))
     up, down = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(0, Window.unboundedFollowing)
     near = joined.withColumn("l_", F.coalesce(F.last(here, ignorenulls=True).over(up), F.col("before_"))).withColumn("r_", F.coalesce(F.first(here, ignorenulls=True).over(down), F.col("after_")))
     at = F.col("offset_") + F.col("n_")
     line = F.col("l_.v") + (F.col("r_.v") - F.col("l_.v")) * (at - F.col("l_.n")) / (F.col("r_.n") - F.col("l_.n"))
     filled = F.when(have, F.col("v_")).when(F.col("l_").isNull(), F.col("r_.v")).when(F.col("r_").isNull(), F.col("l_.v")).otherwise(line)
-    return near.withColumn(out, filled).select(*[f"`{c}`" for c in long.columns if c != out], out)
+    return near.withColumn(out, filled).select(*[f"`{c}`" for c in slotted.columns if c != out], out)
 
 
 def remaining_nulls(df: DataFrame, col: str = "value_interp") -> DataFrame:

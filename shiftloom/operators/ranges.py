@@ -8,13 +8,17 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import minutes
 from ..schema import RANGE_COLS, Columns
+from .percentiles import group_percentiles
 from .shifts import key_columns, keyed
 
 
 def tag_limits(history: DataFrame, cols: Columns = Columns(), low: float = 0.05, high: float = 0.95, approx: bool = False) -> DataFrame:
-    """lim_inf and lim_sup by tag: two percentiles of its history."""
-    p = F.percentile_approx(cols.value, [low, high]) if approx else F.percentile(F.col(cols.value), F.array(F.lit(low), F.lit(high)))
-    out = history.where(F.col(f"`{cols.tag}`").isNotNull()).groupBy(cols.tag).agg(p.alias("p_"))
+    """lim_inf and lim_sup by tag: two percentiles of its history.
+
+    Exact ones of a large tag are selected in rounds; ``approx`` takes approximate ones in one pass.
+    """
+    rows = history.where(F.col(f"`{cols.tag}`").isNotNull())
+    out = rows.groupBy(cols.tag).agg(F.percentile_approx(cols.value, [low, high]).alias("p_")) if approx else group_percentiles(rows, [cols.tag], cols.value, [low, high])
     return out.select(f"`{cols.tag}`", F.get("p_", F.lit(0)).alias("lim_inf"), F.get("p_", F.lit(1)).alias("lim_sup"))
 
 

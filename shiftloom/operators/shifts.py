@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import signed_percent
 from ..schema import DATE_COL, SHIFT_COL, SHIFTS, Columns, require
+from .percentiles import SMALL, group_percentiles
 
 
 def shift_label(ts: Column, calendar: tuple[tuple[str, int], ...] = SHIFTS) -> Column:
@@ -44,11 +45,37 @@ def keyed(long: DataFrame, cols: Columns) -> DataFrame:
     return ensure_shift(long, cols).where(whole)
 
 
-def stat_aggregates(cols: Columns, approx: bool = False) -> list[Column]:
-    """Mean, sample deviation, least, greatest, and 10th, 50th and 90th percentile; nulls are skipped."""
-    v, at = F.col(cols.value), [0.1, 0.5, 0.9]
-    p = F.percentile_approx(v, at) if approx else F.percentile(v, F.array(*map(F.lit, at)))
-    return [F.avg(v).alias("mean_turno"), F.stddev_samp(v).alias("std_turno"), F.min(v).alias("min_turno"), F.max(v).alias("max_turno"), p.alias("p_")]
+PERCENTILES = (0.1, 0.5, 0.9)
+
+
+def moments(cols: Columns) -> list[Column]:
+    """Mean, sample deviation, least and greatest; nulls are skipped."""
+    v = F.col(cols.value)
+    return [F.avg(v).alias("mean_turno"), F.stddev_samp(v).alias("std_turno"), F.min(v).alias("min_turno"), F.max(v).alias("max_turno")]
+
+
+def shift_percentiles(cols: Columns, approx: bool = False) -> Column:
+    """10th, 50th and 90th percentile as an array; exact ones hold a group's distinct values."""
+    v, at = F.col(cols.value), list(PERCENTILES)
+    return (F.percentile_approx(v, at) if approx else F.percentile(v, F.array(*map(F.lit, at)))).alias("p_")
+
+
+def has_large(rows: DataFrame, keys: list[str], small: int) -> bool:
+    """Whether some group has over ``small`` rows."""
+    counts = rows.groupBy(*[f"`{k}`" for k in keys]).agg(F.count("*").alias("n_"))
+    return (counts.agg(F.max("n_")).first()[0] or 0) > small
+
+
+def aggregate_shifts(rows: DataFrame, cols: Columns, more: list[Column], approx: bool = False, small: int | None = None) -> DataFrame:
+    """Rows by tag, date and shift: the statistics, percentiles as p_, and ``more`` aggregates, in one aggregation.
+
+    Where a shift has over ``small`` samples, exact percentiles are selected apart and joined on the key.
+    """
+    keys = key_columns(cols)
+    by_key = rows.groupBy(*[f"`{k}`" for k in keys])
+    if approx or not has_large(rows, keys, SMALL if small is None else small):
+        return by_key.agg(*moments(cols), shift_percentiles(cols, approx), *more)
+    return by_key.agg(*moments(cols), *more).join(group_percentiles(rows, keys, cols.value, list(PERCENTILES), "p_", small), keys)
 
 
 def spread_percentiles(df: DataFrame) -> DataFrame:
@@ -57,10 +84,10 @@ def spread_percentiles(df: DataFrame) -> DataFrame:
     return df.withColumns(names).drop("p_")
 
 
-def shift_stats(long: DataFrame, cols: Columns = Columns(), approx: bool = False) -> DataFrame:
+def shift_stats(long: DataFrame, cols: Columns = Columns(), approx: bool = False, small: int | None = None) -> DataFrame:
     """Seven statistics per tag, date and shift. Raises ``ValueError`` if a column is missing."""
     require(long, cols.tag, cols.ts, cols.value)
-    out = spread_percentiles(keyed(long, cols).groupBy(*key_columns(cols)).agg(*stat_aggregates(cols, approx)))
+    out = spread_percentiles(aggregate_shifts(keyed(long, cols), cols, [], approx, small))
     return out.select(*[f"`{c}`" for c in key_columns(cols)], "mean_turno", "std_turno", "min_turno", "max_turno", "p10_turno", "p50_turno", "p90_turno")
 
 

@@ -216,4 +216,8 @@ SQL = {
     "wide_to_long": "WITH c AS (SELECT event_type AS tag, date_trunc('hour', ts) AS h, round(avg(value), 4) AS v FROM events GROUP BY 1, 2), g AS (SELECT t.tag, hs.h FROM (SELECT DISTINCT tag FROM c) t CROSS JOIN (SELECT DISTINCT h FROM c) hs) SELECT g.tag, epoch_us(g.h) AS timestamp, c.v AS value FROM g LEFT JOIN c ON g.tag = c.tag AND g.h = c.h",
     "wide_unpivot": "WITH c AS (SELECT event_type AS tag, date_trunc('day', ts) AS h, round(max(value), 6) AS v FROM events GROUP BY 1, 2), g AS (SELECT t.tag, hs.h FROM (SELECT DISTINCT tag FROM c) t CROSS JOIN (SELECT DISTINCT h FROM c) hs) SELECT g.tag, epoch_us(CAST(g.h AS TIMESTAMP)) AS ts, c.v AS value FROM g LEFT JOIN c ON g.tag = c.tag AND g.h = c.h",
     "features_roundtrip": select(P1, f"SELECT {KEY}, {rounded(*STATS)}, {', '.join(LABELS)} FROM features"),
+    "selected_percentiles": "SELECT l_returnflag AS tag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for n, q in (("p0", 0.0), ("p1", 0.01), ("p25", 0.25), ("p50", 0.5), ("p95", 0.95), ("p100", 1.0))) + " FROM lineitem GROUP BY l_returnflag",
 } | {f"prompt_{k}": select(P1, f"SELECT {KEY}, ") + f"{p} AS prompt FROM features" for k, p in PROMPTS.items()}
+
+# The same results by other ways: selection of ranks, and blocks of busy days.
+SQL |= {"shift_stats_selected": SQL["shift_stats"], "shift_dynamics_blocks": SQL["shift_dynamics"], "interpolate_blocks": SQL["interpolate_gaps"], "shift_features_blocks": SQL["shift_features"]}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dynamics, labels, quality, ranges, report, shifts, textgen
+from ..operators import dynamics, labels, percentiles, quality, ranges, report, shifts, textgen
 from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
 from ..sources import tables
 from .features import shift_features, shift_features_composed
@@ -99,6 +99,12 @@ def features_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(tables.read_features(spark, path)).select(*KEYS, *STAT_COLS, *LABEL_COLS)
 
 
+def selected_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by return flag, as if a task could hold 500 of them only."""
+    found = percentiles.group_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 0.01, 0.25, 0.5, 0.95, 1.0], small=500)
+    return found.select(F.col("l_returnflag").alias("tag"), *[F.round(F.get("p_", F.lit(i)), 6).alias(n) for i, n in enumerate(("p0", "p1", "p25", "p50", "p95", "p100"))])
+
+
 def stub_model() -> Callable[..., list[str]]:
     """A model that echoes its prompt and counts its characters, for checks."""
     return lambda prompts, **options: [f"{p}\n {len(p)} " for p in prompts]
@@ -177,6 +183,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shift_reports": lambda s, d: reports(s, d),
         "shift_reports_chat": lambda s, d: reports(s, d, formatter=lambda p: f"<user>{p}</user>", max_new_tokens=50),
         "shift_features_given": lambda s, d: shift_features(events(s, d, gaps=True), COLS, history=events(s, d), interval_min=15.0, period="calendar_month"),
+        "selected_percentiles": selected_percentiles,
+        "shift_stats_selected": lambda s, d: shifts.shift_stats(events(s, d), COLS, small=3),
+        "shift_dynamics_blocks": lambda s, d: dynamics.shift_dynamics(events(s, d), COLS, busy=8),
+        "interpolate_blocks": lambda s, d: quality.interpolate_gaps(events(s, d, True), COLS, busy=8),
+        "shift_features_blocks": lambda s, d: shift_features(events(s, d, gaps=True), COLS, busy=8, small=3),
         "shift_gap_unfilled": lambda s, d: shifts.shift_gaps(quality.clean_long(events(s, d, True), COLS, interpolate=False), COLS),
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
