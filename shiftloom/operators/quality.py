@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,6 +92,12 @@ def interpolate_gaps(long: DataFrame, cols: Columns = Columns(), out: str = "val
     return filled.select(*[f"`{c}`" for c in long.columns if c != out], out)
 
 
+def following(name: str, keys: list[str], order: list[str]) -> Column:
+    """The next value of ``name`` that isn't null, in one pass over the window: a frame that ends with the window
+    would be read again for every row."""
+    return F.expr(f"lead({name}) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)})")
+
+
 def fill_blocks(slotted: DataFrame, cols: Columns, out: str) -> DataFrame:
     """:func:`interpolate_gaps` of rows with day_ and slot_, which stay."""
     tag, ts, v = f"`{cols.tag}`", F.col(cols.ts), no_nan(F.col(cols.value))
@@ -104,15 +110,16 @@ def fill_blocks(slotted: DataFrame, cols: Columns, out: str) -> DataFrame:
         F.count("*").alias("rows_"), F.min(F.when(have, seen())).alias("first_"), F.max(F.when(have, seen())).alias("last_")
     )
     by_day = Window.partitionBy("tag_").orderBy(F.col("d_").asc_nulls_first(), "s_")
-    earlier, later = by_day.rowsBetween(Window.unboundedPreceding, -1), by_day.rowsBetween(1, Window.unboundedFollowing)
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("offset_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
     shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col("offset_") + F.col(c)["n"]).alias("n"), F.col(c)["v"].alias("v")))
     days = days.withColumns({"a_": shifted("last_"), "b_": shifted("first_")})
-    days = days.select("tag_", "d_", "s_", "offset_", F.last("a_", ignorenulls=True).over(earlier).alias("before_"), F.first("b_", ignorenulls=True).over(later).alias("after_"))
+    days = days.select("tag_", "d_", "s_", "offset_", F.last("a_", ignorenulls=True).over(earlier).alias("before_"), following("b_", ["tag_"], ["d_ ASC NULLS FIRST", "s_"]).alias("after_"))
     joined = numbered.join(days, F.col(tag).eqNullSafe(F.col("tag_")) & F.col("day_").eqNullSafe(F.col("d_")) & (F.col("slot_") == F.col("s_")))
     here = F.when(have, F.struct((F.col("offset_") + F.col("n_")).alias("n"), F.col("v_").alias("v")))
-    up, down = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(0, Window.unboundedFollowing)
-    near = joined.withColumn("l_", F.coalesce(F.last(here, ignorenulls=True).over(up), F.col("before_"))).withColumn("r_", F.coalesce(F.first(here, ignorenulls=True).over(down), F.col("after_")))
+    up = within.rowsBetween(Window.unboundedPreceding, 0)
+    by_n = [f"`{c}`" for c in (cols.ts, cols.tiebreak, cols.value) if c]
+    near = joined.withColumn("here_", here).withColumn("l_", F.coalesce(F.last("here_", ignorenulls=True).over(up), F.col("before_"))).withColumn("r_", F.coalesce("here_", following("here_", [tag, "day_", "slot_"], by_n), F.col("after_")))
     at = F.col("offset_") + F.col("n_")
     line = F.col("l_.v") + (F.col("r_.v") - F.col("l_.v")) * (at - F.col("l_.n")) / (F.col("r_.n") - F.col("l_.n"))
     filled = F.when(have, F.col("v_")).when(F.col("l_").isNull(), F.col("r_.v")).when(F.col("r_").isNull(), F.col("l_.v")).otherwise(line)
