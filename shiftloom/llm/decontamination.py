@@ -49,8 +49,9 @@ def seed_bits(item_seeds: DataFrame, words: int = FILTER_WORDS) -> Column:
     seed in an array of at most ``words`` longs, which one aggregation fills and every task gets."""
     at, bit = F.pmod("seed", F.lit(words)).cast("int"), F.shiftrightunsigned("seed", 58).cast("int")
     lines = item_seeds.select(at.alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
-    table = lines.agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("m"))
-    filled = table.select(F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))))
+    places = item_seeds.sparkSession.range(words).join(lines, F.col("id") == F.col("k"), "left")
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
+    filled = places.agg(in_order.alias("m")).select(F.col("m.b"))
     return F.get(filled.scalar(), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
 
 
