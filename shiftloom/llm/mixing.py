@@ -13,6 +13,8 @@ CAP = 3.0
 SEED = 20240502
 #: Largest inclusion share in the sample: documents at it come first, but in an order of their own.
 MOST = 1 - 2.0**-20
+#: Largest logarithm of the odds that has a bucket of its own.
+REACH = 52.0
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -48,6 +50,14 @@ def pareto_place(u: Column, share: Column) -> Column:
     return F.when(share > 0, odds / (1 + odds))
 
 
+def bucket_of(place: Column, buckets: int) -> Column:
+    """Bucket of a rank key, in the key's order: by the logarithm of its odds, over which keys spread alike
+    whatever the inclusion shares (a logistic law of scale 1), so the fullest holds about a quarter of a bucket's width."""
+    odds = F.ln(place / F.nullif(1 - place, F.lit(0.0)))
+    at = F.floor((F.coalesce(odds, F.lit(REACH)) + REACH) * (buckets / (2 * REACH)))
+    return F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+
 def draw(seed: int) -> Column:
     """A number strictly between 0 and 1 from a digest of doc_id and text."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
@@ -84,8 +94,8 @@ def mix_cuts(slim: DataFrame, plan: DataFrame, buckets: int, rounds: int) -> Dat
 
     A round takes the longest run of the order that fits what is still missing; the next round
     fills the gap with the next documents that are no longer than the gap. Each round sums sizes
-    over buckets of the rank key first, so only one bucket of a source is ever sorted. The result
-    has a row per source.
+    over buckets of the rank key first, so only one bucket of a source, some thousandths of it, is ever
+    sorted. The result has a row per source.
     """
     state = plan.withColumn("cuts", F.array().cast("array<struct<gap:double,reach:double>>")).withColumn("gap", F.col("sampled"))
     for k in range(rounds):
@@ -96,9 +106,9 @@ def mix_cuts(slim: DataFrame, plan: DataFrame, buckets: int, rounds: int) -> Dat
         fit = (
             slim.join(own, F.col("source").eqNullSafe(F.col("s")))
             .where((F.col("size") <= F.col("gap")) & (F.col("place") > F.col("from")))
-            .select("s", "place", "size", F.floor(F.col("place") * buckets).cast("int").alias("bucket"))
+            .select("s", "place", "size", bucket_of(F.col("place"), buckets).alias("bucket"))
         )
-        sums = fit.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
+        sums = fit.groupBy("s", "bucket").agg(F.sum("size").alias("n"), F.max("place").alias("top"))
         upto = F.sum("n").over(Window.partitionBy("s").orderBy("bucket"))
         edge = (
             sums.withColumn("upto", upto)
@@ -107,11 +117,12 @@ def mix_cuts(slim: DataFrame, plan: DataFrame, buckets: int, rounds: int) -> Dat
             .agg(
                 F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("edge"),
                 F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("full"),
+                F.max(F.when(F.col("upto") <= F.col("gap"), F.col("top"))).alias("top"),
             )
         )
-        edge = edge.select(F.col("s").alias("t"), "edge", F.coalesce("full", F.lit(0)).alias("full"))
+        edge = edge.select(F.col("s").alias("t"), "edge", F.coalesce("full", F.lit(0)).alias("full"), "top")
         inside = (
-            fit.join(edge, F.col("s").eqNullSafe(F.col("t")) & (F.col("bucket") == F.col("edge")))
+            fit.join(edge.drop("top"), F.col("s").eqNullSafe(F.col("t")) & (F.col("bucket") == F.col("edge")))
             .groupBy("s", "place", "full").agg(F.sum("size").alias("size"))  # repeated rows share a place
             .withColumn("upto", F.col("full") + F.sum("size").over(Window.partitionBy("s").orderBy("place")))
             .join(own.select(F.col("s").alias("o"), "gap"), F.col("s").eqNullSafe(F.col("o")))
@@ -121,7 +132,7 @@ def mix_cuts(slim: DataFrame, plan: DataFrame, buckets: int, rounds: int) -> Dat
         inside = inside.select(F.col("s").alias("i"), "stop")
         reach = edge.join(inside, F.col("t").eqNullSafe(F.col("i")), "left").select(
             "t",
-            F.when(F.col("edge").isNull(), F.lit(1.0)).otherwise(F.coalesce(F.col("stop.place"), F.col("edge") / F.lit(float(buckets)))).alias("reach"),
+            F.when(F.col("edge").isNull(), F.lit(1.0)).otherwise(F.coalesce(F.col("stop.place"), F.col("top"))).alias("reach"),
             F.coalesce(F.col("stop.upto"), F.col("full")).cast("double").alias("filled"),
         )
         state = state.join(reach, F.col("source").eqNullSafe(F.col("t")), "left")
@@ -130,7 +141,7 @@ def mix_cuts(slim: DataFrame, plan: DataFrame, buckets: int, rounds: int) -> Dat
     return stored(state.drop("gap"))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, buckets: int = 4096, rounds: int = 3) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, buckets: int = 16384, rounds: int = 3) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
     A source whose target is r times its size gives every document floor(r) times for certain; for the
