@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import fresh, stored
 from .components import connected_components
@@ -25,6 +26,10 @@ CHUNK = 1 << 15
 FEW = 16
 #: Members of a crowd that meet as many others in one task.
 CROWD = 512
+#: Nearest partners of a member of a crowd whose shingles are compared at once.
+NEAREST = 4
+#: Bytes that tell sets of shingles with equal bits apart.
+SUM = 8
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -93,12 +98,12 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_prints(texts: pa.Array, rule: Rule) -> np.ndarray:
-    """For each text the majority bits over its distinct shingles and 4 bytes that tell sets of shingles
+    """For each text the majority bits over its distinct shingles and 8 bytes that tell sets of shingles
     with equal bits apart, as bytes; no word: zero."""
     grams, sizes = shingle_sets(texts, rule.words)
     cuts = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    out = np.zeros((len(sizes), rule.bits * rule.lanes // 8 + 4), np.uint8)
+    out = np.zeros((len(sizes), rule.bits * rule.lanes // 8 + SUM), np.uint8)
     for k in range(rule.bits * rule.lanes // 64):
         ones = np.zeros((len(sizes), 64), np.int32)
         for at in range(0, len(grams), CHUNK):
@@ -108,12 +113,12 @@ def set_prints(texts: pa.Array, rule: Rule) -> np.ndarray:
         out[:, 8 * k : 8 * k + 8] = np.packbits(ones * 2 > sizes[:, None], axis=1)
     some = np.flatnonzero(sizes)
     if len(some):
-        out[some, -4:] = np.add.reduceat(mixed(grams + np.uint64(SEED)), cuts[:-1][some]).astype("<u4").view(np.uint8).reshape(-1, 4)
+        out[some, -SUM:] = np.add.reduceat(mixed(grams + np.uint64(SEED)), cuts[:-1][some]).astype("<u8").view(np.uint8).reshape(-1, SUM)
     return out
 
 
 def with_fingerprints(docs: DataFrame, rule: Rule, name: str = "fingerprint", text_col: str = "text") -> DataFrame:
-    """``docs`` with a binary column ``name``: the fingerprint, and with a ``similarity`` the 4 bytes of
+    """``docs`` with a binary column ``name``: the fingerprint, and with a ``similarity`` the 8 bytes of
     :func:`set_prints`."""
     at = docs.columns.index(text_col)
 
@@ -256,12 +261,26 @@ def unique_rows(raw: np.ndarray) -> np.ndarray:
     return raw[np.unique(np.ascontiguousarray(raw).view(f"S{raw.shape[1]}").ravel(), return_index=True)[1]]
 
 
-def distinct_pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of one task, a row each."""
+def distinct_pairs(batches: Iterator[pa.RecordBatch], width: int, rule: Rule) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of one task, a row each. ``verify``: not for the pairs of a member of a crowd (one that
+    is told as a pair with itself) with others than its NEAREST; those only tell which texts hang together."""
     raw = unique_rows(np.frombuffer(b"".join(x for b in batches for x in b.column(0).to_pylist()), np.uint8).reshape(-1, 2 * width))
+    if not len(raw):
+        return
+    u, v = np.ascontiguousarray(raw[:, :width]), np.ascontiguousarray(raw[:, width:])
+    apart = np.bitwise_count(lanes_of(u, rule) ^ lanes_of(v, rule)).sum(axis=1, dtype=np.int64)
+    own = (u == v).all(1)
+    who = np.cumsum(np.concatenate(([True], (u[1:] != u[:-1]).any(1)))) - 1  # pairs are in order of u
+    crowd = np.zeros(who[-1] + 1, bool)
+    crowd[who[own]] = True
+    order = np.lexsort((apart, own, who))
+    first = np.searchsorted(who[order], np.arange(who[-1] + 1))
+    rank = np.empty(len(raw), np.int64)
+    rank[order] = np.arange(len(raw)) - first[who[order]]
+    verify = ~crowd[who] | (rank < NEAREST)
     for at in range(0, len(raw), CHUNK):
-        part = raw[at : at + CHUNK]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in part[:, i : i + width]], pa.binary()) for i in (0, width)], names=["u", "v"])
+        columns = [pa.array([x.tobytes() for x in part[at : at + CHUNK]], pa.binary()) for part in (u, v)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(verify[at : at + CHUNK])], names=["u", "v", "verify"])
 
 
 def pack(key: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -275,9 +294,9 @@ def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_
 
 
 def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) among all fingerprints (one binary column, distinct). Without a ``similarity`` in the
-    rule they connect all fingerprints that near ones connect; with one they are near pairs to be verified,
-    and the second table (u) has the fingerprints, maybe repeated, of which not all near partners are among them.
+    """Links (u, v, verify) among all fingerprints (one binary column, distinct). Without a ``similarity`` in the
+    rule they connect all fingerprints that near ones connect; with one they are near pairs, to be verified where
+    ``verify`` says so, and the second table (u) has the fingerprints, maybe repeated, of which not all near partners are among them.
 
     Each fingerprint goes to one bucket per lane and choice of blocks. A bucket sends on a star per
     component, or a few partners of each member, and never the pairs of a crowd. Buckets of over ``most`` distinct
@@ -317,8 +336,8 @@ def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_ta
         more = dealt.mapInArrow(repack, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
         found = stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None, buckets), FOUND))
         links = links.unionByName(found.where("part IS NOT NULL").select("part", "pairs"))
-    width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else 4)
-    made = stored(links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width), "u binary, v binary"))
+    width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else SUM)
+    made = stored(links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width, rule), "u binary, v binary, verify boolean"))
     return made.where("u <> v"), made.where("u = v").select("u")
 
 
@@ -404,16 +423,31 @@ def settle_crowds(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.
 
 def crowd_links(rows: DataFrame, row: str, nodes: DataFrame, pairs: DataFrame, crowd: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
     """The links that pairs of a crowd leave open: all members of a component of near pairs with a crowd in
-    it are compared, in blocks of CROWD, every two blocks in a task, unless they are linked already."""
+    it are compared unless they are linked already.
+
+    Members go to blocks of about CROWD, every two blocks meet in a task, and only links come back. A label
+    (what is linked already) of CROWD members or more has blocks of its own, which never meet each other: a
+    crowd that is all one label but for r members costs r times its blocks, not its square.
+    """
     near = connected_components(contracted(pairs)).withColumnRenamed("node", "member")
     open_ = near.join(crowd.distinct(), F.col("member") == F.col("u"), "left_semi").select(F.col("root").alias("open")).distinct()
     named = near.join(open_, F.col("root") == F.col("open"), "left_semi").withColumnRenamed("root", "crowd")
     labelled = stored(named.join(found.withColumnRenamed("member", "m"), F.col("member") == F.col("m"), "left").select("crowd", "member", F.coalesce("root", "member").alias("label")))
-    parts = labelled.groupBy("crowd").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    own = F.pmod(F.xxhash64("member", F.lit(11)), F.col("parts")).cast("int")
-    placed = stored(labelled.join(parts.select("crowd", "parts"), "crowd").withColumn("own", own).join(nodes, F.col("member") == F.col("node")).drop("node"))
+    by_label = labelled.groupBy("crowd", "label").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") >= CROWD, F.col("label"))  # null: the small labels of a crowd, mixed
+    by_crowd = Window.partitionBy("crowd")
+    sized = by_label.groupBy("crowd", own.alias("own")).agg(F.sum("n").alias("n"), F.count("*").alias("labels")).withColumn("all", F.sum("labels").over(by_crowd)).where(F.col("all") > 1)
+    sized = sized.withColumn("parts", F.ceil(F.col("n") / CROWD).cast("int"))
+    plan = stored(sized.withColumns({"blocks": F.sum("parts").over(by_crowd).cast("int"), "first": (F.sum("parts").over(by_crowd.orderBy(F.col("own").asc_nulls_first())) - F.col("parts")).cast("int")}).select("crowd", "own", "parts", "blocks", "first"))
+    large = by_label.where(F.col("n") >= CROWD).select(F.col("crowd").alias("c"), F.col("label").alias("large"))
+    marked = labelled.join(large, (F.col("crowd") == F.col("c")) & (F.col("label") == F.col("large")), "left").drop("c")
+    block = (F.col("first") + F.pmod(F.xxhash64("member", F.lit(11)), F.col("parts"))).cast("int")
+    at = plan.withColumnRenamed("crowd", "c")
+    placed = marked.join(at, (F.col("crowd") == F.col("c")) & F.col("large").eqNullSafe(F.col("own"))).withColumn("block", block)
+    placed = stored(placed.join(nodes, F.col("member") == F.col("node")).select("crowd", "member", "label", "own", "parts", "blocks", "first", "block", "row"))
     texts = rows.join(bounded(placed.select(F.col("member").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("crowd", F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.col("own").isNull() | (b < F.col("first")) | (b >= F.col("first") + F.col("parts")))
+    meets = F.transform(others, lambda b: F.xxhash64("crowd", F.least(b, F.col("block")), F.greatest(b, F.col("block"))))
     dealt = placed.join(with_sets(texts, rule.words).withColumnRenamed("node", "n"), F.col("member") == F.col("n")).select(F.explode(meets).alias("meet"), "member", "label", "grams")
     return dealt.repartition("meet").sortWithinPartitions("meet").mapInArrow(lambda bs: settle_crowds(bs, rule), "u binary, v binary")
 
@@ -429,7 +463,8 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     rows = stored(with_fingerprints(docs, rule, mark).withColumn(row, F.monotonically_increasing_id()))
     slim = rows.select(F.col(mark).alias("node"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("who"))
     nodes = stored(slim.groupBy("node").agg(F.min("who.row").alias("row")))
-    pairs, crowd = links_and_crowd(nodes.select("node"), rule)
+    every, crowd = links_and_crowd(nodes.select("node"), rule)
+    pairs = every.where("verify")
     ends = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node"))
     texts = rows.join(bounded(ends.select(F.col("node").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
     sets = stored(with_sets(texts, rule.words))
@@ -438,7 +473,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     links = stored(links)
     found = connected_components(links).withColumnRenamed("node", "member")
     if crowd.limit(1).count():
-        more = crowd_links(rows, row, nodes, pairs, crowd, found, rule)
+        more = crowd_links(rows, row, nodes, every.select("u", "v"), crowd, found, rule)
         found = connected_components(links.unionByName(more)).withColumnRenamed("node", "member")
     members = stored(slim.join(found, F.col("node") == F.col("member"), "left").select(F.coalesce("root", "node").alias("root"), "who"))
     keepers = members.groupBy("root").agg(F.min("who").alias("kept"), F.count("*").alias("n")).where("n > 1")
