@@ -98,34 +98,76 @@ def following(name: str, keys: list[str], order: list[str]) -> Column:
     return F.expr(f"lead({name}) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)})")
 
 
-def fill_blocks(slotted: DataFrame, cols: Columns, out: str) -> DataFrame:
-    """:func:`interpolate_gaps` of rows with day_ and slot_, which stay."""
-    tag, ts, v = f"`{cols.tag}`", F.col(cols.ts), no_nan(F.col(cols.value))
-    order = [ts, *([F.col(cols.tiebreak)] if cols.tiebreak else []), F.col(cols.value)]
-    within = Window.partitionBy(tag, "day_", "slot_").orderBy(*order)
-    numbered = slotted.withColumn("n_", F.row_number().over(within)).withColumn("v_", v)
-    seen = lambda: F.struct(F.col("n_").alias("n"), F.col("v_").alias("v"))
-    have = F.col("v_").isNotNull()
-    days = numbered.groupBy(F.col(tag).alias("tag_"), F.col("day_").alias("d_"), F.col("slot_").alias("s_")).agg(
-        F.count("*").alias("rows_"), F.min(F.when(have, seen())).alias("first_"), F.max(F.when(have, seen())).alias("last_")
+def number_blocks(slotted: DataFrame, cols: Columns) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows with their number n_ in the block and value v_, a row for each block with its first and last
+    value and their numbers, the order of rows)."""
+    order = [f"`{c}`" for c in (cols.ts, cols.tiebreak, cols.value) if c]
+    within = Window.partitionBy(f"`{cols.tag}`", "day_", "slot_").orderBy(*order)
+    numbered = slotted.withColumn("n_", F.row_number().over(within).cast("long")).withColumn("v_", no_nan(F.col(f"`{cols.value}`")))
+    seen = F.when(F.col("v_").isNotNull(), F.struct(F.col("n_").alias("n"), F.col("v_").alias("v")))
+    blocks = numbered.groupBy(F.col(f"`{cols.tag}`").alias("tag_"), F.col("day_").alias("d_"), F.col("slot_").alias("s_")).agg(
+        F.count("*").alias("rows_"), F.count("v_").alias("values_"), F.min(seen).alias("first_"), F.max(seen).alias("last_")
     )
-    by_day = Window.partitionBy("tag_").orderBy(F.col("d_").asc_nulls_first(), "s_")
-    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("offset_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
-    shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col("offset_") + F.col(c)["n"]).alias("n"), F.col(c)["v"].alias("v")))
-    days = days.withColumns({"a_": shifted("last_"), "b_": shifted("first_")})
-    days = days.select("tag_", "d_", "s_", "offset_", F.last("a_", ignorenulls=True).over(earlier).alias("before_"), following("b_", ["tag_"], ["d_ ASC NULLS FIRST", "s_"]).alias("after_"))
+    return numbered, blocks, order
+
+
+def moved(place: str, by: Column) -> Column:
+    """A struct (n, v) further on by so many rows."""
+    return F.when(F.col(place).isNotNull(), F.struct((F.col(place)["n"] + by).alias("n"), F.col(place)["v"].alias("v")))
+
+
+def neighbours(blocks: DataFrame, keys: list[str], order: list[str], first: str = "first_", last: str = "last_") -> DataFrame:
+    """``blocks`` with offset_, the rows before the block within ``keys``, and the last value before and the
+    first after it, with numbers counted within ``keys``."""
+    by = Window.partitionBy(*keys).orderBy(*[F.expr(o) if " " not in o else F.col(o.split(" ")[0]).asc_nulls_first() for o in order])
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("offset_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)))
+    placed = placed.withColumns({"a_": moved(last, F.col("offset_")), "b_": moved(first, F.col("offset_"))})
+    return placed.withColumns({"before_": F.last("a_", ignorenulls=True).over(earlier), "after_": following("b_", keys, order)}).drop("a_", "b_")
+
+
+def fill_blocks(slotted: DataFrame, cols: Columns, out: str, around: DataFrame | None = None) -> DataFrame:
+    """:func:`interpolate_gaps` of rows with day_ and slot_, which stay.
+
+    ``around`` has for each tag_ and d_ the neighbouring values on other days, as before_ and after_ with
+    numbers counted from the day's start: then only the days at hand are needed.
+    """
+    tag = f"`{cols.tag}`"
+    numbered, blocks, by_n = number_blocks(slotted, cols)
+    if around is None:
+        days = neighbours(blocks, ["tag_"], ["d_ ASC NULLS FIRST", "s_"])
+    else:
+        days = neighbours(blocks, ["tag_", "d_"], ["s_"])
+        own = around.select(F.col("tag_").alias("t2_"), F.col("d_").alias("d2_"), F.col("before_").alias("before2_"), F.col("after_").alias("after2_"))
+        days = days.join(own, F.col("tag_").eqNullSafe(F.col("t2_")) & F.col("d_").eqNullSafe(F.col("d2_")), "left")
+        days = days.withColumns({"before_": F.coalesce("before_", "before2_"), "after_": F.coalesce("after_", "after2_")})
+    days = days.select("tag_", "d_", "s_", "offset_", "before_", "after_")
     joined = numbered.join(days, F.col(tag).eqNullSafe(F.col("tag_")) & F.col("day_").eqNullSafe(F.col("d_")) & (F.col("slot_") == F.col("s_")))
-    here = F.when(have, F.struct((F.col("offset_") + F.col("n_")).alias("n"), F.col("v_").alias("v")))
-    up = within.rowsBetween(Window.unboundedPreceding, 0)
-    by_n = [f"`{c}`" for c in (cols.ts, cols.tiebreak, cols.value) if c]
-    near = joined.withColumn("here_", here).withColumn("l_", F.coalesce(F.last("here_", ignorenulls=True).over(up), F.col("before_"))).withColumn("r_", F.coalesce("here_", following("here_", [tag, "day_", "slot_"], by_n), F.col("after_")))
+    have = F.col("v_").isNotNull()
     at = F.col("offset_") + F.col("n_")
+    here = F.when(have, F.struct(at.alias("n"), F.col("v_").alias("v")))
+    up = Window.partitionBy(tag, "day_", "slot_").orderBy(*by_n).rowsBetween(Window.unboundedPreceding, 0)
+    near = joined.withColumn("here_", here).withColumn("l_", F.coalesce(F.last("here_", ignorenulls=True).over(up), F.col("before_")))
+    near = near.withColumn("r_", F.coalesce("here_", following("here_", [tag, "day_", "slot_"], by_n), F.col("after_")))
     line = F.col("l_.v") + (F.col("r_.v") - F.col("l_.v")) * (at - F.col("l_.n")) / (F.col("r_.n") - F.col("l_.n"))
     filled = F.when(have, F.col("v_")).when(F.col("l_").isNull(), F.col("r_.v")).when(F.col("r_").isNull(), F.col("l_.v")).otherwise(line)
     return near.withColumn(out, filled).select(*[f"`{c}`" for c in slotted.columns if c != out], out)
 
 
+def day_blocks(slotted: DataFrame, cols: Columns) -> DataFrame:
+    """A row for each tag_ and d_: rows_, values_, and its first and last value with their numbers in the day."""
+    _, blocks, _ = number_blocks(slotted, cols)
+    placed = neighbours(blocks, ["tag_", "d_"], ["s_"])
+    return placed.groupBy("tag_", "d_").agg(F.sum("rows_").alias("rows_"), F.sum("values_").alias("values_"), F.min(moved("first_", F.col("offset_"))).alias("first_"), F.max(moved("last_", F.col("offset_"))).alias("last_"))
+
+
+def around_days(days: DataFrame) -> DataFrame:
+    """What :func:`fill_blocks` needs of other days, from the table of all days: tag_, d_, before_, after_, and
+    whether the day has_nulls_ to fill."""
+    placed = neighbours(days, ["tag_"], ["d_ ASC NULLS FIRST"])
+    return placed.select("tag_", "d_", moved("before_", -F.col("offset_")).alias("before_"), moved("after_", -F.col("offset_")).alias("after_"), (F.col("rows_") > F.col("values_")).alias("has_nulls_"))
+
+
 def remaining_nulls(df: DataFrame, col: str = "value_interp") -> DataFrame:
     """One row: values still null."""
     return df.agg(F.count_if(F.col(col).isNull()).alias("n_nulls"))

@@ -219,5 +219,5 @@ SQL = {
     "selected_percentiles": "SELECT l_returnflag AS tag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 6) AS {n}" for n, q in (("p0", 0.0), ("p1", 0.01), ("p25", 0.25), ("p50", 0.5), ("p95", 0.95), ("p100", 1.0))) + " FROM lineitem GROUP BY l_returnflag",
 } | {f"prompt_{k}": select(P1, f"SELECT {KEY}, ") + f"{p} AS prompt FROM features" for k, p in PROMPTS.items()}
 
-# The same results by other ways: selection of ranks, and blocks of busy days.
-SQL |= {"shift_stats_selected": SQL["shift_stats"], "shift_dynamics_blocks": SQL["shift_dynamics"], "interpolate_blocks": SQL["interpolate_gaps"], "shift_features_blocks": SQL["shift_features"]}
+# The same results by other ways: selection of ranks, blocks of busy days, and a feature store with a late day.
+SQL |= {"shift_stats_selected": SQL["shift_stats"], "shift_dynamics_blocks": SQL["shift_dynamics"], "interpolate_blocks": SQL["interpolate_gaps"], "shift_features_blocks": SQL["shift_features"], "features_incremental": SQL["shift_features_given"]}

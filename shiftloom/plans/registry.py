@@ -6,6 +6,7 @@ compared as text and times as microseconds, so that both engines print them alik
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..operators import dynamics, labels, percentiles, quality, ranges, report,
 from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
 from ..sources import tables
 from .features import shift_features, shift_features_composed
-from . import oracle
+from . import incremental, oracle
 
 COLS = Columns(tag="tag", ts="ts", value="value", tiebreak="event_id")
 KEYS = ("tag", "fecha", "turno")
@@ -105,6 +106,15 @@ def selected_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("l_returnflag").alias("tag"), *[F.round(F.get("p_", F.lit(i)), 6).alias(n) for i, n in enumerate(("p0", "p1", "p25", "p50", "p95", "p100"))])
 
 
+def features_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature store without one day, then with it: limits and interval as in ``shift_features_given``."""
+    long, late = events(spark, sf_dir, gaps=True), datetime.date(2024, 1, 10)
+    path, limits = f"{tables.scratch(spark)}/store", ranges.tag_limits(events(spark, sf_dir), COLS)
+    incremental.update_features(long.where(F.to_date("ts") != F.lit(late)), path, limits, 15.0, None, COLS)
+    incremental.update_features(long, path, limits, 15.0, [late], COLS)
+    return tidy(incremental.read_store(spark, path, COLS, "calendar_month"))
+
+
 def stub_model() -> Callable[..., list[str]]:
     """A model that echoes its prompt and counts its characters, for checks."""
     return lambda prompts, **options: [f"{p}\n {len(p)} " for p in prompts]
@@ -191,7 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shift_gap_unfilled": lambda s, d: shifts.shift_gaps(quality.clean_long(events(s, d, True), COLS, interpolate=False), COLS),
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
-    plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip}
+    plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip, "features_incremental": features_incremental}
     return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
 
