@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from types import MappingProxyType
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import tidy
 from ..schema import DATE_COL, SHIFT_COL, Columns
+from ..sources.tables import kept
 from .report import filter_shift
 
 # Defaults of a generation call.
@@ -115,14 +117,46 @@ def generate(df: DataFrame, factory: Callable[[], Generator], prompt: str = "pro
     return told.withColumn(out, strip_echo(F.col(out), F.when(echoes, F.col("sent_")).otherwise(F.col(prompt)))).drop("sent_")
 
 
+def resumable(df: DataFrame, factory: Callable[[], Generator], store: str, prompt: str = "prompt", out: str = "reporte_llm", model: str = "", piece: int = 1000, formatter: Callable[[str], str] | None = None, **options) -> DataFrame:
+    """:func:`generate` with a table of results at ``store``, so that no prompt is ever sent twice.
+
+    A result is keyed by a hash of the prompt as it is sent, the name ``model`` and the options. Prompts without
+    a result, each once however many rows ask it, are sent in pieces of about ``piece``, and every piece
+    is appended when it is done: a run that stops goes on where it was, and a lost task repeats its share
+    of one piece. A null prompt isn't sent and has a null text. Runs that share a store should not overlap:
+    they might both send a prompt, and the first result by text is taken.
+    """
+    spark = df.sparkSession
+    settings = json.dumps({**GENERATION, **options}, sort_keys=True, default=str)
+    shape = formatter("\x00") if formatter else ""
+    name = next(f"key{'_' * i}" for i in range(1, 99) if f"key{'_' * i}" not in df.columns)
+    keyed = df.withColumn(name, F.sha2(F.concat_ws("\x00", F.lit(model), F.lit(settings), F.lit(shape), F.col(prompt)), 256)).drop(out)
+    known = T.StructType([T.StructField("key", T.StringType()), T.StructField("text", T.StringType())])
+
+    def results() -> DataFrame:
+        where = spark._jvm.org.apache.hadoop.fs.Path(store)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        return spark.read.schema(known).parquet(store) if there else spark.createDataFrame([], known)
+
+    todo = kept(keyed.where(F.col(prompt).isNotNull()).select(F.col(name).alias("key"), F.col(prompt).alias("prompt")).distinct().join(results(), "key", "left_anti"))
+    pieces = -(-todo.count() // piece)
+    for i in range(pieces):
+        part = todo.where(F.pmod(F.xxhash64("key"), F.lit(pieces)) == i)
+        generate(part, factory, "prompt", "text", formatter=formatter, **options).select("key", "text").write.mode("append").parquet(store)
+    told = results().groupBy("key").agg(F.min("text").alias(out)).withColumnRenamed("key", "told_")
+    return keyed.join(told, F.when(F.col(prompt).isNotNull(), F.col(name)) == F.col("told_"), "left").drop(name, "told_")
+
+
 def strip_echo(text: Column, prompt: Column) -> Column:
     """``text`` without a leading ``prompt``, trimmed in that case."""
     return F.when(F.startswith(text, prompt) & (F.length(prompt) > 0), tidy(F.substring(text, F.length(prompt) + 1, F.length(text)))).otherwise(text)
 
 
-def shift_reports(features: DataFrame, factory: Callable[[], Generator], date: str | None = None, shift: str | None = None, tags: list[str] | None = None, cols: Columns = Columns(), value: str = "mean_turno", **options) -> DataFrame:
-    """Report texts of the chosen rows: filter first, then one prompt and one text per row."""
+def shift_reports(features: DataFrame, factory: Callable[[], Generator], date: str | None = None, shift: str | None = None, tags: list[str] | None = None, cols: Columns = Columns(), value: str = "mean_turno", store: str | None = None, **options) -> DataFrame:
+    """Report texts of the chosen rows: filter first, then one prompt and one text per row. With ``store``, results are
+    kept there and no prompt is sent again (:func:`resumable`)."""
     chosen = filter_shift(features, date, shift, tags, cols.tag)
     named = chosen.select(F.col(DATE_COL).cast("string").alias("fecha"), F.col(SHIFT_COL).alias("turno"), F.col(f"`{cols.tag}`").alias("variable"), F.col(value).alias("valor"))
     asked = named.withColumn("prompt", report_prompt(named))
-    return generate(asked, factory, **options).select("fecha", "turno", "variable", "valor", "reporte_llm")
+    told = resumable(asked, factory, store, **options) if store else generate(asked, factory, **options)
+    return told.select("fecha", "turno", "variable", "valor", "reporte_llm")

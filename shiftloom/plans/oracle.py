@@ -221,3 +221,15 @@ SQL = {
 
 # The same results by other ways: selection of ranks, blocks of busy days, and a feature store with a late day.
 SQL |= {"shift_stats_selected": SQL["shift_stats"], "shift_dynamics_blocks": SQL["shift_dynamics"], "interpolate_blocks": SQL["interpolate_gaps"], "shift_features_blocks": SQL["shift_features"], "features_incremental": SQL["shift_features_given"]}
+SQL |= {
+    "reports_resumed": SQL["shift_reports"],
+    "shift_reports_options": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, '200 0.7 0.9 true END' AS reporte_llm FROM told"),
+    "shift_reports_quiet": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, ' ' || CAST(length(prompt) AS VARCHAR) || ' 0.9 ' AS reporte_llm FROM told"),
+    # As long as a sketch holds all values, its quantile is the least value of at least that rank.
+    "sketched_limits": "WITH q AS (SELECT event_type || '/' || CAST(event_id % 16 AS VARCHAR) AS tag, quantile_disc(value, [0.05, 0.95, 0.25, 0.75]) AS q FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-14' GROUP BY 1) "
+    "SELECT tag, round(q[1], 6) AS lim_inf, round(q[2], 6) AS lim_sup, round(q[3], 6) AS q1, round(q[4], 6) AS q3, CASE WHEN q[3] <> q[4] THEN round(q[3] - 1.5::DOUBLE * (q[4] - q[3]), 6) END AS low, CASE WHEN q[3] <> q[4] THEN round(q[4] + 1.5::DOUBLE * (q[4] - q[3]), 6) END AS high FROM q",
+    "streamed_features": select(
+        [RAW, PASS, KEYED, STAT_SQL, GAP_SQL, GIVEN, SHARES, DYNAMICS, JOINED, LABELLED],
+        f"SELECT {ALL} FROM features WHERE CAST(fecha AS TIMESTAMP) + to_hours(CASE turno WHEN 'T1_00_08' THEN 8 WHEN 'T2_08_16' THEN 16 ELSE 24 END) < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    ),
+}

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dynamics, labels, percentiles, quality, ranges, report, shifts, textgen
+from ..operators import dynamics, labels, percentiles, quality, ranges, report, shifts, sketches, textgen
 from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
 from ..sources import tables
+from ..streaming.features import streaming_shift_features
 from .features import shift_features, shift_features_composed
 from . import incremental, oracle
 
@@ -120,10 +121,49 @@ def stub_model() -> Callable[..., list[str]]:
     return lambda prompts, **options: [f"{p}\n {len(p)} " for p in prompts]
 
 
-def reports(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+def telling_model() -> Callable[..., list[str]]:
+    """A model that echoes the text without its wrapping and tells its options, for checks."""
+    return lambda prompts, max_new_tokens, temperature, top_p, do_sample, **more: [f"{p[6:-7]}{max_new_tokens} {temperature} {top_p} {str(do_sample).lower()} {more['stop']}" for p in prompts]
+
+
+def quiet_model() -> Callable[..., list[str]]:
+    """A model without echo."""
+    return lambda prompts, **options: [f" {len(p)} {options['top_p']} " for p in prompts]
+
+
+def reports_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of one shift, then of the whole date from the same store of results."""
+    store = f"{tables.scratch(spark)}/results"
+    f = features(spark, sf_dir).withColumn("mean_turno", (F.round("mean_turno", 3) * 1000).cast("long").cast("double"))
+    first = textgen.shift_reports(f, stub_model, "2024-01-10", "T1_00_08", None, COLS, store=store)
+    first.write.format("noop").mode("overwrite").save()
+    return textgen.shift_reports(f, stub_model, "2024-01-10", None, None, COLS, store=store)
+
+
+def sketched_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits and quartiles of ten days from stored sketches by user group and day (each has fewer values than a sketch holds)."""
+    path = f"{tables.scratch(spark)}/sketches"
+    rows = events(spark, sf_dir).withColumn("tag", F.concat("tag", F.lit("/"), F.pmod("event_id", F.lit(16)).cast("string")))
+    sketches.day_sketches(rows, COLS).write.partitionBy("fecha").parquet(path)
+    own, days = spark.read.parquet(path), (datetime.date(2024, 1, 5), datetime.date(2024, 1, 14))
+    return tidy(sketches.merged_limits(own, COLS, *days).join(sketches.merged_bounds(own, COLS, *days), "tag"))
+
+
+def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream; what is out when it ends, in a session in UTC, are the shifts that the watermark has passed."""
+    long, path = events(spark, sf_dir), tables.scratch(spark)
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = source.select(F.col("event_type").alias("tag"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+    base = shifts.baseline(long, COLS)
+    out = streaming_shift_features(rows, ranges.tag_limits(long, COLS), 15.0, base, COLS, late="1 hour")
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return tidy(spark.read.schema(out.schema).parquet(f"{path}/out")).select(*KEYS, *STAT_COLS, "mean_mes", "gap_mean", "gap_pct", *RANGE_COLS, *DYNAMIC_COLS, *LABEL_COLS)
+
+
+def reports(spark: SparkSession, sf_dir: str, model: Callable = stub_model, **more) -> DataFrame:
     """Reports of one date; the value in whole thousandths, as engines print other doubles differently."""
     f = features(spark, sf_dir).withColumn("mean_turno", (F.round("mean_turno", 3) * 1000).cast("long").cast("double"))
-    return textgen.shift_reports(f, stub_model, "2024-01-10", None, None, COLS, **more)
+    return textgen.shift_reports(f, model, "2024-01-10", None, None, COLS, **more)
 
 
 def reports_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +232,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tag_inventory": lambda s, d: report.inventory(events(s, d, True), COLS),
         "shift_reports": lambda s, d: reports(s, d),
         "shift_reports_chat": lambda s, d: reports(s, d, formatter=lambda p: f"<user>{p}</user>", max_new_tokens=50),
+        "shift_reports_options": lambda s, d: reports(s, d, telling_model, formatter=lambda p: f"<user>{p}</user>", temperature=0.7, stop="END"),
+        "shift_reports_quiet": lambda s, d: reports(s, d, quiet_model),
         "shift_features_given": lambda s, d: shift_features(events(s, d, gaps=True), COLS, history=events(s, d), interval_min=15.0, period="calendar_month"),
         "selected_percentiles": selected_percentiles,
         "shift_stats_selected": lambda s, d: shifts.shift_stats(events(s, d), COLS, small=3),
@@ -201,7 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shift_gap_unfilled": lambda s, d: shifts.shift_gaps(quality.clean_long(events(s, d, True), COLS, interpolate=False), COLS),
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
-    plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip, "features_incremental": features_incremental}
+    plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip, "features_incremental": features_incremental, "reports_resumed": reports_resumed, "sketched_limits": sketched_limits, "streamed_features": streamed_features}
     return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
 
