@@ -222,7 +222,7 @@ SQL = {
 # The same results by other ways: selection of ranks, blocks of busy days, and a feature store with a late day.
 SQL |= {"shift_stats_selected": SQL["shift_stats"], "shift_dynamics_blocks": SQL["shift_dynamics"], "interpolate_blocks": SQL["interpolate_gaps"], "shift_features_blocks": SQL["shift_features"], "features_incremental": SQL["shift_features_given"]}
 SQL |= {
-    "reports_resumed": SQL["shift_reports"],
+    "reports_resumed": SQL["shift_reports"], "wide_cells": SQL["wide_to_long"], "attach_bucketed": SQL["attach_ranges"], "dynamics_bucketed": SQL["shift_dynamics"],
     "shift_reports_options": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, '200 0.7 0.9 true END' AS reporte_llm FROM told"),
     "shift_reports_quiet": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, ' ' || CAST(length(prompt) AS VARCHAR) || ' 0.9 ' AS reporte_llm FROM told"),
     # As long as a sketch holds all values, its quantile is the least value of at least that rank.

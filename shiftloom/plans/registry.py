@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dynamics, labels, percentiles, quality, ranges, report, shifts, sketches, textgen
 from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
-from ..sources import tables
+from ..sources import bucketed, cells, tables
 from ..streaming.features import streaming_shift_features
 from .features import shift_features, shift_features_composed
 from . import incremental, oracle
@@ -116,6 +116,32 @@ def features_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(incremental.read_store(spark, path, COLS, "calendar_month"))
 
 
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one wide text file with a column per hour, read cell by cell."""
+    hour = F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    hours = events(spark, sf_dir).groupBy("tag", hour.alias("h")).agg(F.round(F.avg("value"), 4).alias("v"))
+    head = hours.agg(F.sort_array(F.collect_set("h")).alias("hours"))
+    rows = hours.groupBy("tag").agg(F.map_from_entries(F.collect_list(F.struct("h", F.col("v").cast("string")))).alias("m"))
+    body = rows.join(F.broadcast(head)).select(F.lit(1).alias("k"), F.concat_ws(",", "tag", F.array_join(F.transform("hours", lambda h: F.coalesce(F.try_element_at("m", h), F.lit(""))), ",", "")).alias("value"))
+    path = f"{tables.scratch(spark)}/wide"
+    lines = body.unionByName(head.select(F.lit(0).alias("k"), F.concat_ws(",", F.lit("Tag de PI"), F.array_join("hours", ",")).alias("value")))
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return tidy(cells.read_very_wide_text(spark, path).withColumnRenamed("Tag de PI", "tag"))
+
+
+def attach_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and range shares as bucketed tables, joined bucket by bucket."""
+    long = events(spark, sf_dir)
+    stats = bucketed.write_bucketed(shifts.shift_stats(long, COLS), bucketed.new_table(spark, "stats"), 8, COLS)
+    shares = bucketed.write_bucketed(ranges.range_shares(long, ranges.tag_limits(long, COLS), COLS), bucketed.new_table(spark, "shares"), 8, COLS)
+    return tidy(ranges.attach(stats, shares, COLS))
+
+
+def dynamics_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dynamics from samples bucketed by tag and date."""
+    return tidy(dynamics.shift_dynamics(bucketed.write_samples(events(spark, sf_dir), bucketed.new_table(spark, "samples"), 8, COLS), COLS))
+
+
 def stub_model() -> Callable[..., list[str]]:
     """A model that echoes its prompt and counts its characters, for checks."""
     return lambda prompts, **options: [f"{p}\n {len(p)} " for p in prompts]
@@ -244,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
     plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip, "features_incremental": features_incremental, "reports_resumed": reports_resumed, "sketched_limits": sketched_limits, "streamed_features": streamed_features}
+    plain |= {"wide_cells": wide_cells, "attach_bucketed": attach_bucketed, "dynamics_bucketed": dynamics_bucketed}
     return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
 
