@@ -262,8 +262,9 @@ def unique_rows(raw: np.ndarray) -> np.ndarray:
 
 
 def distinct_pairs(batches: Iterator[pa.RecordBatch], width: int, rule: Rule) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of one task, a row each. ``verify``: not for the pairs of a member of a crowd (one that
-    is told as a pair with itself) with others than its NEAREST; those only tell which texts hang together."""
+    """The distinct pairs of one task, a row each. Of a member of a crowd (one that is told as a pair with itself)
+    only the pairs with its NEAREST are to ``verify``. The others only tell which texts hang together: the
+    member is linked to the least of its partners, and they to that one, which many members share."""
     raw = unique_rows(np.frombuffer(b"".join(x for b in batches for x in b.column(0).to_pylist()), np.uint8).reshape(-1, 2 * width))
     if not len(raw):
         return
@@ -278,9 +279,15 @@ def distinct_pairs(batches: Iterator[pa.RecordBatch], width: int, rule: Rule) ->
     rank = np.empty(len(raw), np.int64)
     rank[order] = np.arange(len(raw)) - first[who[order]]
     verify = ~crowd[who] | (rank < NEAREST)
-    for at in range(0, len(raw), CHUNK):
-        columns = [pa.array([x.tobytes() for x in part[at : at + CHUNK]], pa.binary()) for part in (u, v)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(verify[at : at + CHUNK])], names=["u", "v", "verify"])
+    rest = np.flatnonzero(~verify & ~own)
+    least = np.searchsorted(who, who[rest])  # the first pair of a text is with the least
+    hang = np.concatenate([raw[:0], np.concatenate([v[rest], v[least]], axis=1), raw[np.unique(least)]])
+    hang = unique_rows(hang[(hang[:, :width] != hang[:, width:]).any(1)]) if len(hang) else hang
+    for pairs, sure in ((raw[verify | own], True), (hang, False)):
+        for at in range(0, len(pairs), CHUNK):
+            part = pairs[at : at + CHUNK]
+            columns = [pa.array([x.tobytes() for x in part[:, i : i + width]], pa.binary()) for i in (0, width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sure] * len(part))], names=["u", "v", "verify"])
 
 
 def pack(key: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
