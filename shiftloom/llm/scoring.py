@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,9 @@ REST, END = 0, 1
 #: Passes over parts of the training texts, together one over all; the first one's rate, which falls
 #: in equal steps; weights of a row on their way to the sum.
 ROUNDS, RATE, CHUNK = 2, 2e-3, 8192
+#: Bytes of texts that one copy of the model is trained on in a round, and the share of the sample that is
+#: learned in the last round only, so that the mixture can be fitted on it before.
+PART_BYTES, TUNING = 24_000_000, 0.1
 #: Words that one task settles, about 40 bytes each.
 WORDS_A_TASK = 1_000_000
 
@@ -88,16 +91,17 @@ class Scorer:
     known: np.ndarray | None = None  # c > 0
     log_share: np.ndarray | None = None  # log10 of c over all training tokens; last: of the end
     mix: float = 0.0  # weight of the words' shares
+    earlier: attention.Model | None = None  # before the last round
 
 
-def sample_words(sample: list[str]) -> tuple[list[str], list[str]]:
+def sample_words(sample: list[str], tuning: list[str]) -> tuple[list[str], list[str]]:
     """(frequent words of the sample, other words of its tuning texts)."""
     distinct, number = numbered(split_words(lowered(pa.array(sample, pa.string())))[0])
     text = distinct.to_pylist()
     count = np.bincount(number, minlength=len(text)) if len(text) else np.empty(0, np.int64)
     frequent = [text[i] for i in np.lexsort((np.arange(len(text)), -count))[:FREQUENT] if count[i] > 1]
-    tuning = numbered(split_words(lowered(pa.array(sample[::10], pa.string())))[0])[0].to_pylist()
-    return frequent, sorted(set(tuning) - set(frequent))
+    tried = numbered(split_words(lowered(pa.array(tuning, pa.string())))[0])[0].to_pylist()
+    return frequent, sorted(set(tried) - set(frequent))
 
 
 def fit_scorer(sample: list[str], path: str, frequent: list[str], seen: np.ndarray, texts: int, seed: int = 20240504, steps: int = 1500) -> Scorer:
@@ -161,13 +165,18 @@ def flat_weights(model: attention.Model) -> np.ndarray:
 
 
 def learn_all(scorer: Scorer, learn: DataFrame) -> int:
-    """Trains the model over every text of ``learn`` (text, draw), whole and once; returns the units seen."""
+    """Trains the model over every text of ``learn`` (text, key, draw), whole and once; returns the units seen. Texts are dealt by their key into parts of about PART_BYTES and put in its order, so the result
+    depends neither on the splits nor on the order of the rows."""
+    size = learn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (ROUNDS * PART_BYTES)))
     spark, total = learn.sparkSession, 0
     kind = "chunk int, n double, line array<double>"
     for k in range(ROUNDS):
+        if k == ROUNDS - 1:
+            scorer.earlier = attention.Model(scorer.model.units, {name: x.copy() for name, x in scorer.model.p.items()})
         sent, rate = spark.sparkContext.broadcast(scorer), RATE * (1 - k / ROUNDS)
-        part = learn.where(F.floor(F.col("draw") * ROUNDS) == k).select("text")
-        made = part.mapInArrow(lambda bs: learn_texts(bs, sent, rate, k), kind)
+        part = learn.where(F.floor(F.col("draw") * ROUNDS) == k).select("text", "key").repartition(parts, "key").sortWithinPartitions("key", "text")
+        made = part.select("text").mapInArrow(lambda bs: learn_texts(bs, sent, rate, k), kind)
         sums = made.repartition("chunk").mapInArrow(sum_weights, kind).collect()  # a row per CHUNK weights
         sent.unpersist()
         if not sums:
@@ -213,13 +222,14 @@ def mixed_logs(scorer: Scorer, logs: np.ndarray, number: np.ndarray, lengths: np
 
 def fit_mix(scorer: Scorer, tuning: list[str], count: dict[str, int], texts: int, train_tokens: int) -> float:
     """Weight of the words' shares, by a few rounds of expectation and maximisation over ``tuning``,
-    training texts; each is left out of the counts that it is tried on."""
+    training texts that the attention model before its last round hasn't seen; each is left out of the counts that it is tried on."""
     words, lengths = split_words(lowered(pa.array(tuning, pa.string())))
     distinct, number = numbered(words)
     if not len(lengths) or train_tokens < 2:
         return 0.0
     text = distinct.to_pylist()
-    logs = word_logs(scorer, *word_ids(distinct, scorer.path), number, lengths)
+    before = replace(scorer, model=scorer.earlier or scorer.model)
+    logs = word_logs(before, *word_ids(distinct, scorer.path), number, lengths)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     _, back, own = np.unique(owner * max(1, len(text)) + number, return_inverse=True, return_counts=True)
     c = np.array([count.get(w, 0) for w in text], np.float64)[number] - own[back] if len(text) else np.zeros(0)
@@ -344,20 +354,24 @@ def score_documents(docs: DataFrame, out: Column, path: str = VOCABULARY) -> Dat
     split = F.split("text", r"[\x20\x09-\x0D]+")
     start = F.floor(place * F.greatest(F.size(split) - SAMPLE_WORDS, F.lit(0))).cast("int") + 1
     piece = F.array_join(F.slice(split, start, SAMPLE_WORDS), " ")  # of the sample only
-    drawn = learn.withColumn("draw", draw).where(F.col("draw") < F.lit(1.2 * SAMPLE_DOCS / max(1, learn.count())))
-    sample = [r[0] for r in drawn.select(piece.alias("piece"), "draw").orderBy("draw", "piece").limit(SAMPLE_DOCS).collect()]
-    frequent, more = sample_words(sample)
+    taken = min(1.0, 1.2 * SAMPLE_DOCS / max(1, learn.count()))
+    drawn = learn.withColumn("draw", draw).where(F.col("draw") < F.lit(taken))
+    drawn = [(r[0], r[1] < TUNING * taken) for r in drawn.select(piece.alias("piece"), "draw").orderBy("draw", "piece").limit(SAMPLE_DOCS).collect()]
+    sample, tuning = [p for p, tunes in drawn if not tunes], [p for p, tunes in drawn if tunes]
+    frequent, more = sample_words([p for p, _ in drawn], tuning)
     sent = spark.sparkContext.broadcast((frequent + more, path))
     counts = {r["word"]: r["n"] for r in learn.select("text").mapInArrow(lambda bs: count_words(bs, sent), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per named word and subword id
     sent.unpersist()
     texts, words = counts.get(-2, 0), counts.get(-1, 0)
     train_tokens = words + texts
     scorer = fit_scorer(sample, path, frequent, np.array([counts.get(-3 - i, 0) for i in range(len(tokenizer(path)[1]))], np.int64), texts)
-    learn_all(scorer, learn.select("text", uniform(F.xxhash64(F.lit(20240505), "doc_id", F.length("text"))).alias("draw")))
+    turn = F.when(draw < F.lit(TUNING * taken), F.lit(1 - 1e-9)).otherwise(uniform(F.xxhash64(F.lit(20240505), "doc_id", F.length("text"))))
+    learn_all(scorer, learn.select("text", F.xxhash64("doc_id", "text").alias("key"), turn.alias("draw")))
+    scorer.earlier, before = None, scorer.earlier
     c = np.array([counts.get(i, 0) for i in range(len(frequent))], np.float64)
     scorer.log_count, scorer.known = np.log10(c + 0.5), (c > 0).astype(np.float64)
     scorer.log_share = np.log10(np.maximum(np.concatenate((c, [texts])), 1e-9) / max(1, train_tokens))
-    scorer.mix = fit_mix(scorer, sample[::10], {w: counts.get(i, 0) for i, w in enumerate(frequent + more)}, texts, train_tokens)
+    scorer.mix = fit_mix(replace(scorer, earlier=before), tuning, {w: counts.get(i, 0) for i, w in enumerate(frequent + more)}, texts, train_tokens)
     ready = spark.sparkContext.broadcast(scorer)
     kind = docs.schema["doc_id"].dataType.simpleString()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * max(0, words - int(c.sum())) // WORDS_A_TASK))
