@@ -225,6 +225,16 @@ SQL |= {
     "reports_resumed": SQL["shift_reports"], "wide_cells": SQL["wide_to_long"], "attach_bucketed": SQL["attach_ranges"], "dynamics_bucketed": SQL["shift_dynamics"],
     "shift_reports_options": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, '200 0.7 0.9 true END' AS reporte_llm FROM told"),
     "shift_reports_quiet": select([*P1, TOLD], "SELECT fecha, turno, variable, valor, ' ' || CAST(length(prompt) AS VARCHAR) || ' 0.9 ' AS reporte_llm FROM told"),
+    "report_prompt_fallbacks": "SELECT event_id, " + text(
+        said("Actúa como especialista en operación de ductos y redacta un informe técnico breve, en español, sobre la medición siguiente."), item("fecha", "'N/A'"), item("turno", "'N/A'"), item("variable", "event_type"),
+        item("valor", "CASE WHEN event_id % 3 <> 0 THEN CAST(CAST(event_id % 1000 AS DOUBLE) AS VARCHAR) ELSE 'N/A' END || CASE WHEN event_id % 2 = 0 THEN ' kPa' ELSE ' N/A' END"),
+        said("Explica qué significa el valor, qué pudo causarlo si es anormal y qué conviene hacer. Usa uno o dos párrafos corridos, sin listas."),
+    ) + " AS prompt FROM events",
+    "checked_columns": "SELECT event_type AS tag, count(*) AS n, 'missing columns: value; the table has tag, ts, event_id' AS said FROM events GROUP BY event_type",
+    "wide_permissive": SQL["wide_unpivot"],
+    # The least value of at least that rank.
+    "approximate_limits": "WITH q AS (SELECT CAST(user_id AS VARCHAR) AS tag, quantile_disc(value, [0.05, 0.95, 0.25, 0.75]) AS q FROM events GROUP BY 1) "
+    "SELECT tag, round(q[1], 6) AS lim_inf, round(q[2], 6) AS lim_sup, round(q[3], 6) AS q1, round(q[4], 6) AS q3, CASE WHEN q[3] <> q[4] THEN round(q[3] - 1.5::DOUBLE * (q[4] - q[3]), 6) END AS low, CASE WHEN q[3] <> q[4] THEN round(q[4] + 1.5::DOUBLE * (q[4] - q[3]), 6) END AS high FROM q",
     # As long as a sketch holds all values, its quantile is the least value of at least that rank.
     "sketched_limits": "WITH q AS (SELECT event_type || '/' || CAST(event_id % 16 AS VARCHAR) AS tag, quantile_disc(value, [0.05, 0.95, 0.25, 0.75]) AS q FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-14' GROUP BY 1) "
     "SELECT tag, round(q[1], 6) AS lim_inf, round(q[2], 6) AS lim_sup, round(q[3], 6) AS q1, round(q[4], 6) AS q3, CASE WHEN q[3] <> q[4] THEN round(q[3] - 1.5::DOUBLE * (q[4] - q[3]), 6) END AS low, CASE WHEN q[3] <> q[4] THEN round(q[4] + 1.5::DOUBLE * (q[4] - q[3]), 6) END AS high FROM q",

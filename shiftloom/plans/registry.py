@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dynamics, labels, percentiles, quality, ranges, report, shifts, sketches, textgen
-from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns
+from ..schema import DYNAMIC_COLS, LABEL_COLS, RANGE_COLS, STAT_COLS, Columns, require
 from ..sources import bucketed, cells, tables
 from ..streaming.features import streaming_shift_features
 from .features import shift_features, shift_features_composed
@@ -129,6 +129,41 @@ def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(cells.read_very_wide_text(spark, path).withColumnRenamed("Tag de PI", "tag"))
 
 
+def report_prompt_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts from other column names, with a unit, and with null values."""
+    e = table(spark, sf_dir, "events")
+    # Whole thousandths: engines print other doubles differently.
+    value = F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 1000).cast("double"))
+    rows = e.select("event_id", F.col("event_type").alias("variable"), value.alias("valor"), F.when(F.col("event_id") % 2 == 0, "kPa").alias("unidad"))
+    return rows.select("event_id", textgen.report_prompt(rows).alias("prompt"))
+
+
+def checked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the column check says of a table without its value, next to the rows that a whole one has by tag."""
+    long = events(spark, sf_dir)
+    try:
+        require(long.drop("value"), COLS.tag, COLS.ts, COLS.value)
+        said = ""
+    except ValueError as e:
+        said = str(e)
+    return long.groupBy("tag").agg(F.count("*").alias("n")).withColumn("said", F.lit(said))
+
+
+def wide_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide table by day with two headers that name no time: their columns are left out."""
+    day = F.date_format(F.date_trunc("day", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    wide = events(spark, sf_dir).withColumn("d", day).groupBy("tag").pivot("d").agg(F.max("value"))
+    odd = wide.withColumns({"zz": F.lit(1.0), "2024-13-45": F.lit(2.0)})
+    return tidy(tables.unpivot_wide(odd, COLS, strict=False))
+
+
+def approximate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate limits and quartiles of groups so small that their sketch loses nothing."""
+    rows = events(spark, sf_dir, tag="user_id")
+    bounds = quality.iqr_bounds(rows, COLS, approx=True)
+    return tidy(ranges.tag_limits(rows, COLS, approx=True).join(bounds, "tag"))
+
+
 def attach_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and range shares as bucketed tables, joined bucket by bucket."""
     long = events(spark, sf_dir)
@@ -270,6 +305,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     plain = {name: (lambda s, d, f=f: tidy(f(s, d))) for name, f in found.items()}
     plain |= {"wide_to_long": wide_to_long, "wide_unpivot": wide_unpivot, "features_roundtrip": features_roundtrip, "features_csv": features_csv, "reports_roundtrip": reports_roundtrip, "features_incremental": features_incremental, "reports_resumed": reports_resumed, "sketched_limits": sketched_limits, "streamed_features": streamed_features}
+    plain |= {"report_prompt_fallbacks": report_prompt_fallbacks, "checked_columns": checked_columns, "wide_permissive": wide_permissive, "approximate_limits": approximate_limits}
     plain |= {"wide_cells": wide_cells, "attach_bucketed": attach_bucketed, "dynamics_bucketed": dynamics_bucketed}
     return plain | {f"prompt_{k}": prompt_query(k) for k in ("report", "range", "trend", "oscillation", "stability", "summary")}
 
