@@ -6,31 +6,46 @@ format. Numbers, addresses, mailboxes and secrets are mapped by keyed permutatio
 their format without fixed points, names to made-up ones. Replacements of one kind are checked against
 each other and against every entity seen; an entity whose replacement is taken moves on to its next
 attempt, until all are distinct. Where a format is too full for that, all its entities take the first
-permutation: distinct by construction, though it may be another entity's original.
+permutation: distinct by construction, though it may be another entity's original. Names that are still
+taken become long ones.
+
+Mentions that leave something open are told from others, of the same text first, then of all texts: a name
+alone after a title is a given name where it stands before a surname elsewhere, the gender of a name after
+a title without one is that of the name after other titles, and a phone number without a calling code is
+the one with it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
 from .decontamination import bounded
 
+#: Titles before names: fixed values.
+TITLE = r"(?:(?:Mrs?|Ms|Miss|Sra?|Mme|M|Dr|Prof|MRS?|MS|DR|PROF)\.|Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία)"
+NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
+GROUP = "[0-9A-Fa-f]{1,4}"
 #: Kinds in the order in which they are tried at a place of a text.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "person": r"(?:(?:Mrs?|Ms|Miss|Sra?|Mme|M)\.|Mr|Mrs|Ms|Miss|Herr|Frau|Señora?|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία) \p{Lu}[\p{L}\p{M}'’-]+(?: \p{Lu}[\p{L}\p{M}'’-]+){0,2}",
+    "person": rf"(?<![\p{{L}}\p{{N}}]){TITLE}(?: {TITLE})* {NAME}(?: {NAME}){{0,2}}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "secret": r"\b(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk[-_][0-9A-Za-z_-]{20,})\b",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f]{{0,3}}\d)(?!(?:[0-9A-Fa-f]{{0,4}}:){{8}})(?:(?:{GROUP}:){{7}}{GROUP}|[0-9A-Fa-f]{{3,4}}(?::{GROUP}){{0,5}}::(?:{GROUP}(?::{GROUP}){{0,5}})?)(?![\p{{L}}\p{{N}}:]|\.\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d-])\d{4}(?<card>[ -]?)\d{4}\k<card>\d{4}\k<card>\d{1,7}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\d])(?:\+(?=(?:[ ().-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ ().-]{0,2}\d+){1,6}|\(\d{2,5}\)[ .-]?\d{2,4}[ .-]?\d{2,5}(?!\d)|\d{3}(?<phone>[ .-])\d{3}\k<phone>\d{4}(?![\d-]))",
+    "phone": r"(?<![\p{L}\d])(?:\+(?=(?:[ ().-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ ().-]{0,2}\d+){1,6}|\(\d{2,5}\)[ .-]?\d{2,4}[ .-]?\d{2,5}(?!\d)|\d{3}(?<phone>[ .-])\d{3}\k<phone>\d{4}(?![\d-])|"
+    r"(?<![.,:/-])(?=0(?:[ .-]?\d){8,10}(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-](?:19|20)\d\d)0[1-9]\d{0,3}(?<area>[ .-])\d{2,8}(?:\k<area>\d{2,4}){0,3}(?!\d))",
 }
 #: Found in every text with a mention, and cheap to look for; most texts lack it.
-HINT = r"[@0-9]|[MHFSГΚ][\p{L}.]{0,9} \p{Lu}|[a-f]{32}|AKIA|gh[opsu]_|sk[-_]"
-FEMALE = r"^(?:Mrs|Ms|Miss|Sra|Mme|Frau|Señora|Madame|Госпожа|Κυρία)"
+HINT = r"[@0-9]|[MHFSDPГΚ][\p{L}.]{0,9} \p{Lu}|[a-f]{32}|AKIA|gh[opsu]_|sk[-_]"
+#: Titles that tell a gender, and endings of surnames that do: fixed values.
+FEMALE = "Mrs|Ms|Miss|Sra|Mme|Frau|Señora|Madame|Госпожа|Κυρία|MRS|MS"
+MALE = "Mr|Sr|M|Herr|Señor|Monsieur|Господин|Κύριος|MR"
+SURNAME_END = "(?:ова|ева|ёва|ина|ына|ская|цкая|ов|ев|ёв|ин|ын|ский|цкий|οπούλου|όπουλος|ová|ova|eva|ska|ská|cka|cká|ski|ský|cki|cký)$"
 #: Consonants and vowels of made-up names, by script.
 SYLLABLES = {
     "latin": ("bdfgklmnprstvz", "aeiou", "a", "o"),
@@ -38,7 +53,9 @@ SYLLABLES = {
     "greek": ("βγδζκλμνπρστφ", "αειου", "α", "ος"),
 }
 DIGIT_KINDS = ("card", "ssn")
-NAMES = ("given_f", "given_m", "surname")
+NAMES = ("given_f", "given_m", "given_x", "surname")
+#: Attempts of names: longer ones from the first, and so long that none is met twice from the second.
+LONGER, LONGEST = 6, 12
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 #: International calling codes of one and two digits; all others have three.
@@ -59,14 +76,22 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
+def gender_of(mention: Column) -> Column:
+    """f, m or x (unknown) by the titles of a person."""
+    told = lambda titles: mention.rlike(rf"^(?:{TITLE} )*?(?:{titles})\.? ")
+    return F.when(told(FEMALE), "f").when(told(MALE), "m").otherwise("x")
+
+
 def parts_of(mention: Column, kind: Column) -> Column:
-    """Array of (kind, norm, raw): one part, or for a person the title and each name."""
-    words = F.split(mention, " ")
-    female = mention.rlike(FEMALE)
+    """Array of (kind, norm, raw): one part, or for a person each title and each name. A name that stands
+    alone after its titles is of kind ``alone_`` and its gender."""
+    words, gender = F.split(mention, " "), gender_of(mention)
+    titles = F.size(F.split(F.regexp_extract(mention, rf"^(?:{TITLE} )+", 0), " ")) - 1
+    last = lambda i: i == F.size(words) - 1
     names = F.transform(
         words,
         lambda w, i: F.struct(
-            F.when(i == 0, F.lit("title")).when(i == F.size(words) - 1, F.lit("surname")).when(female, F.lit("given_f")).otherwise(F.lit("given_m")).alias("kind"),
+            F.when(i < titles, F.lit("title")).when(last(i) & (i == titles), F.concat(F.lit("alone_"), gender)).when(last(i), F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"),
             F.lower(w).alias("norm"), w.alias("raw"),
         ),
     )
@@ -75,11 +100,53 @@ def parts_of(mention: Column, kind: Column) -> Column:
         .when(kind == "phone", F.regexp_replace(mention, r"[^\d+]", ""))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "email", F.lower(mention))
+        .when(kind == "ip6", F.array_join(address_groups(F.lower(mention)), ":"))
         .otherwise(mention)
     )
     return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), mention.alias("raw"))))
 
 
+def address_groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address, without leading zeros."""
+    parts = F.split(address, ":", -1)
+    hole = F.array_position(parts, F.lit("")).cast("int")
+    told = F.filter(parts, lambda g: g != "")
+    left = F.when(hole > 0, hole - 1).otherwise(F.size(told))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(told))
+    whole = F.concat(F.slice(told, F.lit(1), left), zeros, F.slice(told, left + 1, F.lit(8)))
+    return F.transform(whole, lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+
+
+def resolved(parts: DataFrame, row: str) -> DataFrame:
+    """``parts`` with kinds and normal forms settled by other mentions: of the same text, then of all."""
+    name, phone = F.col("kind").rlike("^(?:given|alone|surname)"), F.col("kind") == "phone"
+    whole = phone & F.col("norm").startswith("+")
+    rest = F.when(whole, F.regexp_replace("norm", CALLING_CODE, "")).otherwise(F.regexp_replace("norm", "^0", ""))
+    open_ = parts.where(name | phone).withColumn("link", F.concat(F.when(phone, "p ").otherwise("n "), F.when(phone, rest).otherwise(F.col("norm"))))
+    open_ = open_.withColumn("gender", F.when(F.col("kind").rlike("_[fm]$"), F.substring("kind", -1, 1))).withColumn("whole", F.when(whole, F.col("norm")))
+    given, surname, alone = (F.col("kind").startswith(k) for k in ("given", "surname", "alone"))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    kinds = {"given": count(given), "given_f": count(given & (F.col("gender") == "f")), "given_m": count(given & (F.col("gender") == "m")), "surname": count(surname)}
+    corpus = stored(open_.groupBy("link").agg(*[n.alias(f"all_{k}") for k, n in kinds.items()], F.min("whole").alias("one"), F.max("whole").alias("other")).where("all_given > 0 or one is not null"))
+    here = Window.partitionBy(row, "link")
+    told = open_.join(bounded(corpus), "link", "left")
+    for k in ("given", "surname"):
+        told = told.withColumn(f"here_{k}", F.max(F.col("kind").startswith(k)).over(here))
+    told = told.withColumn("here_f", F.max(F.col("gender") == "f").over(here)).withColumn("here_m", F.max(F.col("gender") == "m").over(here)).withColumn("here_whole", F.min("whole").over(here))
+    every = {k: F.coalesce(F.col(f"all_{k}"), F.lit(0)) for k in kinds}
+    gender = (
+        F.when(F.col("gender").isNotNull(), F.col("gender")).when(F.col("here_f"), "f").when(F.col("here_m"), "m")
+        .when(every["given_f"] > every["given_m"], "f").when(every["given_m"] > every["given_f"], "m").otherwise("x")
+    )
+    of_gender = F.when(F.col("gender") == "f", every["given_f"]).when(F.col("gender") == "m", every["given_m"]).otherwise(every["given"])
+    is_given = given | (alone & (F.col("here_given") | (~F.col("here_surname") & (of_gender > every["surname"]))))
+    kind = F.when(phone, F.col("kind")).when(is_given, F.concat(F.lit("given_"), gender)).otherwise("surname")
+    same = F.when(F.col("one") == F.col("other"), F.col("one"))
+    norm = F.when(phone & ~whole, F.coalesce("here_whole", same, "norm")).otherwise(F.col("norm"))
+    done = told.select(*[kind.alias("kind") if c == "kind" else norm.alias("norm") if c == "norm" else F.col(c) for c in parts.columns])
+    return done.unionByName(parts.where(~(name | phone)))
+
+
 def byte(digest: Column, i: Column) -> Column:
     """The i-th byte (from 0, round and round) of a hexadecimal digest of 64 bytes."""
     return F.conv(F.substring(digest, 2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
@@ -104,14 +171,16 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def symbols(text: Column, hexadecimal: Column | None = None, number: Column | None = None) -> Column:
+def symbols(text: Column, hexadecimal: Column | None = None, number: Column | None = None, address: Column | None = None) -> Column:
     """Each character as its place v in an alphabet of r: digits (of a ``number`` the first is not zero),
-    hexadecimal digits where asked for, letters of one script and case. Any other stands alone."""
-    hexadecimal, number = (F.lit(False) if x is None else x for x in (hexadecimal, number))
+    hexadecimal digits where asked for, letters of one script and case. Any other stands alone. Groups of
+    an IPv6 ``address``, each after its colon, keep their width, and zero stays zero."""
+    hexadecimal, number, address = (F.lit(False) if x is None else x for x in (hexadecimal, number, address))
 
     def alphabet(c: Column, i: Column) -> Column:
         first = number & (i == 0)
-        out = F.when(hexadecimal, HEX).when(first & (c == "0"), "0").when(first, DIGITS[1:]).when(F.lit(DIGITS).contains(c), DIGITS)
+        opens = address & (F.substring(text, i, F.lit(1)) == ":")
+        out = F.when((address & (c == ":")) | (opens & (c == "0")), c).when(opens, HEX[1:]).when(hexadecimal | address, HEX).when(first & (c == "0"), "0").when(first, DIGITS[1:]).when(F.lit(DIGITS).contains(c), DIGITS)
         for low in ALPHABETS:
             out = out.when(F.lit(low).contains(c), low).when(F.lit(low.upper()).contains(c), low.upper())
         return out.otherwise(c)
@@ -185,15 +254,17 @@ def iban_rest(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), located)
 
 
-def made_name(norm: Column, digest: Column, kind: Column, longer: Column) -> Column:
-    """A made-up name in the script of the original, with the ending of its gender."""
+def made_name(norm: Column, digest: Column, kind: Column, attempt: Column) -> Column:
+    """A made-up name in the script of the original, with the ending of its gender; a surname keeps an
+    ending that tells one."""
     scripts = {k: F.array(*map(F.lit, v)) for k, v in SYLLABLES.items()}
     own = F.when(norm.rlike(r"\p{IsCyrillic}"), scripts["cyrillic"]).when(norm.rlike(r"\p{IsGreek}"), scripts["greek"]).otherwise(scripts["latin"])
 
     def spell(o: Column) -> Column:
         hard, soft = o[0], o[1]
-        ending = F.when(kind == "given_f", o[2]).when(kind == "given_m", o[3]).otherwise("")
-        return F.concat(F.when(longer, letters(digest, 8, 15, hard, soft)).otherwise(""), letters(digest, 0, 6, hard, soft), ending)
+        ending = F.when(kind == "given_f", o[2]).when(kind == "given_m", o[3]).when(kind == "surname", F.regexp_extract(norm, SURNAME_END, 0)).otherwise("")
+        more = F.when(attempt >= LONGEST, letters(digest, 8, 63, hard, soft)).when(attempt >= LONGER, letters(digest, 8, 15, hard, soft)).otherwise("")
+        return F.concat(more, letters(digest, 0, 6, hard, soft), ending)
 
     return let(own, spell)
 
@@ -208,18 +279,18 @@ def with_surrogate(df: DataFrame, attempt: Column, key: str, name: str = "new")
 def surrogate(kind: Column, norm: Column, digest: Column, host: Column, attempt: Column, key: str) -> Column:
     """The normal form of the replacement. Check digits that fit go on to fit, others stay as far off."""
     rest = lambda n: F.substring(norm, n, F.length(norm))
-    longer, number = attempt >= 6, kind.isin("card", "ssn", "phone")
+    number = kind.isin("card", "ssn", "phone")
     kept = (
         F.when(kind == "iban", F.substring(norm, 1, 2)).when(kind == "phone", F.regexp_extract(norm, CALLING_CODE, 0))
-        .when(kind == "secret", F.regexp_extract(norm, r"^(?:AKIA|gh[opsu]_|sk[-_])", 0)).otherwise("")
+        .when(kind == "secret", F.regexp_extract(norm, r"^(?:AKIA|gh[opsu]_|sk[-_])", 0)).when(kind == "ip6", F.substring_index(norm, ":", 1)).otherwise("")
     )
     moved = (
         F.when(kind == "email", F.substring_index(norm, "@", 1)).when(kind == "card", F.substring(norm, F.lit(1), F.length(norm) - 1)).when(kind == "ssn", norm)
-        .when(kind == "iban", rest(F.lit(5))).when(kind.isin("phone", "secret"), rest(F.length(kept) + 1)).otherwise("")
+        .when(kind == "iban", rest(F.lit(5))).when(kind.isin("phone", "secret", "ip6"), rest(F.length(kept) + 1)).otherwise("")
     )
     tweak = F.when(kind == "email", F.substring_index(norm, "@", -1)).otherwise(kept)
     octet = lambda o, own: F.struct((F.array_position(own, o.cast("int")) - 1).cast("int").alias("v"), F.size(own).alias("r"), F.lit("").alias("alphabet"))
-    line = F.when(kind == "ip", F.zip_with(F.split(norm, r"\."), octet_lists(norm), octet)).otherwise(symbols(moved, (kind == "secret") & moved.rlike("^[0-9a-f]+$"), number))
+    line = F.when(kind == "ip", F.zip_with(F.split(norm, r"\."), octet_lists(norm), octet)).otherwise(symbols(moved, (kind == "secret") & moved.rlike("^[0-9a-f]+$"), number, kind == "ip6"))
 
     def told(new: Column) -> Column:
         spelt = spelled(new)
@@ -235,21 +306,28 @@ def surrogate(kind: Column, norm: Column, digest: Column, host: Column, attempt:
             .when(kind == "iban", F.concat(kept, F.lpad(check.cast("string"), 2, "0"), spelt)).otherwise(F.concat(kept, spelt))
         )
 
-    names = let(digest, lambda d: made_name(norm, d, kind, longer))
+    names = let(digest, lambda d: made_name(norm, d, kind, attempt))
     return F.when(kind == "title", norm).when(kind.isin(*NAMES), names).otherwise(let(scrambled(line, key, kind, attempt.cast("string"), tweak), told))
 
 
 def dressed(kind: Column, raw: Column, new: Column) -> Column:
     """The replacement in the format of the mention."""
-    plain = F.regexp_replace(new, r"^\+", "")
+    # A phone number told without its calling code, as one that has it.
+    within = F.concat(F.regexp_extract(raw, r"^\(?(0)", 1), F.regexp_replace(new, CALLING_CODE, ""))
+    plain = F.when((kind == "phone") & new.startswith("+") & ~raw.startswith("+"), within).otherwise(F.regexp_replace(new, r"^\+", ""))
 
     def put(symbol: str) -> Column:
         step = lambda a, c: F.when(c.rlike(symbol), F.struct(F.concat(a["out"], F.substring(plain, a["k"] + 1, F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k")))
         return F.aggregate(chars(raw), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step)["out"]
 
+    groups, written = F.split(new, ":"), F.split(raw, ":", -1)
+    hole = F.array_position(written, F.lit(""))
+    group = lambda w, i: F.element_at(groups, F.when((hole == 0) | (i + 1 < hole), i + 1).otherwise(9 - F.size(written) + i))
+    address = F.array_join(F.transform(written, lambda w, i: F.when(w == "", "").otherwise(F.lpad(group(w, i), F.length(w), F.lit("0")))), ":")
     name = F.when(raw == F.upper(raw), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new))))
     return (
         F.when(kind.isin("card", "ssn", "phone"), put(r"\d")).when(kind == "iban", put("[A-Z0-9]"))
+        .when(kind == "ip6", F.when(raw.rlike("[A-F]"), F.upper(address)).otherwise(address))
         .when(kind.isin(*NAMES), name).when(kind == "title", raw)
         .when((kind == "email") & (raw == F.upper(raw)), F.upper(new)).otherwise(new)
     )
@@ -259,7 +337,9 @@ def format_of(kind: Column, norm: Column) -> Column:
     """What entities share whose replacements can be the same: no replacement leaves its format."""
     octet = F.substring_index(norm, ".", 1)
     address = F.when(is_public(octet.try_cast("int")), "public").otherwise(octet)
-    return F.when(kind == "email", F.substring_index(norm, "@", -1)).when(kind == "ip", address).otherwise(F.length(norm).cast("string"))
+    widths = F.regexp_replace(F.regexp_replace(norm, "(?<=[0-9a-f])[0-9a-f]", "x"), "[1-9a-f]", "n")
+    address6 = F.concat_ws(":", F.substring_index(norm, ":", 1), widths)
+    return F.when(kind == "email", F.substring_index(norm, "@", -1)).when(kind == "ip", address).when(kind == "ip6", address6).otherwise(F.length(norm).cast("string"))
 
 
 def attempts(entities: DataFrame, key: str, most: int = 12) -> DataFrame:
@@ -278,10 +358,10 @@ def attempts(entities: DataFrame, key: str, most: int = 12) -> DataFrame:
         if not moving.limit(1).count():
             break
         if k == most:
-            if moving.where(F.col("kind").isin(*NAMES)).limit(1).count():
-                raise RuntimeError(f"made-up names still collide after {most} attempts")
-            full = moving.select("kind", format_of(F.col("kind"), F.col("norm")).alias("format")).distinct()
-            return state.withColumn("format", format_of(F.col("kind"), F.col("norm"))).join(full, ["kind", "format"], "left_anti").where("attempt > 0").select("kind", "norm", "attempt")
+            long_names = moving.where(F.col("kind").isin(*NAMES)).withColumn("attempt", F.lit(max(most, LONGEST)))
+            full = moving.where(~F.col("kind").isin(*NAMES)).select("kind", format_of(F.col("kind"), F.col("norm")).alias("format")).distinct()
+            rest = state.withColumn("format", format_of(F.col("kind"), F.col("norm"))).join(full, ["kind", "format"], "left_anti").where("attempt > 0").select("kind", "norm", "attempt")
+            return rest.join(long_names, ["kind", "norm"], "left_anti").unionByName(long_names)
         moved = state.join(moving.withColumn("moves", F.lit(1)), ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("moves", F.lit(0)))
         state = stored(with_surrogate(moved.select("kind", "norm", "attempt"), F.col("attempt"), key))
     return state.where("attempt > 0").select("kind", "norm", "attempt")
@@ -292,9 +372,10 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
 
     Kinds: e-mail addresses, persons after a title (gender and script of the made-up name match) and
     their names wherever they stand again in the same text, bank account numbers, secrets and keys, IPv4
-    addresses (private ones stay in their network), card numbers (check digits fit where they did), social
-    security and phone numbers (the calling code is kept). Phones: with + and 8 to 15 digits, with an area
-    code in brackets, or 3-3-4 digits. Texts without a mention pass
+    addresses (private ones stay in their network), IPv6 addresses (the first group and zeros stay), card
+    numbers (check digits fit where they did), social security and phone numbers (the calling code is
+    kept). Phones: with + and 8 to 15 digits, with an area code in brackets, 3-3-4 digits, or 9 to 11
+    digits in groups from a 0 on. Persons in texts that never name them after a title stay. Texts without a mention pass
     unchanged, null texts stay null; repeated rows are replaced alike; empty tables give no row; all
     columns are kept, but a column named like ``count_col`` is replaced.
     """
@@ -306,6 +387,7 @@ def replace_personal(docs: DataFrame, key: str = "surrogate-key", text_col: str
     some = stored(seen.where(has).withColumn(row, F.monotonically_increasing_id()))
     mentions = some.select(row, F.posexplode(found).alias(at, "mention")).withColumn("kind", kind_of(F.col("mention")))
     parts = stored(mentions.select(row, at, F.posexplode(parts_of(F.col("mention"), F.col("kind"))).alias(part, "p")).select(row, at, part, "p.kind", "p.norm", "p.raw"))
+    parts = stored(resolved(parts, row))
     entities = stored(parts.where("kind <> 'title'").select("kind", "norm").distinct())
     moved = stored(attempts(entities, key))
     told = parts.join(bounded(moved), ["kind", "norm"], "left")

@@ -251,3 +251,55 @@ def test_surrogates_edges(spark):
     assert surrogates.replace_personal(df.limit(0)).count() == 0
     other = replaced(spark, "a@b.com", key="k2")[0][0]
     assert other != replaced(spark, "a@b.com")[0][0]
+
+
+def test_given_names_with_and_without_surname(spark):
+    import re
+
+    a, b, c, d, e = (t for t, _ in replaced(
+        spark, "Ms. Anna called. Later Ms. Anna Jones wrote; Anna left.", "Dr. Anna came, Prof. Dr. Maria Rossi and MR. PAUL KING too.", "Frau Dr. Maria Stein met Frau Иванова and Herr Иванов.",
+        "Mr. Jones knew Ms. Anna.", "Mr. Paul King",
+    ))
+    m = re.fullmatch(r"Ms\. (\w+) called\. Later Ms\. (\w+) (\w+) wrote; (\w+) left\.", a)
+    assert m and m[1] == m[2] == m[4] != m[3] and m[1].endswith("a") and "Anna" not in a
+    n = re.fullmatch(r"Dr\. (\w+) came, Prof\. Dr\. (\w+a) (\w+) and MR\. ([A-Z]+O) ([A-Z]+) too\.", b)
+    assert n and n[1] == m[1] and not {"Maria", "Rossi", "PAUL", "KING"} & set(b.replace(".", "").split())
+    o = re.fullmatch(r"Frau Dr\. (\w+) (\w+) met Frau ([а-яА-Я]+ова) and Herr ([а-яА-Я]+ов)\.", c)
+    assert o and o[1] == n[2] and o[3] != "Иванова" and o[4] != "Иванов"
+    assert d == f"Mr. {m[3]} knew Ms. {m[1]}."
+    assert e.upper() == f"MR. {n[4]} {n[5]}"
+
+
+def test_phones_with_and_without_calling_code(spark):
+    a, b, c, d = (t for t, _ in replaced(spark, "+44 20 7183 8750 or 020 7183 8750", "020.7183.8750", "706-555-3138 is +1 (706) 555-3138; 01 23 45 67 89", "020 7183 8751"))
+    digits = lambda t: "".join(filter(str.isdigit, t))
+    whole, near = a.split(" or ")
+    assert digits(near) == "0" + digits(whole)[2:] == digits(b) != "02071838750" and [len(x) for x in near.split(" ")] == [3, 4, 4]
+    first, second = c.split(";")[0].split(" is +1 ")
+    assert digits(first) == digits(second) != "7065553138"
+    assert "01 23 45 67 89" not in c and c.split("; ")[1].startswith("0")
+    assert digits(d) != digits(b) and d.startswith("0") and d != "020 7183 8751"
+
+
+def test_long_addresses(spark):
+    a, b, c, d, e = (t for t, _ in replaced(spark, "2001:db8::1 and 2001:0db8:0:0:0:0:0:1", "2001:DB8:AA:0:BB::77", "10:20:30 std::12 12:34", "fe80::1", "2001:db8:1:2:3:4:5:6 2001:db8::"))
+    short, full = a.split(" and ")
+    groups = full.split(":")
+    assert short == f"2001:{groups[1].lstrip('0')}::{groups[7]}" != "2001:db8::1" and groups[2:7] == ["0"] * 5 and len(groups[1]) == 4
+    assert b != "2001:DB8:AA:0:BB::77" and b == b.upper() and [len(x) for x in b.split(":")] == [4, 3, 2, 1, 2, 0, 2] and b.split(":")[3] == "0"
+    assert c == "10:20:30 std::12 12:34" and d.startswith("fe80::") and d != "fe80::1"
+    x, y = e.split(" ")
+    assert y.startswith("2001:") and y.endswith("::") and y != "2001:db8::" and x.count(":") == 7
+    crowd = [f"fe80::{i:x}" for i in range(1, 16)]
+    assert len({t for t, _ in replaced(spark, *crowd)}) == 15
+
+
+def test_names_that_stay_taken(spark):
+    """Without any round left to move on, colliding names become long ones that are still distinct."""
+    names = spark.createDataFrame([("surname", n) for n in ("smith", "jones", "иванова")], "kind string, norm string")
+    made = surrogates.with_surrogate(names, F.lit(0), "k")
+    taken = names.unionByName(made.selectExpr("kind", "new as norm"))
+    out = surrogates.attempts(taken, "k", most=0)
+    assert {r.norm for r in out.collect()} >= {"smith", "jones", "иванова"} and {r.attempt for r in out.collect()} == {surrogates.LONGEST}
+    long_ones = [r.new for r in surrogates.with_surrogate(out, F.col("attempt"), "k").collect()]
+    assert len(set(long_ones)) == len(long_ones) and all(len(n) > 60 for n in long_ones)
