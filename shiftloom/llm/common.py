@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,28 +37,37 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/shiftloom-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _made.append(path)
+    _own().append(path)
     back = spark.read.schema(schema).parquet(path)
     back.stored_at = path
     return back
 
 
-#: Folders that :func:`stored` has written and nothing has deleted.
-_made: list[str] = []
+_made = threading.local()
+
+
+def _own() -> list[str]:
+    """Folders that :func:`stored` has written in this thread and nothing has deleted. Each thread has its own
+    list, so that a run never deletes the tables of another one in the same session."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
 
 
 def mark() -> int:
-    """Where the list of stored tables stands now, for :func:`release`."""
-    return len(_made)
+    """Where this thread's list of stored tables stands now, for :func:`release`."""
+    return len(_own())
 
 
 def release(spark: SparkSession, *tables: DataFrame, since: int | None = None, but: DataFrame | None = None) -> None:
-    """Deletes stored tables that nothing reads any more: ``tables``, and all stored after ``since``."""
-    gone = {t.stored_at for t in tables} | set(_made[since:] if since is not None else ())
+    """Deletes stored tables that nothing reads any more: ``tables``, and all that this thread stored after ``since``."""
+    own = _own()
+    gone = {t.stored_at for t in tables} | set(own[since:] if since is not None else ())
     for path in gone - {but.stored_at if but is not None else None}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+        if path in own:
+            own.remove(path)
 
 
 def word_count(text: Column) -> Column:
