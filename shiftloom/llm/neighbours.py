@@ -15,21 +15,46 @@ from .common import stored
 from .decontamination import bounded
 from .mixing import uniform
 
-#: Bounds of the fit: vectors of the sample, lists, parts of a code.
+#: Bounds of the fit: vectors of the sample, centroids of each of the two levels, parts of a code.
 SAMPLE, LISTS, PARTS = 20_000, 4096, 32
-#: Codes of one block of the index, queries that meet it in one task, vectors held against all lists at once.
-BLOCK, QUERIES, SLICE = 8192, 1024, 1024
+#: Codes of one block of the index, queries that meet it in one task, vectors held against all lists at once,
+#: distances of queries to lists held at once.
+BLOCK, QUERIES, SLICE, HELD = 8192, 1024, 1024, 4_000_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """What the fit learns; its size depends on the bounds above, not on the table."""
+    """What the fit learns; its size depends on the bounds above, not on the table.
 
-    coarse: np.ndarray  # (lists, dim)
+    A list is a pair of a coarse centroid and a fine one, which stands for what the coarse one leaves; the
+    fine ones are shared by all coarse ones. So some thousand centroids name as many lists as the root
+    of the table's rows, however many these are.
+    """
+
+    coarse: np.ndarray  # (coarse centroids, dim)
+    fine: np.ndarray  # (fine centroids, dim); a single one, zero, while the coarse ones suffice
     books: tuple[np.ndarray, ...]  # per part of the dimensions: (up to 256, dims of the part)
     parts: tuple[np.ndarray, ...]  # dimensions of each part
     probes: int
 
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centre(self, number: np.ndarray | int) -> np.ndarray:
+        return self.coarse[number // len(self.fine)] + self.fine[number % len(self.fine)]
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector: its nearest coarse centroid, then the nearest fine one."""
+        first = squared(x, self.coarse).argmin(1)
+        return first * len(self.fine) + squared(x - self.coarse[first], self.fine).argmin(1)
+
+    def apart(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of vectors to the centres of all lists, as a line of lists for each."""
+        both = 2 * self.coarse @ self.fine.T + (self.fine * self.fine).sum(1)
+        far = squared(x, self.coarse)[:, :, None] + both[None] - 2 * (x @ self.fine.T)[:, None, :]
+        return far.reshape(len(x), -1)
+
 
 def usable(vector: Column, dim: int | None = None) -> Column:
     """Neither null nor zero, without null or non-finite components, of the table's dimension."""
@@ -61,35 +86,47 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 
 
 def fit(sample: np.ndarray, n: int, k: int, seed: int = 20240506, aim: float = 0.99) -> Index:
-    """``sample``: distinct vectors. ``probes``: so many lists that, within the sample, the share
-    ``aim`` of true neighbours of sampled queries is in the lists probed."""
+    """``sample``: distinct vectors; ``n``: rows of the table, which gets lists by its root. ``probes``: so
+    many lists that, within the sample, the share ``aim`` of true neighbours of sampled queries is in
+    the lists probed."""
     rng = np.random.default_rng(seed)
-    dim = sample.shape[1]
-    coarse = kmeans(sample, int(min(LISTS, max(1, round(n**0.5)), max(1, len(sample) // 8))), rng)
-    own = squared(sample, coarse).argmin(1)
-    rest = sample - coarse[own]
+    dim, root = sample.shape[1], max(1, round(n**0.5))
+    coarse = kmeans(sample, int(min(LISTS, root, max(1, len(sample) // 8))), rng)
+    rest = sample - coarse[squared(sample, coarse).argmin(1)]
+    wanted = int(min(LISTS, round(root / len(coarse)), max(1, len(sample) // 8)))
+    fine = kmeans(rest, wanted, rng) if wanted > 1 else np.zeros((1, dim))
     parts = tuple(np.array_split(np.arange(dim), min(PARTS, dim)))
+    index = Index(coarse, fine, (), parts, 1)
+    own = index.own(sample)
+    rest = sample - index.centre(own)
     books = tuple(kmeans(rest[:, p], 256, rng, 8) for p in parts)
     asked = rng.choice(len(sample), min(256, len(sample)), replace=False)
-    apart = squared(sample[asked], sample)
-    apart[np.arange(len(asked)), asked] = np.inf
-    near = np.argsort(apart, 1)[:, : min(k, len(sample) - 1)]
-    rank = np.argsort(np.argsort(squared(sample[asked], coarse), 1), 1)
-    need = np.take_along_axis(rank, own[near], 1).ravel() + 1 if near.size else np.array([1])
-    return Index(coarse, books, parts, int(np.quantile(need, aim, method="higher")))
+    need = [1]
+    for q in asked:
+        far = squared(sample[[q]], sample)[0]
+        far[q] = np.inf
+        near = np.argsort(far)[: min(k, len(sample) - 1)]
+        to = index.apart(sample[[q]])[0]
+        need += (1 + np.searchsorted(np.sort(to), to[own[near]])).tolist()
+    return Index(coarse, fine, books, parts, int(np.quantile(need, aim, method="higher")))
+
+
+def room(index: Index) -> int:
+    """Vectors whose distances to all lists are held at once."""
+    return max(1, min(SLICE, HELD // index.lists))
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of SLICE rows: distances to all lists are a table of SLICE times lists."""
-    return (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE))
+def sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows."""
+    return (b.slice(at, most) for b in batches for at in range(0, len(b), most))
 
 
 def encode(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     """Each vector with its list, its code and how far it lies from what its code stands for."""
-    for b in sliced(batches):
+    for b in sliced(batches, SLICE):
         x = matrix(b.column(2))
-        own = squared(x, index.coarse).argmin(1)
-        rest = x - index.coarse[own]
+        own = index.own(x)
+        rest = x - index.centre(own)
         code = np.stack([squared(rest[:, p], book).argmin(1).astype(np.uint8) for p, book in zip(index.parts, index.books)], 1)
         lost = sum(((rest[:, p] - book[code[:, j]]) ** 2).sum(1) for j, (p, book) in enumerate(zip(index.parts, index.books)))
         yield pa.RecordBatch.from_arrays(
@@ -122,8 +159,8 @@ def send_queries(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndar
 
     A query probes the nearest ``probes`` lists, and more until they hold 4 * k candidates besides it.
     """
-    for b in sliced(batches):
-        order = np.argsort(squared(matrix(b.column(1)), index.coarse), 1, kind="stable")
+    for b in sliced(batches, room(index)):
+        order = np.argsort(index.apart(matrix(b.column(1))), 1, kind="stable")
         rows, blocks, lists = [], [], []
         for i, line in enumerate(order):
             held = np.searchsorted(np.cumsum(sizes[line]), 4 * k + 1) + 1
@@ -163,7 +200,7 @@ def search_block(queries: pa.Table, codes: pa.Table, index: Index, k: int) -> pa
     far = np.full((len(asked), len(ids)), np.inf)
     for c, who in probing.items():
         at = np.flatnonzero(own == c)
-        rest = x[who] - index.coarse[c]
+        rest = x[who] - index.centre(c)
         sums = np.zeros((len(who), len(at)))
         for j, (p, book) in enumerate(zip(index.parts, index.books)):
             sums += squared(rest[:, p], book)[:, code[at, j]]
@@ -201,21 +238,25 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, seed: int = 202405
     dim = dims[0]["d"]
     rows = stored(rows.where(F.size("vector") == dim).withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
-    # Drawn by the hash of the vector: copies are drawn together and count once.
-    drawn = rows.where(uniform(F.xxhash64(F.lit(seed), "vector")) < F.lit(1.05 * SAMPLE / n)).select("vector").limit(4 * SAMPLE)
-    sample = np.unique(np.array([r[0] for r in drawn.distinct().limit(SAMPLE).toLocalIterator()] or [r[0] for r in rows.limit(1000).select("vector").collect()], np.float64), axis=0)
+    # Drawn by the hash of the vector, the lowest first: copies are drawn together and count once.
+    hashed = rows.select("vector", F.xxhash64(F.lit(seed), "vector").alias("h"))
+    kinds = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    drawn = hashed.where(uniform(F.col("h")) < F.lit(1.3 * SAMPLE / kinds)).groupBy("h").agg(F.first("vector").alias("vector"))
+    sample = np.unique(matrix(drawn.orderBy("h").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()), axis=0)
     index = fit(sample, n, k, seed)
     codes = stored(rows.select("row", "vec_id", "vector").mapInArrow(lambda bs: encode(bs, index), f"row long, vec_id long, list int, code binary, lost double, vector {rows.schema['vector'].dataType.simpleString()}"))
-    sizes = np.zeros(len(index.coarse), np.int64)
-    for r in codes.groupBy("list").count().collect():  # a row per list
+    sizes = np.zeros(index.lists, np.int64)
+    for r in codes.groupBy("list").count().collect():  # a row per list: the root of the rows
         sizes[r["list"]] = r["count"]
     first, count = plan_blocks(sizes)
-    block = F.element_at(F.lit(first.tolist()), F.col("list") + 1) + F.pmod(F.xxhash64("row"), F.element_at(F.lit(count.tolist()), F.col("list") + 1)).cast("int")
+    used = np.flatnonzero(sizes)
+    places = vectors.sparkSession.createDataFrame(pa.table([used.astype(np.int32), first[used].astype(np.int32), count[used].astype(np.int32)], names=["list", "first", "count"]))
+    block = F.col("first") + F.pmod(F.xxhash64("row"), F.col("count")).cast("int")
     asked = rows.where("asks").select("row", "vector")
     sent = stored(asked.mapInArrow(lambda bs: send_queries(bs, index, sizes, first, count, k), f"block int, asked long, vector {rows.schema['vector'].dataType.simpleString()}, lists array<int>"))
     groups = sent.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))  # a row per block
     meet = sent.join(F.broadcast(groups), "block").withColumn("part", F.pmod(F.xxhash64("asked"), F.col("groups")).cast("int"))
-    held = codes.withColumn("block", block.cast("int")).join(F.broadcast(groups), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    held = codes.join(F.broadcast(places), "list").withColumn("block", block).drop("first", "count").join(F.broadcast(groups), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     found = meet.drop("groups").groupBy("block", "part").cogroup(held.drop("groups").groupBy("block", "part")).applyInArrow(
         lambda q, c: search_block(q, c, index, k), "asked long, row long, vec_id long, far double"
     )

@@ -421,6 +421,61 @@ def test_neighbours_against_brute_force(spark):
     assert set(got[got.query_id == 700].vec_id) == set(range(701, 711))
 
 
+def test_lists_grow_with_the_root_of_the_rows(spark, monkeypatch):
+    """Beyond the coarse centroids' bound each list has a fine one too; the result is as near, probes are few."""
+    monkeypatch.setattr(neighbours, "LISTS", 12)
+    monkeypatch.setattr(neighbours, "BLOCK", 256)
+    monkeypatch.setattr(neighbours, "HELD", 1000)
+    made, keep = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda *a: made.append(keep(*a)) or made[-1])
+    rng = np.random.default_rng(11)
+    middle = rng.standard_normal((40, 16)) * 3
+    x = (middle[rng.integers(0, 40, 6000)] + 0.5 * rng.standard_normal((6000, 16))).astype(np.float32)
+    x[2000:4000] = x[2000]  # a third: copies
+    got = neighbours.neighbours_query(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).toPandas()
+    (index,) = made
+    assert len(index.coarse) == 12 and len(index.fine) == 6 and index.lists == 72 and index.probes < 36
+    own = index.own(x.astype(float))
+    assert np.allclose(index.apart(x[:50].astype(float)), [[((v - index.centre(c)) ** 2).sum() for c in range(72)] for v in x[:50].astype(float)])
+    assert len(np.unique(own)) > 2 * 12
+    hits = 0
+    for q in range(0, 6000, 100):
+        far = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        far[q] = np.inf
+        found = got[got.query_id == q].sort_values("rank")
+        assert found["rank"].tolist() == list(range(1, 11)) and np.allclose(found.score, far[found.vec_id])
+        hits += len(set(np.lexsort((np.arange(6000), far))[:10]) & set(found.vec_id))
+    assert hits >= 0.95 * 600
+
+
+def test_sample_counts_copies_once(spark, monkeypatch):
+    """A vector with nine tenths of the rows is one of the sample, whatever partition it comes from."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 200)
+    samples, keep = [], neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda s, *a: samples.append(s) or keep(s, *a))
+    x = np.random.default_rng(12).standard_normal((6000, 4)).astype(np.float32)
+    x[:5400] = x[0]
+    got = neighbours.neighbours_query(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+    assert got.count() == 600 and 150 <= len(samples[0]) <= 200 and len(np.unique(samples[0], axis=0)) == len(samples[0])
+
+
+def test_release_leaves_tables_of_other_threads(spark):
+    from threading import Thread
+
+    from shiftloom.llm import common
+
+    other, before = [], common.mark()
+    mine = common.stored(spark.range(5))
+    thread = Thread(target=lambda: other.append(common.stored(spark.range(7))))
+    thread.start()
+    thread.join()
+    last = common.stored(spark.range(3))
+    common.release(spark, since=before, but=last)
+    assert other[0].count() == 7 and last.count() == 3
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|PATH_NOT_FOUND"):
+        mine.count()
+
+
 def test_rows_that_repeat_an_id_are_all_candidates(spark):
     got = neighbours.neighbours_query(vectors(spark, [(0, [1.0, 0.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (7, [5.0, 5.0])])).collect()
     near = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in got)
