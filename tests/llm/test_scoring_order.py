@@ -31,3 +31,10 @@ def test_texts_that_tune_are_learned_last(spark, monkeypatch):
     first = {t for t, draw in seen if draw < 1 - 1 / scoring.ROUNDS}
     assert 10 < len(tuned) < 60 and len(seen) == 300 and len(first) > 100
     assert set(tuned) <= {t for t, _ in seen} and not set(tuned) & first
+
+
+def test_texts_not_learned_score_above_their_base(spark):
+    """With enough text to learn from; at a tenth of it the two are level (README)."""
+    scored = scoring.scoring_query(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
+    tokens, score, base = scored.agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
+    assert tokens > 500_000 and score / tokens > base / tokens + 0.1
