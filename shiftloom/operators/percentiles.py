@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import no_nan
 from ..sources.tables import kept
 
 #: Values of a group that one task may hold: larger groups are narrowed down first.
 SMALL = 1_000_000
-#: Size of a quantile sketch (its ranks are then off by about a thousandth), quantiles asked of it, and by how many
-#: of those the pivots stand apart from their target.
-SKETCH, GRID, REACH = 4096, 1000, 2
-#: Rounds of narrowing at most. One leaves a hundredth of the values, or all but those of one pivot in the worst case.
+#: Size of a quantile sketch, equal steps of rank at which its quantiles are asked, and by how many of them the outer
+#: pivots stand apart from their target (its ranks are off by 0.13 % at most, 99 % sure).
+SKETCH, GRID, REACH = 4096, 4096, 7
+#: Rounds of narrowing at most. One leaves a few thousandths of the values, or nothing where the sketch holds all of them.
 ROUNDS = 200
 
 
@@ -21,11 +22,8 @@ def group_percentiles(rows: DataFrame, keys: list[str], value: str, at: list[flo
     """``keys`` and the array ``out``: the exact percentiles ``at`` (0 to 1) of ``value``, linear between neighbours.
 
     Null values and NaN are skipped; a group without values has a null array. Groups of up to ``small``
-    values are aggregated as they are. The rest is selected: a mergeable sketch proposes two pivots
-    around each rank that is looked for, counts of the values below, at and between the pivots tell where
-    the rank is, and only the values between them go on to the next round, until ``small`` are left. So no
-    task ever holds more than ``small`` values of a group, however many differ; a pivot that is the answer
-    ends its rank at once, so repeated values don't hold a round up. Sketches only propose; counts decide.
+    values (and those with a null key) are aggregated as they are. The rest is selected by :func:`select_ranks`, so no
+    task ever holds more than ``small`` values of a group, however many differ.
     """
     bound = SMALL if small is None else small
     names = {f"k{i}_": F.col(f"`{k}`") for i, k in enumerate(keys)}
@@ -35,87 +33,80 @@ def group_percentiles(rows: DataFrame, keys: list[str], value: str, at: list[flo
     counts = have.groupBy(*names).agg(F.count("v_").alias("n_"))
     if (counts.agg(F.max("n_")).first()[0] or 0) <= bound:
         return back(have.groupBy(*names).agg(plain))
-    large = kept(counts.where(F.col("n_") > bound))
+    large = kept(counts.where(F.col("n_") > bound).dropna(subset=list(names)))
     few = have.join(large.select(*names), list(names), "left_anti").groupBy(*names).agg(plain)
-    found = select_ranks(have.join(large.select(*names), list(names), "left_semi"), list(names), large, at, bound)
-    return back(few.unionByName(found.withColumnRenamed("p_", out)))
-
-
-def select_ranks(rows: DataFrame, keys: list[str], counts: DataFrame, at: list[float], bound: int) -> DataFrame:
-    """Keys and ``p_`` of groups with ``n_`` values each; ``rows`` has the keys and ``v_``."""
-    targets = range(2 * len(at))
-    ranks = {}
-    for i, q in enumerate(at):
-        place = F.lit(float(q)) * (F.col("n_") - 1)
-        ranks |= {f"r{2 * i}": F.floor(place), f"r{2 * i + 1}": F.ceil(place)}
-    nothing = F.lit(None).cast("double")
-    # For each rank: the open interval that holds it, how many values aren't above the interval's lower end,
-    # how many are inside, and the value once it is known.
-    state = counts.withColumns(ranks).withColumns({f"{x}{i}": nothing for i in targets for x in ("lo", "hi", "val")})
-    state = kept(state.withColumns({f"below{i}": F.lit(0).cast("long") for i in targets} | {f"in{i}": F.col("n_") for i in targets}))
-    rows = rows.where(F.col("v_").isNotNull())
-    for _ in range(ROUNDS):
-        left = state.agg(F.max(F.greatest(*[F.when(F.col(f"val{i}").isNull(), F.col(f"in{i}")).otherwise(0) for i in targets]))).first()[0]
-        if left <= bound:
-            break
-        state, rows = narrow(rows, keys, state, targets)
-    open_ = [F.when(within(i), F.struct(F.lit(i).alias("i"), F.col("v_").alias("v"))) for i in targets]
-    last = rows.join(state, keys).select(*keys, F.explode(F.array_compact(F.array(*open_))).alias("x"))
-    held = last.groupBy(*keys, "x.i").agg(F.sort_array(F.collect_list("x.v")).alias("vs"))  # up to ``bound`` values
-    picked = held.join(state, keys)
-    rank_in = F.element_at(F.array(*[F.col(f"r{i}") - F.col(f"below{i}") for i in targets]), F.col("i") + 1)
-    picked = picked.select(*keys, "i", F.get("vs", rank_in.cast("int")).alias("v")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    whole = state.join(picked, keys, "left")
-    value = lambda i: F.coalesce(F.col(f"val{i}"), F.try_element_at("m", F.lit(i)))
-    between = [value(2 * i) + (value(2 * i + 1) - value(2 * i)) * (F.lit(float(q)) * (F.col("n_") - 1) - F.col(f"r{2 * i}")) for i, q in enumerate(at)]
+    place = [F.lit(float(q)) * (F.col("n_") - 1) for q in at]
+    wanted = large.withColumn("ranks_", F.array(*[r for x in place for r in (F.floor(x), F.ceil(x))]))
+    found = select_ranks(have.where(F.col("v_").isNotNull()), list(names), wanted, bound).join(large, list(names))
+    value = lambda i: F.get("at_", F.lit(i))
+    between = [value(2 * i) + (value(2 * i + 1) - value(2 * i)) * (x - F.floor(x)) for i, x in enumerate(place)]
     # Equal neighbours, infinite ones too, need no arithmetic.
     exact = [F.when(value(2 * i) == value(2 * i + 1), value(2 * i)).otherwise(b) for i, b in enumerate(between)]
-    return whole.select(*keys, F.array(*exact).alias("p_"))
-
-
-def within(i: int) -> Column:
-    """Whether a value is in the open interval of target ``i``, if that is still looked for."""
-    v, lo, hi = F.col("v_"), F.col(f"lo{i}"), F.col(f"hi{i}")
-    return F.col(f"val{i}").isNull() & (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
+    return back(few.unionByName(found.select(*names, F.array(*exact).alias(out))))
 
 
-def narrow(rows: DataFrame, keys: list[str], state: DataFrame, targets: range) -> tuple[DataFrame, DataFrame]:
-    """One round: (the state with narrower intervals, the values that are inside of one)."""
-    inside = rows.join(state, keys)
-    sketches = inside.groupBy(*keys).agg(*[F.kll_sketch_agg_double(F.when(within(i), F.col("v_")), SKETCH).alias(f"s{i}") for i in targets])
-    grid = F.array(*[F.lit(j / GRID) for j in range(GRID + 1)])
-
-    def pivot(i: int, by: int) -> Column:
-        at = F.floor((F.col(f"r{i}") - F.col(f"below{i}") + 0.5) / F.nullif(F.col(f"in{i}"), F.lit(0)) * GRID) + by
-        return F.get(f"g{i}", F.greatest(F.lit(0), F.least(F.lit(GRID), at)).cast("int"))
-
-    # A rank that is known has no values left, and no quantiles can be asked of an empty sketch.
-    asked = lambda i: F.when(F.col(f"val{i}").isNull(), F.kll_sketch_get_quantile_double(f"s{i}", grid))
-    proposed = state.join(sketches, keys, "left").withColumns({f"g{i}": asked(i) for i in targets})
-    proposed = kept(proposed.withColumns({f"a{i}": pivot(i, -REACH) for i in targets} | {f"b{i}": pivot(i, REACH + 1) for i in targets}).drop(*[f"{x}{i}" for i in targets for x in ("s", "g")]))
-    v = F.col("v_")
-    parts = lambda i: {"lt": v < F.col(f"a{i}"), "eqa": v == F.col(f"a{i}"), "mid": (v > F.col(f"a{i}")) & (v < F.col(f"b{i}")), "eqb": v == F.col(f"b{i}"), "gt": v > F.col(f"b{i}")}
-    counted = rows.join(proposed, keys).groupBy(*keys).agg(*[F.count_if(within(i) & test).alias(f"{name}{i}") for i in targets for name, test in parts(i).items()])
-    known = proposed.join(counted, keys, "left")
-    new = {}
-    for i in targets:
-        c = lambda name, i=i: F.col(f"{name}{i}")
-        one = c("a") == c("b")
-        rank = c("r") - c("below")  # within the interval, from 0
-        at_a = c("lt") + c("eqa")
-        to_b = at_a + c("mid")
-        at_b = F.when(one, at_a).otherwise(to_b + c("eqb"))
-        where = F.when(c("val").isNotNull(), "done").when(rank < c("lt"), "lt").when(rank < at_a, "a").when(~one & (rank < to_b), "mid").when(~one & (rank < at_b), "b").otherwise("gt")
-        new |= {
-            f"val{i}": F.when(where == "a", c("a")).when(where == "b", c("b")).otherwise(c("val")),
-            f"lo{i}": F.when(where == "mid", c("a")).when(where == "gt", c("b")).otherwise(c("lo")),
-            f"hi{i}": F.when(where == "lt", c("a")).when(where == "mid", c("b")).otherwise(c("hi")),
-            f"below{i}": c("below") + F.when(where == "mid", at_a).when(where == "gt", at_b).otherwise(0),
-            f"in{i}": F.when(where == "lt", c("lt")).when(where == "mid", c("mid")).when(where == "gt", c("gt")).otherwise(0),
-        }
-    after = kept(known.select(*[c for c in state.columns if c not in new], *[e.alias(n) for n, e in new.items()]).select(*state.columns))
-    any_inside = F.lit(False)
-    for i in targets:
-        any_inside = any_inside | within(i)
-    return after, kept(rows.join(after, keys).where(any_inside).select(*keys, "v_"))
+def select_ranks(rows: DataFrame, keys: list[str], wanted: DataFrame, bound: int, sketches: DataFrame | None = None) -> DataFrame:
+    """Keys and the array ``at_``: the values of ``rows`` (keys, ``v_`` without nulls) at the places ``ranks_``, from 0, of each
+    group's ``n_`` values in order. ``wanted`` has the keys, n_ and ranks_.
 
+    A mergeable sketch of each group proposes pivots around the ranks. One pass counts the values at and
+    between the pivots, which tells what is at a pivot or else in which cell between two of them a rank is. Only the
+    values of those cells go on to the next round, until a cell has ``bound`` values or fewer. A pivot that is the
+    answer ends its rank at once, so repeated values don't hold a round up. Sketches only propose; counts
+    decide. ``sketches`` (keys, ``s_``) are those of the first round where they are stored already.
+    """
+    by = [*keys, "c_"]
+    want = F.transform("ranks_", lambda r, i: F.struct(i.alias("i"), r.cast("long").alias("r")))
+    cells = wanted.select(*keys, F.lit(0).alias("c_"), "n_", F.lit(0).cast("long").alias("below_"), want.alias("want_"))
+    rows, known, given = rows.withColumn("c_", F.lit(0)), [], sketches
+    for _ in range(ROUNDS):
+        most = cells.agg(F.max("n_")).first()[0]
+        if most is None or (most <= bound and given is None):
+            break
+        if known:
+            rows = kept(rows)
+        cells, rows, settled = narrow(rows, keys, cells, given)
+        known.append(settled)
+        given = None
+    if most is not None:
+        held = rows.groupBy(*by).agg(F.sort_array(F.collect_list("v_")).alias("vs_"))  # up to ``bound`` values
+        last = held.join(cells, by).select(*keys, "vs_", "below_", F.explode("want_").alias("w_"))
+        known.append(last.select(*keys, F.col("w_.i").alias("i"), F.get("vs_", (F.col("w_.r") - F.col("below_")).cast("int")).alias("x")))
+    every = known[0]
+    for more in known[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("at_"))
+
+
+def narrow(rows: DataFrame, keys: list[str], cells: DataFrame, sketches: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: (the cells that hold a rank still, the values inside of them, the ranks settled as keys, i and x).
+
+    A cell is what is between two pivots: n_ values, below_ how many of the group are less, and the ranks in it.
+    """
+    by = [*keys, "c_"]
+    if sketches is None:
+        sketches = rows.groupBy(*by).agg(F.kll_sketch_agg_double("v_", SKETCH).alias("s_"))
+    else:
+        sketches = sketches.withColumn("c_", F.lit(0))
+    grid = F.expr(f"array({', '.join(f'{j / GRID}D' for j in range(GRID + 1))})")
+    asked = sketches.select(*by, F.kll_sketch_get_quantile_double("s_", grid).alias("g_"))
+
+    def pivots(w: Column) -> Column:
+        at = F.floor((w["r"] - F.col("below_") + 0.5) / F.col("n_") * GRID)
+        return F.array(*[F.get("g_", F.greatest(F.lit(0), F.least(F.lit(GRID), at + d)).cast("int")) for d in (-REACH, 0, 1, 1 + REACH)])
+
+    proposed = kept(cells.join(asked, by).select(*cells.columns, F.array_sort(F.array_distinct(F.flatten(F.transform("want_", pivots)))).alias("pivots_")))
+    # Even: between two pivots; odd: at one.
+    place = (2 * F.size(F.filter("pivots_", lambda p: p < F.col("v_"))) + F.array_contains("pivots_", F.col("v_")).cast("int")).alias("e_")
+    counted = rows.join(proposed.select(*by, "pivots_"), by).select(*by, place).groupBy(*by, "e_").agg(F.count("*").alias("m_"))
+    before = F.coalesce(F.sum("m_").over(Window.partitionBy(*by).orderBy("e_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counted.withColumn("before_", before).join(proposed, by).withColumn("start_", F.col("below_") + F.col("before_"))
+    parts = parts.withColumn("mine_", F.filter("want_", lambda w: (w["r"] >= F.col("start_")) & (w["r"] < F.col("start_") + F.col("m_")))).where(F.size("mine_") > 0)
+    new = F.row_number().over(Window.partitionBy(*keys).orderBy("c_", "e_"))
+    parts = kept(parts.select(*by, "e_", "m_", "start_", "mine_", F.get("pivots_", F.floor((F.col("e_") - 1) / 2).cast("int")).alias("x_"), new.alias("new_")))
+    settled = parts.where("e_ % 2 = 1").select(*keys, F.explode("mine_").alias("w_"), F.col("x_").alias("x")).select(*keys, F.col("w_.i").alias("i"), "x")
+    open_ = parts.where("e_ % 2 = 0")
+    after = open_.select(*keys, F.col("new_").alias("c_"), F.col("m_").alias("n_"), F.col("start_").alias("below_"), F.col("mine_").alias("want_"))
+    names = open_.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("e_", "new_"))).alias("names_"))
+    inside = rows.join(proposed.select(*by, "pivots_").join(names, by), by).select(*keys, F.try_element_at("names_", place).alias("c_"), "v_").where(F.col("c_").isNotNull())
+    return after, inside, settled

@@ -41,6 +41,21 @@ def test_selection_of_nothing(spark):
     assert percentiles.group_percentiles(df, ["k"], "v", [0.5], small=1).count() == 0
 
 
+def test_selection_sketches_a_cell_once(spark, monkeypatch):
+    """However many percentiles are asked, a round has one sketch of a cell and one count of its rows."""
+    made = []
+    for name in ("kll_sketch_agg_double", "count_if"):
+        plain = getattr(F, name)
+        monkeypatch.setattr(F, name, lambda *a, plain=plain, name=name: made.append(name) or plain(*a))
+    rounds, narrow = [], percentiles.narrow
+    monkeypatch.setattr(percentiles, "narrow", lambda *a: rounds.append(1) or narrow(*a))
+    df = spark.range(30_000).select((F.col("id") % 2).alias("k"), F.randn(3).alias("v"))
+    got = {r.k: r.p_ for r in percentiles.group_percentiles(df, ["k"], "v", AT, small=40).collect()}
+    want = {r.k: r.p_ for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, AT))).alias("p_")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    assert rounds and len(made) == len(rounds)
+
+
 def burst(spark):
     """A tag with a busy day (most of it in one minute, with equal times), a quiet one, and gaps."""
     rng = np.random.default_rng(4)
