@@ -43,6 +43,25 @@ def test_few_values_are_exact(spark):
     assert (r["flat"].q1, r["flat"].low) == (2.0, None)
 
 
+def test_exact_limits_beyond_a_sketch(spark):
+    """Groups of more values than a sketch holds, one of repeated values, and one whose ranks are whole: limits as sorting gives them."""
+    start, rng = datetime(2024, 1, 1), np.random.default_rng(5)
+    values = {"normal": rng.normal(size=20_000), "ties": rng.integers(0, 3, 9_000).astype(float), "whole": np.arange(60, dtype=float)}
+    rows = [(tag, start + timedelta(hours=7 * (i % 200)), float(v)) for tag, vs in values.items() for i, v in enumerate(vs)]
+    rows += [("normal", None, 9.0), (None, start, 1.0), ("ties", start, float("nan")), ("void", start, None)]
+    long = spark.createDataFrame(rows, "tag string, ts timestamp_ntz, value double")
+    own = sketches.day_sketches(long, COLS)
+    for first, last in ((None, None), (date(2024, 1, 5), date(2024, 2, 10))):
+        got = {r.tag: r for r in sketches.exact_limits(own, long, COLS, first, last).collect()}
+        held = {tag: np.sort([v for t, ts, v in rows if t == tag and ts and v == v and (first is None or first <= ts.date() <= last)]) for tag in values}
+        assert set(got) == set(values)
+        for tag, vs in held.items():
+            at = lambda per_cent: vs[max(0, -(-per_cent * len(vs) // 100) - 1)]
+            r = got[tag]
+            assert (r.lim_inf, r.lim_sup, r.q1, r.q3) == (at(5), at(95), at(25), at(75))
+            assert r.low == (at(25) - 1.5 * (at(75) - at(25)) if at(75) != at(25) else None)
+
+
 def model_that_logs(log: str, most: int | None = None):
     def factory():
         def run(prompts, **options):
