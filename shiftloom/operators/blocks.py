@@ -26,12 +26,12 @@ def add_slots(long: DataFrame, cols: Columns = Columns(), busy: int | None = Non
     dated = long.withColumn("day_", day)
     if not days.limit(1).count():
         return dated.withColumn("slot_", F.lit(0))
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(cols.ts).cast("timestamp_ntz"))
+    # Cuts are times themselves: a time turned into a number would be so again for every cut.
     shares = [i / SLOTS for i in range(1, SLOTS)]
     same = tag.eqNullSafe(F.col("busy_tag")) & (day == F.col("busy_day"))
-    cuts = kept(long.join(days, same).groupBy("busy_tag", "busy_day").agg(F.percentile_approx(micros, shares, 1000).alias("cuts")))
+    cuts = kept(long.join(days, same).groupBy("busy_tag", "busy_day").agg(F.percentile_approx(cols.ts, shares, 1000).alias("cuts")))
     placed = dated.join(cuts, tag.eqNullSafe(F.col("busy_tag")) & (F.col("day_") == F.col("busy_day")), "left")
-    slot = F.coalesce(F.size(F.filter("cuts", lambda c: c < micros)), F.lit(0))
+    slot = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(cols.ts))), F.lit(0))
     return placed.withColumn("slot_", F.when(F.col("cuts").isNotNull(), slot).otherwise(0)).drop("busy_tag", "busy_day", "cuts")
 
 

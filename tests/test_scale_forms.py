@@ -70,6 +70,15 @@ def burst(spark):
     return spark.createDataFrame(rows, "tag string, ts timestamp_ntz, value double, id long")
 
 
+def test_slots_compare_times_as_they_are(spark):
+    """Slots cost a comparison for each cut: no time is converted for each of them; equal times share a slot, in order of time."""
+    slotted = blocks.add_slots(burst(spark), COLS, busy=100)
+    assert "timestampdiff" not in slotted._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = sorted((r.ts, r.slot_) for r in slotted.where("tag = 'hot' AND day_ = DATE'2024-10-01'").select("ts", "slot_").collect())
+    assert [s for _, s in rows] == sorted(s for _, s in rows) and len({s for _, s in rows}) > 20
+    assert len(set(rows)) == len({t for t, _ in rows})
+
+
 def near(a, b):
     assert len(a) == len(b)
     for x, y in zip(a, b):
