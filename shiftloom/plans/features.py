@@ -41,7 +41,12 @@ def shift_features(
 
 
 def shift_features_composed(clean: DataFrame, cols: Columns = Columns(), interval_min: float | None = None) -> DataFrame:
-    """The same features by the separate operators and their joins on the key."""
+    """The same features by the separate operators and their joins on the key.
+
+    Each operator reads ``clean`` several times, so what they need of it is stored once: gaps aren't filled again for each.
+    """
+    needed = [c for c in (cols.tag, cols.ts, cols.value, cols.tiebreak, DATE_COL, SHIFT_COL) if c and c in clean.columns]
+    clean = kept(clean.select(*[f"`{c}`" for c in needed]))
     stats = shifts.shift_gaps(clean, cols)
     with_ranges = ranges.attach(stats, ranges.range_shares(clean, ranges.tag_limits(clean, cols), cols, interval_min), cols, "_rango")
     with_dynamics = ranges.attach(with_ranges, dynamics.shift_dynamics(clean, cols), cols, "_din")

@@ -79,6 +79,12 @@ def test_slots_compare_times_as_they_are(spark):
     assert len(set(rows)) == len({t for t, _ in rows})
 
 
+def test_composed_form_fills_gaps_once(spark):
+    """The separate operators read stored samples: the plan has neither the windows of the gaps nor the given rows."""
+    plan = features.shift_features_composed(quality.interpolate_gaps(burst(spark), COLS).withColumn("value", F.col("value_interp")), COLS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "here_" not in plan and "LogicalRDD" not in plan and "parquet" in plan
+
+
 def near(a, b):
     assert len(a) == len(b)
     for x, y in zip(a, b):
