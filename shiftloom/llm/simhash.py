@@ -30,6 +30,8 @@ CROWD = 512
 NEAREST = 4
 #: Bytes that tell sets of shingles with equal bits apart.
 SUM = 8
+#: Pairs of a bucket and bytes of text that a task works on at once.
+PAIRS, BYTES = 1 << 17, 1_000_000
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -124,7 +126,7 @@ def with_fingerprints(docs: DataFrame, rule: Rule, name: str = "fingerprint", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, at, 2_000_000):
+            for b in slices(batch, at, BYTES):
                 if rule.similarity is None:
                     texts = b.column(at).cast(pa.binary() if not pa.types.is_large_string(b.column(at).type) else pa.large_binary())
                     prints = [fingerprint(x.as_py(), rule.words) for x in texts]
@@ -160,7 +162,7 @@ def lanes_of(prints: np.ndarray, rule: Rule) -> np.ndarray:
 def near_in_bucket(x: np.ndarray, lane: int, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, other row, bits apart) of all near fingerprints of a bucket of one lane, both ways, row by row."""
     most = rule.near // rule.lanes
-    step = max(1, (1 << 19) // len(x))
+    step = max(1, PAIRS // len(x))
     for s in range(0, len(x), step):
         rows, cols = np.nonzero(np.bitwise_count(x[s : s + step, None, lane] ^ x[None, :, lane]) <= most)
         rows += s
@@ -376,7 +378,7 @@ def with_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 1, 2_000_000):
+            for b in slices(batch, 1, BYTES):
                 grams, sizes = shingle_sets(b.column(1), words)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))
                 short = (grams >> np.uint64(32)).astype("<u4")  # still sorted

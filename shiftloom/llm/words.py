@@ -13,7 +13,8 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about ``most_bytes``; a longer text is a part of its own."""
+    """Parts of a batch whose texts have about ``most_bytes``; a longer text is a part of its own. After the last one, memory
+    that Arrow holds unused goes back, as workers live on and are shared by later stages."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, room = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -23,6 +24,7 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> I
         room += n
     if len(sizes) > at:
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

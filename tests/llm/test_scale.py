@@ -63,3 +63,11 @@ def test_a_crowd_of_thousands(spark, monkeypatch):
     assert every.where("verify").count() < (simhash.NEAREST + simhash.FEW) * 3050
     kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect())
     assert kept == [0, *range(5000, 5050)]
+
+
+def test_a_crowd_in_a_bucket_is_compared_in_bounded_parts():
+    """What a task holds of a bucket's pairs is bounded, however many of its members are near each other."""
+    x = np.zeros((2_000, simhash.STAGE.lanes), np.uint32)
+    x[:, 1] = np.arange(2_000) % 8
+    sizes = [len(rows) for rows, _, _ in simhash.near_in_bucket(x, 0, simhash.STAGE)]
+    assert sum(sizes) == 2_000 * 1_999 and max(sizes) <= 1 << 17
