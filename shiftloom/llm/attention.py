@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
 #: Input positions of a window and how many of them, the last ones, are scored.
 LENGTH, STRIDE = 20, 16
-DIM, GROUP = 16, 32
+DIM = 16
+#: Units of a group of the softmax, from the most frequent units on, and how many of such groups; the last size goes on.
+#: A target costs its group and one number for each group; in groups of one size that would be a third more.
+SIZES = ((8, 8), (16, 6), (32, 4), (64, 4), (128, 0))
+#: Windows that attend at once, and states scored at once: few enough to stay in a processor's cache.
+TOGETHER, ROWS = 128, 1024
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,10 +38,28 @@ def lagged() -> np.ndarray:
     return (np.arange(LENGTH - STRIDE, LENGTH)[:, None] - np.arange(LENGTH)[None, :]).astype(np.int64)
 
 
+@lru_cache(8)
+def bounds(units: int) -> np.ndarray:
+    """First unit of each group, and the number of units."""
+    first = [0]
+    for size, times in SIZES:
+        while first[-1] < units and (times or size == SIZES[-1][0]):
+            first.append(min(units, first[-1] + size))
+            times -= 1
+    return np.array(first)
+
+
+@lru_cache(8)
+def groups(units: int) -> np.ndarray:
+    """Group of each unit; short numbers are sorted by radix."""
+    first = bounds(units)
+    return np.repeat(np.arange(len(first) - 1, dtype=np.uint16), np.diff(first))
+
+
 @dataclass
 class Model:
     """One attention layer: h = relu(x + attention), then a softmax over groups of units and one
-    within the unit's group. ``units`` counts the predicted units; two more stand for the beginning
+    within the unit's group; units come in order of their frequency, the groups of the first are small. ``units`` counts the predicted units; two more stand for the beginning
     and for padding on the input side only."""
 
     units: int
@@ -42,15 +67,12 @@ class Model:
 
     @classmethod
     def fresh(cls, counts: np.ndarray, rng: np.random.Generator) -> Model:
-        units = len(counts)
-        groups = -(-units // GROUP)
+        units, first = len(counts), bounds(len(counts))
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        padded = np.concatenate((counts, np.zeros(groups * GROUP - units)))
-        log = np.log(padded + 0.5).reshape(groups, GROUP).astype(np.float32)
-        log[padded.reshape(groups, GROUP) == 0] -= 3
-        log.ravel()[units:] = -1e9
+        log = np.log(counts + 0.5).astype(np.float32)
+        log[counts == 0] -= 3
         p = {k: small(units + 2, 2 * DIM) for k in ("qx", "kv")}  # queries and states, keys and values
-        p |= {"lag": np.zeros(LENGTH, np.float32), "wg": small(DIM, groups), "bg": np.log(padded.reshape(groups, GROUP).sum(1) + 1).astype(np.float32), "wu": small(groups, DIM, GROUP), "bu": log}
+        p |= {"lag": np.zeros(LENGTH, np.float32), "wg": small(len(first) - 1, DIM), "bg": np.log(np.add.reduceat(counts, first[:-1]) + 1).astype(np.float32), "wu": small(units, DIM), "bu": log}
         return cls(units, p)
 
     @property
@@ -65,65 +87,59 @@ class Model:
         back = lagged()
         return np.where(back >= 0, self.p["lag"][np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
 
-    def attend(self, ids: np.ndarray, valid: np.ndarray, mask: np.ndarray):
+    def steep(self) -> bool:
+        """Whether exponents of the attention may be beyond 40."""
+        p = self.p
+        return longest(p["qx"][:, :DIM]) * longest(p["kv"][:, :DIM]) + p["lag"].max() > 40
+
+    def attend(self, ids: np.ndarray, valid: np.ndarray, mask: np.ndarray, clip: bool = True):
         """(queries, keys, values, attention weights, attended values, state) of the scored positions."""
-        qx, kv = self.p["qx"][ids[:, -STRIDE:]], self.p["kv"][ids]
+        p = self.p
+        qx, kv = p["qx"].take(ids[:, -STRIDE:], 0), p["kv"].take(ids, 0)
         q, x, k, v = qx[..., :DIM], qx[..., DIM:], kv[..., :DIM], kv[..., DIM:]
         s = q @ k.transpose(0, 2, 1)
         s += mask
-        if not valid.all():
-            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        np.minimum(s, 40, out=s)
+        part = np.flatnonzero(~(valid[:, 0] & valid[:, -1]))  # the first and last windows of a text, few; only their ends are empty
+        s[part] += np.where(valid[part], np.float32(0), np.float32(-1e9))[:, None, :]
+        if clip:
+            np.minimum(s, 40, out=s)
         np.exp(s, out=s)
         s *= 1 / (row_sums(s) + np.float32(1e-30))[..., None]
         o = s @ v
-        return q, k, v, s, o, np.maximum(o + x, 0)
-
-    def outputs(self, h: np.ndarray, target: np.ndarray, scaled: bool = True):
-        """For states and their targets sorted by group of units: (bounds of the groups, probabilities of
-        the groups, probabilities within the target's group, natural log of the target's probability).
-        The probabilities are left unscaled unless ``scaled``."""
-        p, rows, group, at = self.p, np.arange(len(h)), target // GROUP, target % GROUP
-        cuts = np.searchsorted(group, np.arange(len(p["bg"]) + 1))
-        g = h @ p["wg"]
-        g += p["bg"]
-        u = np.empty((len(h), GROUP), h.dtype)
-        for j, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if a < b:
-                np.matmul(h[a:b], p["wu"][j], out=u[a:b])
-                u[a:b] += p["bu"][j]
-        logs = g[rows, group] + u[rows, at]
-        for y in (g, u):
-            np.minimum(y, 60, out=y)
-            np.exp(y, out=y)
-            total = row_sums(y)
-            logs -= np.log(total)
-            if scaled:
-                y *= (1 / total)[:, None]
-        return cuts, g, u, logs
+        h = o + x
+        return q, k, v, s, o, np.maximum(h, 0, out=h)
+
+    def heads(self) -> list[np.ndarray]:
+        """For each group, the weights of the groups and of its units, the biases as last column."""
+        p, first = self.p, bounds(self.units)
+        top, unit = (np.concatenate((p[k], p[b][:, None]), 1) for k, b in (("wg", "bg"), ("wu", "bu")))
+        return [np.concatenate((top, unit[a:b])) for a, b in zip(first[:-1], first[1:])]
 
     def unit_logs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target given its state."""
-        order = by_number(target // GROUP, len(self.p["bg"]))
-        out = np.empty(len(h), h.dtype)
-        out[order] = self.outputs(h[order], target[order], scaled=False)[-1]
+        w, group = self.heads(), groups(self.units).take(target)
+        order = np.argsort(group, kind="stable")
+        logs, out = np.empty(len(h), h.dtype), np.empty(len(h), h.dtype)
+        for _ in softmaxes(w, with_one(h, order), target.take(order), group.take(order), logs):
+            pass
+        out[order] = logs
         return out
 
-    def log10_probability(self, units: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
+    def log10_probability(self, units: np.ndarray, lengths: np.ndarray, block: int = 1024) -> np.ndarray:
         """log10 probability of each unit of the sequences laid end to end in ``units``."""
         if not len(units):
             return np.zeros(0)
-        before = np.empty_like(units)
-        before[1:] = units[:-1]
-        before[np.concatenate(([0], np.cumsum(lengths)[:-1]))[lengths > 0]] = self.begin
+        before = preceding(self, units, lengths)
         place, valid = windows(lengths)
-        logs, mask = np.zeros(len(units), np.float32), self.mask()
+        logs, mask, clip = np.zeros(len(units), np.float32), self.mask(), self.steep()
         for a in range(0, len(place), block):
             at, ok = place[a : a + block], valid[a : a + block]
-            ids = np.where(ok, before[at], self.pad)
-            h = self.attend(ids, ok, mask)[-1]
-            scored, where = ok[:, -STRIDE:], at[:, -STRIDE:]
-            logs[where[scored]] = self.unit_logs(h[scored], units[where[scored]])
+            ids, h = np.where(ok, before.take(at), self.pad), np.empty((len(at), STRIDE, DIM), np.float32)
+            for i in range(0, len(at), TOGETHER):
+                h[i : i + TOGETHER] = self.attend(ids[i : i + TOGETHER], ok[i : i + TOGETHER], mask, clip)[-1]
+            scored = np.flatnonzero(ok[:, -STRIDE:])
+            where = at[:, -STRIDE:].ravel().take(scored)
+            logs[where] = self.unit_logs(h.reshape(-1, DIM).take(scored, 0), units.take(where))
         return logs / np.log(10)
 
 
@@ -132,49 +148,97 @@ def row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[-1], x.dtype)
 
 
-def by_number(x: np.ndarray, n: int) -> np.ndarray:
-    """Order of numbers below n; short ones are sorted by radix."""
-    return np.argsort(x.astype(np.uint16) if n < 1 << 16 else x, kind="stable")
+def longest(x: np.ndarray) -> float:
+    """Length of the longest row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+
+
+def with_one(h: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Those rows of the states, and a column of ones, which takes the biases."""
+    out = np.ones((len(which), DIM + 1), h.dtype)
+    out[:, :DIM] = h.take(which, 0)
+    return out
+
+
+def softmaxes(w: list[np.ndarray], h: np.ndarray, target: np.ndarray, group: np.ndarray, logs: np.ndarray, most: int = ROWS) -> Iterator[tuple]:
+    """For states (with ones) and their targets sorted by group of units, runs of one group and at most ``most`` rows, which stay in the
+    processor's cache: (group, first and last row, place of the targets in the flat next one, both softmaxes unscaled with a column
+    for each row, sums of both). ``logs`` gets the natural log of each target's probability; the softmaxes are the caller's until the next run."""
+    n, widest = len(w), max(map(len, w))
+    line = np.arange(min(most, len(h)))
+    cuts, first = np.searchsorted(group, np.arange(n + 1)).tolist(), np.cumsum([0] + [len(x) - n for x in w])
+    within = target - first.take(group) + n
+    room, sums = np.empty(len(line) * widest, h.dtype), np.empty((2, len(h)), h.dtype)
+    for j in range(n):
+        for a in range(cuts[j], cuts[j + 1], most):
+            b = min(a + most, cuts[j + 1])
+            flat, total = room[: len(w[j]) * (b - a)], sums[:, a:b]
+            y, at = flat.reshape(-1, b - a), within[a:b] * (b - a) + line[: b - a]
+            np.matmul(w[j], h[a:b].T, out=y)
+            np.add(y[j], flat.take(at), out=logs[a:b])
+            if flat.max() > 80:
+                np.minimum(y, 80, out=y)
+            np.exp(y, out=y)
+            np.add.reduce(y[:n], 0, out=total[0])
+            np.add.reduce(y[n:], 0, out=total[1])
+            yield j, a, b, at, y, total
+    logs -= np.log(sums).sum(0)
 
 
-def summed(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of ``values`` of each number below n. ``cells``: the place of each value in the sums
-    laid flat. Counting with weights is quicker here than sorting rows and adding up runs."""
-    return np.bincount(cells.ravel(), values.ravel(), n * DIM).reshape(n, DIM).astype(values.dtype)
+def add_rows(sums: np.ndarray, cells: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of ``values`` to the row of ``sums`` that ``ids`` names. Two neighbours of a row are added at once, as a complex
+    number: that is quicker here than sorting rows and adding up runs. ``cells``: the places of each row in the sums laid flat."""
+    kind = np.result_type(sums, np.complex64)
+    np.add.at(sums.view(kind).ravel(), cells.take(ids.ravel(), 0).ravel(), values.view(kind).ravel())
 
 
 def gradients(m: Model, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of a batch of windows and its gradients."""
-    p = m.p
-    q, k, v, s, o, h = m.attend(ids, valid, mask)
-    scored = np.flatnonzero(valid[:, -STRIDE:])
+    clip = m.steep()
+    cuts = [slice(a, a + TOGETHER) for a in range(0, len(ids), TOGETHER)]
+    attended = [m.attend(ids[c], valid[c], mask, clip) for c in cuts]
+    h = np.concatenate([x[-1] for x in attended])
+    w, live = m.heads(), valid[:, -STRIDE:].ravel()
+    scored = np.flatnonzero(live)
     t = target.ravel()[scored]
-    order = by_number(t // GROUP, len(p["bg"]))
-    scored, t = scored[order], t[order]
-    hs, rows, size = h.reshape(-1, DIM)[scored], np.arange(len(t)), len(t)
-    cuts, g, u, logs = m.outputs(hs, t)
-    g[rows, t // GROUP] -= 1
-    u[rows, t % GROUP] -= 1
-    grads = {"wg": hs.T @ g, "bg": g.sum(0), "wu": np.zeros_like(p["wu"]), "bu": np.zeros_like(p["bu"])}
-    dh = g @ p["wg"].T
-    for j, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-        if a < b:
-            grads["wu"][j], grads["bu"][j] = hs[a:b].T @ u[a:b], u[a:b].sum(0)
-            dh[a:b] += u[a:b] @ p["wu"][j].T
-    d = np.zeros_like(h)
-    d.reshape(-1, DIM)[scored] = dh
+    group = groups(m.units).take(t)
+    order = np.argsort(group, kind="stable")
+    scored, t, group = scored[order], t[order], group[order]
+    n, size, first = len(w), len(t), bounds(m.units)
+    hs, logs, dh = with_one(h.reshape(-1, DIM), scored), np.empty(size, h.dtype), np.zeros((size + 1, DIM), h.dtype)
+    d_top, d_unit = np.zeros((n, DIM + 1), h.dtype), np.zeros((m.units, DIM + 1), h.dtype)
+    for j, a, b, at, y, total in softmaxes(w, hs, t, group, logs):
+        total = 1 / total
+        y[:n] *= total[0]
+        y[n:] *= total[1]
+        y[j] -= 1
+        y.ravel()[at] -= 1
+        dw = y @ hs[a:b]
+        d_top += dw[:n]
+        d_unit[first[j] : first[j + 1]] += dw[n:]
+        np.matmul(y.T, w[j][:, :DIM], out=dh[a:b])
+    grads = {"wg": d_top[:, :DIM], "bg": d_top[:, DIM], "wu": d_unit[:, :DIM], "bu": d_unit[:, DIM]}
+    row = np.full(len(live), size)  # of each position in dh, whose last row is zero
+    row[scored] = np.arange(size)
+    d = dh.take(row, 0).reshape(h.shape)
     d *= h > 0
-    ds = d @ v.transpose(0, 2, 1)
-    ds -= row_sums(d * o)[..., None]
-    ds *= s
-    back, size_in = lagged(), m.units + 2
-    grads["lag"] = np.bincount(back[back >= 0], ds.sum(0)[back >= 0], LENGTH).astype(np.float32)
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ d
-    cells = (ids * DIM)[..., None] + np.arange(DIM)
-    scored_cells = cells[:, -STRIDE:]
-    grads["qx"] = np.concatenate((summed(scored_cells, dq, size_in), summed(scored_cells, d, size_in)), 1)
-    grads["kv"] = np.concatenate((summed(cells, dk, size_in), summed(cells, dv, size_in)), 1)
-    return -float(logs.sum()) / size, {key: x / size for key, x in grads.items()}
+    back, lags = lagged(), np.zeros((STRIDE, LENGTH), h.dtype)
+    grads |= {key: np.zeros_like(m.p[key]) for key in ("qx", "kv")}
+    cells = np.arange(grads["qx"].size // 2).reshape(-1, DIM)
+    for c, (q, k, v, s, o, _) in zip(cuts, attended):
+        ds = d[c] @ v.transpose(0, 2, 1)
+        ds -= row_sums(d[c] * o)[..., None]
+        ds *= s
+        lags += ds.sum(0)
+        dqx, dkv = np.empty((len(s), STRIDE, 2 * DIM), h.dtype), np.empty((len(s), LENGTH, 2 * DIM), h.dtype)
+        dqx[..., DIM:] = d[c]
+        np.matmul(ds, k, out=dqx[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+        np.matmul(s.transpose(0, 2, 1), d[c], out=dkv[..., DIM:])
+        add_rows(grads["qx"], cells, ids[c, -STRIDE:], dqx)
+        add_rows(grads["kv"], cells, ids[c], dkv)
+    grads["lag"] = np.bincount(back[back >= 0], lags[back >= 0], LENGTH).astype(np.float32)
+    return -float(logs.sum()) / size, {key: np.divide(x, size, out=np.empty(x.shape, x.dtype)) for key, x in grads.items()}
 
 
 def preceding(m: Model, units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -195,10 +259,21 @@ class Adam:
 
     def step(self, m: Model, grads: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
+        first, second = float(rate / (1 - 0.9**self.steps)), float(1 / (1 - 0.99**self.steps))
         for k, g in grads.items():
-            self.one[k] += 0.1 * (g - self.one[k])
-            self.two[k] += 0.01 * (g * g - self.two[k])
-            m.p[k] -= np.float32(rate) * (self.one[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.two[k] / (1 - 0.99**self.steps)) + 1e-8)
+            one, two, t = self.one[k], self.two[k], g - self.one[k]
+            t *= 0.1
+            one += t
+            np.multiply(g, g, out=t)
+            t -= two
+            t *= 0.01
+            two += t
+            np.multiply(two, second, out=t)
+            np.sqrt(t, out=t)
+            t += 1e-8
+            np.divide(one, t, out=t)
+            t *= first
+            m.p[k] -= t
 
 
 def train(m: Model, units: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, steps: int = 1200, batch: int = 128, rate: float = 6e-3) -> float:
@@ -221,7 +296,7 @@ def train_once(m: Model, adam: Adam, units: np.ndarray, lengths: np.ndarray, rng
     place, valid = windows(lengths)
     order = rng.permutation(len(place))
     for a in range(0, len(order), batch):
-        at, ok = place[order[a : a + batch]], valid[order[a : a + batch]]
-        _, grads = gradients(m, np.where(ok, before[at], m.pad), ok, units[at[:, -STRIDE:]], m.mask())
+        at, ok = place.take(order[a : a + batch], 0), valid.take(order[a : a + batch], 0)
+        _, grads = gradients(m, np.where(ok, before.take(at), m.pad), ok, units.take(at[:, -STRIDE:]), m.mask())
         # The first steps of fresh moments are of full size whatever the gradient.
         adam.step(m, grads, rate * min(1, (adam.steps + 1) / 20))

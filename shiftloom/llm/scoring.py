@@ -30,9 +30,9 @@ from .words import hash_words, lowered, numbered, packed, slices, split_words
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pieces as the vocabulary was made for: contractions, letters, digits, others, spaces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-#: Bounds of the start: documents of the sample and words of one. Units of the model (a multiple of
-#: its group size). Words counted by number; which they are changes no result.
-SAMPLE_DOCS, SAMPLE_WORDS, UNITS, FREQUENT = 4000, 600, 32 * attention.GROUP, 50_000
+#: Bounds of the start: documents of the sample and words of one. Units of the model. Words counted by
+#: number; which they are changes no result.
+SAMPLE_DOCS, SAMPLE_WORDS, UNITS, FREQUENT = 4000, 600, 1024, 50_000
 REST, END = 0, 1
 #: Passes over parts of the training texts, together one over all; the first one's rate, which falls
 #: in equal steps; weights of a row on their way to the sum.

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from shiftloom.llm import scoring
+from shiftloom.llm import attention, scoring
+from shiftloom.llm.words import hash_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +41,39 @@ def test_texts_not_learned_score_above_their_base(spark):
     scored = scoring.scoring_query(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
     tokens, score, base = scored.agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
     assert tokens > 500_000 and score / tokens > base / tokens + 0.1
+
+
+def test_frequent_units_stand_in_small_groups():
+    """A target costs a number for each group and for each unit of its own: 64 for groups of 32, under 54 where frequencies fall
+    as 1, 1/2, 1/3."""
+    counts = 1e6 / np.arange(1, scoring.UNITS + 1)
+    model = attention.Model.fresh(counts, np.random.default_rng(0))
+    assert counts @ [len(model.heads()[g]) for g in attention.groups(scoring.UNITS)] < 54 * counts.sum()
+    assert sum(len(x) for x in model.heads()) == scoring.UNITS + len(model.heads()) ** 2
+    h = np.random.default_rng(1).standard_normal((2, attention.DIM)).astype(np.float32)
+    total = sum(np.exp(model.unit_logs(h, np.full(2, u)).astype(float)) for u in range(scoring.UNITS))
+    assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_windows_attended_together_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = attention.Model.fresh(rng.integers(1, 99, 300).astype(float), rng)
+    lengths = np.array([1, 900, 0, 17, 300])
+    units = rng.integers(0, 300, int(lengths.sum()))
+    place, valid = attention.windows(lengths)
+    ids = np.where(valid, attention.preceding(model, units, lengths)[place], model.pad)
+    run = lambda: (model.log10_probability(units, lengths), attention.gradients(model, ids, valid, units[place[:, -attention.STRIDE :]], model.mask()))
+    logs, (loss, grads) = run()
+    assert -logs.sum() * np.log(10) / len(units) - loss < 1e-4 * loss
+    monkeypatch.setattr(attention, "TOGETHER", 7)
+    again, (other, parts) = run()
+    assert np.allclose(logs, again, atol=1e-5) and abs(loss - other) < 1e-5
+    assert all(np.allclose(grads[k], parts[k], atol=1e-6) for k in grads)
+
+
+def test_hashes_of_parts_of_a_column():
+    from xxhash import xxh3_128_digest
+
+    words = pa.array(["", "a", "žluť", "b" * 300, "日本"], pa.large_string())
+    want = [np.frombuffer(xxh3_128_digest(w.encode()), "<u8").tolist() for w in words.to_pylist()]
+    assert hash_words(words).tolist() == want and hash_words(words.slice(2, 2)).tolist() == want[2:4] and hash_words(words.slice(5)).shape == (0, 2)
