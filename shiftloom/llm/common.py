@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space between words: the space and the control characters from tab to carriage return.
 BREAKS = " \t\n\x0b\x0c\r"
 BREAK_RUN = r"[\x20\x09-\x0D]+"
+#: Whether Spark deletes the shuffle files of a query when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -27,16 +29,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return current.get()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Later readers see one fixed set of rows whatever executors come and go, read only the
-    columns they need, and start a short lineage.
+    columns they need, and start a short lineage. With ``tidy`` the shuffle files of the write go as soon as
+    it ends, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/shiftloom-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(TIDY, before)
     _own().append(path)
     back = spark.read.schema(schema).parquet(path)
     back.stored_at = path
@@ -70,6 +80,13 @@ def release(spark: SparkSession, *tables: DataFrame, since: int | None = None, b
             own.remove(path)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes that a stored table takes."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null or blank: 0)."""
     trimmed = F.btrim(text, F.lit(BREAKS))

@@ -3,6 +3,7 @@ stages an exact check of the shingles."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh, stored
+from .common import fresh, release, stored, stored_bytes
 from .components import connected_components
 from .decontamination import bounded
 from .words import hash_words, lowered, mixed, numbered, packed, runs, slices, split_words
@@ -30,6 +31,10 @@ CROWD = 512
 NEAREST = 4
 #: Bytes that tell sets of shingles with equal bits apart.
 SUM = 8
+#: Keys of buckets end in the number of their choice of lane and blocks.
+CHOICES = np.uint64(1 << 16)
+#: Bytes of fingerprints that are always sent to buckets at once.
+ROOM = 64_000_000
 #: Pairs of a bucket and bytes of text that a task works on at once.
 PAIRS, BYTES = 1 << 17, 1_000_000
 SEED = 0x9E3779B97F4A7C15
@@ -147,10 +152,21 @@ def blocks_for(n: int, near: int, bits: int = 64) -> tuple[int, int]:
     return near + c, c
 
 
-def masks_for(m: int, c: int, bits: int = 64) -> np.ndarray:
+def blocks_of(m: int, bits: int = 64) -> list[int]:
+    """The bits of each of m blocks."""
     edges = [round(bits * i / m) for i in range(m + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return np.array([sum(block[i] for i in pick) for pick in itertools.combinations(range(m), c)], dtype=np.uint64)
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+
+
+def masks_for(m: int, c: int, bits: int = 64) -> np.ndarray:
+    return np.array([sum(pick) for pick in itertools.combinations(blocks_of(m, bits), c)], dtype=np.uint64)
+
+
+def skipped(m: int, c: int, bits: int = 64) -> list[np.ndarray]:
+    """For each choice of blocks those that it leaves out before its last one: lanes that share one of these as well share
+    an earlier choice."""
+    block = np.array(blocks_of(m, bits), dtype=np.uint64)
+    return [block[[b for b in range(pick[-1]) if b not in pick]] for pick in itertools.combinations(range(m), c)]
 
 
 def lanes_of(prints: np.ndarray, rule: Rule) -> np.ndarray:
@@ -160,17 +176,37 @@ def lanes_of(prints: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def near_in_bucket(x: np.ndarray, lane: int, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, other row, bits apart) of all near fingerprints of a bucket of one lane, both ways, row by row."""
-    most = rule.near // rule.lanes
-    step = max(1, PAIRS // len(x))
-    for s in range(0, len(x), step):
-        rows, cols = np.nonzero(np.bitwise_count(x[s : s + step, None, lane] ^ x[None, :, lane]) <= most)
-        rows += s
-        other = rows != cols
+    """(row, other row, bits apart) of all near fingerprints of a bucket of one lane, both ways, row by row. Every two
+    are compared once, unless more pairs are near than a task holds."""
+    n, most = len(x), rule.near // rule.lanes
+    step = max(1, PAIRS // n)
+    own, whole = np.ascontiguousarray(x[:, lane]), np.ascontiguousarray(x).view(np.uint64)
+
+    def near(s: int, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = s if once else 0
+        at = np.flatnonzero(np.bitwise_count(own[s : s + step, None] ^ own[first:]) <= most)
+        rows, cols = (i.astype(np.int64) for i in np.divmod(at.astype(np.uint32), np.uint32(n - first)))
+        rows, cols = rows + s, cols + first
+        other = rows < cols if once else rows != cols
         rows, cols = rows[other], cols[other]
-        apart = np.bitwise_count(x[rows] ^ x[cols]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(whole[rows] ^ whole[cols]).sum(axis=1, dtype=np.int64)
         ok = apart <= rule.near
-        yield rows[ok], cols[ok], apart[ok]
+        return rows[ok], cols[ok], apart[ok]
+
+    found, held = [], 0
+    for s in range(0, n, step):
+        found.append(near(s, True))
+        held += 2 * len(found[-1][0])
+        if held > PAIRS:
+            break
+    else:
+        rows, cols, apart = (np.concatenate(c) for c in zip(*found))
+        u, v, apart = np.concatenate([rows, cols]), np.concatenate([cols, rows]), np.concatenate([apart, apart])
+        order = np.lexsort((v, u))
+        yield u[order], v[order], apart[order]
+        return
+    for s in range(0, n, step):
+        yield near(s, False)
 
 
 def stars(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +223,19 @@ def stars(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]
     return moved, labels[moved]
 
 
-def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def told_before(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, lane: int, left_out: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which pairs of a bucket share a bucket of an earlier lane or choice of blocks too."""
+    apart = x[rows, : lane + 1] ^ x[cols, : lane + 1]
+    before = (np.bitwise_count(apart[:, :lane]) <= rule.near // rule.lanes).any(axis=1)
+    for block in left_out.astype(x.dtype):
+        before |= apart[:, lane] & block == 0
+    return before
+
+
+def partners(x: np.ndarray, lane: int, left_out: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each member of the bucket with all that are near, if they are FEW, or with the nearest; and the
-    members of which not all partners were given. With such ones, a star per component is given too."""
+    members of which not all partners were given. With such ones, a star per component is given too. A pair that
+    shares an earlier bucket is left to that one: there it is given, or its two members are in a crowd."""
     left, right, crowd = [], [], []
     for rows, cols, apart in near_in_bucket(x, lane, rule):
         if not len(rows):
@@ -197,10 +243,13 @@ def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarr
         cuts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         degree = np.diff(np.append(cuts, len(rows)))
         every = np.repeat(degree <= FEW, degree)
+        u, v = rows[every], cols[every]
+        new = ~told_before(x, u, v, lane, left_out, rule)
+        many = degree > FEW
         nearest = np.minimum.reduceat(apart * len(x) + cols, cuts) % len(x)
-        left += [rows[every], rows[cuts]]
-        right += [cols[every], nearest]
-        crowd.append(rows[cuts][degree > FEW])
+        left += [u[new], rows[cuts][many]]
+        right += [v[new], nearest[many]]
+        crowd.append(rows[cuts][many])
     none = np.empty(0, np.int64)
     crowd = np.concatenate([none, *crowd])
     if len(crowd):
@@ -216,9 +265,9 @@ def partners(x: np.ndarray, lane: int, rule: Rule) -> tuple[np.ndarray, np.ndarr
 FOUND = "part long, pairs binary, key long, u binary"
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None, parts: int) -> Iterator[pa.RecordBatch]:
+def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, left_out: list[np.ndarray], most: int | None, parts: int) -> Iterator[pa.RecordBatch]:
     """Links (u, v), v the smaller, within the buckets of one task, packed. Columns: keys and fingerprints, many to
-    a row. A bucket of over ``most`` fingerprints is handed back row by row with its key."""
+    a row; ``left_out``: see :func:`skipped`. A bucket of over ``most`` fingerprints is handed back row by row with its key."""
     keys, prints = [], []
     for b in batches:
         keys += b.column(0).to_pylist()
@@ -237,11 +286,11 @@ def bucket_links(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None
         if most and n > most:
             hot.append(np.arange(a, a + n))
             continue
-        lane = int(key[a]) % rule.lanes
+        lane, choice = divmod(int(key[a]) % int(CHOICES), len(left_out))
         if rule.similarity is None:
             u, v = stars(x[a : a + n], lane, rule)
         else:
-            u, v, some = partners(x[a : a + n], lane, rule)
+            u, v, some = partners(x[a : a + n], lane, left_out[choice], rule)
             crowd.append(some + a)
         left.append(u + a)
         right.append(v + a)
@@ -294,7 +343,7 @@ def distinct_pairs(batches: Iterator[pa.RecordBatch], width: int, rule: Rule) ->
 
 def pack(key: np.ndarray, raw: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Keys and fingerprints by bucket, a row per bucket."""
-    at, packs = packed(np.asarray((key.astype(np.uint64) >> np.uint64(8)) % np.uint64(buckets), np.int64), key.astype("<i8"), raw)
+    at, packs = packed(np.asarray(key.astype(np.uint64) // CHOICES % np.uint64(buckets), np.int64), key.astype("<i8"), raw)
     return pa.RecordBatch.from_arrays([pa.array(at), *packs], names=["bucket", "keys", "prints"])
 
 
@@ -302,7 +351,7 @@ def fingerprint_links(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_
     return links_and_crowd(prints, rule, most, rows_a_task)[0]
 
 
-def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_task: int = 1_000_000, room: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (u, v, verify) among all fingerprints (one binary column, distinct). Without a ``similarity`` in the
     rule they connect all fingerprints that near ones connect; with one they are near pairs, to be verified where
     ``verify`` says so, and the second table (u) has the fingerprints, maybe repeated, of which not all near partners are among them.
@@ -310,6 +359,9 @@ def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_ta
     Each fingerprint goes to one bucket per lane and choice of blocks. A bucket sends on a star per
     component, or a few partners of each member, and never the pairs of a crowd. Buckets of over ``most`` distinct
     fingerprints are cut into parts, and every two parts meet in a task of their own.
+
+    The more fingerprints, the more choices of blocks. With ``room`` they are gone through in rounds, each of
+    which shuffles about so many bytes; its files are deleted before the next one.
     """
     spark = prints.sparkSession
     prints = prints.toDF("u")
@@ -317,36 +369,49 @@ def links_and_crowd(prints: DataFrame, rule: Rule, most: int = 20_000, rows_a_ta
     m, c = blocks_for(n, rule.near // rule.lanes, rule.bits)
     masks = masks_for(m, c, rule.bits)
     salt = mixed(np.arange(1, len(masks) + 1, dtype=np.uint64))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * rule.lanes * len(masks) // rows_a_task))
-    buckets = 4 * tasks
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    left_out = skipped(m, c, rule.bits)
+    width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else SUM)
+    choices = np.arange(rule.lanes * len(masks))
+    rounds = 1 if room is None else min(len(choices), max(1, -(-n * len(choices) * (8 + width) // room)))
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(at_least, -(-n * len(choices) // (8 * rows_a_task)))  # pairs are far fewer than the rows sent
+    links, made_of = [], []
+
+    def emit(batches: Iterator[pa.RecordBatch], some: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+        lane, pick = np.divmod(some, len(masks))
+        step = max(1, 2 * PAIRS // len(some))
         for b in batches:
-            for at in range(0, len(b), 5000):
-                raw = np.frombuffer(b"".join(b.column(0).slice(at, 5000).to_pylist()), np.uint8).reshape(min(5000, len(b) - at), -1)
-                x = lanes_of(raw, rule)
-                for lane in range(rule.lanes):
-                    key = mixed((x[:, lane : lane + 1].astype(np.uint64) & masks) ^ salt)
-                    key -= (key - np.uint64(lane)) % np.uint64(rule.lanes)  # the key tells the lane
-                    yield pack(key.view(np.int64).ravel(), np.repeat(raw, len(masks), axis=0), buckets)
-
-    keyed = prints.mapInArrow(emit, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
-    found = stored(keyed.mapInArrow(lambda bs: bucket_links(bs, rule, most, buckets), FOUND))
-    links, hot = found.where("part IS NOT NULL").select("part", "pairs"), found.where("key IS NOT NULL").select("key", "u")
-    if hot.limit(1).count():
+            for at in range(0, len(b), step):
+                raw = np.frombuffer(b"".join(b.column(0).slice(at, step).to_pylist()), np.uint8).reshape(min(step, len(b) - at), -1)
+                key = mixed((lanes_of(raw, rule)[:, lane].astype(np.uint64) & masks[pick]) ^ salt[pick])
+                key = key // CHOICES * CHOICES + some.astype(np.uint64)
+                yield pack(key.view(np.int64).ravel(), np.repeat(raw, len(some), axis=0), buckets)
+
+    def meet(keyed: DataFrame, tasks: int, most: int | None) -> DataFrame:
+        dealt = keyed.repartition(tasks, "bucket").select("keys", "prints")
+        found = stored(dealt.mapInArrow(lambda bs: bucket_links(bs, rule, left_out, most, parts), FOUND), tidy=True)
+        made_of.append(found)
+        links.append(found.where("part IS NOT NULL").select("part", "pairs"))
+        return found.where("key IS NOT NULL").select("key", "u")
+
+    for some in np.array_split(choices, rounds):
+        tasks = max(at_least, -(-n * len(some) // rows_a_task))
+        spread = prints.repartition(max(1, -(-n * len(some) // rows_a_task))) if room else prints  # a few files would make a few large tasks
+        hot = meet(spread.mapInArrow(lambda bs, some=some, tasks=tasks: emit(bs, some, 4 * tasks), "bucket long, keys binary, prints binary"), tasks, most)
+        if not hot.limit(1).count():
+            continue
         half = max(1, most // 2)
-        parts = hot.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
+        cut = hot.groupBy("key").agg(F.ceil(F.count("*") / half).cast("int").alias("parts"))
         own = F.pmod(F.xxhash64("u", F.lit(7)), F.col("parts")).cast("int")
-        lane = F.pmod("key", F.lit(rule.lanes))
+        choice = F.pmod("key", F.lit(int(CHOICES)))
         meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.xxhash64("key", F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
-        dealt = hot.join(parts, "key").withColumn("own", own).select(F.explode(meets).alias("meet"), lane.alias("lane"), "u")
-        dealt = dealt.select((F.shiftleft(F.shiftright("meet", 8), 8) + F.col("lane")).alias("key"), "u")
-        repack = lambda bs: (pack(b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), buckets) for b in bs if len(b))
-        more = dealt.mapInArrow(repack, "bucket long, keys binary, prints binary").repartition(tasks, "bucket").select("keys", "prints")
-        found = stored(more.mapInArrow(lambda bs: bucket_links(bs, rule, None, buckets), FOUND))
-        links = links.unionByName(found.where("part IS NOT NULL").select("part", "pairs"))
-    width = rule.bits * rule.lanes // 8 + (0 if rule.similarity is None else SUM)
-    made = stored(links.repartition(tasks, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width, rule), "u binary, v binary, verify boolean"))
+        dealt = hot.join(cut, "key").withColumn("own", own).select(F.explode(meets).alias("meet"), choice.alias("choice"), "u")
+        dealt = dealt.select((F.col("meet") - F.pmod("meet", F.lit(int(CHOICES))) + F.col("choice")).alias("key"), "u")
+        repack = lambda bs, tasks=tasks: (pack(b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1), 4 * tasks) for b in bs if len(b))
+        meet(dealt.mapInArrow(repack, "bucket long, keys binary, prints binary"), tasks, None)
+    every = functools.reduce(DataFrame.unionByName, links)
+    made = stored(every.repartition(parts, "part").select("pairs").mapInArrow(lambda bs: distinct_pairs(bs, width, rule), "u binary, v binary, verify boolean"), tidy=True)
+    release(spark, *made_of)
     return made.where("u <> v"), made.where("u = v").select("u")
 
 
@@ -472,14 +537,15 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     rows = stored(with_fingerprints(docs, rule, mark).withColumn(row, F.monotonically_increasing_id()))
     slim = rows.select(F.col(mark).alias("node"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("who"))
     nodes = stored(slim.groupBy("node").agg(F.min("who.row").alias("row")))
-    every, crowd = links_and_crowd(nodes.select("node"), rule)
+    every, crowd = links_and_crowd(nodes.select("node"), rule, room=max(ROOM, stored_bytes(rows)))
     pairs = every.where("verify")
     ends = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node"))
     texts = rows.join(bounded(ends.select(F.col("node").alias("node_"), F.col("row").alias("place_"))), F.col(row) == F.col("place_")).select(F.col("node_").alias("node"), "text")
-    sets = stored(with_sets(texts, rule.words))
+    sets = stored(with_sets(texts, rule.words), tidy=True)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("one")), "u").join(sets.select(F.col("node").alias("v"), F.col("grams").alias("two")), "v")
     links = both.select("u", "v", "one", "two").mapInArrow(lambda bs: similar(bs, rule.similarity), "u binary, v binary")
-    links = stored(links)
+    links = stored(links, tidy=True)
+    release(docs.sparkSession, sets)
     found = connected_components(links).withColumnRenamed("node", "member")
     if crowd.limit(1).count():
         more = crowd_links(rows, row, nodes, every.select("u", "v"), crowd, found, rule)

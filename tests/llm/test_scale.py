@@ -1,5 +1,6 @@
 """Sizes at which the plain way ends: many item seeds, shares near 0 and 1, large crowds of near copies."""
 
+import itertools
 import time
 from collections import Counter
 
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shiftloom.llm import decontamination, mixing, simhash
+from shiftloom.llm import components, decontamination, mixing, simhash
+from shiftloom.llm.common import TIDY, stored
 
 
 def test_half_a_million_item_seeds(spark):
@@ -71,3 +73,85 @@ def test_a_crowd_in_a_bucket_is_compared_in_bounded_parts():
     x[:, 1] = np.arange(2_000) % 8
     sizes = [len(rows) for rows, _, _ in simhash.near_in_bucket(x, 0, simhash.STAGE)]
     assert sum(sizes) == 2_000 * 1_999 and max(sizes) <= 1 << 17
+
+
+def shuffled_by_stage(spark, since=0):
+    """Bytes that each stage from ``since`` on has shuffled."""
+    store, out = spark.sparkContext._jsc.sc().statusStore(), []
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in itertools.count(since):
+        try:
+            out.append(store.lastStageAttempt(i).shuffleWriteBytes())
+        except Exception:
+            return out
+
+
+def near_prints(n, crowd, seed=3):
+    """Fingerprints with the 8 bytes of their sets: random ones, near copies of every tenth, and a crowd of the first."""
+    rng = np.random.default_rng(seed)
+    prints = rng.integers(0, 256, (n, 24), dtype=np.uint8)
+    copies = np.concatenate([prints[::10], np.repeat(prints[:1], crowd, axis=0)])
+    for bit in rng.integers(0, 128, (8, len(copies))):
+        copies[np.arange(len(copies)), bit // 8] ^= (1 << bit % 8).astype(np.uint8)
+    copies[:, 16:] = rng.integers(0, 256, (len(copies), 8), dtype=np.uint8)
+    return np.concatenate([prints, copies])
+
+
+@pytest.mark.parametrize("most", [20_000, 60])
+def test_rounds_bound_what_is_shuffled_and_find_the_same(spark, monkeypatch, most):
+    """With as many choices of blocks as large tables have (84 a lane), no stage shuffles all of them, and rounds connect what
+    all at once connect and what comparing every two does."""
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, near, bits=64: (near + 3, 3))
+    raw = near_prints(2000, 120)
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in raw], "u binary")
+    x = raw[:, :16].copy().view(np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2) <= simhash.STAGE.near, 1))
+    want = list(range(len(raw)))
+    for _ in range(8):
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+    groups = lambda label: sorted(map(sorted, ([i for i, y in enumerate(label) if y == k] for k in set(label))))
+    at = {r.tobytes(): i for i, r in enumerate(raw)}
+    room, most_at_once = len(raw) * 32 * 336 // 6, []
+    for given in (None, room):
+        since = len(shuffled_by_stage(spark))
+        every, crowd = simhash.links_and_crowd(df, simhash.STAGE, most=most, room=given)
+        most_at_once.append(max(shuffled_by_stage(spark, since)))
+        got = list(range(len(raw)))
+        for r in components.connected_components(every.select("u", "v")).collect():
+            got[at[bytes(r.node)]] = at[bytes(r.root)]
+        assert groups(got) == groups(want)
+        alone = {i for i, n in enumerate(np.bincount(near.ravel(), minlength=len(raw))) if n <= simhash.FEW}
+        told = {tuple(sorted((at[bytes(r.u)], at[bytes(r.v)]))) for r in every.where("verify").collect()}
+        assert {(a, b) for a, b in near.tolist() if {a, b} <= alone} <= told <= set(map(tuple, near.tolist()))
+        assert {at[bytes(r.u)] for r in crowd.collect()} & alone == set()
+    assert most < len(raw) or most_at_once[1] < room < most_at_once[0]
+
+
+def test_a_pair_is_told_by_its_first_bucket_only(spark):
+    """Near fingerprints share many buckets; together these tell a pair once."""
+    rule, (m, c) = simhash.STAGE, (9, 3)
+    raw = near_prints(300, 0)
+    x, masks, left_out = simhash.lanes_of(raw, rule), simhash.masks_for(m, c, rule.bits), simhash.skipped(m, c, rule.bits)
+    told = Counter()
+    for lane, (mask, out) in itertools.product(range(rule.lanes), zip(masks, left_out)):
+        key = x[:, lane] & mask.astype(x.dtype)
+        for k in np.unique(key):
+            ids = np.flatnonzero(key == k)
+            u, v, crowd = simhash.partners(x[ids], lane, out, rule)
+            assert not len(crowd)
+            told.update(tuple(sorted(p)) for p in zip(ids[u].tolist(), ids[v].tolist()))
+    near = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2) <= rule.near, 1))
+    assert told == Counter(map(tuple, near.tolist())) and len(near) >= 30
+
+
+def test_shuffle_files_of_a_tidy_table_go_at_once(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    table = stored(spark.range(10_000).repartition(5, "id"), tidy=True)
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 10_000
+    assert spark.conf.get(TIDY, "false") == "false"
